@@ -42,7 +42,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     groups = base.groupBy("len", "digit").agg(F.count("*").alias("n")).where("n > 1")
     groups = materialize(groups.select("len", "digit", F.monotonically_increasing_id().alias("group")), "radix-groups")
-    rows = base.join(groups, ["len", "digit"], "left").select(
+    rows = base.join(groups.hint("merge"), ["len", "digit"], "left").select(
         "doc_id",
         "text_sha256",
         *payload,
@@ -65,7 +65,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         groups = materialize(groups, "radix-groups")
         offset += width
-        joined = digits.join(groups.drop("longest"), ["group", "digit"], "left").withColumn("rest", F.expr(f"case when next is not null then substring(rest, {width + 1}) end"))
+        joined = digits.join(groups.drop("longest").hint("merge"), ["group", "digit"], "left").withColumn("rest", F.expr(f"case when next is not null then substring(rest, {width + 1}) end"))
         joined = materialize(joined.drop("digit", "group"), "radix-rows")
         done.append(_finished(joined.where("next is null"), payload, single=True))
         done.append(_finished(joined.where(F.col("next").isNotNull() & (F.col("len") <= offset)), payload, single=False))
