@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, simhash, token_files
+from . import byte_bpe, mixing, simhash, token_files
 from . import exact_dedup as radix
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,16 +58,53 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH t AS (
+  SELECT doc_id, source, coalesce(text, '') AS txt, coalesce(CAST(doc_id AS VARCHAR), '') AS tie FROM documents
+), d AS (
+  SELECT doc_id, source, tie, len(regexp_extract_all(txt, '[^\x20\x09-\x0D]+')) AS size,
+         -ln((CAST('0x' || substr(md5('7:' || tie), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+           / (1 / (1 + 20::DOUBLE * (length(txt) - length(translate(txt, '0123456789#*$%&|<>{}[]_=~^@', ''))) / greatest(length(txt), 1))) AS key
+  FROM t
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         ([3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w
+  FROM d GROUP BY source
+), l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+             - coalesce(sum(2 * source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s
+), p AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, max(level) OVER () * w) AS target FROM l
+), k AS (
+  SELECT d.*, p.source_size, p.target, CASE WHEN p.source_size > 0 THEN floor(p.target / p.source_size) ELSE 0 END AS epochs,
+         sum(size) OVER (PARTITION BY d.source ORDER BY key, tie) - sum(size) OVER (PARTITION BY d.source, key, tie) AS before,
+         sum(size) OVER (PARTITION BY d.source, key, tie) AS together
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), c AS (
+  SELECT *, epochs + CASE WHEN target - epochs * source_size > 0 AND 2 * (target - epochs * source_size - before) >= together THEN 1 ELSE 0 END AS copies FROM k
+)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM c
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_byte_bpe": op3_byte_bpe,
         "op6_simhash": op6_simhash,
         "op5_token_files": op5_token_files,
+        "op7_mixing": op7_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op7_mixing": OP7_SQL,
     }
