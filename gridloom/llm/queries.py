@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, simhash, token_files
+from . import byte_bpe, mixing, simhash, token_files, warc
 from . import exact_dedup as radix
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,24 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (
+  SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+         CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS original
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM d
+"""
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     read = token_files.read_token_files(spark, manifest)
@@ -98,6 +116,7 @@ def queries() -> dict[str, Query]:
         "op1_exact_dedup": op1_exact_dedup,
         "op3_byte_bpe": op3_byte_bpe,
         "op6_simhash": op6_simhash,
+        "op4_warc": op4_warc,
         "op5_token_files": op5_token_files,
         "op7_mixing": op7_mixing,
     }
@@ -106,5 +125,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op4_warc": OP4_SQL,
         "op7_mixing": OP7_SQL,
     }
