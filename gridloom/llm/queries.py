@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, simhash, token_files, warc
+from . import byte_bpe, mixing, simhash, token_files, toxicity, warc
 from . import exact_dedup as radix
+from .text import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,6 +112,12 @@ SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -119,6 +126,7 @@ def queries() -> dict[str, Query]:
         "op4_warc": op4_warc,
         "op5_token_files": op5_token_files,
         "op7_mixing": op7_mixing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
