@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from .batches import map_texts, strings
 
-#: Pre-tokens in a worker's cache, and bytes of the longest one that enters it and that shares a queue with others.
-CACHE_ENTRIES, SHORT = 600_000, 64
+#: Pre-tokens in a worker's cache; bytes of the longest one that shares a queue with others, and how many share one.
+CACHE_ENTRIES, SHORT, TOGETHER = 300_000, 64, 50_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -82,13 +82,26 @@ class PairRanks:
         self.values = np.array([v for _, v in pairs] or [-1], np.int64)
 
     def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.base + right
+        key = left.astype(np.int64) * self.base + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], -1)
 
 
+class Numbers(dict):
+    """Numbers of pre-tokens in order of arrival; ``fresh`` lists those that came since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = len(self)
+        self.fresh.append(token)
+        return number
+
+
 class ByteBpe:
-    """Encoder and decoder of one rank file."""
+    """Encoder of one rank file."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -96,35 +109,40 @@ class ByteBpe:
         self.queue = RankQueue(max(ranks.values(), default=0))
         self.pair_ranks = PairRanks(ranks)
         self.barrier = self.pair_ranks.base - 1
-        self.of_byte = np.array([ranks.get(bytes([b]), self.barrier) for b in range(256)], np.int64)
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.cache: dict[str, bytes] = {}
+        self.of_byte = np.array([ranks.get(bytes([b]), self.barrier) for b in range(256)], np.int32)
+        self.numbers = Numbers()
+        self.packed: list[bytes] = []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
-        cache = self.cache
-        if len(cache) >= CACHE_ENTRIES:
-            cache.clear()
-        split = [self.split(text) for text in texts]
-        new = set().union(*split).difference(cache)
-        long: dict[str, bytes] = {}
-        short: list[str] = []
-        pieces: list[bytes] = []
-        for token in new:
+        if len(self.packed) >= CACHE_ENTRIES:
+            self.numbers.clear()
+            self.packed.clear()
+        number = self.numbers.__getitem__
+        split = [np.fromiter(map(number, tokens), np.int32, len(tokens)) for tokens in map(self.split, texts)]
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        new: list[bytes] = [b""] * len(fresh)
+        short: list[tuple[int, bytes]] = []
+        for at, token in enumerate(fresh):
             piece = token.encode("utf-8")
             whole = self.ranks.get(piece)
             if whole is not None:
-                cache[token] = pack("<I", whole)
+                new[at] = pack("<I", whole)
             elif len(piece) > SHORT:
                 ids = self.merge(piece)
-                long[token] = pack(f"<{len(ids)}I", *ids)
+                new[at] = pack(f"<{len(ids)}I", *ids)
             else:
-                short.append(token)
-                pieces.append(piece)
-        cache.update(zip(short, self.merge_many(pieces), strict=True))
-        if not long:
-            return [b"".join(map(cache.__getitem__, tokens)) for tokens in split]
-        return [b"".join([cache[t] if t in cache else long[t] for t in tokens]) for tokens in split]
+                short.append((at, piece))
+            if len(short) == TOGETHER:
+                self._fill(new, short)
+        self._fill(new, short)
+        self.packed += new
+        return [b"".join(map(self.packed.__getitem__, own.tolist())) for own in split]
+
+    def _fill(self, new: list[bytes], short: list[tuple[int, bytes]]) -> None:
+        for (at, _), packed in zip(short, self.merge_many([piece for _, piece in short]), strict=True):
+            new[at] = packed
+        short.clear()
 
     def merge_many(self, pieces: list[bytes]) -> list[bytes]:
         """Merge short pre-tokens together: of each, the leftmost pair of the lowest rank is merged at a time."""
@@ -133,14 +151,14 @@ class ByteBpe:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         starts = np.cumsum(sizes + 1) - sizes  # a barrier before each
         total = int(starts[-1] + sizes[-1]) + 1
-        token = np.full(total, self.barrier, np.int64)
+        token = np.full(total, self.barrier, np.int32)
         inside = np.ones(total, bool)
         inside[starts - 1] = inside[-1] = False
         token[inside] = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        word = np.cumsum(~inside)
-        after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
+        word = np.cumsum(~inside, dtype=np.int32)
+        after, before = np.arange(1, total + 1, dtype=np.int32), np.arange(-1, total - 1, dtype=np.int32)
         alive = inside.copy()
-        waiting = np.full(total, -1, np.int64)
+        waiting = np.full(total, -1, np.int32)
         waiting[:-1] = self.pair_ranks(token[:-1], token[1:])
         queue = self.queue
         first = np.flatnonzero(waiting >= 0)
@@ -225,18 +243,20 @@ class ByteBpe:
             i = after[i]
         return ids
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+_ENCODERS: dict[tuple[str, str], ByteBpe] = {}
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
+def coder(path: str, pattern: str) -> ByteBpe:
+    """One encoder per Python worker, so that its cache lasts from task to task."""
+    if (path, pattern) not in _ENCODERS:
+        _ENCODERS[path, pattern] = ByteBpe(load_ranks(path), pattern)
+    return _ENCODERS[path, pattern]
 
 
-def coder(path: str, pattern: str) -> ByteBpe:
-    """One coder per Python worker, so that its cache lasts from task to task."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBpe(load_ranks(path), pattern)
-    return _LOADED[path, pattern]
+def decoder(path: str):
+    """A function from packed ids to bytes."""
+    bytes_of = {rank: token for token, rank in load_ranks(path).items()}
+    return lambda packed: b"".join(map(bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -253,11 +273,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
     return map_texts(docs, {"text": text_col}, make, T.StructType([T.StructField("ids", T.BinaryType())]), docs.columns if keep is None else keep)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Add ``decoded`` (binary: the bytes of the ids) to the columns ``keep``; null ids count as none."""
 
     def make():
-        bpe = coder(path, pattern)
-        return lambda batch: {"decoded": pa.array([bpe.decode(x or b"") for x in batch.column(0).to_pylist()], pa.binary())}
+        bytes_of = decoder(path)
+        return lambda batch: {"decoded": pa.array([bytes_of(x or b"") for x in batch.column(0).to_pylist()], pa.binary())}
 
     return map_texts(encoded, {"ids": ids_col}, make, T.StructType([T.StructField("decoded", T.BinaryType())]), encoded.columns if keep is None else keep)

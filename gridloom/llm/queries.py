@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, simhash, token_files, toxicity, warc
+from . import byte_bpe, language, mixing, simhash, token_files, toxicity, warc
 from . import exact_dedup as radix
 from .text import fold
 
@@ -36,10 +36,16 @@ FROM t
 """
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return language.predict(docs, model, keep=["doc_id"]).select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern, keep=["doc_id"])
-    decoded = byte_bpe.decode(encoded, path, pattern)
+    decoded = byte_bpe.decode(encoded, path)
     return decoded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
@@ -121,6 +127,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_language": op2_language,
         "op3_byte_bpe": op3_byte_bpe,
         "op6_simhash": op6_simhash,
         "op4_warc": op4_warc,
