@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, mixing, simhash, token_files, toxicity, warc
+from . import byte_bpe, html_text, language, mixing, quality, simhash, token_files, toxicity, warc
 from . import exact_dedup as radix
 from .text import fold
 
@@ -118,6 +118,16 @@ SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
@@ -133,6 +143,8 @@ def queries() -> dict[str, Query]:
         "op4_warc": op4_warc,
         "op5_token_files": op5_token_files,
         "op7_mixing": op7_mixing,
+        "op8_quality": op8_quality,
+        "op9_html_text": op9_html_text,
         "op10_toxicity": op10_toxicity,
     }
 

@@ -9,6 +9,7 @@ through the driver.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,21 +24,38 @@ from gridloom.session import materialize, new_folder
 
 from .batches import BATCH_BYTES, strings
 
-#: Chunks in a worker's cache, and characters of the longest one that enters it.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
+#: Chunks, and parts of chunks, in a worker's caches.
+CACHE_CHUNKS, CACHE_PARTS = 400_000, 600_000
 #: Bytes of ids that a task holds before they go to the file.
 BUFFER_BYTES = 8 << 20
 
 MANIFEST = T.StructType([T.StructField("file", T.StringType()), T.StructField("part", T.LongType()), T.StructField("docs", T.LongType()), T.StructField("tokens", T.LongType())])
 
 _TWO_SPACES = re.compile(r"\s\s").search
+_LETTERS, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", r"[!-&(-/:-@\[-`{-~]"
+#: A chunk whose pre-tokens are plain: letters, marks other than the apostrophe, a line feed, letters, marks.
+_PLAIN = re.compile(f"({_LETTERS}+)({_MARKS}*)(\n?)({_LETTERS}*)({_MARKS}*)").fullmatch
+
+
+class Numbers(dict):
+    """Numbers of chunks in order of arrival; ``fresh`` lists those that came since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        self.fresh.append(chunk)
+        return number
 
 
 class ChunkEncoder:
     """Encodes whole texts with a tokenizers file, each distinct chunk between spaces once while it stays cached.
 
     The byte-level pre-tokenizer never joins a space to the non-space before it, so a text whose white-space characters
-    all stand alone may be cut before each space; other texts go to the tokenizer whole.
+    all stand alone may be cut before each space, and a plain chunk further into letters, marks and line feeds; the
+    tokenizer sees each distinct part once. Other texts and chunks go to it whole.
     """
 
     def __init__(self, path: str):
@@ -48,42 +66,64 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = "<u2" if self.kind == "H" else "<u4"
+        self.numbers = Numbers()
+        self.packed: list[bytes] = []
+        self.parts: dict[str, bytes] = {}
+        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(odd)}
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks."""
+        if len(self.parts) >= CACHE_PARTS:
+            self.parts.clear()
+        parts, tokenize = self.parts, self.tokenizer.model.tokenize
+        out: list[bytes] = []
+        whole: list[int] = []
+        for at, chunk in enumerate(chunks):
+            plain = _PLAIN(chunk)
+            if not plain:
+                whole.append(at)
+                out.append(b"")
+                continue
+            ids = []
+            for part in (" " + plain[1], *plain.groups()[1:]):
+                if part:
+                    found = parts.get(part)
+                    if found is None:
+                        # A part is one pre-token, so the model's merges alone give its ids.
+                        spelled = part.encode("utf-8").decode("latin-1").translate(self.alphabet)
+                        found = parts[part] = array(self.kind, [t.id for t in tokenize(spelled)]).tobytes()
+                    ids.append(found)
+            out.append(b"".join(ids))
+        for at, ids in zip(whole, self._pack([" " + chunks[at] for at in whole]), strict=True):
+            out[at] = ids
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) >= CACHE_ENTRIES:
-            cache.clear()
-        chunks: list[list[str] | None] = []
-        new: set[str] = set()
+        if len(self.packed) >= CACHE_CHUNKS:
+            self.numbers.clear()
+            self.packed.clear()
+        number = self.numbers.__getitem__
+        split: list[np.ndarray | None] = []
+        heads: list[str] = []
         for text in texts:
             if _TWO_SPACES(text):
-                chunks.append(None)
-                continue
-            first, *rest = text.split(" ")
-            cut = [first, *[" " + x for x in rest]]
-            chunks.append(cut)
-            new.update(cut)
-        new.difference_update(cache)
-        asked = list(new)
-        found = dict(zip(asked, self._pack(asked), strict=True)) if asked else {}
-        lookup = _Either(cache, found).__getitem__ if found else cache.__getitem__
-        out = [self._pack([t])[0] if c is None else b"".join(map(lookup, c)) for t, c in zip(texts, chunks, strict=True)]
-        cache.update((k, v) for k, v in found.items() if len(k) <= CACHE_CHARS)
-        return out
-
-
-class _Either(dict):
-    def __init__(self, cache: dict[str, bytes], found: dict[str, bytes]):
-        super().__init__(found)
-        self.cache = cache
-
-    def __missing__(self, key: str) -> bytes:
-        return self.cache[key]
+                split.append(None)
+                heads.append(text)
+            else:
+                head, *rest = text.split(" ")
+                split.append(np.fromiter(map(number, rest), np.int32, len(rest)))
+                heads.append(head)
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        self.packed += self._chunks(fresh)
+        look = self.packed.__getitem__
+        return [head if own is None else head + b"".join(map(look, own.tolist())) for head, own in zip(self._pack(heads), split, strict=True)]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
