@@ -87,7 +87,9 @@ def nodes(html: str) -> list[Node]:
             if links:
                 linked += len(text.strip())
 
-    while match := _TOKEN.search(html, at):
+    # Beyond the last ">" there is no tag, which keeps the search from scanning on for one.
+    end_of_tags = html.rfind(">") + 1
+    while match := _TOKEN.search(html, at, end_of_tags):
         read(html[at : match.start()])
         at = match.end()
         if match[2] is None:

@@ -134,6 +134,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -146,6 +152,7 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_html_text": op9_html_text,
         "op10_toxicity": op10_toxicity,
+        "pipeline": pipeline,
     }
 
 
