@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Modules of ``plans`` that register queries.
+MODULES = ("fields",)
+
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -26,11 +29,21 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"gridloom.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
 
 
