@@ -82,7 +82,7 @@ def common_fields(ensemble: DataFrame, member: str = "member", field: str = "fie
 def ensemble_hash(ensemble: DataFrame, member: str = "member", time: str = "time", field: str = "field") -> DataFrame:
     """md5 over member names with their numbers of steps, then the unique and the common field names, all in order."""
     steps = ensemble.groupBy(member).agg(F.countDistinct(time).alias("steps"))
-    names = steps.agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(F.col(member).cast("string"), "steps"))), lambda s: F.concat(s[member], s["steps"].cast("string")))).alias("a"))
+    names = steps.agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(F.col(member).cast("string").alias("m"), "steps"))), lambda s: F.concat(s["m"], s["steps"].cast("string")))).alias("a"))
     held = common_fields(ensemble, member, field)
     fields = held.agg(F.concat_ws("", F.array_sort(F.collect_list(field))).alias("b"), F.concat_ws("", F.array_sort(F.collect_list(F.when(F.col("common"), F.col(field))))).alias("c"))
     return names.crossJoin(F.broadcast(fields)).select(F.md5(F.concat("a", "b", "c")).alias("hash"))

@@ -61,7 +61,8 @@ def offsets(halo: tuple[int, int, int]) -> list[tuple[int, int, int]]:
     return [(a, b, c) for a in range(-halo[0], halo[0] + 1) for b in range(-halo[1], halo[1] + 1) for c in range(-halo[2], halo[2] + 1)]
 
 
-def _neighbours(padded: np.ndarray, halo, within=lambda o: True) -> np.ndarray:
+def neighbours(padded: np.ndarray, halo, within=lambda o: True) -> np.ndarray:
+    """The neighbourhood of every cell, stacked along a new first axis."""
     return np.stack([shifted(padded, halo, o) for o in offsets(halo) if within(o)])
 
 
@@ -73,7 +74,7 @@ def box_reduce(field: DataFrame, value: str, halo, reducer, out: str, outside: f
     """A reduction over each cell's neighbourhood, a box or the ball in it; missing cells are skipped or ``outside``."""
     radius = max(halo)
     within = (lambda o: True) if shape == "box" else (lambda o: sum(i * i for i in o) <= radius * radius)
-    return brick_apply(field, [value], halo, lambda p: [reducer(_neighbours(_filled(p[0], outside), halo, within), axis=0)], [out])
+    return brick_apply(field, [value], halo, lambda p: [reducer(neighbours(_filled(p[0], outside), halo, within), axis=0)], [out])
 
 
 def mean(field: DataFrame, value: str, halo=(1, 1, 1), out: str = "mean", outside: float | None = None) -> DataFrame:
@@ -88,7 +89,7 @@ def binary_median(field: DataFrame, value: str, level: float, halo=(1, 1, 1), le
     """1 where at least ``least`` cells (default: more than half) of the neighbourhood reach the level."""
 
     def kernel(p):
-        near = _neighbours(p[0], halo)
+        near = neighbours(p[0], halo)
         votes = (near >= level).sum(axis=0)
         return [(votes >= least if least is not None else 2 * votes > (~np.isnan(near)).sum(axis=0)).astype(float)]
 
@@ -279,7 +280,7 @@ def local_ball_mean(field: DataFrame, value: str, inside: str, radius: int, out:
     def kernel(p):
         ball = lambda o: sum(i * i for i in o) <= radius * radius
         held = np.where(p[1] > 0, p[0], np.nan)
-        mean = np.nanmean(_neighbours(held, halo, ball), axis=0)
+        mean = np.nanmean(neighbours(held, halo, ball), axis=0)
         return [np.where(shifted(p[1], halo, (0, 0, 0)) > 0, mean, 0.0)]
 
     return brick_apply(field.withColumn("_in", F.col(inside).cast("int")), [value, "_in"], halo, kernel, [out])
@@ -316,4 +317,4 @@ def diffuse(field: DataFrame, value: str, steps: int = 2, dt: float = 0.1, condu
 
 def regional_maxima(field: DataFrame, value: str, out: str = "is_max") -> DataFrame:
     """1 where no cell of the 27-neighbourhood is higher (a plateau counts where all its cells do)."""
-    return brick_apply(field, [value], (1, 1, 1), lambda p: [(shifted(p[0], (1, 1, 1), (0, 0, 0)) >= np.nanmax(_neighbours(p[0], (1, 1, 1)), axis=0)).astype(float)], [out])
+    return brick_apply(field, [value], (1, 1, 1), lambda p: [(shifted(p[0], (1, 1, 1), (0, 0, 0)) >= np.nanmax(neighbours(p[0], (1, 1, 1)), axis=0)).astype(float)], [out])
