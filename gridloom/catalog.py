@@ -48,11 +48,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the driver grid: the long-form field that most queries start from."""
-    from pyspark.sql import functions as F
-
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy((F.col("l_partkey") % 16).cast("int").alias("x"), (F.col("l_suppkey") % 16).cast("int").alias("y"), (F.col("l_linenumber") - 1).cast("int").alias("z"))
-        .agg(F.sum("l_quantity").alias("v"), F.count("*").alias("n"))
-    )
+    """Field, region algebra, discretisation and grouped reduction in one plan."""
+    return queries()["m0_flagship"](spark, sf_dir)

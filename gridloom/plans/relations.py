@@ -12,7 +12,6 @@ from gridloom.operators import cellwise as cw
 from . import fixtures as fx
 
 BOTH = f"{fx.GRID_SQL}, {fx.GRID2_SQL}, both_fields AS (SELECT g.x, g.y, g.z, g.v AS a, h.v AS b, g.n FROM grid g JOIN grid2 h USING (x, y, z))"
-A, B = F.col("a"), F.col("b")
 
 
 def _both(spark, d):
@@ -20,29 +19,29 @@ def _both(spark, d):
 
 
 def _pair(name: str, sql: dict[str, str], columns) -> None:
-    register(name, f"WITH {BOTH} SELECT x, y, z, " + ", ".join(f"{e} AS {k}" for k, e in sql.items()) + " FROM both_fields")(lambda spark, d: _both(spark, d).select("x", "y", "z", *[c.alias(k) for k, c in columns.items()]))
+    register(name, f"WITH {BOTH} SELECT x, y, z, " + ", ".join(f"{e} AS {k}" for k, e in sql.items()) + " FROM both_fields")(lambda spark, d: _both(spark, d).select("x", "y", "z", *[c.alias(k) for k, c in columns().items()]))
 
 
-_pair("j01_grid_binary", {"plus": "a + b", "minus": "a - b", "most": "greatest(a, b)"}, {"plus": A + B, "minus": A - B, "most": F.greatest(A, B)})
-_pair("j02_image_mix", {"color": "0.5::DOUBLE * a + 0.5::DOUBLE * b", "depth": "least(a, b)"}, {"color": A * 0.5 + B * 0.5, "depth": F.least(A, B)})
-_pair("j03_blend", {"over": "round(a * 0.25::DOUBLE + b * 0.75::DOUBLE, 6)", "added": "least(1.0::DOUBLE, a / 200 + b / 200 * 0.5::DOUBLE)"}, {"over": F.round(cw.source_over(A, F.lit(0.25), B), 6), "added": cw.add_blend(A / 200, F.lit(0.5), B / 200)})
-_pair("j05_front_compositing", {"color": "round(a / 400 + (1 - 0.25::DOUBLE) * (b / 200) * (a / 200), 6)", "alpha": "0.25::DOUBLE + 0.75::DOUBLE * (b / 200)"}, dict(zip(("color", "alpha"), (lambda c: (F.round(c[0], 6), c[3]))(cw.front_to_back([A / 400, A / 400, A / 400, F.lit(0.25)], [A / 200, A / 200, A / 200, B / 200])), strict=True)))
-_pair("j06_checkerboard", {"v": "CASE WHEN (x // 4 + y // 4 + z // 4) % 2 = 0 THEN a ELSE b END"}, {"v": combine.checkerboard(A, B, 4, F.col("x"), F.col("y"), F.col("z"))})
-_pair("j07_label_overlay", {"v": "round(CASE WHEN x % 3 = 0 THEN a ELSE a * 0.6::DOUBLE + (x % 3) * 50.0::DOUBLE * 0.4::DOUBLE END, 6)"}, {"v": F.round(combine.label_overlay(A, F.col("x") % 3, 0.4, 50.0), 6)})
-_pair("u07_boolean_minus", {"only_a": "a > 100 AND NOT b > 25"}, {"only_a": (A > 100) & ~(B > 25)})
-_pair("p45_functor_arithmetic", {"sum": "a + b", "ratio": "round(b / a, 6)", "power": "round((a / 100) ** (b / 100), 6)"}, {"sum": A + B, "ratio": F.round(F.try_divide(B, A), 6), "power": F.round(F.pow(A / 100, B / 100), 6)})
+_pair("j01_grid_binary", {"plus": "a + b", "minus": "a - b", "most": "greatest(a, b)"}, lambda: {"plus": F.col("a") + F.col("b"), "minus": F.col("a") - F.col("b"), "most": F.greatest(F.col("a"), F.col("b"))})
+_pair("j02_image_mix", {"color": "0.5::DOUBLE * a + 0.5::DOUBLE * b", "depth": "least(a, b)"}, lambda: {"color": F.col("a") * 0.5 + F.col("b") * 0.5, "depth": F.least(F.col("a"), F.col("b"))})
+_pair("j03_blend", {"over": "round(a * 0.25::DOUBLE + b * 0.75::DOUBLE, 6)", "added": "least(1.0::DOUBLE, a / 200 + b / 200 * 0.5::DOUBLE)"}, lambda: {"over": F.round(cw.source_over(F.col("a"), F.lit(0.25), F.col("b")), 6), "added": cw.add_blend(F.col("a") / 200, F.lit(0.5), F.col("b") / 200)})
+_pair("j05_front_compositing", {"color": "round(a / 400 + (1 - 0.25::DOUBLE) * (b / 200) * (a / 200), 6)", "alpha": "0.25::DOUBLE + 0.75::DOUBLE * (b / 200)"}, lambda: dict(zip(("color", "alpha"), (lambda c: (F.round(c[0], 6), c[3]))(cw.front_to_back([F.col("a") / 400, F.col("a") / 400, F.col("a") / 400, F.lit(0.25)], [F.col("a") / 200, F.col("a") / 200, F.col("a") / 200, F.col("b") / 200])), strict=True)))
+_pair("j06_checkerboard", {"v": "CASE WHEN (x // 4 + y // 4 + z // 4) % 2 = 0 THEN a ELSE b END"}, lambda: {"v": combine.checkerboard(F.col("a"), F.col("b"), 4, F.col("x"), F.col("y"), F.col("z"))})
+_pair("j07_label_overlay", {"v": "round(CASE WHEN x % 3 = 0 THEN a ELSE a * 0.6::DOUBLE + (x % 3) * 50.0::DOUBLE * 0.4::DOUBLE END, 6)"}, lambda: {"v": F.round(combine.label_overlay(F.col("a"), F.col("x") % 3, 0.4, 50.0), 6)})
+_pair("u07_boolean_minus", {"only_a": "a > 100 AND NOT b > 25"}, lambda: {"only_a": (F.col("a") > 100) & ~(F.col("b") > 25)})
+_pair("p45_functor_arithmetic", {"sum": "a + b", "ratio": "round(b / a, 6)", "power": "round((a / 100) ** (b / 100), 6)"}, lambda: {"sum": F.col("a") + F.col("b"), "ratio": F.round(F.try_divide(F.col("b"), F.col("a")), 6), "power": F.round(F.pow(F.col("a") / 100, F.col("b") / 100), 6)})
 
 
 @register("j04_overlay", f"WITH {BOTH} SELECT coalesce(t.x, u.x) AS x, coalesce(t.y, u.y) AS y, coalesce(t.z, u.z) AS z, CASE WHEN t.a > 0 THEN t.a ELSE u.b END AS v FROM (SELECT * FROM both_fields WHERE a > 110) t FULL OUTER JOIN (SELECT * FROM both_fields WHERE b > 25) u ON t.x = u.x AND t.y = u.y AND t.z = u.z")
 def overlay(spark, d):
     top, under = fx.grid(spark, d).where("v > 110"), fx.grid2(spark, d).where("v > 25")
-    return combine.align(top, under, how="full_outer").select("x", "y", "z", F.when(A > 0, A).otherwise(B).alias("v"))
+    return combine.align(top, under, how="full_outer").select("x", "y", "z", F.when(F.col("a") > 0, F.col("a")).otherwise(F.col("b")).alias("v"))
 
 
 @register("j09_volume_comparison", f"WITH {BOTH} SELECT count(*) AS cells, CAST(sum(CAST(a = b AS INT)) AS BIGINT) AS equal, sum(abs(a - b)) AS l1, max(abs(a - b)) AS worst, round(corr(a, b), 6) AS correlation FROM both_fields")
 def volume_comparison(spark, d):
-    e = F.abs(A - B)
-    return _both(spark, d).agg(F.count("*").alias("cells"), F.sum((A == B).cast("int")).alias("equal"), F.sum(e).alias("l1"), F.max(e).alias("worst"), F.round(F.corr("a", "b"), 6).alias("correlation"))
+    e = F.abs(F.col("a") - F.col("b"))
+    return _both(spark, d).agg(F.count("*").alias("cells"), F.sum((F.col("a") == F.col("b")).cast("int")).alias("equal"), F.sum(e).alias("l1"), F.max(e).alias("worst"), F.round(F.corr("a", "b"), 6).alias("correlation"))
 
 
 @register("j10_temporal_interpolation", f"WITH {fx.GRID_SQL} SELECT a.x, a.y, a.v * 0.75::DOUBLE + b.v * 0.25::DOUBLE AS v FROM grid a JOIN grid b ON a.x = b.x AND a.y = b.y AND a.z = 2 AND b.z = 3")
