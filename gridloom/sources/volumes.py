@@ -120,6 +120,7 @@ def write_volume(cells: DataFrame, path: str, shape: tuple[int, int, int], dtype
     """
     nx, ny, nz = shape
     stem = path.rsplit(".", 1)[0]
+    slab = -(-nz // -(-nz // slab))  # readers take all files but the last to be equally long
     numbered = cells.select("x", "y", "z", F.col(value).cast("double").alias("v"), F.floor(F.col("z") / slab).cast("int").alias("slab"))
     slabs = cells.sparkSession.range(-(-nz // slab)).select(F.col("id").cast("int").alias("slab"), F.lit(None).cast("int").alias("x"), F.lit(None).cast("int").alias("y"), F.lit(None).cast("int").alias("z"), F.lit(None).cast("double").alias("v"))
 
