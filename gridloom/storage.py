@@ -25,7 +25,7 @@ def atomic_output(uri: str):
     system.create_dir(path.rpartition("/")[0], recursive=True)
     attempt = f"{path}.{uuid.uuid4().hex}.tmp"
     try:
-        with system.open_output_stream(attempt) as sink:
+        with system.open_output_stream(attempt, compression=None) as sink:
             yield sink
         system.move(attempt, path)
     except BaseException:
@@ -51,7 +51,7 @@ def write_bytes(uri: str, data: bytes) -> None:
 
 def read_bytes(uri: str) -> bytes:
     system, path = resolve(uri)
-    with system.open_input_stream(path) as source:
+    with system.open_input_stream(path, compression=None) as source:
         return source.read()
 
 
