@@ -195,8 +195,9 @@ class ByteBpe:
 
     def _push(self, ranks: np.ndarray, places: np.ndarray) -> None:
         bucket = self.queue.bucket
-        if len(ranks) == 1:
-            bucket(int(ranks[0])).append(places)
+        if len(ranks) < 2:
+            for rank in ranks.tolist():
+                bucket(rank).append(places)
             return
         order = np.argsort(ranks, kind="stable")
         ranks, places = ranks[order], places[order]
