@@ -196,3 +196,90 @@ def classify_gaussian(samples: DataFrame, model: DataFrame, label: str, value: s
     classes = model.agg(F.collect_list(F.struct("_class", "mean", "sd", "prior")).alias("_classes"))
     best = F.array_max(F.transform("_classes", lambda m: F.struct((F.ln(m["prior"]) - F.ln(m["sd"]) - (F.col(value) - m["mean"]) * (F.col(value) - m["mean"]) / (2 * m["sd"] * m["sd"])).alias("s"), m["_class"].alias("c"))))
     return samples.crossJoin(F.broadcast(classes)).withColumn(out, best["c"]).drop("_classes")
+
+
+def basins(field: DataFrame, value: str) -> DataFrame:
+    """Watershed by steepest descent: (x, y, z, basin) with the packed coordinate of the minimum that a cell drains to.
+
+    One stencil pass finds each cell's lowest neighbour, pointer jumping follows them in logarithmically many rounds.
+    Ties and plateaus drain to the smallest packed coordinate, so there are no cycles.
+    """
+    import numpy as np
+
+    from .stencil import brick_apply, offsets, shifted
+
+    h = (1, 1, 1)
+
+    def kernel(p):
+        packed = p[1]
+        best, target = shifted(p[0], h, (0, 0, 0)).copy(), shifted(packed, h, (0, 0, 0)).copy()
+        for o in offsets(h):
+            v, at = shifted(p[0], h, o), shifted(packed, h, o)
+            lower = (v < best) | ((v == best) & (at < target))
+            best, target = np.where(lower, v, best), np.where(lower, at, target)
+        return [shifted(packed, h, (0, 0, 0)), target]
+
+    packed = F.col("x").cast("double") * (1 << 30) + F.col("y") * (1 << 15) + F.col("z")
+    down = materialize(brick_apply(field.withColumn("_at", packed), [value, "_at"], h, kernel, ["node", "down"]), "descents")
+    parents = down.select(F.col("node").cast("long").alias("node"), F.when(F.col("down") != F.col("node"), F.col("down").cast("long")).alias("parent"))
+    roots = chase(parents, "node", "parent")
+    return down.select("x", "y", "z", F.col("node").cast("long").alias("node")).join(roots, "node").select("x", "y", "z", F.col("root").alias("basin"))
+
+
+def random_walker(field: DataFrame, value: str, seeds: DataFrame, beta: float = 0.01, rounds: int = 10) -> DataFrame:
+    """(x, y, z, probability) that a walker from a cell meets a seed of label 1 before one of label 0.
+
+    ``seeds`` has (x, y, z, label). Edge weights are exp(-beta * difference^2); each round is one weighted relaxation over
+    bricks and is written to the shared folder. Seeds keep their label; other cells start at 0.5.
+    """
+    import numpy as np
+
+    from .stencil import brick_apply, shifted
+
+    h = (1, 1, 1)
+    steps = [tuple(s if i == a else 0 for i in range(3)) for a in range(3) for s in (1, -1)]
+
+    def kernel(p):
+        here = shifted(p[0], h, (0, 0, 0))
+        total = weight = 0.0
+        for o in steps:
+            w = np.exp(-beta * (shifted(p[0], h, o) - here) ** 2)
+            q = shifted(p[1], h, o)
+            ok = ~np.isnan(q) & ~np.isnan(w)
+            total, weight = total + np.where(ok, w * q, 0.0), weight + np.where(ok, w, 0.0)
+        old, fixed = shifted(p[1], h, (0, 0, 0)), shifted(p[2], h, (0, 0, 0))
+        return [here, np.where((fixed > 0) | (weight == 0), old, total / np.maximum(weight, 1e-300)), fixed]
+
+    state = field.select(*CELL, F.col(value).alias("v")).join(seeds.select(*CELL, F.col("label").cast("double").alias("_l")), list(CELL), "left")
+    state = state.select(*CELL, "v", F.coalesce("_l", F.lit(0.5)).alias("probability"), F.col("_l").isNotNull().cast("int").alias("fixed"))
+    for _ in range(rounds):
+        state = materialize(brick_apply(state, ["v", "probability", "fixed"], h, kernel, ["v", "probability", "fixed"]), "walker")
+    return state.select(*CELL, "probability")
+
+
+def seeds_from_geometry(points: DataFrame, shape: Sequence[int]) -> DataFrame:
+    """Seed cells of a point table; points that are incomplete or outside are left out."""
+    cells = [F.rint(c).cast("int").alias(c) for c in CELL]
+    inside = [F.col(c).between(0, n - 1) for c, n in zip(CELL, shape, strict=True)]
+    return points.select(*cells).where(inside[0] & inside[1] & inside[2]).distinct()
+
+
+def bundle_centroid(lines: DataFrame, bundle: str, order: str) -> DataFrame:
+    """Mean curve of the lines of a bundle that were resampled to equal numbers of points."""
+    return lines.groupBy(bundle, order).agg(F.count("*").alias("lines"), *[F.avg(c).alias(c) for c in CELL])
+
+
+def track_statistics(tracks: DataFrame, track: str, time: str, coordinates: Sequence[str] = CELL) -> DataFrame:
+    """Duration, path length and net displacement of each track."""
+    w = Window.partitionBy(track).orderBy(time)
+    step = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) * (F.col(c) - F.lag(c).over(w)) for c in coordinates), F.lit(0.0)))
+    net = F.sqrt(sum(((F.max_by(c, time) - F.min_by(c, time)) * (F.max_by(c, time) - F.min_by(c, time)) for c in coordinates), F.lit(0.0)))
+    return tracks.withColumn("_step", step).groupBy(track).agg((F.max(time) - F.min(time)).alias("duration"), F.coalesce(F.sum("_step"), F.lit(0.0)).alias("length"), net.alias("displacement"))
+
+
+def regrid(points: DataFrame, matrix: Sequence[Sequence[float]], value: str) -> DataFrame:
+    """Mean value per cell of a grid that a 4 x 4 matrix maps the points to."""
+    from .cellwise import affine
+
+    to = affine(matrix, F.col("x"), F.col("y"), F.col("z"))
+    return points.groupBy(*[F.floor(c).cast("int").alias(a) for c, a in zip(to, CELL, strict=True)]).agg(F.avg(value).alias(value))

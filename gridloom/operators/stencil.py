@@ -132,7 +132,14 @@ def convolve(field: DataFrame, value: str, mask: np.ndarray, out: str = "conv")
     return brick_apply(field, [value], halo, kernel, [out])
 
 
-_UNIT = ((1, 0, 0), (0, 1, 0), (0, 0, 1))
+def scatter(field: DataFrame, value: str, weights: dict[tuple[int, int, int], float], out: str = "sum") -> DataFrame:
+    """A linear stencil in long form: every cell adds its weighted value to its neighbours, summed map-side first.
+
+    Plain DataFrame operations, for small stencils and for checks; bricks move far fewer rows for large ones.
+    """
+    parts = F.array(*[F.struct((F.col("x") - o[0]).alias("x"), (F.col("y") - o[1]).alias("y"), (F.col("z") - o[2]).alias("z"), (F.col(value) * w).alias("w")) for o, w in weights.items()])
+    sums = field.select(F.explode(parts).alias("p")).groupBy("p.x", "p.y", "p.z").agg(F.sum("p.w").alias(out))
+    return field.select("x", "y", "z").join(sums, ["x", "y", "z"])
 
 
 def _along(axis: int, step: int) -> tuple[int, int, int]:
@@ -318,3 +325,40 @@ def diffuse(field: DataFrame, value: str, steps: int = 2, dt: float = 0.1, condu
 def regional_maxima(field: DataFrame, value: str, out: str = "is_max") -> DataFrame:
     """1 where no cell of the 27-neighbourhood is higher (a plateau counts where all its cells do)."""
     return brick_apply(field, [value], (1, 1, 1), lambda p: [(shifted(p[0], (1, 1, 1), (0, 0, 0)) >= np.nanmax(neighbours(p[0], (1, 1, 1)), axis=0)).astype(float)], [out])
+
+
+def gradient_vector_flow(field: DataFrame, value: str, steps: int = 3, mu: float = 0.1, dt: float = 0.5) -> DataFrame:
+    """Gradient diffused where it is weak and kept where it is strong, for a few steps on one block: fx, fy, fz."""
+    h = (steps + 1,) * 3
+
+    def kernel(p):
+        u = np.nan_to_num(np.stack([np.gradient(np.where(np.isnan(p[0]), np.nanmean(p[0]), p[0]), axis=a) for a in range(3)]))
+        start, strong = u.copy(), (u * u).sum(axis=0)
+        for _ in range(steps):
+            around = sum(np.roll(u, s, axis=a + 1) for a in range(3) for s in (1, -1)) - 6 * u
+            u = u + dt * (mu * around - strong * (u - start) / max(1.0, strong.max()))
+        return [shifted(c, h, (0, 0, 0)) for c in u]
+
+    return brick_apply(field, [value], h, kernel, ["fx", "fy", "fz"])
+
+
+def advect_diffuse(field: DataFrame, value: str, velocity: Sequence[str], steps: int = 2, dt: float = 0.1, diffusivity: float = 0.1, out: str = "transported") -> DataFrame:
+    """Explicit upwind steps of advection and diffusion; missing neighbours take the cell's own value."""
+    h = (steps,) * 3
+
+    def kernel(p):
+        u, speed = p[0], [np.nan_to_num(v) for v in p[1:]]
+        for _ in range(steps):
+            change = np.zeros_like(u)
+            for a in range(3):
+                pad = [(1, 1) if i == a else (0, 0) for i in range(3)]
+                wide = np.pad(u, pad, constant_values=np.nan)
+                n = u.shape[a]
+                ahead = np.take(wide, range(2, n + 2), a)
+                behind = np.take(wide, range(0, n), a)
+                ahead, behind = np.where(np.isnan(ahead), u, ahead), np.where(np.isnan(behind), u, behind)
+                change += diffusivity * (ahead - 2 * u + behind) - np.maximum(speed[a], 0) * (u - behind) - np.minimum(speed[a], 0) * (ahead - u)
+            u = u + dt * change
+        return [shifted(u, h, (0, 0, 0))]
+
+    return brick_apply(field, [value, *velocity], h, kernel, [out])

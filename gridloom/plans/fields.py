@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.catalog import register
 from gridloom.operators import cellwise as cw
 from gridloom.operators import combine, reductions, region
+from gridloom.operators.graph import bounding_box
 
 from . import fixtures as fx
 
@@ -164,8 +165,6 @@ for _name, _region, _sql in (
 
 @register("u03_bounding_box", f"WITH {fx.GRID_SQL} SELECT min(x) AS lo_x, min(y) AS lo_y, min(z) AS lo_z, max(x) AS hi_x, max(y) AS hi_y, max(z) AS hi_z FROM grid WHERE {BALL_SQL} OR {ROD_SQL}")
 def region_box(spark, d):
-    from gridloom.operators.graph import bounding_box
-
     return bounding_box(fx.grid(spark, d).where((BALL | ROD).contains(F.col("x"), F.col("y"), F.col("z"))))
 
 
@@ -187,7 +186,7 @@ _whole("a15_histogram", "SELECT CAST(least(floor((v - 0) * (20 / 400.0::DOUBLE))
 _whole("a16_min_max", "SELECT min(v) AS low, max(v) AS high FROM grid")(lambda g: g.agg(F.min("v").alias("low"), F.max("v").alias("high")))
 _whole("a17_segment_info", "SELECT n, count(*) AS cells, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, min(x) AS lo_x, min(y) AS lo_y, min(z) AS lo_z, max(x) AS hi_x, max(y) AS hi_y, max(z) AS hi_z, round(count(*) / (SELECT count(*) FROM grid), 6) AS share FROM grid GROUP BY n")(lambda g: reductions.segments(g, "n").withColumns({c: _r(F.col(c)) for c in ("cx", "cy", "cz", "share")}))
 _whole("a18_volume_center", "SELECT round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM grid WHERE v > 100")(lambda g: g.where(F.col("v") > 100).agg(*[_r(F.avg(c)).alias(f"c{c}") for c in "xyz"]))
-_whole("a19_bounding_box", "SELECT min(x) AS lo_x, min(y) AS lo_y, min(z) AS lo_z, max(x) AS hi_x, max(y) AS hi_y, max(z) AS hi_z FROM grid WHERE v > 200")(lambda g: __import__("gridloom.operators.graph", fromlist=["bounding_box"]).bounding_box(g.where(F.col("v") > 200)))
+_whole("a19_bounding_box", "SELECT min(x) AS lo_x, min(y) AS lo_y, min(z) AS lo_z, max(x) AS hi_x, max(y) AS hi_y, max(z) AS hi_z FROM grid WHERE v > 200")(lambda g: bounding_box(g.where(F.col("v") > 200)))
 _whole("a20_slice_density", "SELECT z, round(avg(CAST(v > 100 AS INT)), 6) AS density FROM grid GROUP BY z")(lambda g: g.groupBy("z").agg(_r(F.avg((F.col("v") > 100).cast("int"))).alias("density")))
 _whole("a21_point_statistics", "SELECT z, count(*) AS points, round(avg(v), 6) AS average, min(v) AS low, max(v) AS high FROM grid GROUP BY ROLLUP (z)")(lambda g: reductions.point_statistics(g, "z", "v").withColumn("average", _r(F.col("average"))))
 _whole("a23_volume_hash", "SELECT md5(string_agg(x || ':' || y || ':' || z || ':' || CAST(v * 8 AS BIGINT), ',' ORDER BY x, y, z)) AS hash FROM grid WHERE z = 0")(lambda g: g.where("z = 0").agg(F.md5(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "z", (F.col("v") * 8).cast("long").alias("v")))), lambda s: F.concat_ws(":", s["x"], s["y"], s["z"], s["v"])))).alias("hash")))

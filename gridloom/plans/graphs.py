@@ -141,3 +141,57 @@ def quantise(spark, d):
     v = fx.table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=8, seed=1, maxIter=10).fit(v)
     return model.transform(v).select("vec_id", F.col("prediction").alias("code"))
+
+
+@register("g10_track_statistics", "WITH s AS (SELECT user_id, event_type, event_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events) SELECT user_id, max(event_id) - min(event_id) AS duration, round(coalesce(sum(abs(step)), 0), 4) AS length, round(abs(arg_max(value, event_id) - arg_min(value, event_id)), 6) AS displacement FROM s GROUP BY user_id")
+def track_statistics(spark, d):
+    out = graph.track_statistics(fx.events(spark, d), "user_id", "event_id", ["value"])
+    return out.select("user_id", "duration", F.round("length", 4).alias("length"), F.round("displacement", 6).alias("displacement"))
+
+
+@register("g12_watershed", f"WITH RECURSIVE {fx.GRID_SQL}, p AS (SELECT x, y, z, v, CAST(x AS BIGINT) * 1073741824 + y * 32768 + z AS node FROM grid), d AS (SELECT a.x, a.y, a.z, a.node, arg_min(b.node, (b.v, b.node)) AS down FROM p a JOIN p b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 GROUP BY ALL), t AS (SELECT node, node AS basin FROM d WHERE node = down UNION ALL SELECT d.node, t.basin FROM d JOIN t ON d.down = t.node WHERE d.node <> d.down) SELECT x, y, z, basin FROM d JOIN t USING (node)")
+def watershed(spark, d):
+    return graph.basins(fx.grid(spark, d), "v")
+
+
+@register("g14_random_walker")
+def random_walker(spark, d):
+    g = fx.grid(spark, d)
+    seeds = g.where("v > 140 or v < 80").select("x", "y", "z", (F.col("v") > 100).cast("int").alias("label"))
+    return graph.random_walker(g, "v", seeds, rounds=4)
+
+
+@register("g15_seeds", f"WITH {fx.GRID_SQL} SELECT DISTINCT CAST(round_even(x * 1.5::DOUBLE, 0) AS INT) AS x, y, z FROM grid WHERE round_even(x * 1.5::DOUBLE, 0) <= 15 AND n % 5 <> 0")
+def seeds(spark, d):
+    points = fx.grid(spark, d).select(F.when(F.col("n") % 5 != 0, F.col("x") * 1.5).alias("x"), "y", "z")
+    return graph.seeds_from_geometry(points, (16, 16, 7))
+
+
+@register("g17_bundle_centroid", f"WITH {fx.GRID_SQL} SELECT bundle, i, count(*) AS lines, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM (SELECT z AS bundle, x AS i, x, y, z FROM grid) GROUP BY bundle, i")
+def bundle_centroid(spark, d):
+    lines = fx.grid(spark, d).withColumns({"bundle": F.col("z"), "i": F.col("x")})
+    return graph.bundle_centroid(lines, "bundle", "i")
+
+
+@register("g24_label_from_graph", f"WITH {fx.GRID_SQL}, m AS (SELECT x, y, z FROM grid WHERE v > 120), e AS (SELECT y * 100 + z AS lab, x, y, z FROM grid WHERE n > 42), d AS (SELECT m.x, m.y, m.z, lab, sqrt((m.x - e.x) ** 2 + (m.y - e.y) ** 2 + (m.z - e.z) ** 2) AS distance FROM m, e) SELECT CAST(x * 10000 + y * 100 + z AS INT) AS cell, CAST(arg_min(lab, (distance, lab)) AS INT) AS lab, round(min(distance), 6) AS distance FROM d WHERE distance <= 3 GROUP BY x, y, z")
+def label_from_graph(spark, d):
+    g = fx.grid(spark, d)
+    mask = g.where("v > 120").select((F.col("x") * 10000 + F.col("y") * 100 + F.col("z")).alias("cell"), "x", "y", "z")
+    edges = g.where("n > 42").select((F.col("y") * 100 + F.col("z")).alias("lab"), "x", "y", "z")
+    return graph.nearest(mask, edges, 3.0, "cell", "lab").withColumn("distance", F.round("distance", 6))
+
+
+@register("j11_cross_grid", f"WITH {fx.GRID_SQL} SELECT CAST(floor(y * 0.5::DOUBLE) AS INT) AS x, CAST(floor(x * 0.25::DOUBLE + 1) AS INT) AS y, CAST(z AS INT) AS z, round(avg(v), 6) AS v FROM (SELECT x, y, z, v FROM grid) GROUP BY ALL")
+def cross_grid(spark, d):
+    matrix = ((0.0, 0.5, 0.0, 0.0), (0.25, 0.0, 0.0, 1.0), (0.0, 0.0, 1.0, 0.0), (0.0, 0.0, 0.0, 1.0))
+    return graph.regrid(fx.grid(spark, d), matrix, "v").withColumn("v", F.round("v", 6))
+
+
+@register("n21_medial_surface")
+def medial_surface(spark, d):
+    """Cells of a mask whose distance to the outside is a regional maximum."""
+    from gridloom.operators.distance import distance_transform
+    from gridloom.operators.stencil import regional_maxima
+
+    distance = distance_transform(fx.grid(spark, d), F.col("v") < 96)
+    return regional_maxima(distance.where("distance > 0"), "distance").where("is_max = 1").select("x", "y", "z")

@@ -54,6 +54,8 @@ _field("n06_mean_image", "SELECT x, y, z, round(avg(v), 6) AS mean FROM near WHE
 _field("n07_median_image", "SELECT x, y, z, median(v) AS median FROM near WHERE dz = 0 GROUP BY x, y, z")(lambda g: stencil.median(g, "v", (1, 1, 0)))
 MASK = np.array([[0.5, 0.75, 0.5], [0.25, 1.0, 0.25], [0.5, 0.75, 0.5]])[:, :, None]
 _field("n08_convolution", "SELECT x, y, z, sum(v * CASE WHEN dx = 0 AND dy = 0 THEN 1.0::DOUBLE WHEN dx = 0 THEN -0.5::DOUBLE WHEN dy = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS conv FROM near WHERE dz = 0 GROUP BY x, y, z")(lambda g: stencil.convolve(g, "v", MASK))
+WEIGHTS = {(a, b, 0): w for (a, b), w in {(0, 0): 1.0, (0, 1): -0.5, (0, -1): -0.5, (1, 0): 0.5, (-1, 0): 0.5}.items()}
+_field("n08_convolution_long", "SELECT x, y, z, sum(v * CASE WHEN dx = 0 AND dy = 0 THEN 1.0::DOUBLE WHEN dx = 0 THEN -0.5::DOUBLE WHEN dy = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS conv FROM near WHERE dz = 0 GROUP BY x, y, z")(lambda g: stencil.scatter(g, "v", WEIGHTS, "conv"))
 _field("n09_gradient_central", f"SELECT x, y, z, {_central('x')} AS gx, {_central('y')} AS gy, {_central('z')} AS gz FROM near GROUP BY x, y, z")(lambda g: stencil.gradient(g, "v"))
 for _name, _side, _total in (("sobel", 2, 32), ("regression", 1, 18)):
     _w = {a: " * ".join([f"d{a}"] + [f"CASE WHEN d{o} = 0 THEN {_side} ELSE 1 END" for o in AXES if o != a]) for a in AXES}
@@ -115,3 +117,14 @@ def diffusion(spark, d):
 @register("n30_vesselness")
 def vesselness(spark, d):
     return stencil.vesselness(fx.grid(spark, d), "v", (1,))
+
+
+@register("n29_gradient_vector_flow")
+def gradient_vector_flow(spark, d):
+    return stencil.gradient_vector_flow(fx.grid(spark, d), "v")
+
+
+@register("n34_advection_diffusion")
+def advection_diffusion(spark, d):
+    f = fx.grid(spark, d).withColumns({"a": F.lit(0.5), "b": F.lit(-0.25), "c": F.lit(0.0)})
+    return stencil.advect_diffuse(f, "v", ["a", "b", "c"])

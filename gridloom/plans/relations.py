@@ -62,7 +62,7 @@ def points_to_grid(spark, d):
     return fx.table(spark, d, "lineitem").groupBy(*key).agg(F.count("*").alias("particles"), F.sum("l_quantity").alias("mass"))
 
 
-@register("j15_overlap_tracking", f"WITH {fx.GRID_SQL}, o AS (SELECT CAST(v // 10 AS INT) AS lab, x, y, z FROM grid), p AS (SELECT a.lab AS from_label, b.lab AS to_label, count(*) AS shared FROM o a JOIN o b ON a.x = b.x AND a.y = b.y AND a.z = 2 AND b.z = 3 GROUP BY 1, 2), s AS (SELECT lab, count(*) AS size FROM o WHERE z = 2 GROUP BY 1) SELECT from_label, to_label, shared, round(shared / size, 6) AS fraction FROM p JOIN s ON lab = from_label WHERE shared / size >= 0.2".replace("CAST(v // 10 AS INT)", "CAST(floor(v / 10) AS INT)"))
+@register("j15_overlap_tracking", f"WITH {fx.GRID_SQL}, o AS (SELECT CAST(floor(v / 10) AS INT) AS lab, x, y, z FROM grid), p AS (SELECT a.lab AS from_label, b.lab AS to_label, count(*) AS shared FROM o a JOIN o b ON a.x = b.x AND a.y = b.y AND a.z = 2 AND b.z = 3 GROUP BY 1, 2), s AS (SELECT lab, count(*) AS size FROM o WHERE z = 2 GROUP BY 1) SELECT from_label, to_label, shared, round(shared / size, 6) AS fraction FROM p JOIN s ON lab = from_label WHERE shared / size >= 0.2")
 def overlap_tracking(spark, d):
     g = fx.grid(spark, d).withColumn("lab", F.floor(F.col("v") / 10).cast("int"))
     step = lambda k: g.where(F.col("z") == k).withColumn("z", F.lit(0))
