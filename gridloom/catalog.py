@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of ``plans`` that register queries.
-MODULES = ("fields", "neighbours", "relations", "graphs", "files")
+MODULES = ("fields", "neighbours", "relations", "graphs", "files", "lattices")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}

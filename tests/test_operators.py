@@ -185,3 +185,26 @@ def test_densify_and_interpolate(spark):
     assert combine.densify(f, (2, 2, 2), "v").agg(F.sum("v"), F.count("*")).first() == (4.0, 8)
     s = spark.createDataFrame([(0, 1, 10.0), (1, 1, 20.0), (0, 2, 5.0)], "t int, k int, v double")
     assert [tuple(r) for r in combine.interpolate_time(s, "t", 0.25, ["k"], "v").collect()] == [(1, 12.5)]
+
+
+@pytest.mark.parametrize("name", ["D2Q9", "D3Q19"])
+def test_lattice_moments(spark, name):
+    """Equilibrium keeps density and momentum, has no stress, and a full relaxation reaches it."""
+    from gridloom.functions import lattice
+
+    sets = lattice.velocities(name)
+    assert len(sets) == int(name.split("Q")[1]) and abs(sum(lattice.weight(name, c) for c in sets) - 1) < 1e-12
+    u = [0.1, -0.05, 0.02][: len(sets[0])]
+    made = spark.range(1).select(lattice.equilibrium(F.lit(1.2), [F.lit(x) for x in u], name).alias("f")).first().f
+    cells = spark.createDataFrame([(made,)], "f array<double>").repartition(1)
+    row = lattice.with_equilibrium(cells, "f", name).select("rho", "u", "eq", lattice.stress_norm2(lattice.stress(F.col("f"), F.col("eq"), name)).alias("s")).first()
+    np.testing.assert_allclose([row.rho, *row.u], [1.2, *u], rtol=1e-9)
+    np.testing.assert_allclose(row.eq, made, rtol=1e-9)
+    assert row.s < 1e-18
+
+
+def test_random_walker_between_two_seeds(spark):
+    line = np.zeros((6, 1, 1))
+    seeds = spark.createDataFrame([(0, 0, 0, 0), (5, 0, 0, 1)], "x int, y int, z int, label int")
+    got = graph.random_walker(_field(spark, line), "v", seeds, rounds=25).orderBy("x").collect()
+    np.testing.assert_allclose([r.probability for r in got], np.linspace(0, 1, 6), atol=0.06)

@@ -35,7 +35,7 @@ def test_nrrd_detached_and_attached(spark, tmp_path, cube):
 
 def test_mhd_vvd_dat(spark, tmp_path, cube):
     (tmp_path / "a.mhd").write_text("ObjectType = Image\nNDims = 3\nDimSize = 4 3 5\nElementType = MET_USHORT\nElementDataFile = a.raw\n")
-    (tmp_path / "a.vvd").write_text('<VoreenData><Volumes><Volume><RawData filename="a.raw" format="uint16"><dimensions x="4" y="3" z="5"/></RawData><RealWorldMapping scale="2" offset="1"/></Volume></Volumes></VoreenData>'.replace("Voreen", "Volume"))
+    (tmp_path / "a.vvd").write_text('<VolumeData><Volumes><Volume><RawData filename="a.raw" format="uint16"><dimensions x="4" y="3" z="5"/></RawData><RealWorldMapping scale="2" offset="1"/></Volume></Volumes></VolumeData>')
     (tmp_path / "a.dat").write_text("ObjectFileName: a.raw\nResolution: 4 3 5\nSliceThickness: 1 1 1\nFormat: USHORT\n")
     _same(volumes.read_volumes(spark, [str(tmp_path / "a.mhd")]), cube)
     _same(volumes.read_volumes(spark, [str(tmp_path / "a.dat")]), cube)
