@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -257,6 +258,12 @@ def random_walker(field: DataFrame, value: str, seeds: DataFrame, beta: float =
     return state.select(*CELL, "probability")
 
 
+def multilabel_walker(field: DataFrame, value: str, seeds: DataFrame, labels: Sequence[int], beta: float = 0.01, rounds: int = 10) -> DataFrame:
+    """(x, y, z, label) with the most probable of several labels, each walked against all others; ties to the smaller."""
+    walks = [random_walker(field, value, seeds.withColumn("label", (F.col("label") == label).cast("int")), beta, rounds).withColumn("label", F.lit(label)) for label in labels]
+    return reduce(DataFrame.unionByName, walks).groupBy(*CELL).agg(F.max_by("label", F.struct("probability", -F.col("label"))).alias("label"))
+
+
 def seeds_from_geometry(points: DataFrame, shape: Sequence[int]) -> DataFrame:
     """Seed cells of a point table; points that are incomplete or outside are left out."""
     cells = [F.rint(c).cast("int").alias(c) for c in CELL]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom import storage
+
 Box = tuple[tuple[float, float, float], tuple[float, float, float]]
 
 
@@ -97,3 +100,28 @@ def clip_plane(depth: float, azimuth: float, elevation: float) -> Region:
     """The half space below a plane at ``depth`` along the direction of the two angles (radians)."""
     n = (math.cos(elevation) * math.cos(azimuth), math.cos(elevation) * math.sin(azimuth), math.sin(elevation))
     return Region(lambda x, y, z: x * n[0] + y * n[1] + z * n[2] <= depth, None)
+
+
+#: Shapes and nodes by the names under which a stored collection knows them.
+SHAPES = {"cube": cube, "sphere": sphere, "cylinder": cylinder, "clip_plane": clip_plane}
+NODES = {"union": union, "subtract": subtract}
+
+
+def build(record: dict) -> Region:
+    """The region that a record describes: {"kind": shape, its parameters} or {"kind": node, "children": [records]}."""
+    rest = {k: v for k, v in record.items() if k != "kind"}
+    if record["kind"] in NODES:
+        return NODES[record["kind"]]([build(child) for child in rest["children"]])
+    if record["kind"] not in SHAPES:
+        raise ValueError(f"no region of kind {record['kind']}")
+    return SHAPES[record["kind"]](**rest)
+
+
+def save_collection(records: list[dict], path: str) -> None:
+    for record in records:
+        build(record)  # a record that cannot be read again is not stored
+    storage.write_bytes(path, json.dumps(records).encode())
+
+
+def load_collection(path: str) -> list[Region]:
+    return [build(record) for record in json.loads(storage.read_bytes(path))]

@@ -362,3 +362,28 @@ def advect_diffuse(field: DataFrame, value: str, velocity: Sequence[str], steps:
         return [shifted(u, h, (0, 0, 0))]
 
     return brick_apply(field, [value, *velocity], h, kernel, [out])
+
+
+def kernel_mean(field: DataFrame, value: str, weights: np.ndarray, out: str = "smooth") -> DataFrame:
+    """Weighted mean with a kernel of any odd shape, normalised over the cells that exist."""
+    halo = tuple(n // 2 for n in weights.shape)
+    parts = [(o, float(weights[tuple(i + h for i, h in zip(o, halo, strict=True))])) for o in offsets(halo)]
+
+    def kernel(p):
+        there = (~np.isnan(p[0])).astype(float)
+        known = np.nan_to_num(p[0])
+        return [sum(w * shifted(known, halo, o) for o, w in parts) / sum(w * shifted(there, halo, o) for o, w in parts)]
+
+    return brick_apply(field, [value], halo, kernel, [out])
+
+
+def crossings(field: DataFrame, value: str, level: float) -> DataFrame:
+    """Cells at or above a level with a face neighbour below it, and how many: where an isosurface passes."""
+    halo = (1, 1, 1)
+    faces = [_along(axis, step) for axis in range(3) for step in (-1, 1)]
+
+    def kernel(p):
+        below = sum((shifted(p[0], halo, o) < level).astype(float) for o in faces)
+        return [np.where(shifted(p[0], halo, (0, 0, 0)) >= level, below, 0.0)]
+
+    return brick_apply(field, [value], halo, kernel, ["faces"]).where("faces > 0").withColumn("faces", F.col("faces").cast("int"))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog import register
 from gridloom.operators import cellwise as cw
-from gridloom.operators import combine, reductions, region
+from gridloom.operators import combine, coordinates, reductions, region
 from gridloom.operators.graph import bounding_box
+from gridloom.session import new_folder
 
 from . import fixtures as fx
 
@@ -209,3 +210,57 @@ def error_norms(spark, d):
 @register("a24_uncertain_field", f"WITH {fx.ENSEMBLE_SQL} SELECT time, field, count(DISTINCT member) AS members, round(avg(CAST(value > 150000 AS INT)), 6) AS probability, avg(CAST(value > 150000 AS INT)) >= 0.45 AS likely FROM ensemble GROUP BY time, field")
 def uncertain_field(spark, d):
     return reductions.exceedance(fx.ensemble(spark, d), ["time", "field"], "member", "value", 150000.0, 0.45).withColumn("probability", _r(F.col("probability")))
+
+
+_cells("p50_indicator_inverse", lambda: {"outside": ~(F.col("v") > 100)}, {"outside": "NOT (v > 100)"})
+_cells("p22_point_transform", lambda: {"tx": F.when(F.col("n") > 0, cw.affine(M4, F.col("x"), F.col("y"), F.col("z"))[1])}, {"tx": "x * 1.0::DOUBLE + 1"})
+TURN = ((1.0, -1.0, 0.0, 0.0), (1.0, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.5), (0.0, 0.0, 0.0, 1.0))
+for _name, _corners, _lo, _hi in (
+    ("p23_bounds_transform", 8, ("x - y - 1.0::DOUBLE", "x + y * 1.0::DOUBLE", "z + 0.5::DOUBLE"), ("x - y + 2.0::DOUBLE", "x + y + 3.0::DOUBLE", "z + 3.5::DOUBLE")),
+    ("p23_bounds_two_corners", 2, ("x - y * 1.0::DOUBLE", "x + y * 1.0::DOUBLE", "z + 0.5::DOUBLE"), ("x - y + 1.0::DOUBLE", "x + y + 3.0::DOUBLE", "z + 3.5::DOUBLE")),
+):
+
+    def _bounds(corners=_corners):
+        low, high = coordinates.transform_bounds([F.col(a) for a in "xyz"], [F.col("x") + 2, F.col("y") + 1, F.col("z") + 3], TURN, corners)
+        return {f"lo_{a}": c for a, c in zip("xyz", low, strict=True)} | {f"hi_{a}": c for a, c in zip("xyz", high, strict=True)}
+
+    _cells(_name, _bounds, {f"lo_{a}": e for a, e in zip("xyz", _lo, strict=True)} | {f"hi_{a}": e for a, e in zip("xyz", _hi, strict=True)})
+
+
+@register("p13_spherical_inverse", f"WITH {fx.VEC_SQL} SELECT x, y, z, u0, u1, u2 FROM vec")
+def spherical_inverse(spark, sf_dir):
+    """To spherical coordinates and back."""
+    back = coordinates.from_spherical(*cw.spherical(F.col("u0"), F.col("u1"), F.col("u2")))
+    return fx.vecfield(spark, sf_dir).select("x", "y", "z", *[F.round(c, 6).alias(f"u{i}") for i, c in enumerate(back)])
+
+
+@register("p40_spherical_shell", f"WITH {fx.GRID_SQL} SELECT x, y, z, sqrt(x * x + y * y + z * z) AS radius FROM grid WHERE sqrt(x * x + y * y + z * z) BETWEEN 5 AND 9")
+def spherical_shell(spark, sf_dir):
+    return coordinates.shell(fx.grid(spark, sf_dir), 5.0, 9.0).select("x", "y", "z", "radius")
+
+
+@register("a26_distance_profile", f"WITH {fx.GRID_SQL} SELECT CAST(floor(sqrt(x * x + y * y + z * z) / 1.5::DOUBLE) AS INT) AS ring, count(*) AS n, round(avg(v), 6) AS mean FROM grid GROUP BY 1")
+def distance_profile(spark, sf_dir):
+    return coordinates.radial_profile(fx.grid(spark, sf_dir), "v", 1.5).select("ring", "n", F.round("mean", 6).alias("mean"))
+
+
+@register("p21_star_coordinates", f"WITH {fx.VEC_SQL} SELECT x, y, z, round(u0 - 0.5::DOUBLE * u1 - 0.5::DOUBLE * u2, 6) AS sx, round(sqrt(0.75::DOUBLE) * (u1 - u2), 6) AS sy FROM vec")
+def star_coordinates(spark, sf_dir):
+    sx, sy = coordinates.star_coordinates([F.col("u0"), F.col("u1"), F.col("u2")])
+    return fx.vecfield(spark, sf_dir).select("x", "y", "z", F.round(sx, 6).alias("sx"), F.round(sy, 6).alias("sy"))
+
+
+@register("g15_disk_seeds", "SELECT 8 * r + s AS seed, round((r + 1) * 1.25::DOUBLE * cos(s * pi() / 4) + 3, 6) AS x, round((r + 1) * 1.25::DOUBLE * sin(s * pi() / 4), 6) AS y FROM range(4) a(r), range(8) b(s)")
+def disk_seeds(spark, sf_dir):
+    seeds = coordinates.disk_seeds(spark, 4, 8, 5.0, (3.0, 0.0, 0.0))
+    return seeds.select("seed", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@register("u05_region_collection", f"WITH {fx.GRID_SQL} SELECT x, y, z FROM grid WHERE {BALL_SQL} AND NOT {BLOCK_SQL}")
+def region_collection(spark, sf_dir):
+    """Regions stored as records and built again."""
+    path = f"{new_folder(spark, 'regions')}/all.json"
+    ball, block = ({"kind": "sphere", "center": [8.0, 8.0, 3.0], "radius": 5.0}, {"kind": "cube", "center": [8.0, 8.0, 3.0], "half": [2.0, 2.0, 2.0]})
+    region.save_collection([{"kind": "subtract", "children": [ball, block]}], path)
+    (stored,) = region.load_collection(path)
+    return fx.grid(spark, sf_dir).where(stored.contains(F.col("x"), F.col("y"), F.col("z"))).select("x", "y", "z")

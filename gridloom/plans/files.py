@@ -28,6 +28,39 @@ def _round_trip(fmt: str, name: str):
 
 register("s02_nrrd_round_trip", GRID)(_round_trip("nrrd", "grid.nhdr"))
 register("s06_mhd_round_trip", GRID)(_round_trip("mhd", "grid.mhd"))
+register("s18_k07_k11_image_round_trip", GRID)(_round_trip("pvti", "grid.pvti"))
+
+
+@register("s01_volume_url", f"{GRID} WHERE z = 0")
+def volume_url(spark, d):
+    """A file without an extension, read by the reader that its URL names."""
+    g = fx.grid(spark, d)
+    shape = g.agg(*[(F.max(a) + 1).alias(a) for a in "xyz"]).first()
+    path = f"{new_folder(spark, 'volume')}/grid"
+    volumes.write_volume(g, path, tuple(shape), "f8", "mhd")
+    return volumes.read_url(spark, f"{path}?timeframe=0&preferredReader=MhdVolumeReader").where("z = 0 and v > 0").select("x", "y", "z", "v")
+
+
+@register("s19_multiblock", f"WITH {fx.GRID_SQL}, {fx.GRID2_SQL} SELECT z, sum(v) AS total FROM (SELECT z, v FROM grid UNION ALL SELECT z, v FROM grid2) GROUP BY z")
+def multiblock(spark, d):
+    g = fx.grid(spark, d)
+    shape = tuple(g.agg(*[(F.max(a) + 1).alias(a) for a in "xyz"]).first())
+    folder = new_folder(spark, "blocks")
+    volumes.write_volume(g, f"{folder}/a.pvti", shape, "f8", "pvti", slab=4)
+    volumes.write_volume(fx.grid2(spark, d), f"{folder}/b.pvti", shape, "f8", "pvti")
+    storage.write_bytes(f"{folder}/all.vtm", b'<VTKFile type="vtkMultiBlockDataSet"><vtkMultiBlockDataSet><DataSet index="0" file="a.pvti"/><DataSet index="1" file="b.pvti"/></vtkMultiBlockDataSet></VTKFile>')
+    return volumes.read_volumes(spark, [f"{folder}/all.vtm"], name="v").groupBy("z").agg(F.sum("v").alias("total"))
+
+
+@register("s33_ensemble_folder", f"WITH {fx.GRID_SQL} SELECT 'm' || m AS member, CAST(t AS INT) AS time, 'rho' AS field, sum(v) + (10 * m + t) * count(*) AS total FROM grid, range(2) a(m), range(2) b(t) GROUP BY m, t")
+def ensemble_folder(spark, d):
+    g = fx.grid(spark, d)
+    n = tuple(g.agg(*[(F.max(a) + 1).alias(a) for a in "xyz"]).first())
+    folder = new_folder(spark, "ensemble")
+    for m in range(2):
+        for t in range(2):
+            volumes.write_volume(g.withColumn("v", F.col("v") + (10 * m + t)), f"{folder}/m{m}/rho_{t:03d}.mhd", n, "f8", "mhd")
+    return volumes.read_ensemble(spark, folder).groupBy("member", "time", "field").agg(F.sum("v").alias("total"))
 
 
 @register("s03_slice_range", f"{GRID} WHERE z BETWEEN 2 AND 3")
@@ -127,3 +160,30 @@ def continuous_save(spark, d):
 @register("t11_lookback_text", "SELECT n_nationkey, 't = ' || printf('%.1f', n_nationkey * 0.5) AS label FROM nation")
 def lookback_text(spark, d):
     return fx.table(spark, d, "nation").select("n_nationkey", live.lookback_text("n_nationkey").alias("label"))
+
+
+@register("s40_box_muller", "SELECT p_partkey, round(sqrt(-2 * ln((p_partkey % 997 + 1) / 998.0::DOUBLE)) * cos(6.283185307179586::DOUBLE * (p_size % 50) / 50), 6) AS normal FROM part")
+def box_muller(spark, d):
+    normal = synthetic.box_muller((F.col("p_partkey") % 997 + 1) / 998.0, F.col("p_size") % 50 / 50.0)
+    return fx.table(spark, d, "part").select("p_partkey", F.round(normal, 6).alias("normal"))
+
+
+@register("t07_pipe_lines", "SELECT event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events GROUP BY event_type")
+def pipe_lines(spark, d):
+    """Comma-separated lines that arrive as text, parsed as they come and saved batch by batch."""
+    folder = new_folder(spark, "pipe")
+    fx.events(spark, d).select(F.concat_ws(",", "event_id", "event_type", "value").alias("value")).write.text(f"{folder}/in")
+    lines = live.parse_lines(live.watch(spark, f"{folder}/in", "value string", "text"), "event_id long, event_type string, value double")
+    live.continuous_save(lines, f"{folder}/out", f"{folder}/check", once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+
+
+@register("t01_event_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def event_windows(spark, d):
+    """Windows that the watermark has closed, appended once each."""
+    folder = new_folder(spark, "windows")
+    fx.events(spark, d).coalesce(1).write.parquet(f"{folder}/in")
+    stream = live.watch(spark, f"{folder}/in", "event_id long, user_id long, event_type string, ts timestamp_ntz, value double", "parquet")
+    windows = live.running_windows(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", "event_type", "1 day")
+    live.continuous_save(windows, f"{folder}/out", f"{folder}/check", once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("start", "event_type", "n", "low", "high")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog import register
-from gridloom.operators import graph
+from gridloom.operators import graph, trajectories
 from gridloom.operators.components import connected_components
 
 from . import fixtures as fx
@@ -195,3 +195,40 @@ def medial_surface(spark, d):
 
     distance = distance_transform(fx.grid(spark, d), F.col("v") < 96)
     return regional_maxima(distance.where("distance > 0"), "distance").where("is_max = 1").select("x", "y", "z")
+
+
+@register("g14_t10_multilabel_walker")
+def multilabel_walker(spark, d):
+    """One walk per label against the others; a cell takes the label that is most probable."""
+    g = fx.grid(spark, d)
+    seeds = g.where("v > 140 or v < 70 or n = 36").select("x", "y", "z", F.when(F.col("v") > 140, 2).when(F.col("v") < 70, 1).otherwise(3).alias("label"))
+    return graph.multilabel_walker(g, "v", seeds, (1, 2, 3), rounds=2)
+
+
+@register("g19_corelines", f"{CELLS}, big AS (SELECT label FROM lab GROUP BY label HAVING count(*) >= 4) SELECT x, y, z, label AS line FROM m JOIN lab USING (id) WHERE label IN (SELECT label FROM big)")
+def corelines(spark, d):
+    return trajectories.corelines(fx.grid(spark, d).where("v > 125"), least=4, diagonal=False)
+
+
+@register("g26_step_durations", "SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id AS lasts FROM events")
+def step_durations(spark, d):
+    return trajectories.step_durations(fx.events(spark, d), "user_id", "event_id").select("user_id", "event_id", "lasts")
+
+
+@register("g26_migration_score", "WITH s AS (SELECT user_id, event_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events) SELECT user_id, round(abs(arg_max(value, event_id) - arg_min(value, event_id)) / sum(abs(step)), 6) AS directness FROM s GROUP BY user_id")
+def migration_score(spark, d):
+    return trajectories.migration_scores(fx.events(spark, d), "user_id", "event_id", ["value"]).select("user_id", F.round("directness", 6).alias("directness"))
+
+
+@register("g26_track_points", "SELECT vec_id, CAST(i - 1 AS INT) AS i, embedding[i] AS value FROM embeddings, range(1, 65) r(i)")
+def track_points(spark, d):
+    lines = fx.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda e: F.struct(e.alias("value"))).alias("points"))
+    return trajectories.track_points(lines, "vec_id")
+
+
+@register("g27_time_series_extraction", f"WITH {fx.GRID_SQL} SELECT p_partkey, z AS time, v FROM grid JOIN part ON CAST(round_even((p_partkey % 31) * 0.5::DOUBLE, 0) AS INT) = x AND p_size % 16 = y")
+def time_series(spark, d):
+    """The grid's slices taken as time steps, sampled at points between cells."""
+    field = fx.grid(spark, d).select("x", "y", F.lit(0).alias("z"), F.col("z").alias("time"), "v")
+    points = fx.table(spark, d, "part").select("p_partkey", ((F.col("p_partkey") % 31) * 0.5).alias("x"), (F.col("p_size") % 16).alias("y"), F.lit(0.0).alias("z"))
+    return trajectories.sample_series(field, points, "p_partkey", "time", "v")

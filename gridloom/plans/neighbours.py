@@ -128,3 +128,8 @@ def gradient_vector_flow(spark, d):
 def advection_diffusion(spark, d):
     f = fx.grid(spark, d).withColumns({"a": F.lit(0.5), "b": F.lit(-0.25), "c": F.lit(0.0)})
     return stencil.advect_diffuse(f, "v", ["a", "b", "c"])
+
+KERNEL = np.array([[[0.5], [1.0], [0.5]], [[1.0], [4.0], [1.0]], [[0.5], [1.0], [0.5]]])
+KERNEL_SQL = "CASE WHEN dx = 0 AND dy = 0 THEN 4.0::DOUBLE WHEN dx = 0 OR dy = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END"
+_field("n18_kernel_mean", f"SELECT x, y, z, round(sum(v * {KERNEL_SQL}) / sum({KERNEL_SQL}), 6) AS smooth FROM near WHERE dz = 0 GROUP BY x, y, z")(lambda g: _round(stencil.kernel_mean(g, "v", KERNEL), "smooth"))
+_field("n31_isosurface_cells", "SELECT x, y, z, CAST(count(*) AS INT) AS faces FROM near WHERE abs(dx) + abs(dy) + abs(dz) = 1 AND c >= 110 AND v < 110 GROUP BY x, y, z")(lambda g: stencil.crossings(g, "v", 110.0))

@@ -23,6 +23,7 @@ class Volume:
     origin: tuple[float, float, float] = (0.0, 0.0, 0.0)
     scale: float = 1.0
     shift: float = 0.0
+    start: tuple[int, int, int] = (0, 0, 0)
     meta: dict[str, str] = field(default_factory=dict)
 
     @property
@@ -35,6 +36,8 @@ NRRD_TYPES = {"uchar": "u1", "unsigned char": "u1", "uint8": "u1", "signed char"
 MET_TYPES = {"MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_SHORT": "i2", "MET_USHORT": "u2", "MET_INT": "i4", "MET_UINT": "u4", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}
 VVD_TYPES = {"uint8": "u1", "int8": "i1", "uint16": "u2", "int16": "i2", "uint32": "u4", "int32": "i4", "float": "f4", "double": "f8"}
 DAT_TYPES = {"UCHAR": "u1", "USHORT": "u2", "FLOAT": "f4", "UINT8": "u1", "UINT16": "u2"}
+VTK_TYPES = {"Int8": "i1", "UInt8": "u1", "Int16": "i2", "UInt16": "u2", "Int32": "i4", "UInt32": "u4", "Float32": "f4", "Float64": "f8"}
+BRUKER_TYPES = {"_8BIT_UNSGN_INT": "u1", "_16BIT_SGN_INT": "i2", "_32BIT_SGN_INT": "i4", "_32BIT_FLOAT": "f4"}
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 
 
@@ -129,7 +132,50 @@ def synth2d(path: str, data: bytes) -> Volume:
     return Volume((size, size, size), {1: "<u1", 2: "<u2", 4: "<f4"}[width], [path], 280, channels)
 
 
-READERS = {"nrrd": nrrd, "nhdr": nrrd, "mhd": mhd, "vvd": vvd, "dat": dat, "nii": nifti, "hdr": nifti, "vol": synth2d}
+def vti(path: str, data: bytes, name: str | None = None) -> Volume:
+    """Image data with raw appended payload: the named array, or the first one; cells keep their place in the whole extent."""
+    head, marker, _ = data.partition(b"<AppendedData")
+    if not marker:
+        raise ValueError(f"{path}: only appended data is read")
+    root = ET.fromstring(head + b"</VTKFile>")
+    payload = data.index(b"_", data.index(b">", len(head))) + 1
+    if root.get("compressor"):
+        raise ValueError(f"{path}: compressed data is not read")
+    if b'encoding="raw"' not in data[len(head) : payload]:
+        raise ValueError(f"{path}: only raw encoding is read")
+    image, piece = root.find("ImageData"), root.find(".//Piece")
+    for kind, points in (("CellData", 0), ("PointData", 1)):
+        for array in piece.findall(f"{kind}/DataArray"):
+            if name in (None, array.get("Name")):
+                extent = list(map(int, piece.get("Extent").split()))
+                shape = tuple(high - low + points for low, high in zip(extent[::2], extent[1::2], strict=True))
+                order = ">" if root.get("byte_order") == "BigEndian" else "<"
+                length = 8 if root.get("header_type") == "UInt64" else 4
+                axes = lambda key, default: tuple(map(float, image.get(key, default).split()))
+                return Volume(shape, order + VTK_TYPES[array.get("type")], [path], payload + int(array.get("offset")) + length, int(array.get("NumberOfComponents", 1)), axes("Spacing", "1 1 1"), axes("Origin", "0 0 0"), start=tuple(extent[::2]))
+    raise ValueError(f"{path} has no array {name}")
+
+
+def parts(path: str, data: bytes) -> list[str]:
+    """Files that a partitioned image (pvti) or a multiblock file (vtm) consists of, in order."""
+    root = ET.fromstring(data)
+    found = root.iter("Piece") if extension(path)[1].lower() == "pvti" else root.iter("DataSet")
+    key = "Source" if extension(path)[1].lower() == "pvti" else "file"
+    return [_beside(path, node.get(key)) for node in found]
+
+
+def bruker(path: str, reco: bytes, size: int) -> Volume:
+    """Reconstructed scanner data: sizes and type from the parameter file beside it, slices from the length."""
+    keys = dict(re.findall(r"##\$(\w+)=(?:\([^)]*\)\s*)?([^\n#]*)", reco.decode("latin-1")))
+    flat = _three(map(int, keys["RECO_size"].split()))
+    order = ">" if keys.get("RECO_byte_order", "").strip() == "bigEndian" else "<"
+    kind = order + BRUKER_TYPES[keys["RECO_wordtype"].strip()]
+    return Volume((flat[0], flat[1], size // (flat[0] * flat[1] * np.dtype(kind).itemsize)), kind, [path], meta=keys)
+
+
+READERS = {"nrrd": nrrd, "nhdr": nrrd, "mhd": mhd, "vvd": vvd, "dat": dat, "nii": nifti, "hdr": nifti, "vol": synth2d, "vti": vti}
+#: Reader names of URLs and the formats they stand for.
+READER_NAMES = {"NrrdVolumeReader": "nrrd", "MhdVolumeReader": "mhd", "VvdVolumeReader": "vvd", "DatVolumeReader": "dat", "AnalyzeVolumeReader": "nii", "Synth2dReader": "vol", "VTIVolumeReader": "vti", "BrukerVolumeReader": "2dseq"}
 
 
 def extension(name: str) -> tuple[str, str]:
@@ -138,8 +184,9 @@ def extension(name: str) -> tuple[str, str]:
     return (stem, ext) if dot else (name, "")
 
 
-def read_header(path: str, data: bytes) -> Volume:
-    ext = extension(path)[1].lower()
+def read_header(path: str, data: bytes, reader: str | None = None, name: str | None = None) -> Volume:
+    """The layout of a file, by its extension or a given reader; ``name`` picks an array where a file has several."""
+    ext = reader or extension(path)[1].lower()
     if ext not in READERS:
         raise ValueError(f"no reader for .{ext}")
-    return READERS[ext](path, data)
+    return vti(path, data, name) if ext == "vti" else READERS[ext](path, data)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import parse_qs
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +13,26 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridloom import storage
 
+from . import headers
 from .headers import Volume, read_header
 
 #: Bytes of a header that are looked at, and bytes of a slab of slices that one task reads.
 HEADER_BYTES, SLAB_BYTES = 1 << 16, 32 << 20
 
 
-def header(path: str) -> Volume:
+def header(path: str, reader: str | None = None, name: str | None = None) -> Volume:
+    if (reader or path.rpartition("/")[2]) == "2dseq":
+        with storage.open_random(path) as source:
+            return headers.bruker(path, storage.read_bytes(path.rpartition("/")[0] + "/reco"), source.size())
     with storage.open_random(path) as source:
-        return read_header(path, bytes(source.read(HEADER_BYTES)))
+        return read_header(path, bytes(source.read(HEADER_BYTES)), reader, name)
+
+
+def files_of(path: str) -> list[str]:
+    """The volume files behind a path: itself, or the parts that a partitioned or multiblock file lists."""
+    if headers.extension(path)[1].lower() not in ("pvti", "vtm"):
+        return [path]
+    return [file for part in headers.parts(path, storage.read_bytes(path)) for file in files_of(part)]
 
 
 class Slab(InputPartition):
@@ -33,18 +45,19 @@ class VolumeReader(DataSourceReader):
 
     def __init__(self, options: dict):
         self.paths = [p for p in options["path"].split(",") if p]
+        self.format, self.name = options.get("reader"), options.get("name")
         self.first = int(options.get("zmin", 0))
         self.last = int(options["zmax"]) + 1 if "zmax" in options else None
         self.mapped = options.get("realworld", "true").lower() == "true"
 
     def partitions(self) -> list[Slab]:
         out = []
-        for path in self.paths:
-            volume = header(path)
+        for path in [file for p in self.paths for file in files_of(p)]:
+            volume = header(path, self.format, self.name)
             step = max(1, SLAB_BYTES // max(1, volume.slice_bytes))
             per_file = -(-volume.shape[2] // len(volume.files))
-            last = min(volume.shape[2], self.last if self.last is not None else volume.shape[2])
-            z = self.first
+            last = min(volume.shape[2], self.last - volume.start[2] if self.last is not None else volume.shape[2])
+            z = max(0, self.first - volume.start[2])
             while z < last:
                 end = min(last, z + step, (z // per_file + 1) * per_file)
                 out.append(Slab(path, volume, z, end))
@@ -68,9 +81,9 @@ class VolumeReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([slab.path] * n, pa.string()),
-                    pa.array((place % nx).astype(np.int32)),
-                    pa.array((place // nx).astype(np.int32)),
-                    pa.array(np.full(n, slab.first + i, np.int32)),
+                    pa.array((v.start[0] + place % nx).astype(np.int32)),
+                    pa.array((v.start[1] + place // nx).astype(np.int32)),
+                    pa.array(np.full(n, v.start[2] + slab.first + i, np.int32)),
                     pa.array((np.arange(n) % v.channels).astype(np.int32)),
                     pa.array(cells),
                 ],
@@ -79,9 +92,10 @@ class VolumeReader(DataSourceReader):
 
 
 class VolumeSource(DataSource):
-    """``spark.read.format("gridloom_volume")``: NRRD, MHD, VVD, DAT, NIfTI/Analyze and Synth2D by extension.
+    """``spark.read.format("gridloom_volume")``: NRRD, MHD, VVD, DAT, NIfTI/Analyze, Synth2D, VTI and Bruker.
 
-    Options: path (several separated by commas), zmin, zmax (slices that need not be read are not), realworld.
+    Options: path (several separated by commas), zmin, zmax (slices that need not be read are not), realworld, reader (a
+    format instead of the extension), name (the array of a file with several).
     """
 
     @classmethod
@@ -107,6 +121,43 @@ def read_volume_list(spark: SparkSession, path: str, **options: str) -> DataFram
     return read_volumes(spark, [n if n.startswith("/") or "://" in n else f"{base}/{n}" for n in names], **options)
 
 
+def read_url(spark: SparkSession, url: str) -> DataFrame:
+    """A volume by URL: ``path?preferredReader=...&channel=...&name=...``.
+
+    The reader named in the query part decides, else the extension; a channel that is absent or -1 stands for all.
+    """
+    path, _, query = url.partition("?")
+    wanted = {k: v[-1] for k, v in parse_qs(query).items()}
+    options = {"name": wanted["name"]} if "name" in wanted else {}
+    if "preferredReader" in wanted:
+        if wanted["preferredReader"] not in headers.READER_NAMES:
+            raise ValueError(f"no reader {wanted['preferredReader']}")
+        options["reader"] = headers.READER_NAMES[wanted["preferredReader"]]
+    cells = read_volumes(spark, [path], **options)
+    channel = int(wanted.get("channel", -1))
+    return cells if channel < 0 else cells.where(F.col("c") == channel)
+
+
+def read_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of a folder tree of volumes, one folder per member and in it one file per time step, in order of names.
+
+    Adds member, time (number of the step in its member) and field (the stem of the file up to its last underscore).
+    """
+    files = sorted(storage.list_files(folder))
+    known = [f for f in files if headers.extension(f)[1].lower() in (*headers.READERS, "pvti")]
+    steps: dict[tuple[str, str], int] = {}
+    rows = []
+    for file in known:
+        member, name = file.rsplit("/", 2)[-2:]
+        field = headers.extension(name)[0].rpartition("_")[0] or headers.extension(name)[0]
+        steps[member, field] = steps.get((member, field), -1) + 1
+        rows += [(part, member, steps[member, field], field) for part in files_of(file)]
+    if not rows:
+        raise ValueError(f"{folder} has no volumes")
+    places = spark.createDataFrame(rows, "volume string, member string, time int, field string")
+    return read_volumes(spark, known).join(places, "volume").drop("volume")
+
+
 def metadata(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per volume from its header alone."""
     rows = [(p, *v.shape, v.dtype[1:], v.channels, *map(float, v.spacing), float(v.scale), float(v.shift)) for p, v in ((p, header(p)) for p in paths)]
@@ -114,7 +165,8 @@ def metadata(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def write_volume(cells: DataFrame, path: str, shape: tuple[int, int, int], dtype: str = "f4", fmt: str = "nrrd", spacing=(1.0, 1.0, 1.0), slab: int = 16, value: str = "v") -> list[str]:
-    """Write a field as slab files of raw cells with one header that lists them (nhdr or mhd); cells that lack are 0.
+    """Write a field as slab files of raw cells with one header that lists them (nhdr or mhd), or as pieces of an image
+    with their own headers (pvti); cells that lack are 0.
 
     Each slab is one group of bounded size. Returns the slab files in order.
     """
@@ -129,8 +181,8 @@ def write_volume(cells: DataFrame, path: str, shape: tuple[int, int, int], dtype
         data = np.zeros((min(slab, nz - first), ny, nx), np.dtype("<" + dtype))
         block = block[block["x"].notna()]
         data[block["z"].to_numpy(int) - first, block["y"].to_numpy(int), block["x"].to_numpy(int)] = block["v"].to_numpy()
-        file = f"{stem}-{int(key[0]):05d}.raw"
-        storage.write_bytes(file, data.tobytes())
+        file = f"{stem}-{int(key[0]):05d}.{'vti' if fmt == 'pvti' else 'raw'}"
+        storage.write_bytes(file, _vti_piece(data, first, shape, value, spacing) if fmt == "pvti" else data.tobytes())
         import pandas as pd
 
         return pd.DataFrame({"slab": [int(key[0])], "file": [file]})
@@ -141,6 +193,10 @@ def write_volume(cells: DataFrame, path: str, shape: tuple[int, int, int], dtype
     if fmt == "mhd":
         kind = {v: k for k, v in (("MET_UCHAR", "u1"), ("MET_SHORT", "i2"), ("MET_USHORT", "u2"), ("MET_INT", "i4"), ("MET_FLOAT", "f4"), ("MET_DOUBLE", "f8"))}[dtype]
         text = f"ObjectType = Image\nNDims = 3\nDimSize = {nx} {ny} {nz}\nElementSpacing = {' '.join(map(str, spacing))}\nElementType = {kind}\nElementDataFile = LIST\n{names}\n"
+    elif fmt == "pvti":
+        kind = next(k for k, v in headers.VTK_TYPES.items() if v == dtype)
+        pieces = "".join(f'<Piece Extent="0 {nx} 0 {ny} {i * slab} {min(nz, (i + 1) * slab)}" Source="{f.rpartition("/")[2]}"/>' for i, f in enumerate(files))
+        text = f'<VTKFile type="PImageData" version="1.0" byte_order="LittleEndian"><PImageData WholeExtent="0 {nx} 0 {ny} 0 {nz}" GhostLevel="0" Origin="0 0 0" Spacing="{" ".join(map(str, spacing))}"><PCellData><PDataArray type="{kind}" Name="{value}"/></PCellData>{pieces}</PImageData></VTKFile>'
     else:
         kind = {"u1": "uchar", "i2": "short", "u2": "ushort", "i4": "int", "f4": "float", "f8": "double"}[dtype]
         text = f"NRRD0004\ntype: {kind}\ndimension: 3\nsizes: {nx} {ny} {nz}\nspacings: {' '.join(map(str, spacing))}\nendian: little\nencoding: raw\ndata file: LIST\n{names}\n"
@@ -148,6 +204,20 @@ def write_volume(cells: DataFrame, path: str, shape: tuple[int, int, int], dtype
     return files
 
 
+def _vti_piece(data: np.ndarray, first: int, shape: tuple[int, int, int], value: str, spacing) -> bytes:
+    """A slab as an image file of its own: header, length of the payload, raw cells."""
+    nx, ny, nz = shape
+    kind = next(k for k, v in headers.VTK_TYPES.items() if v == data.dtype.str[1:])
+    head = (
+        f'<?xml version="1.0"?><VTKFile type="ImageData" version="1.0" byte_order="LittleEndian" header_type="UInt64">'
+        f'<ImageData WholeExtent="0 {nx} 0 {ny} 0 {nz}" Origin="0 0 0" Spacing="{" ".join(map(str, spacing))}">'
+        f'<Piece Extent="0 {nx} 0 {ny} {first} {first + len(data)}"><CellData><DataArray type="{kind}" Name="{value}" format="appended" offset="0"/></CellData></Piece>'
+        f'</ImageData><AppendedData encoding="raw">_'
+    )
+    payload = data.tobytes()
+    return head.encode() + len(payload).to_bytes(8, "little") + payload + b"</AppendedData></VTKFile>"
+
+
 def raw_values(spark: SparkSession, path: str) -> DataFrame:
     """Bytes of raw files as (path, i, value)."""
     files = spark.read.format("binaryFile").load(path)

@@ -55,6 +55,13 @@ def read_bytes(uri: str) -> bytes:
         return source.read()
 
 
+def list_files(uri: str) -> list[str]:
+    """All files below a folder, as paths that the other functions take."""
+    system, path = resolve(uri)
+    root = uri[: -len(path)] if uri.endswith(path) else ""
+    return [root + f.path for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File]
+
+
 def task_number() -> int:
     """The partition number of the running task (0 outside of Spark)."""
     from pyspark import TaskContext

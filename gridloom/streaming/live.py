@@ -28,6 +28,11 @@ def running_windows(stream: DataFrame, time: str, value: str, by: str, width: st
     return windows.agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("low"), F.max(value).alias("high")).select(F.col("window.start").alias("start"), by, "n", "total", "low", "high")
 
 
+def parse_lines(lines: DataFrame, schema: str, sep: str = ",") -> DataFrame:
+    """Separated values in the text column ``value`` as columns; lines that do not fit give nulls."""
+    return lines.select(F.from_csv("value", schema, {"sep": sep}).alias("_r")).select("_r.*")
+
+
 def lookback_text(step: str = "step", unit: float = 0.5) -> Column:
     """A time step as text."""
     return F.format_string("t = %.1f", F.col(step) * unit)

@@ -118,3 +118,44 @@ def test_live(spark, tmp_path):
     query = live.running_windows(stream, "ts", "v", "k").writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [tuple(r)[1:] for r in spark.sql("select * from windows").collect()] == [("k", 2, 4.0, 1.5, 2.5)]
+
+
+def test_image_pieces_and_multiblock(spark, tmp_path):
+    f = synthetic.shell(spark, 9, 3.0)
+    files = volumes.write_volume(f, str(tmp_path / "out.pvti"), (9, 9, 9), "f8", "pvti", slab=4)
+    assert len(files) == 3 and all(x.endswith(".vti") for x in files)
+    for path, wanted in ((str(tmp_path / "out.pvti"), 729), (files[1], 243)):
+        back = volumes.read_volumes(spark, [path], name="v").select("x", "y", "z", F.col("v").alias("w"))
+        assert f.join(back, ["x", "y", "z"]).where("v = w").count() == wanted
+    assert volumes.read_volumes(spark, [str(tmp_path / "out.pvti")], zmin="4", zmax="4").select("z").distinct().collect() == [(4,)]
+    with pytest.raises(ValueError):
+        volumes.header(files[0], name="absent")
+    with pytest.raises(ValueError):
+        headers.vti("a.vti", b'<VTKFile type="ImageData"></VTKFile>')
+
+
+def test_point_data_image(spark, tmp_path, cube):
+    head = '<VTKFile type="ImageData" byte_order="LittleEndian"><ImageData WholeExtent="0 3 0 2 0 4" Spacing="1 1 2" Origin="0 0 0"><Piece Extent="0 3 0 2 0 4"><PointData><DataArray type="UInt16" Name="a" format="appended" offset="0"/><DataArray type="UInt16" Name="b" format="appended" offset="124"/></PointData></Piece></ImageData><AppendedData encoding="raw">\n_'
+    block = struct.pack("<I", 120) + cube.tobytes()
+    (tmp_path / "p.vti").write_bytes(head.encode() + block + struct.pack("<I", 120) + (cube + 1).astype("<u2").tobytes() + b"</AppendedData></VTKFile>")
+    _same(volumes.read_volumes(spark, [str(tmp_path / "p.vti")]), cube)
+    _same(volumes.read_volumes(spark, [str(tmp_path / "p.vti")], name="b"), cube + 1)
+
+
+def test_url_bruker_and_ensemble(spark, tmp_path, cube):
+    scan = tmp_path / "15" / "pdata" / "1"
+    scan.mkdir(parents=True)
+    (scan / "2dseq").write_bytes(cube.astype("<i2").tobytes())
+    (scan / "reco").write_text("##TITLE=x\n##$RECO_byte_order=littleEndian\n##$RECO_size=( 2 )\n4 3\n##$RECO_wordtype=_16BIT_SGN_INT\n##END=\n")
+    _same(volumes.read_url(spark, f"{scan}/2dseq?volumeId=0&preferredReader=BrukerVolumeReader"), cube)
+    with pytest.raises(ValueError):
+        volumes.read_url(spark, f"{scan}/2dseq?preferredReader=OtherReader")
+    for member in ("a", "b"):
+        (tmp_path / "e" / member).mkdir(parents=True)
+        for step in (3, 7):
+            (tmp_path / "e" / member / f"rho_{step}.mhd").write_text("NDims = 3\nDimSize = 4 3 5\nElementType = MET_USHORT\nElementDataFile = ../../a.raw\n")
+    rows = volumes.read_ensemble(spark, str(tmp_path / "e")).groupBy("member", "time", "field").count().collect()
+    assert sorted(map(tuple, rows)) == [(m, t, "rho", 60) for m in "ab" for t in (0, 1)]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError):
+        volumes.read_ensemble(spark, str(tmp_path / "none"))
