@@ -29,9 +29,29 @@ def prune(spark, d):
     return graph.prune(fx.edges(spark, d), rounds=4)
 
 
+@register("g02_remove_deletable_whole", f"WITH {fx.ALL_EDGES_SQL} SELECT src, dst FROM edges WHERE NOT dst LIKE 's1%'")
+def remove_deletable_whole(spark, d):
+    return graph.remove_deletable(fx.all_edges(spark, d), F.col("dst").startswith("s1"))
+
+
+@register("g03_remove_end_edges_whole", f"WITH {fx.ALL_EDGES_SQL}, {DEGREE} SELECT src, dst FROM edges e JOIN deg a ON a.node = src JOIN deg b ON b.node = dst WHERE NOT (a.degree = 1 OR b.degree = 1)")
+def remove_end_edges_whole(spark, d):
+    return graph.remove_end_edges(fx.all_edges(spark, d))
+
+
+@register("g01_prune_whole")
+def prune_whole(spark, d):
+    return graph.prune(fx.all_edges(spark, d))
+
+
+@register("g08_connected_components_whole")
+def components_whole(spark, d):
+    return connected_components(fx.all_edges(spark, d))
+
+
 @register("g04_contract_paths")
 def contract_paths(spark, d):
-    edges = fx.edges(spark, d).withColumn("edge_id", F.xxhash64("src", "dst")).withColumn("length", F.lit(1.0))
+    edges = fx.all_edges(spark, d).withColumn("edge_id", F.xxhash64("src", "dst")).withColumn("length", F.lit(1.0))
     return graph.contract_paths(edges)
 
 
