@@ -178,7 +178,7 @@ def watershed(spark, d):
 def random_walker(spark, d):
     g = fx.grid(spark, d)
     seeds = g.where("v > 140 or v < 80").select("x", "y", "z", (F.col("v") > 100).cast("int").alias("label"))
-    return graph.random_walker(g, "v", seeds, rounds=4)
+    return graph.random_walker(g, "v", seeds)
 
 
 @register("g15_seeds", f"WITH {fx.GRID_SQL} SELECT DISTINCT CAST(round_even(x * 1.5::DOUBLE, 0) AS INT) AS x, y, z FROM grid WHERE round_even(x * 1.5::DOUBLE, 0) <= 15 AND n % 5 <> 0")
@@ -222,7 +222,7 @@ def multilabel_walker(spark, d):
     """One walk per label against the others; a cell takes the label that is most probable."""
     g = fx.grid(spark, d)
     seeds = g.where("v > 140 or v < 70 or n = 36").select("x", "y", "z", F.when(F.col("v") > 140, 2).when(F.col("v") < 70, 1).otherwise(3).alias("label"))
-    return graph.multilabel_walker(g, "v", seeds, (1, 2, 3), rounds=2)
+    return graph.multilabel_walker(g, "v", seeds, (1, 2, 3))
 
 
 @register("g19_corelines", f"{CELLS}, big AS (SELECT label FROM lab GROUP BY label HAVING count(*) >= 4) SELECT x, y, z, label AS line FROM m JOIN lab USING (id) WHERE label IN (SELECT label FROM big)")
