@@ -74,3 +74,17 @@ def exceedance(ensemble: DataFrame, cell: Sequence[str], member: str, value: str
     """Per cell: share of samples above q, and whether at least ``limit`` of them are."""
     share = F.avg((F.col(value) > q).cast("double"))
     return ensemble.groupBy(*cell).agg(F.countDistinct(member).alias("members"), share.alias("probability")).withColumn("likely", F.col("probability") >= limit)
+
+
+def volume_hash(field: DataFrame, cell: Column, fanout: int = 1024) -> DataFrame:
+    """(hash) of all cells, each as the text ``cell``: digests of pieces of rows, then of rows, slices and slabs.
+
+    A group holds at most ``fanout`` digests (for axes of up to fanout^2 cells), so no task collects the volume. The
+    result does not depend on the order or the partitions of the rows.
+    """
+    level = field.select("x", "y", "z", cell.alias("h"))
+    for keys, axis in (("zyx", "x"), ("zy", "x"), ("zy", "y"), ("z", "y"), ("z", "z"), ("", "z")):
+        groups = [(F.floor(F.col(c) / fanout) if c == axis else F.col(c)).alias(f"_{c}") for c in keys]
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct(axis, "h"))), lambda s: s["h"])
+        level = level.groupBy(*groups).agg(F.md5(F.concat_ws(",", ordered)).alias("h")).withColumnsRenamed({f"_{c}": c for c in keys})
+    return level.withColumnRenamed("h", "hash")
