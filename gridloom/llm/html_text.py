@@ -106,12 +106,25 @@ def nodes(html: str) -> list[Node]:
                 if tag in dropped:
                     while dropped.pop() != tag:
                         pass
-            elif tag not in VOID and not attributes.endswith("/"):
-                implied = CLOSES.get(tag)
-                if implied and len(dropped) > 1 and dropped[-1] in implied:
-                    dropped.pop()
-                dropped.append(tag)
-            continue
+                    continue
+                # The end of an element around the dropped one ends that too and is read below; ends of runs of text are not.
+                if tag in INLINE or tag not in names:
+                    continue
+                dropped.clear()
+            elif tag in VOID or attributes.endswith("/"):
+                continue
+            else:
+                implied = CLOSES.get(tag, set() if tag in INLINE or tag in ("body", "html") else {"p"})
+                block = len(dropped)
+                while block and dropped[block - 1] in INLINE:
+                    block -= 1
+                if block and dropped[block - 1] in implied:
+                    del dropped[block - 1 :]
+                elif not block and names and names[-1] in implied:
+                    dropped.clear()
+                if dropped:
+                    dropped.append(tag)
+                    continue
         if not closing and tag not in VOID and _marked(tag, attributes, names):
             flush()
             dropped.append(tag)
