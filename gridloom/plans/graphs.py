@@ -114,7 +114,7 @@ def bayes(spark, d):
 @register("g16_streamlines")
 def streamlines(spark, d):
     seeds = fx.grid(spark, d).where("z = 0 and v > 110").select((F.col("x") * 100 + F.col("y")).alias("line_id"), "x", "y", "z")
-    return graph.integrate(seeds, lambda x, y, z: (-(y - 8.0) / 8, (x - 8.0) / 8, F.lit(0.1)), 0.25, 16)
+    return graph.streamlines(seeds, fx.vecfield(spark, d), ["u0", "u1", "u2"], 0.25, 16)
 
 
 @register("j14_nearest_line", f"WITH {fx.GRID_SQL}, p AS (SELECT x * 10000 + y * 100 + z AS pid, x, y, z FROM grid WHERE v > 125), q AS (SELECT y AS lid, x, y, z FROM grid WHERE n > 42), d AS (SELECT pid, lid, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) AS distance FROM p, q) SELECT CAST(pid AS INT) AS pid, arg_min(lid, (distance, lid)) AS lid, round(min(distance), 6) AS distance FROM d WHERE distance <= 2 GROUP BY pid")
