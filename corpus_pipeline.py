@@ -30,10 +30,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest id; ids are unique after exact dedup."""
-    placed = simhash.near_duplicates(docs)
-    dropped = placed.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """One document of each SimHash component, the one with the smallest id (null is last); rows are told apart by a key
+    of their own, as ids may repeat or be null."""
+    keyed = materialize(docs.withColumn("_row_key", F.monotonically_increasing_id()), "keyed")
+    placed = simhash.near_duplicates(keyed, id_col="_row_key").select(F.col("doc_id").alias("_row_key"), "component_id")
+    named = placed.join(keyed.select("_row_key", "doc_id").hint("merge"), "_row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row_key"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first._row_key").alias("_row_key"))
+    return keyed.join(kept.hint("merge"), "_row_key", "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +62,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: SQL cannot express the stages; tests compare them with brute-force versions.
+#: SQL cannot express the stages; tests compare the removal of copies and near copies with brute force.
 ORACLE_SQL = None
 
 
