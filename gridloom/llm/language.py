@@ -191,7 +191,9 @@ def _expectation(model):
         soft = np.zeros((len(own.languages), len(table.number)))
         for batch in batches:
             rows = [(place[lang], spelled(w), n) for lang, w, n in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
-            # A longer word only costs memory here; its letters occur in others.
+            for lang, word, n in rows:
+                if len(word) > SHORT:
+                    _add_long(soft[lang], word, n, lifted[:, lang], table)
             rows = sorted((r for r in rows if len(r[1]) <= SHORT), key=lambda r: len(r[1]))
             for at in range(0, len(rows), TOGETHER):
                 some = rows[at : at + TOGETHER]
@@ -218,6 +220,30 @@ def _expectation(model):
     return run
 
 
+def _add_long(soft: np.ndarray, word: bytes, times: float, lifted: np.ndarray, table: Pieces) -> None:
+    """Add the expected piece counts of one word of any length: forward sums rescaled at each byte, then the share of
+    each piece in the sum at its end, carried back from the word's end."""
+    growth = [1.0] * (len(word) + 1)
+    recent = [1.0]
+    for end in range(1, len(word) + 1):
+        value = 0.0
+        for n in range(1, min(len(recent), PIECE_BYTES) + 1):
+            piece = table.number.get(word[end - n : end])
+            if piece is not None:
+                value += recent[-n] * lifted[piece]
+        growth[end] = value = max(value, 1e-300)
+        recent = [r / value for r in recent[-PIECE_BYTES + 1 :]] + [1.0]
+    visits = [0.0] * len(word) + [float(times)]
+    for end in range(len(word), 0, -1):
+        share = visits[end]
+        for n in range(1, min(end, PIECE_BYTES) + 1):
+            share /= growth[end - n + 1]
+            piece = table.number.get(word[end - n : end])
+            if piece is not None:
+                visits[end - n] += share * lifted[piece]
+                soft[piece] += share * lifted[piece]
+
+
 class Scorer:
     """Scores texts; keeps the log-likelihoods of words that it has met."""
 
