@@ -20,8 +20,8 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC; the model learns from the labels beside the tables."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=docs.columns)
-    return scored.where(F.col("score") < TOXIC).select(docs.columns)
+    rows = docs.select("text", F.struct("*").alias("row"))
+    return toxicity.score(rows, toxicity.fit(docs, labels), keep=["row"]).where(F.col("score") < TOXIC).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +32,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component, the one with the smallest id (null is last); rows are told apart by a key
     of their own, as ids may repeat or be null."""
-    keyed = materialize(docs.withColumn("_row_key", F.monotonically_increasing_id()), "keyed")
+    keyed = materialize(docs.select("doc_id", "text", F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_row_key")), "keyed")
     placed = simhash.near_duplicates(keyed, id_col="_row_key").select(F.col("doc_id").alias("_row_key"), "component_id")
     named = placed.join(keyed.select("_row_key", "doc_id").hint("merge"), "_row_key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row_key"))
     kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first._row_key").alias("_row_key"))
-    return keyed.join(kept.hint("merge"), "_row_key", "left_semi").select(docs.columns)
+    return keyed.join(kept.hint("merge"), "_row_key", "left_semi").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, keep=docs.columns)
-    decoded = byte_bpe.decode(encoded, path)
+    coded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "text"], with_decoded=True)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return decoded.select("doc_id", "lang", "source", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), same.alias("round_trip"))
+    return coded.select("doc_id", "lang", "source", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), same.alias("round_trip"))
 
 
 STAGES = [

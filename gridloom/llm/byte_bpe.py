@@ -10,7 +10,10 @@ and a bucket is served for all of them at once. Repeated pre-tokens come from a
 from __future__ import annotations
 
 import base64
+from array import array
+from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import islice
 from struct import pack
 
 import numpy as np
@@ -21,8 +24,9 @@ from pyspark.sql import types as T
 
 from .batches import map_texts, strings
 
-#: Pre-tokens in a worker's cache; bytes of the longest one that shares a queue with others, and how many share one.
-CACHE_ENTRIES, SHORT, TOGETHER = 300_000, 64, 50_000
+#: Bytes of a task's cache (about), and what an entry takes beside its text and ids; bytes of the longest pre-token that
+#: shares a queue with others, how many share one, and how many of a long text are split off at a time.
+CACHE_BYTES, ENTRY_BYTES, SHORT, TOGETHER, SPLIT_TOKENS = 32 << 20, 220, 64, 50_000, 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -100,26 +104,55 @@ class Numbers(dict):
         return number
 
 
-class ByteBpe:
-    """Encoder of one rank file."""
+class Tables:
+    """What a rank file and a split pattern fix: shared by all tasks of a Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0))
+        self.split = regex.compile(pattern)
         self.pair_ranks = PairRanks(ranks)
         self.barrier = self.pair_ranks.base - 1
         self.of_byte = np.array([ranks.get(bytes([b]), self.barrier) for b in range(256)], np.int32)
+        self.bytes_of = {rank: token for token, rank in ranks.items()}
+
+    def decode(self, packed: bytes) -> bytes:
+        """The bytes of packed ids."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+
+class ByteBpe:
+    """Encoder of one rank file, with a cache of pre-tokens that is bounded by its bytes."""
+
+    def __init__(self, tables: Tables):
+        self.ranks, self.split, self.pair_ranks, self.barrier, self.of_byte = tables.ranks, tables.split, tables.pair_ranks, tables.barrier, tables.of_byte
+        self.queue = RankQueue(max(self.ranks.values(), default=0))
         self.numbers = Numbers()
         self.packed: list[bytes] = []
+        self.cached = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
-        if len(self.packed) >= CACHE_ENTRIES:
-            self.numbers.clear()
-            self.packed.clear()
-        number = self.numbers.__getitem__
-        split = [np.fromiter(map(number, tokens), np.int32, len(tokens)) for tokens in map(self.split, texts)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, np.ndarray]] = []
+        for at, text in enumerate(texts):
+            for tokens in self._pre_tokens(text):
+                waiting.append((at, np.fromiter(map(self.numbers.__getitem__, tokens), np.int32, len(tokens))))
+                if len(self.numbers.fresh) >= TOGETHER:
+                    self._settle(waiting, out)
+        self._settle(waiting, out)
+        return [b"".join(parts) for parts in out]
+
+    def _pre_tokens(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, a long one's some at a time."""
+        if len(text) <= SPLIT_TOKENS:
+            yield self.split.findall(text)
+            return
+        found = (match[0] for match in self.split.finditer(text))
+        while tokens := list(islice(found, SPLIT_TOKENS)):
+            yield tokens
+
+    def _settle(self, waiting: list[tuple[int, np.ndarray]], out: list[list[bytes]]) -> None:
+        """Encode the pre-tokens that are new, and add what waits to the texts it comes from."""
         fresh, self.numbers.fresh = self.numbers.fresh, []
         new: list[bytes] = [b""] * len(fresh)
         short: list[tuple[int, bytes]] = []
@@ -129,20 +162,25 @@ class ByteBpe:
             if whole is not None:
                 new[at] = pack("<I", whole)
             elif len(piece) > SHORT:
-                ids = self.merge(piece)
-                new[at] = pack(f"<{len(ids)}I", *ids)
+                new[at] = array("I", self.merge(piece)).tobytes()
             else:
                 short.append((at, piece))
-            if len(short) == TOGETHER:
-                self._fill(new, short)
         self._fill(new, short)
         self.packed += new
-        return [b"".join(map(self.packed.__getitem__, own.tolist())) for own in split]
+        for at, own in waiting:
+            out[at].append(b"".join(map(self.packed.__getitem__, own.tolist())))
+        waiting.clear()
+        self.cached += sum(map(len, fresh)) + sum(map(len, new)) + ENTRY_BYTES * len(fresh)
+        if self.cached > CACHE_BYTES:
+            self.numbers.clear()
+            self.packed.clear()
+            self.cached = 0
 
     def _fill(self, new: list[bytes], short: list[tuple[int, bytes]]) -> None:
-        for (at, _), packed in zip(short, self.merge_many([piece for _, piece in short]), strict=True):
-            new[at] = packed
-        short.clear()
+        for first in range(0, len(short), TOGETHER):
+            some = short[first : first + TOGETHER]
+            for (at, _), packed in zip(some, self.merge_many([piece for _, piece in some]), strict=True):
+                new[at] = packed
 
     def merge_many(self, pieces: list[bytes]) -> list[bytes]:
         """Merge short pre-tokens together: of each, the leftmost pair of the lowest rank is merged at a time."""
@@ -244,41 +282,47 @@ class ByteBpe:
             i = after[i]
         return ids
 
-_ENCODERS: dict[tuple[str, str], ByteBpe] = {}
 
+_TABLES: dict[tuple[str, str], Tables] = {}
 
-def coder(path: str, pattern: str) -> ByteBpe:
-    """One encoder per Python worker, so that its cache lasts from task to task."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = ByteBpe(load_ranks(path), pattern)
-    return _ENCODERS[path, pattern]
 
+def tables(path: str, pattern: str = "") -> Tables:
+    """The tables of a rank file, read once per Python worker; caches belong to tasks."""
+    if (path, pattern) not in _TABLES:
+        _TABLES[path, pattern] = Tables(load_ranks(path), pattern)
+    return _TABLES[path, pattern]
 
-def decoder(path: str):
-    """A function from packed ids to bytes."""
-    bytes_of = {rank: token for token, rank in load_ranks(path).items()}
-    return lambda packed: b"".join(map(bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, with_decoded: bool = False) -> DataFrame:
+    """Add ``ids`` (binary: unsigned 32-bit little-endian ids of the whole text) to the columns ``keep``, and with
+    ``with_decoded`` also ``decoded`` (binary: the bytes that the ids decode to).
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``ids`` (binary: unsigned 32-bit little-endian ids of the whole text) to the columns ``keep``.
-
-    Null texts count as empty and give no ids; special-token strings are ordinary text. Rows are independent, so
-    repeated rows and empty tables need no care; a column of ``docs`` that is called ``ids`` must not be in ``keep``.
+    Null texts count as empty and give no ids; special-token strings are ordinary text. Very long texts are split and
+    merged some pre-tokens at a time, whole, and a pre-token of any length is merged by the queue. Rows are independent,
+    so repeated rows, ties and empty tables need no care; ``ids`` and ``decoded`` take the place of kept columns of those
+    names.
     """
 
     def make():
-        bpe = coder(path, pattern)
-        return lambda batch: {"ids": pa.array(bpe.encode(strings(batch.column(0))), pa.binary())}
+        own = tables(path, pattern)
+        bpe = ByteBpe(own)
+
+        def run(batch: pa.RecordBatch) -> dict[str, object]:
+            ids = bpe.encode(strings(batch.column(0)))
+            out = {"ids": pa.array(ids, pa.binary())}
+            return out | {"decoded": pa.array(map(own.decode, ids), pa.binary())} if with_decoded else out
+
+        return run
 
-    return map_texts(docs, {"text": text_col}, make, T.StructType([T.StructField("ids", T.BinaryType())]), docs.columns if keep is None else keep)
+    added = [T.StructField("ids", T.BinaryType())] + ([T.StructField("decoded", T.BinaryType())] if with_decoded else [])
+    return map_texts(docs, {"text": text_col}, make, T.StructType(added), docs.columns if keep is None else keep)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Add ``decoded`` (binary: the bytes of the ids) to the columns ``keep``; null ids count as none."""
 
     def make():
-        bytes_of = decoder(path)
-        return lambda batch: {"decoded": pa.array([bytes_of(x or b"") for x in batch.column(0).to_pylist()], pa.binary())}
+        own = tables(path)
+        return lambda batch: {"decoded": pa.array([own.decode(x or b"") for x in batch.column(0).to_pylist()], pa.binary())}
 
     return map_texts(encoded, {"ids": ids_col}, make, T.StructType([T.StructField("decoded", T.BinaryType())]), encoded.columns if keep is None else keep)

@@ -44,9 +44,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern, keep=["doc_id"])
-    decoded = byte_bpe.decode(encoded, path)
-    return decoded.select(
+    coded = byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern, keep=["doc_id"], with_decoded=True)
+    return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
