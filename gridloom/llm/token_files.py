@@ -8,6 +8,7 @@ through the driver.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -22,10 +23,12 @@ from pyspark.sql.window import Window
 from gridloom import storage
 from gridloom.session import materialize, new_folder
 
-from .batches import BATCH_BYTES, strings
+from .batches import BATCH_BYTES, release, strings
 
-#: Chunks, and parts of chunks, in a worker's caches.
-CACHE_CHUNKS, CACHE_PARTS = 400_000, 600_000
+#: Bytes of each of a task's two caches (about), and what an entry takes beside its text and ids.
+CACHE_BYTES, ENTRY_BYTES = 32 << 20, 220
+#: Most tasks that read files.
+READ_TASKS = 20_000
 #: Bytes of ids that a task holds before they go to the file.
 BUFFER_BYTES = 8 << 20
 
@@ -55,22 +58,20 @@ class ChunkEncoder:
 
     The byte-level pre-tokenizer never joins a space to the non-space before it, so a text whose white-space characters
     all stand alone may be cut before each space, and a plain chunk further into letters, marks and line feeds; the
-    tokenizer sees each distinct part once. Other texts and chunks go to it whole.
+    tokenizer sees each distinct part once. Other chunks go to it whole, as do texts that hold the string of a token
+    which the file adds to the vocabulary: such strings become their own ids, as with the library's defaults.
     """
 
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        added = sorted(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = "<u2" if self.kind == "H" else "<u4"
         self.numbers = Numbers()
         self.packed: list[bytes] = []
         self.parts: dict[str, bytes] = {}
+        self.cached = self.cached_parts = 0
         # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(odd)}
@@ -80,8 +81,9 @@ class ChunkEncoder:
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """The ids of chunks."""
-        if len(self.parts) >= CACHE_PARTS:
+        if self.cached_parts > CACHE_BYTES:
             self.parts.clear()
+            self.cached_parts = 0
         parts, tokenize = self.parts, self.tokenizer.model.tokenize
         out: list[bytes] = []
         whole: list[int] = []
@@ -99,6 +101,7 @@ class ChunkEncoder:
                         # A part is one pre-token, so the model's merges alone give its ids.
                         spelled = part.encode("utf-8").decode("latin-1").translate(self.alphabet)
                         found = parts[part] = array(self.kind, [t.id for t in tokenize(spelled)]).tobytes()
+                        self.cached_parts += len(part) + len(found) + ENTRY_BYTES
                     ids.append(found)
             out.append(b"".join(ids))
         for at, ids in zip(whole, self._pack([" " + chunks[at] for at in whole]), strict=True):
@@ -106,14 +109,15 @@ class ChunkEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.packed) >= CACHE_CHUNKS:
+        if self.cached > CACHE_BYTES:
             self.numbers.clear()
             self.packed.clear()
+            self.cached = 0
         number = self.numbers.__getitem__
         split: list[np.ndarray | None] = []
         heads: list[str] = []
         for text in texts:
-            if _TWO_SPACES(text):
+            if _TWO_SPACES(text) or self.added(text):
                 split.append(None)
                 heads.append(text)
             else:
@@ -121,19 +125,24 @@ class ChunkEncoder:
                 split.append(np.fromiter(map(number, rest), np.int32, len(rest)))
                 heads.append(head)
         fresh, self.numbers.fresh = self.numbers.fresh, []
-        self.packed += self._chunks(fresh)
+        new = self._chunks(fresh)
+        self.packed += new
+        self.cached += sum(map(len, fresh)) + sum(map(len, new)) + ENTRY_BYTES * len(fresh)
         look = self.packed.__getitem__
         return [head if own is None else head + b"".join(map(look, own.tolist())) for head, own in zip(self._pack(heads), split, strict=True)]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_TOKENIZERS: dict[str, object] = {}
 
 
-def _encoder(path: str) -> ChunkEncoder:
-    """One encoder per Python worker, so that its cache lasts from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str) -> ChunkEncoder:
+    """A new encoder; the tokenizers file is read once per Python worker."""
+    if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+    return ChunkEncoder(_TOKENIZERS[path])
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,20 +151,26 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col:
     Per file: file (URI without extension), part, docs, tokens, base (ids in all files before). ``.bin`` holds the ids,
     ``end_id`` after each document; ``.idx`` holds an int64 header (documents, bytes per id), then docs + 1 offsets and
     docs document ids, all int64. Null texts count as empty (the end id alone); null ids sort first and read back as
-    null; rows that repeat an id stand next to each other; an empty table gives an empty manifest. Other columns are
-    ignored. The files lie in the folder that all executors share.
+    null; rows that repeat an id stand next to each other, in files of bounded size however often it occurs; an empty
+    table gives an empty manifest. Very long texts are encoded whole. Other columns are ignored. The files lie in the
+    folder that all executors share.
+
+    Texts are encoded as the tokenizers library does by default: the string of a token that the file adds to its
+    vocabulary, such as that of an end of text, becomes that token's id.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "token-files")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that repeat an id are told apart by a hash of their text, and equal rows by their place in the input.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"), F.monotonically_increasing_id().alias("place"))
+    order = ("doc_id", "tie", "place")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        own = encoder(tokenizer)
         part = storage.task_number()
         file = f"{folder}/tokens-{part:06d}"
-        end = np.array([end_id], encoder.dtype).tobytes()
+        end = np.array([end_id], own.dtype).tobytes()
         width = len(end)
         ids: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
@@ -163,7 +178,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col:
         size = 0
         with storage.atomic_output(f"{file}.bin") as sink:
             for batch in batches:
-                packed = encoder.encode(strings(batch.column(1)))
+                packed = own.encode(strings(batch.column(1)))
                 ids.append(np.array([_NULL_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64))
                 lengths.append(np.fromiter((len(p) // width + 1 for p in packed), np.int64, len(packed)))
                 for p in packed:
@@ -177,6 +192,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col:
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]) if lengths else np.zeros(1, np.int64)
         storage.write_bytes(f"{file}.idx", np.concatenate([[len(all_ids), width], offsets, all_ids]).astype("<i8").tobytes())
         if len(all_ids):
+            del own
+            release()
             yield pa.RecordBatch.from_pylist([{"file": file, "part": part, "docs": len(all_ids), "tokens": int(offsets[-1])}], pa.schema([("file", pa.string()), ("part", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
     manifest = materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
@@ -195,7 +212,8 @@ TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sta
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), ids (unsigned 32-bit little-endian, end id included).
 
-    Files are memory-mapped where their file system is local; a task holds a few MB of ids at a time.
+    Files are memory-mapped where their file system is local; a task holds a few MB of ids at a time. There is a task for
+    each file, up to READ_TASKS.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +222,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 yield from _read_file(row["file"], row["base"])
 
     files = manifest.select("file", "base")
-    return files.repartition(F.col("file")).mapInArrow(read, TOKENS)
+    return files.repartition(min(READ_TASKS, max(1, files.count()))).mapInArrow(read, TOKENS)
 
 
 def _read_file(file: str, base: int) -> Iterator[pa.RecordBatch]:

@@ -13,11 +13,10 @@ from tokenizers import Tokenizer
 from gridloom.llm import byte_bpe, token_files
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
-BPE = byte_bpe.coder(RANKS, P.PATTERN)
+BPE = byte_bpe.ByteBpe(byte_bpe.tables(RANKS, P.PATTERN))
 TIKTOKEN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=BPE.ranks, special_tokens={})
-ENCODER = token_files.ChunkEncoder(P.path("byte_bpe_50k.json"))
+ENCODER = token_files.encoder(P.path("byte_bpe_50k.json"))
 HF = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-HF.encode_special_tokens = True
 
 
 def ids(packed, kind="<u4"):
@@ -29,7 +28,7 @@ def ids(packed, kind="<u4"):
 def test_encoders_equal_the_libraries(texts):
     assert [ids(p) for p in BPE.encode(texts)] == [TIKTOKEN.encode_ordinary(t) for t in texts]
     assert [ids(p, ENCODER.dtype) for p in ENCODER.encode(texts)] == [e.ids for e in HF.encode_batch(texts, add_special_tokens=False)]
-    decode = byte_bpe.decoder(RANKS)
+    decode = byte_bpe.tables(RANKS, P.PATTERN).decode
     assert [decode(p).decode() for p in BPE.encode(texts)] == texts
 
 
@@ -39,6 +38,27 @@ def test_long_and_tied_pretokens():
         assert BPE.merge(piece.encode()) == ids(BPE.merge_many([piece.encode()])[0])
 
 
+def test_special_token_strings_as_the_library_has_them():
+    texts = ["end <|endoftext|> more", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext|", " <|endoftext|>\n"]
+    assert [ids(p, ENCODER.dtype) for p in ENCODER.encode(texts)] == [e.ids for e in HF.encode_batch(texts, add_special_tokens=False)]
+    assert ids(ENCODER.encode(texts)[0], ENCODER.dtype) == [437, 220, 50256, 517]
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    for module, own in ((byte_bpe, byte_bpe.ByteBpe(byte_bpe.tables(RANKS, P.PATTERN))), (token_files, token_files.encoder(P.path("byte_bpe_50k.json")))):
+        monkeypatch.setattr(module, "CACHE_BYTES", 20_000)
+        for i in range(30):
+            texts = [f"{'long' * 500}{i} and{i} some{i}"]
+            assert [ids(p, "<u4" if module is byte_bpe else own.dtype) for p in own.encode(texts)] == [TIKTOKEN.encode_ordinary(t) for t in texts]
+        assert own.cached <= 30_000 and len(own.packed) < 90
+
+
+def test_long_texts_are_split_in_parts(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "SPLIT_TOKENS", 10)
+    text = "Some words, 12 of them\n\n and more " * 7
+    assert ids(BPE.encode([text, "x"])[0]) == TIKTOKEN.encode_ordinary(text)
+
+
 def test_byte_bpe_frame(docs, no_docs):
     out = byte_bpe.decode(byte_bpe.encode(docs, RANKS, P.PATTERN, keep=["doc_id"]), RANKS)
     got = Counter((r.doc_id, tuple(ids(r.ids)), bytes(r.decoded)) for r in out.collect())
@@ -59,3 +79,15 @@ def test_token_files(spark, docs, no_docs):
     assert Counter((r.doc_id, tuple(ids(r.ids))) for r in got) == want
     empty = token_files.write_token_files(no_docs, P.path("byte_bpe_50k.json"))
     assert empty.count() == 0 and token_files.read_token_files(spark, empty).count() == 0
+
+
+def test_files_are_read_by_a_task_each(spark):
+    docs = spark.range(0, 4000, 1, 16).selectExpr("7L as doc_id", "repeat(cast(id as string), 300) as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = token_files.write_token_files(docs, P.path("byte_bpe_50k.json"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = token_files.read_token_files(spark, manifest)
+    files = manifest.count()
+    assert files > 1  # rows that repeat an id are not one file
+    assert read.rdd.getNumPartitions() == files
+    assert read.count() == 4000
