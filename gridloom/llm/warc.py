@@ -32,8 +32,8 @@ DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL = 64 << 10, 4 << 20, 3
 #: Date of all records: archives of the same pages are then the same files.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes read from an archive at a time, and payload bytes of a batch of records.
-READ_BYTES, OUT_BYTES = 1 << 16, 8 << 20
+#: Bytes read from an archive at a time, payload bytes of a batch of records, and most tasks that read archives.
+READ_BYTES, OUT_BYTES, READ_TASKS = 1 << 16, 8 << 20, 20_000
 
 MANIFEST = T.StructType([T.StructField("file", T.StringType()), T.StructField("records", T.LongType()), T.StructField("bytes", T.LongType())])
 RECORDS = T.StructType(
@@ -54,8 +54,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     The payload is the html in UTF-8 (null: empty). Of payloads of REVISIT_BYTES and more that are equal (same SHA-1 and
     length), rows with the largest id are responses and the others revisit it; null ids are smaller than all others.
-    Rows that repeat an id and payload get records of the same kind. Null urls give records without a target URI; an
-    empty table gives no file; other columns are ignored. Files lie in the folder that all executors share.
+    Rows that repeat an id and payload get records of the same kind. Null urls give records without a target URI; very
+    long payloads are one record each; an empty table gives no file; other columns are ignored. Files lie in the folder that all executors share.
     """
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
@@ -132,7 +132,8 @@ def _record(page_id: int | None, url: str | None, digest: str, payload: bytes |
 def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """One row per record of the files in ``manifest``: RECORDS; the payload of a revisit is null.
 
-    A response's digest and length are computed from its payload and must be those in its headers.
+    A response's digest and length are computed from its payload and must be those in its headers. There is a task for
+    each file, up to READ_TASKS.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +149,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 if held:
                     yield _batch(held)
 
-    return manifest.select("file").repartition("file").mapInArrow(read, RECORDS)
+    files = manifest.select("file")
+    return files.repartition(min(READ_TASKS, max(1, files.count()))).mapInArrow(read, RECORDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
