@@ -1,17 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into text nodes, one per block, each with its path of block tags from the root. Text length and
-punctuation are aggregated per path and fused into one ratio per path; the ratios are smoothed over neighbouring nodes
-of one parent and thresholded by their spread, which selects content paths. The content region is the article or main
-element, else the lowest element, that holds the selected nodes; its other blocks belong to the text unless they are
-links or marked as something else. Elements that are never main text (menus, forms, adverts, ...) are left out unseen.
+punctuation are aggregated per path; both ratios are smoothed over neighbouring nodes of one parent and fused, and paths
+whose mean exceeds a threshold set by the spread are content paths. Their nodes are content. The content region is the
+article or main element that holds most content, else the lowest element around it; its other blocks (headings, short
+lines, cells) belong to the text too, unless they are paths of links or, beyond the content, lie in containers.
+
+Elements that never are main text (menus, forms, adverts, ...) are left out unseen: by their tag, or by a class, id or
+role that consists of marking words only. Where a marking word is only a part of such a name, the ratios decide.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -28,48 +31,77 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img"}
 #: Elements that an opening tag of the same set closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words in a class, id or role that mark something other than main text.
+#: Words in a class, id or role that mark something other than main text, and words that may stand beside them there.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|share|sharing|social|related|recommended|comment|comments|reply|replies|respond|disqus|subscribe|newsletter|signup|login|popup|modal|overlay|pagination|pager|search|toolbar|skip|hidden|complementary|contentinfo)(?=$|[\s_-])"
 ).search
-#: Smoothing weights of a node and its neighbours, threshold in standard deviations, share of link text that drops a block.
-SMOOTH, SPREAD, LINKS = (0.1, 0.2, 0.4, 0.2, 0.1), 0.5, 0.5
+BESIDE = frozenset("page site main global top bottom left right center inner outer primary secondary the list item items box wrap wrapper container content section block area bar slot row col column unit text panel pane button buttons icon icons link links post posts article articles form thread message group body holder bg js module".split())
+#: Smoothing weights of a node and its neighbours, threshold in standard deviations, share of link text that makes a path
+#: one of links, and share of unlinked content text that keeps an element whose name has a marking word as a part.
+SMOOTH, SPREAD, LINKS, SHARE = (0.1, 0.2, 0.4, 0.2, 0.1), 0.5, 0.5, 0.5
+#: Elements that hold text rather than other blocks: beyond the content they belong to it where containers do not.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "pre", "blockquote", "figure", "details", "address"}
 
 #: A comment, a declaration, or a tag with its attributes; where quotes do not pair up a tag ends at the next ">".
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?=>)|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)").search
 _PUNCTUATION = re.compile(r"[.,;:!?…。，？！،؟।]")
 
 
+class Element:
+    """An open block: its parent, its serial number and that of its tag path, the article or main element and the
+    element of doubtful name that it lies in or is."""
+
+    __slots__ = ("doubtful", "named", "parent", "path", "serial", "tag")
+
+    def __init__(self, tag: str, parent: Element | None, serial: int, path: int, doubtful: bool):
+        self.tag, self.parent, self.serial, self.path = tag, parent, serial, path
+        self.named: Element | None = self if tag in ("article", "main") else parent and parent.named
+        self.doubtful: Element | None = self if doubtful else parent and parent.doubtful
+
+
 class Node:
-    """A block of text: the elements around it (serial numbers and names), its text, and its characters in links."""
+    """A block of text: the element it lies in, its text, and its characters in links."""
 
-    __slots__ = ("elements", "linked", "names", "text")
+    __slots__ = ("element", "linked", "text")
 
-    def __init__(self, elements: tuple[int, ...], names: tuple[str, ...], text: str, linked: int):
-        self.elements, self.names, self.text, self.linked = elements, names, text, linked
+    def __init__(self, element: Element, text: str, linked: int):
+        self.element, self.text, self.linked = element, text, linked
 
 
-def _marked(tag: str, attributes: str, names: list[str]) -> bool:
-    """Whether an element holds no main text."""
-    if tag in NEVER or (tag == "header" and not {"article", "main"} & set(names)):
-        return True
+def _marked(tag: str, attributes: str, in_article: bool) -> float:
+    """1 for an element that holds no main text, 0 for one that may, and between where only a part of its name marks it."""
+    if tag in NEVER or (tag == "header" and not in_article):
+        return 1
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden") == "true":
-        return True
-    return any(MARKS(found[k].lower()) for k in ("class", "id", "role") if k in found)
-
-
-def nodes(html: str) -> list[Node]:
-    """The text nodes of a page in page order, without those in elements that hold no main text."""
+    if "hidden" in found or _HIDDEN(_ATTRIBUTE.sub("", attributes)) or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden") == "true":
+        return 1
+    most = 0.0
+    for key in ("class", "id", "role"):
+        for name in found.get(key, "").lower().split():
+            if MARKS(name):
+                parts = [p for p in re.split(r"[_\d-]+", name) if p]
+                most = max(most, 1 if all(p in BESIDE or MARKS(p) for p in parts) else 0.5)
+    return most
+
+
+def nodes(html: str) -> tuple[list[Node], list[Element]]:
+    """The text nodes of a page in page order, without those in elements that hold no main text, and all elements in the
+    order of their start; the first is the page itself."""
     out: list[Node] = []
-    names: list[str] = []
-    serials: list[int] = []
+    top = Element("", None, 0, 0, False)
+    elements = [top]
+    current = top
+    open_tags: Counter = Counter()
+    paths: dict[tuple[int, str], int] = {}
     parts: list[str] = []
-    links = serial = linked = 0
+    links = linked = 0
     dropped: list[str] = []  # open elements from the outermost one that is left out
+    in_dropped: Counter = Counter()
+    blocks = [0]  # after each of them, how many there are up to the last block
     at = 0
 
     def flush() -> None:
@@ -77,7 +109,7 @@ def nodes(html: str) -> list[Node]:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append(Node(tuple(serials), tuple(names), text, linked))
+            out.append(Node(current, text, linked))
         linked = 0
 
     def read(text: str) -> None:
@@ -87,6 +119,21 @@ def nodes(html: str) -> list[Node]:
             if links:
                 linked += len(text.strip())
 
+    def drop(tag: str) -> None:
+        dropped.append(tag)
+        in_dropped[tag] += 1
+        blocks.append(blocks[-1] if tag in INLINE else len(dropped))
+
+    def undrop(size: int) -> None:
+        while len(dropped) > size:
+            in_dropped[dropped.pop()] -= 1
+            blocks.pop()
+
+    def leave() -> None:
+        nonlocal current
+        open_tags[current.tag] -= 1
+        current = current.parent
+
     # Beyond the last ">" there is no tag, which keeps the search from scanning on for one.
     end_of_tags = html.rfind(">") + 1
     while match := _TOKEN.search(html, at, end_of_tags):
@@ -103,31 +150,31 @@ def nodes(html: str) -> list[Node]:
             continue
         if dropped:
             if closing:
-                if tag in dropped:
-                    while dropped.pop() != tag:
-                        pass
+                if in_dropped[tag]:
+                    while dropped[-1] != tag:
+                        undrop(len(dropped) - 1)
+                    undrop(len(dropped) - 1)
                     continue
                 # The end of an element around the dropped one ends that too and is read below; ends of runs of text are not.
-                if tag in INLINE or tag not in names:
+                if tag in INLINE or not open_tags[tag]:
                     continue
-                dropped.clear()
+                undrop(0)
             elif tag in VOID or attributes.endswith("/"):
                 continue
             else:
                 implied = CLOSES.get(tag, set() if tag in INLINE or tag in ("body", "html") else {"p"})
-                block = len(dropped)
-                while block and dropped[block - 1] in INLINE:
-                    block -= 1
+                block = blocks[-1]
                 if block and dropped[block - 1] in implied:
-                    del dropped[block - 1 :]
-                elif not block and names and names[-1] in implied:
-                    dropped.clear()
+                    undrop(block - 1)
+                elif not block and current.tag in implied:
+                    undrop(0)
                 if dropped:
-                    dropped.append(tag)
+                    drop(tag)
                     continue
-        if not closing and tag not in VOID and _marked(tag, attributes, names):
+        mark = _marked(tag, attributes, bool(open_tags["article"] or open_tags["main"])) if not closing and tag not in VOID else 0
+        if mark == 1:
             flush()
-            dropped.append(tag)
+            drop(tag)
             continue
         if tag in ("br", "wbr", "img"):
             if tag == "br":
@@ -141,33 +188,21 @@ def nodes(html: str) -> list[Node]:
         if tag in VOID:
             continue
         if closing:
-            if tag in names:
-                while names.pop() != tag:
-                    serials.pop()
-                serials.pop()
+            if open_tags[tag]:
+                while current.tag != tag:
+                    leave()
+                leave()
                 links = 0
             continue
         implied = CLOSES.get(tag, {"p"} if tag not in ("body", "html") else set())
-        while names and names[-1] in implied:
-            names.pop()
-            serials.pop()
-        serial += 1
-        names.append(tag)
-        serials.append(serial)
+        while current.tag in implied:
+            leave()
+        current = Element(tag, current, len(elements), paths.setdefault((current.path, tag), len(paths) + 1), mark > 0)
+        open_tags[tag] += 1
+        elements.append(current)
     read(html[at:])
     flush()
-    return out
-
-
-def path_ratios(found: list[Node]) -> list[float]:
-    """The fused ratio of each node's path: text length per node times punctuation per node."""
-    lengths: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for node in found:
-        total = lengths[node.names]
-        total[0] += 1
-        total[1] += max(0, len(node.text) - 2 * node.linked)
-        total[2] += len(_PUNCTUATION.findall(node.text))
-    return [(t[1] / t[0]) * (1 + t[2] / t[0]) for t in (lengths[node.names] for node in found)]
+    return out, elements
 
 
 def smoothed(found: list[Node], values: list[float]) -> list[float]:
@@ -178,62 +213,103 @@ def smoothed(found: list[Node], values: list[float]) -> list[float]:
         weight = total = 0.0
         for k, w in enumerate(SMOOTH):
             j = i + k - reach
-            if 0 <= j < len(found) and found[j].elements[:-1] == node.elements[:-1]:
+            if 0 <= j < len(found) and found[j].element.parent is node.element.parent:
                 weight += w
                 total += w * values[j]
         out.append(total / weight)
     return out
 
 
+def content_paths(found: list[Node]) -> set[int]:
+    """The content paths: length and punctuation per node of a path, smoothed along the page, fused, and thresholded."""
+    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    for node in found:
+        total = sums[node.element.path]
+        total[0] += 1
+        total[1] += max(0, len(node.text) - 2 * node.linked)
+        total[2] += len(_PUNCTUATION.findall(node.text))
+    lengths = smoothed(found, [sums[n.element.path][1] / sums[n.element.path][0] for n in found])
+    marks = smoothed(found, [sums[n.element.path][2] / sums[n.element.path][0] for n in found])
+    values = [length * (1 + mark) for length, mark in zip(lengths, marks, strict=True)]
+    mean = sum(values) / len(values)
+    least = SPREAD * math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+    by_path: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for node, value in zip(found, values, strict=True):
+        by_path[node.element.path][0] += 1
+        by_path[node.element.path][1] += value
+    return {path for path, (n, total) in by_path.items() if total > 0 and total / n >= least}
+
+
 def main_text(html: str) -> str:
     """The main text of a page: its blocks, each with single spaces, joined by line feeds; empty if there is none."""
-    found = nodes(html)
+    found, elements = nodes(html)
     if not found:
         return ""
-    values = smoothed(found, path_ratios(found))
-    mean = sum(values) / len(values)
-    spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    content = [i for i, v in enumerate(values) if v >= SPREAD * spread and v > 0] or list(range(len(found)))
-    region = _region([found[i] for i in content])
-    first, last = content[0], content[-1]
+    chosen = content_paths(found)
+    content = [n.element.path in chosen for n in found]
+    if not any(content):
+        content = [True] * len(found)
+    first, last = content.index(True), len(found) - 1 - content[::-1].index(True)
+    region = _region([n for n, c in zip(found, content, strict=True) if c], elements)
+
+    # Of each element: the child of the region that it lies in or is, or the region itself; None outside.
+    below: list[Element | None] = []
+    for e in elements:
+        outer = e.parent and below[e.parent.serial]
+        below.append(e if e is region or outer is region else outer)
+    links: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    doubtful: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for node, good in zip(found, content, strict=True):
+        of_path = links[node.element.path]
+        of_path[0] += len(node.text)
+        of_path[1] += node.linked
+        if node.element.doubtful:
+            share = doubtful[node.element.doubtful.serial]
+            share[0] += len(node.text)
+            share[1] += (len(node.text) - node.linked) * good
     out = []
-    for i, node in enumerate(found):
-        inside = len(node.elements) >= len(region) and node.elements[: len(region)] == region
-        named = bool(region) and node.names[len(region) - 1 : len(region)] in (("article",), ("main",))
-        if inside and (named or first <= i <= last) and not (node.linked > LINKS * len(node.text) and values[i] < SPREAD * spread):
-            out.append(node.text)
+    for i, (node, good) in enumerate(zip(found, content, strict=True)):
+        e = node.element
+        child = below[e.serial]
+        if child is None:
+            continue
+        if e.doubtful and (share := doubtful[e.doubtful.serial])[1] < SHARE * share[0]:
+            continue
+        if not good and region.named is not region:
+            size, linked = links[e.path]
+            if linked > LINKS * size or not (first <= i <= last or child is region or child.tag in PROSE):
+                continue
+        out.append(node.text)
     return "\n".join(out)
 
 
-def _region(chosen: list[Node]) -> tuple[int, ...]:
-    """Elements down to the one that holds the content: the article or main element with most of the text, else the
-    lowest element around all nodes."""
-    size: dict[tuple[int, ...], int] = defaultdict(int)
+def _region(chosen: list[Node], elements: list[Element]) -> Element:
+    """The element that holds the content: the article or main element with most of it, else the lowest one around all."""
+    size: dict[int, int] = defaultdict(int)
     for node in chosen:
-        for depth in range(len(node.names), 0, -1):
-            if node.names[depth - 1] in ("article", "main"):
-                size[node.elements[:depth]] += len(node.text)
-                break
+        if node.element.named:
+            size[node.element.named.serial] += len(node.text)
     if size:
-        best = max(size, key=lambda e: size[e])
+        best = max(size, key=lambda serial: size[serial])
         if 2 * size[best] >= sum(len(n.text) for n in chosen):
-            return best
-    region = chosen[0].elements[:-1]
-    for node in chosen[1:]:
-        same = 0
-        for a, b in zip(region, node.elements, strict=False):
-            if a != b:
-                break
-            same += 1
-        region = region[:same]
-    return region
+            return elements[best]
+    held = [0] * len(elements)
+    for node in chosen:
+        # A block stands for its parent: what lies beside it may belong to the text.
+        held[(node.element.parent or node.element).serial] += 1
+    for e in reversed(elements[1:]):
+        if held[e.serial] == len(chosen):
+            return e
+        held[e.parent.serial] += held[e.serial]
+    return elements[0]
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Add ``main_text`` to the columns ``keep``.
 
     Null pages count as empty and give an empty text, as do pages without main text. Malformed pages are read as far as
-    they go. Rows are independent, so repeated rows and empty tables need no care.
+    they go. Time and memory are linear in a page's length, however deep its elements nest. Rows are independent, so
+    repeated rows, ties and empty tables need no care; ``main_text`` takes the place of a kept column of that name.
     """
 
     def make():
