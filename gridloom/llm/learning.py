@@ -30,7 +30,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, bound: int, id_
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
 
 
-def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, ridge: float = 0.02) -> tuple[float, float]:
     """Slope and intercept of a logistic curve through counts of positives and negatives at ``x``."""
     n = positive + negative
     slope, base = 0.0, math.log((positive.sum() + 1) / (negative.sum() + 1))

@@ -1,17 +1,20 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejections.
 
-A rule rejects documents whose measure lies above a cutoff. Per stratum, rules are taken in order and the cutoffs of a
-rule from the loosest to the strictest; a cutoff is admitted while an exact binomial test on the labelled good documents
-shows, at a level divided by the number of strata and rules, that all rules so far together reject less than RISK of the
-good ones (a fixed sequence, so the cutoffs of one rule share its level). Of the admitted cutoffs the one that rejects
-most bad documents, less a penalty for good ones, is kept; a rule without an admitted cutoff that helps is not used.
+A rule rejects documents whose measure lies above a cutoff. The labelled documents of each stratum are split in two. One
+half chooses a sequence of policies, each a set of cutoffs that contains the one before: step by step the cutoff that
+rejects most bad documents for each good one is tightened. The other half, which had no part in that, tests the sequence
+in order: a policy is admitted while an exact binomial test on the good documents shows, at a level divided by the number
+of strata, that it rejects less than RISK of them. As the first failure ends the sequence, the policies of a stratum share
+its level, and all guarantees hold together with probability 1 - LEVEL. The last policy admitted is used.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +22,7 @@ from pyspark.sql import types as T
 
 from gridloom.session import materialize
 
-from .batches import map_texts, strings
+from .batches import map_texts, named, strings
 from .text import fold
 
 #: Words of a window that counts as repeated, symbols, and the white space between words.
@@ -28,6 +31,8 @@ WINDOW, SYMBOLS, BLANKS = 5, "#*$%&|<>", " \t\n\x0b\x0c\r"
 LEAST_WORDS, REPEAT_PERCENT = 10, 20
 #: Share of a stratum's good documents that may be rejected, level of the guarantee, weight of a good document.
 RISK, LEVEL, PENALTY = 0.02, 0.05, 5.0
+#: Terms of a continued fraction, which converges long before.
+TERMS = 1000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts")
 
@@ -125,66 +130,120 @@ def counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) of a binomial count, exactly."""
+    """P(X <= k) of a binomial count: the regularised incomplete beta function at 1 - p, by its continued fraction."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
-
-
-def admitted(rejected: list[int], good: int, risk: float, level: float) -> int:
-    """How many cutoffs, loosest first, are shown to reject less than ``risk`` of good documents."""
-    for i, k in enumerate(rejected):
+    if k < 0:
+        return 0.0
+    a, b, x = n - k, k + 1, 1 - p
+    front = math.exp(math.lgamma(n + 1) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(p))
+    if x > (a + 1) / (a + b + 2):
+        return max(0.0, 1 - front * _fraction(b, a, p) / b)
+    return min(1.0, front * _fraction(a, b, x) / a)
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, by Lentz's method."""
+    tiny = 1e-300
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    value = d
+    for m in range(1, TERMS):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + term * d) or tiny)
+            c = (1 + term / c) or tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return value
+
+
+def exceeded(value: Column, cutoffs: tuple[float, ...]) -> Column:
+    """How many of a rule's cutoffs a measure exceeds."""
+    return sum(((value > c).cast("int") for c in cutoffs), F.lit(0))
+
+
+def rejected(marks: np.ndarray, policy: tuple[int, ...]) -> np.ndarray:
+    """Whether each row of cutoffs exceeded, a column per rule, is rejected: a policy uses so many cutoffs of each rule,
+    from the loosest on."""
+    sizes = np.array([len(c) for _, c in RULES])
+    return (marks > sizes - np.array(policy)).any(axis=1)
+
+
+def policies(marks: np.ndarray, good: np.ndarray, bad: np.ndarray) -> list[tuple[int, ...]]:
+    """The sequence of policies that counts of good and bad documents choose, from the mildest to the strictest."""
+    found: list[tuple[int, ...]] = []
+    policy = [0] * len(RULES)
+    all_good, all_bad = max(1, good.sum()), max(1, bad.sum())
+    while True:
+        left = ~rejected(marks, tuple(policy))
+        best = None
+        for r, (_, cutoffs) in enumerate(RULES):
+            by = [np.bincount(marks[left, r], weights=n[left], minlength=len(cutoffs) + 1)[::-1].cumsum() for n in (good, bad)]
+            for used in range(policy[r] + 1, len(cutoffs) + 1):
+                # Rows that exceed at least size - used + 1 cutoffs are the first ``used`` of the reversed counts.
+                g, b = by[0][used - 1], by[1][used - 1]
+                if b / all_bad > PENALTY * g / all_good:
+                    rank = (b / (g + 1), -r, -used)
+                    best = max(best, (rank, r, used)) if best else (rank, r, used)
+        if best is None:
+            return found
+        policy[best[1]] = best[2]
+        found.append(tuple(policy))
+
+
+def admitted(rejections: list[int], good: int, risk: float, level: float) -> int:
+    """How many policies, mildest first, are shown to reject less than ``risk`` of good documents."""
+    for i, k in enumerate(rejections):
         if not good or k > good * risk or binomial_tail(k, good, risk) > level:
             return i
-    return len(rejected)
+    return len(rejections)
+
 
+def certified(marks: np.ndarray, good: np.ndarray, bad: np.ndarray, half: np.ndarray, level: float) -> tuple[int, ...] | None:
+    """The last admitted policy: chosen on the rows of half 0, tested on the good documents of half 1."""
+    sequence = policies(marks[half == 0], good[half == 0], bad[half == 0])
+    marks, good = marks[half == 1], good[half == 1]
+    passed = admitted([int(good[rejected(marks, p)].sum()) for p in sequence], int(good.sum()), RISK, level)
+    return sequence[passed - 1] if passed else None
 
-def choose_cutoffs(labelled: DataFrame) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule from (stratum, good, measures); one small aggregate a rule reaches the driver.
 
-    Its size is the number of strata times the cutoffs of a rule.
+def choose_cutoffs(labelled: DataFrame) -> DataFrame:
+    """(stratum, a cutoff per rule or null) from (stratum, good, half, measures).
+
+    Documents are counted first by the cutoffs they exceed, so a stratum is a table of bounded size however many labels
+    it has; strata are chosen apart from one another.
     """
-    chosen: dict[str, dict[str, float]] = {}
-    strata: int | None = None
-    for rule, cutoffs in RULES:
-        before = rejection(chosen, F.col("stratum"), {r: F.col(r) for r, _ in RULES})
-        fails = [(before | (F.col(rule) > c)).cast("int") for c in cutoffs]
-        good, bad = F.col("good"), 1 - F.col("good")
-        sums = [F.sum(good * x).alias(f"g{i}") for i, x in enumerate(fails)] + [F.sum(bad * x).alias(f"b{i}") for i, x in enumerate(fails)]
-        rows = labelled.groupBy("stratum").agg(F.sum(good).alias("good"), F.sum(bad).alias("bad"), F.sum(good * before.cast("int")).alias("g"), F.sum(bad * before.cast("int")).alias("b"), *sums).collect()
-        strata = strata or max(1, len(rows))
-        for row in rows:
-            level = LEVEL / (strata * len(RULES))
-            passed = admitted([row[f"g{i}"] for i in range(len(cutoffs))], row["good"], RISK, level)
-            gain = [(row[f"b{i}"] - row["b"]) / max(1, row["bad"]) - PENALTY * (row[f"g{i}"] - row["g"]) / max(1, row["good"]) for i in range(passed)]
-            if gain and max(gain) > 0:
-                chosen.setdefault(row["stratum"], {})[rule] = cutoffs[gain.index(max(gain))]
-    return chosen
-
-
-def rejection(chosen: dict[str, dict[str, float]], stratum: Column, by_rule: dict[str, Column]) -> Column:
-    """Whether a rule of the document's stratum rejects it."""
-    out = F.lit(False)
-    for name, cutoffs in sorted(chosen.items()):
-        for rule, cutoff in cutoffs.items():
-            out = out | ((stratum == name) & (by_rule[rule] > cutoff))
-    return out
+    names = [r for r, _ in RULES]
+    marks = labelled.select("stratum", "half", "good", *[exceeded(F.col(r), c).alias(r) for r, c in RULES])
+    counted = materialize(marks.groupBy("stratum", "half", *names).agg(F.sum("good").alias("n_good"), F.sum(1 - F.col("good")).alias("n_bad")), "quality-counts")
+    strata = max(1, counted.select("stratum").distinct().count())
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        best = certified(rows[names].to_numpy(np.int64), rows.n_good.to_numpy(np.int64), rows.n_bad.to_numpy(np.int64), rows.half.to_numpy(), LEVEL / strata)
+        cutoffs = [c[used - 1] if used else None for (_, c), used in zip(RULES, best or [0] * len(RULES), strict=True)]
+        return pd.DataFrame([[rows.stratum.iloc[0], *cutoffs]], columns=["stratum", *names])
+
+    schema = "stratum string, " + ", ".join(f"{n} double" for n in names)
+    return materialize(counted.groupBy("stratum").applyInPandas(choose, schema), "quality-cutoffs")
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """Per input row: doc_id, COUNTS, stratum, base_failed, kept.
 
     Null texts count as empty and fail the base rule (too few words); a null stratum is one of its own; strata without
-    enough good labels keep all that pass the base rule. Labels of the held-out fold and null labels are not used. Rows
-    that repeat an id are judged each by its text; an empty table gives an empty result; other columns are ignored.
+    enough good labels keep all that pass the base rule. Labels of the held-out fold and null labels are not used. Whole
+    texts are counted, however long. A measure equal to a cutoff is not rejected; of cutoffs that choose equally well the
+    first rule's loosest is taken. Rows that repeat an id are judged each by its text; an empty table gives an empty
+    result; other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).alias("doc_id"), F.coalesce(named(stratum_col).cast("string"), F.lit("")).alias("stratum"), named(text_col).alias("text"))
     counted = counts(rows, keep=["doc_id", "stratum"])
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     counted = materialize(counted.withColumn("base_failed", base), "text-counts")
     known = labels.where(F.col(label_col).isNotNull() & (fold(F.col(id_col)) != 1)).groupBy(F.col(id_col).alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("good"))
-    holdout = counted.where(~F.col("base_failed")).join(known, "doc_id").select("stratum", "good", *[c.alias(n) for n, c in measures().items()])
-    chosen = choose_cutoffs(materialize(holdout, "holdout"))
-    return counted.withColumn("kept", ~F.col("base_failed") & ~rejection(chosen, F.col("stratum"), measures()))
+    half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")), F.lit(2)).cast("int")
+    holdout = counted.where(~F.col("base_failed")).join(known, "doc_id").select("stratum", "good", half.alias("half"), *[c.alias(n) for n, c in measures().items()])
+    cutoffs = choose_cutoffs(holdout).select(F.col("stratum").alias("of"), *[F.col(r).alias(f"{r}_cutoff") for r, _ in RULES])
+    judged = counted.join(cutoffs, counted["stratum"] == cutoffs["of"], "left")
+    fails = [F.coalesce(measures()[r] > F.col(f"{r}_cutoff"), F.lit(False)) for r, _ in RULES]
+    return judged.select(*counted.columns, (~F.col("base_failed") & ~reduce(Column.__or__, fails)).alias("kept"))

@@ -105,6 +105,88 @@ def test_toxicity(spark, no_docs):
     assert not toxicity.fit(docs, table.where("false")).forms and not toxicity.fit(no_docs, table).forms
 
 
+def test_toxicity_equals_brute_force(spark):
+    """The whole score again by plain loops: counts, credits, scan, lambda and K, statistic and calibration."""
+    rng = random.Random(9)
+    clean = [f"{chr(97 + i // 9) * 2}{chr(97 + i % 9)}" for i in range(80)]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 7 == 0
+        words = rng.choices(clean, k=rng.choice([5, 30, 60]))
+        for k in rng.sample(range(len(words)), 4 if toxic else 0):
+            words[k] = rng.choice(["grumblex", "vilequax", "vilequon"]) + rng.choice(["", "ab", "cde"])
+        if i % 90 == 7:
+            words.append("grumblex")
+        rows.append((i, " ".join(words), "en", "s"))
+        labels.append((i, 1, int(toxic)))
+    docs, table = make_docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    aside = {r.doc_id for r in docs.where(f"pmod(xxhash64(cast(doc_id as string), 'aside'), {toxicity.ASIDE}) = 0").collect()}
+    text = {i: t for i, t, _, _ in rows}
+    label = {i: y for i, _, y in labels if not held_out(i)}
+    train = [i for i in label if i not in aside]
+
+    def forms(word):
+        return [word] + [word[:n] + "*" for n in (6, 5, 4) if len(word) > n]
+
+    n = [sum(label[i] == y for i in train) for y in (0, 1)]
+    seen = [Counter(f for i in train if label[i] == y for f in {f for w in text[i].split() for f in forms(w)}) for y in (0, 1)]
+    odds = {}
+    for f in set(seen[0]) | set(seen[1]):
+        if seen[0][f] + seen[1][f] >= max(toxicity.LEAST_DOCS, toxicity.LEAST_SHARE * sum(n)):
+            a, b = seen[1][f] + 0.5, seen[0][f] + 0.5
+            x = math.log(a / (n[1] + 1)) - math.log(b / (n[0] + 1))
+            odds[f] = math.copysign(max(0.0, abs(x) - toxicity.ERRORS * math.sqrt(1 / a + 1 / b)), x)
+    share = Counter()
+    for i in train:
+        if label[i]:
+            strength = {w: max([odds[f] for f in forms(w) if odds.get(f, 0) > 0], default=0) for w in set(text[i].split())}
+            top = max(strength.values())
+            for f in odds:
+                with_f = [x for w, x in strength.items() if f in forms(w)]
+                if odds[f] > 0 and with_f:
+                    share[f] += math.exp(max(with_f) - top)
+    score = {f: x * min(1, share[f] / seen[1][f]) if x > 0 else x for f, x in odds.items()}
+
+    def scan(i):
+        return [next((score[f] for f in forms(w) if f in score), 0.0) - toxicity.GAP for w in text[i].split()]
+
+    def best_runs(values):
+        if not values:
+            return []
+        sums = [0, *itertools.accumulate(values)]
+        gain, a, b = max(((sums[b] - sums[a], a, b) for a in range(len(values)) for b in range(a + 1, len(values) + 1)), key=lambda x: (x[0], x[1] - x[2]))
+        return [*best_runs(values[:a]), gain, *best_runs(values[b:])] if gain > 1e-12 else []
+
+    kept = [i for i in label if i in aside]
+    tally = Counter(round(x, 1) for i in kept if not label[i] for x in scan(i))
+    tally_max = Counter({max(score.values()): 0.5}) + tally
+    decay = toxicity.karlin_lambda(np.array(list(tally_max)), np.array(list(tally_max.values())))
+    karlin = sum(not label[i] for i in kept) / sum(max(2, len(scan(i))) * math.exp(-decay * max(best_runs(scan(i)), default=0)) for i in kept if not label[i])
+
+    def total(i):
+        normal = [decay * s - math.log(karlin * max(2, len(scan(i)))) for s in best_runs(scan(i))]
+        good = [x for x in normal if x > -math.log(toxicity.SIGNIFICANT)]
+        return sum(good) if good else max(normal, default=-math.inf)
+
+    bins = Counter((math.floor(math.asinh(total(i)) * toxicity.BINS), label[i]) for i in kept if total(i) > -math.inf)
+    at = sorted({b for b, _ in bins})
+    slope, base = learning.logistic((np.array(at) + 0.5) / toxicity.BINS, np.array([float(bins[b, 1]) for b in at]), np.array([float(bins[b, 0]) for b in at]))
+    empty = [label[i] for i in kept if total(i) == -math.inf]
+    without = min(0.5, (sum(empty) + 0.5) / (len(empty) + 1))
+    model = toxicity.fit(docs, table)
+    assert set(score) == set(model.forms), (sorted(set(score) ^ set(model.forms))[:9], len(score), len(model.forms))
+    assert max(abs(score[f] - x) for f, x in model.forms.items()) < 1e-5
+    assert abs(decay - model.decay) < 1e-3, (decay, model.decay)
+    assert abs(karlin / model.karlin - 1) < 1e-2
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, keep=["doc_id"]).collect()}
+    for i in range(900):
+        x = total(i)
+        want = without if x == -math.inf else 1 / (1 + math.exp(-max(-40, min(40, slope * math.asinh(x) + base))))
+        assert abs(got[i] - want) < 1e-3, (i, got[i], want, x, decay, karlin, slope, base, model.decay, model.karlin, model.slope, model.base)
+        if held_out(i):
+            assert (got[i] >= 0.7) == (i % 7 == 0) or i % 90 == 7
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
@@ -133,6 +215,83 @@ def test_binomial_bound():
     assert quality.admitted([0, 0, 1, 30], 1000, 0.02, 0.01) == 3 and quality.admitted([0], 10, 0.02, 0.01) == 0 and quality.admitted([0], 0, 0.02, 0.01) == 0
 
 
+def test_binomial_tail_of_large_counts():
+    n, p = 3_000_000, 0.02
+    assert abs(quality.binomial_tail(60_000, n, p) - 0.5) < 0.01 and quality.binomial_tail(59_000, n, p) < 1e-4
+
+
+def test_false_rejections_exceed_the_risk_no_more_often_than_the_level():
+    """Rules that catch bad documents but reject good ones at rates around the risk, chosen and tested over and over."""
+    rng = np.random.default_rng(3)
+    rules = len(quality.RULES)
+    rates = np.linspace(0.012, 0.03, 5)  # of good documents, by cutoff
+    exceed = used = 0
+    runs = 300
+    for _ in range(runs):
+        # A document can exceed cutoffs of one rule.
+        good = (rng.random(4000) < 0.5).astype(int)
+        rule, strong = rng.integers(0, rules, 4000), rng.random(4000) * np.where(good, 1, 0.05)
+        marks = np.zeros((4000, rules), np.int64)
+        marks[np.arange(4000), rule] = (strong[:, None] < rates).sum(axis=1)
+        best = quality.certified(marks, good, 1 - good, rng.integers(0, 2, 4000), quality.LEVEL)
+        if best:
+            used += 1
+            reach = [len(c) - u + 1 for (_, c), u in zip(quality.RULES, best, strict=True)]  # cutoffs exceeded by what is rejected
+            exceed += sum(rates[5 - j] if j <= 5 else 0 for j in reach) / rules > quality.RISK
+    assert used > runs / 2 and exceed / runs <= quality.LEVEL + 0.02
+
+
+def test_quality_equals_brute_force(spark):
+    """Cutoffs and ``kept`` again by plain loops over the documents."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 3 == 0
+        words = ["w%d" % rng.randrange(5000) + ("#" * rng.choice([0, 1, 2]) if bad or rng.random() < 0.004 else "") for _ in range(25)]
+        rows.append((i, " ".join(words) + (" !!" * rng.choice([0, 5, 9]) if bad else ""), "en", "s"))
+        labels.append((i, 0 if bad else 1, 0))
+    docs, table = make_docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    half = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "cast(pmod(xxhash64(cast(doc_id as string), 'half'), 2) as int) as h").collect()}
+    counts = quality.count_texts([t for _, t, _, _ in rows])
+    c = {k: v.tolist() for k, v in counts.items()}
+    value = [
+        {"symbols": c["n_symbols"][i] / c["n_words"][i], "repeats": c["n_repeat_words"][i] / c["n_words"][i], "dup_lines": c["n_dup_lines"][i] / c["n_lines"][i], "shouts": c["n_shouts"][i] / c["n_words"][i], "upper": c["n_upper"][i] / c["word_chars"][i], "long_words": c["word_chars"][i] / c["n_words"][i]}
+        for i in range(len(rows))
+    ]
+    base = [c["n_words"][i] < 10 or 100 * c["n_repeat_words"][i] > 20 * c["n_words"][i] for i in range(len(rows))]
+    known = [i for i in range(len(rows)) if not held_out(i) and not base[i]]
+
+    def fails(i, cutoffs):
+        return any(value[i][r] > x for r, x in cutoffs.items())
+
+    def tally(ids, cutoffs):
+        out = [i for i in ids if fails(i, cutoffs)]
+        return sum(labels[i][1] for i in out), sum(1 - labels[i][1] for i in out)
+
+    choose, test = [i for i in known if not half[i]], [i for i in known if half[i]]
+    goods, bads = sum(labels[i][1] for i in choose), sum(1 - labels[i][1] for i in choose)
+    cutoffs, best = {}, {}
+    while True:
+        g0, b0 = tally(choose, cutoffs)
+        options = []
+        for r, (rule, steps) in enumerate(quality.RULES):
+            for used, x in enumerate(steps):
+                if x < cutoffs.get(rule, math.inf):
+                    g, b = tally(choose, cutoffs | {rule: x})
+                    if (b - b0) / bads > quality.PENALTY * (g - g0) / goods:
+                        options.append(((b - b0) / (g - g0 + 1), -r, -used, rule, x))
+        if not options:
+            break
+        *_, rule, x = max(options)
+        cutoffs = cutoffs | {rule: x}
+        n, k = sum(labels[i][1] for i in test), tally(test, cutoffs)[0]
+        if sum(math.comb(n, j) * quality.RISK**j * (1 - quality.RISK) ** (n - j) for j in range(k + 1)) > quality.LEVEL:
+            break
+        best = cutoffs
+    got = {r.doc_id: r.kept for r in quality.judge(docs, table).collect()}
+    assert best and got == {i: not base[i] and not fails(i, best) for i in range(len(rows))}
+
+
 def test_quality(spark, no_docs):
     rng = random.Random(6)
     rows, labels = [], []
