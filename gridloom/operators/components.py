@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import materialize
+from gridloom.session import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -13,9 +13,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Rounds alternate two joins of the edges with each node's smallest neighbour: the large star hangs greater neighbours
     on the smallest one, the small star does so with the smaller ones. The edge count never grows, the number of rounds
-    is logarithmic in practice, and the minima are partial aggregates, so a hub costs one row per map task; the join side
-    with its edges is one that Spark can split. Each round is written to the shared folder, which cuts the lineage.
-    Null ends and loops are ignored.
+    is logarithmic in practice, and the minima are partial aggregates, so a hub costs one row per map task. They are
+    written before they are joined: both sides of that join are then plain tables, whose skewed side Spark splits, or of
+    which it broadcasts one that it knows to be small. Each round is written to the shared folder, which cuts the lineage,
+    and deleted when the next one is there. Null ends and loops are ignored.
     """
     a, b = F.greatest(src, dst), F.least(src, dst)
     stars = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(a.alias("u"), b.alias("v")).distinct()
@@ -23,7 +24,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if _settled(stars):
             break
-        stars = materialize(_small_star(_large_star(stars)), "stars")
+        for star in (_large_star, _small_star):
+            hung, least = star(stars)
+            done, stars = stars, materialize(hung, "stars")
+            discard(done)
+            discard(least)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = stars.select("v").distinct()
@@ -41,16 +46,17 @@ def _settled(edges: DataFrame) -> bool:
     return nodes.where("n > 1 or (n = 1 and least = 0)").isEmpty()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """For each node, its neighbours that are greater than it are hung on the smallest of its neighbours and itself."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each node, its neighbours that are greater than it are hung on the smallest of its neighbours and itself; and
+    the table of those smallest ones."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     greater = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    return greater.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return greater.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """For each node, its smaller neighbours and itself are hung on the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each node, its smaller neighbours and itself are hung on the smallest of them; and the table of those."""
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     hung = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-    return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least

@@ -28,9 +28,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one of our own on a single machine only, as the
+    executors of a cluster share no local folder."""
     path = spark.conf.get(CHECKPOINT_DIR, None)
     if not path:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="gridloom-shared-")
         spark.conf.set(CHECKPOINT_DIR, path)
         spark.sparkContext.setCheckpointDir(path)
@@ -46,8 +50,19 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     This cuts the lineage like a checkpoint, but the result is a table: later scans prune columns and push filters
-    down, and a lost executor costs nothing because no block lives on it.
+    down, and a lost executor costs nothing because no block lives on it. ``discard`` takes it away again.
     """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.gridloom_folder = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the folder of a materialised table that nothing will read any more."""
+    path = getattr(table, "gridloom_folder", None)
+    if path:
+        context = table.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
