@@ -1,16 +1,18 @@
 """SimHash near-dedup over a Gray-order hierarchical index.
 
-Fingerprints are collapsed to distinct values. Two that differ in at most d of 64 bits agree on one of d + 1 bit blocks,
-so each value goes to one bucket per block. Within a bucket the values are sorted by Gray rank and every eight
-neighbours share an upper node that holds the bits on which all below agree; pairs of nodes are compared from the roots
-down, adding the differences on the bits that become common, and a pair of groups is dropped as soon as the sum exceeds
-d, or when both already lie in one component. A bucket returns a spanning forest of its links, never all pairs.
+Fingerprints are collapsed to distinct values. Two that differ in at most d of 64 bits agree on all but d of any B bit
+blocks, so each value goes to one bucket for every choice of B - d blocks; B follows from the number of values, so that a
+bucket of random values stays small however many there are. Within a bucket the values are sorted by Gray rank and every
+eight neighbours share an upper node that holds the bits on which all below agree; pairs of nodes are compared from the
+roots down, adding the differences on the bits that become common, and a pair of groups is dropped as soon as the sum
+exceeds d, or when both already lie in one component. A bucket returns a spanning forest of its links, never all pairs.
 Buckets above a size are cut into chunks whose pairs go to separate tasks, which keeps the result exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,15 @@ from pyspark.sql import types as T
 from gridloom.operators.components import connected_components
 from gridloom.session import materialize
 
-from .batches import map_texts
+from .batches import map_texts, named
 
 #: Differing bits of a link, words of a shingle, seed of its hash.
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 #: Children of an index node; distinct values of a bucket above which it is cut into chunks; values that a task indexes
-#: at a time; node pairs compared at a time.
-FANOUT, BUCKET_ROWS, INDEX_ROWS, FRONTIER = 8, 200_000, 200_000, 1 << 17
-#: Shingles whose bits are counted at a time.
-COUNT_ROWS = 1 << 16
+#: at a time; node pairs compared at a time; random values that a bucket should hold at most.
+FANOUT, BUCKET_ROWS, INDEX_ROWS, FRONTIER, BUCKET_VALUES = 8, 50_000, 200_000, 1 << 17, 256
+#: Shingles whose bits are counted at a time; columns of a bucket's key.
+COUNT_ROWS, KEY = 1 << 16, 4
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -64,29 +66,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per input row: doc_id, fp, component_id (the smallest id reachable over links, itself included).
 
     Rows with equal fingerprints are linked, texts without words (fingerprint 0) among them. Null texts count as empty;
-    null ids never become a component_id unless the component has no other. Rows that repeat an id keep their own
-    fingerprints. An empty table gives an empty result; other columns are ignored.
+    null ids never become a component_id unless the component has no other. Ids may be of any type that has an order;
+    rows that repeat an id keep their own fingerprints. Whole texts are read, however long, some shingles at a time. An
+    empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    marked = materialize(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), keep=["doc_id"]), "fingerprints")
+    marked = materialize(fingerprints(docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")), keep=["doc_id"]), "fingerprints")
     values = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "values")
-    roots = connected_components(linked(values.select("fp"), distance))
-    placed = values.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = placed.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id")
-    return marked.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    edges = materialize(linked(values.select("fp"), distance, values.count()), "links")
+    roots = connected_components(edges)
+    # Both sides of each join are plain tables: Spark splits the side on which a component or a fingerprint is hot.
+    placed = materialize(values.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp"), "placed")
+    least = materialize(placed.groupBy("root").agg(F.min("first").alias("least")), "least")
+    classes = materialize(placed.select("fp", "root").join(least, "root").select("fp", "least"), "classes")
+    classes = values.join(classes, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    return marked.join(materialize(classes, "classes").hint("merge"), "fp").select("doc_id", "fp", "component_id")
+
+
+def blocks_for(count: int, distance: int = DISTANCE) -> int:
+    """Blocks that fingerprints are cut into: the fewest with BUCKET_VALUES random values to a bucket, of ``count``."""
+    blocks = distance + 1
+    while blocks < 3 * distance and count / 2 ** ((blocks - distance) * 64 / blocks) > BUCKET_VALUES:
+        blocks += 1
+    return blocks
 
 
-def linked(values: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(src, dst): a spanning forest, bucket by bucket, of the links between distinct fingerprints ``fp``."""
-    blocks = distance + 1
+def linked(values: DataFrame, distance: int = DISTANCE, count: int = 0, blocks: int | None = None) -> DataFrame:
+    """(src, dst): a spanning forest, bucket by bucket, of the links between the distinct fingerprints ``fp``, about
+    ``count`` of them."""
+    blocks = blocks or blocks_for(count, distance)
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    part = [F.lit(i << 32) + F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    rows = values.select("fp", F.explode(F.array(*part)).alias("bucket"))
+    masks = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
+    choices = [sum(masks[i] for i in chosen) for chosen in combinations(range(blocks), blocks - distance)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in choices]
+    keys = [F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)]
+    rows = values.select("fp", F.explode(F.array(*keys)).alias("bucket"))
     large = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS).select("bucket", F.ceil(F.col("n") / (BUCKET_ROWS // 2)).cast("int").alias("chunks"))
     rows = rows.join(large, "bucket", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
-    ready = rows.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    rows = rows.select("bucket.table", "bucket.bits", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+    key = ("table", "bits", "a", "b")
+    ready = rows.repartition(*key).sortWithinPartitions(*key)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, fps in _whole_buckets(batches):
@@ -109,7 +128,7 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         if size < INDEX_ROWS:
             continue
         rows = np.concatenate(held, axis=1)
-        new = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
+        new = np.flatnonzero((rows[:KEY, 1:] != rows[:KEY, :-1]).any(axis=0)) + 1
         if len(new):
             yield _numbered(rows[:, : new[-1]])
             rows = rows[:, new[-1] :]
@@ -119,8 +138,8 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
 
 
 def _numbered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    new = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
-    return np.concatenate([[0], np.cumsum(new)]), rows[3].view(np.uint64)
+    new = (rows[:KEY, 1:] != rows[:KEY, :-1]).any(axis=0)
+    return np.concatenate([[0], np.cumsum(new)]), rows[KEY].view(np.uint64)
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
@@ -203,9 +222,14 @@ def _first_leaves(levels: list[Level]) -> list[np.ndarray]:
 
 
 def _settled(label: np.ndarray, first_leaf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether all leaves below both nodes of a pair lie in one component already."""
-    least, most = np.minimum.reduceat(label, first_leaf), np.maximum.reduceat(label, first_leaf)
-    return (least[a] == most[a]) & (least[b] == most[b]) & (least[a] == least[b])
+    """Whether all leaves below both nodes of a pair lie in one component already; only leaves below them are looked at."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    sizes = np.append(first_leaf, len(label))[nodes + 1] - first_leaf[nodes]
+    starts = np.cumsum(sizes) - sizes
+    leaves = label[np.arange(sizes.sum()) + np.repeat(first_leaf[nodes] - starts, sizes)]
+    least, most = np.minimum.reduceat(leaves, starts), np.maximum.reduceat(leaves, starts)
+    x, y = place[: len(a)], place[len(a) :]
+    return (least[x] == most[x]) & (least[y] == most[y]) & (least[x] == least[y])
 
 
 def _children(level: Level, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from math import comb
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -85,8 +86,8 @@ def test_near_duplicates(docs):
     assert Counter((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()) == want
 
 
-@pytest.mark.parametrize("spread,limit", [(3, 200_000), (40, 50)])
-def test_links_of_crowded_fingerprints(spark, monkeypatch, spread, limit):
+@pytest.mark.parametrize("spread,limit,blocks", [(3, 200_000, None), (40, 50, None), (40, 200_000, 6), (3, 50, 7), (40, 200_000, 8)])
+def test_links_of_crowded_fingerprints(spark, monkeypatch, spread, limit, blocks):
     """Dense clusters, and buckets that are cut into chunks."""
     monkeypatch.setattr(simhash, "BUCKET_ROWS", limit)
     rng = np.random.default_rng(spread)
@@ -94,7 +95,7 @@ def test_links_of_crowded_fingerprints(spark, monkeypatch, spread, limit):
     for _ in range(4):
         values ^= np.where(rng.random(700) < 0.8, np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64), np.uint64(0))
     values = np.unique(values)
-    edges = simhash.linked(spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")).collect()
+    edges = simhash.linked(spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long"), blocks=blocks).collect()
     parent = {int(v): int(v) for v in values.view(np.int64)}
 
     def find(x):
@@ -109,7 +110,11 @@ def test_links_of_crowded_fingerprints(spark, monkeypatch, spread, limit):
         ours[find(v)].add(v)
         want[root].add(v)
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, want.values()))
-    assert len(edges) <= 5 * len(values) * (1 if limit > 700 else 60)
+    assert len(edges) <= comb(blocks or 5, 4) * len(values) * (1 if limit > 700 else 60)
+
+
+def test_buckets_stay_small_as_values_grow():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**7, 10**9, 10**10, 10**13)] == [5, 5, 6, 7, 7, 9]
 
 
 def test_gray_rank():
