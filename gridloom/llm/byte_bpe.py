@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .batches import map_texts, strings
 
-#: Bytes of a task's cache (about), and what an entry takes beside its text and ids; bytes of the longest pre-token that
+#: Bytes of a worker's cache (about), and what an entry takes beside its text and ids; bytes of the longest pre-token that
 #: shares a queue with others, how many share one, and how many of a long text are split off at a time.
 CACHE_BYTES, ENTRY_BYTES, SHORT, TOGETHER, SPLIT_TOKENS = 32 << 20, 220, 64, 50_000, 100_000
 
@@ -105,7 +105,7 @@ class Numbers(dict):
 
 
 class Tables:
-    """What a rank file and a split pattern fix: shared by all tasks of a Python worker."""
+    """What a rank file and a split pattern fix."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -125,6 +125,7 @@ class ByteBpe:
 
     def __init__(self, tables: Tables):
         self.ranks, self.split, self.pair_ranks, self.barrier, self.of_byte = tables.ranks, tables.split, tables.pair_ranks, tables.barrier, tables.of_byte
+        self.decode = tables.decode
         self.queue = RankQueue(max(self.ranks.values(), default=0))
         self.numbers = Numbers()
         self.packed: list[bytes] = []
@@ -283,14 +284,14 @@ class ByteBpe:
         return ids
 
 
-_TABLES: dict[tuple[str, str], Tables] = {}
+_ENCODERS: dict[tuple[str, str], ByteBpe] = {}
 
 
-def tables(path: str, pattern: str = "") -> Tables:
-    """The tables of a rank file, read once per Python worker; caches belong to tasks."""
-    if (path, pattern) not in _TABLES:
-        _TABLES[path, pattern] = Tables(load_ranks(path), pattern)
-    return _TABLES[path, pattern]
+def coder(path: str, pattern: str = "") -> ByteBpe:
+    """One encoder per Python worker: its tables are read once, and its bounded cache lasts from task to task."""
+    if (path, pattern) not in _ENCODERS:
+        _ENCODERS[path, pattern] = ByteBpe(Tables(load_ranks(path), pattern))
+    return _ENCODERS[path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, with_decoded: bool = False) -> DataFrame:
@@ -304,13 +305,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
     """
 
     def make():
-        own = tables(path, pattern)
-        bpe = ByteBpe(own)
+        bpe = coder(path, pattern)
 
         def run(batch: pa.RecordBatch) -> dict[str, object]:
             ids = bpe.encode(strings(batch.column(0)))
             out = {"ids": pa.array(ids, pa.binary())}
-            return out | {"decoded": pa.array(map(own.decode, ids), pa.binary())} if with_decoded else out
+            return out | {"decoded": pa.array(map(bpe.decode, ids), pa.binary())} if with_decoded else out
 
         return run
 
@@ -322,7 +322,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: list[str]
     """Add ``decoded`` (binary: the bytes of the ids) to the columns ``keep``; null ids count as none."""
 
     def make():
-        own = tables(path)
-        return lambda batch: {"decoded": pa.array([own.decode(x or b"") for x in batch.column(0).to_pylist()], pa.binary())}
+        bpe = coder(path)
+        return lambda batch: {"decoded": pa.array([bpe.decode(x or b"") for x in batch.column(0).to_pylist()], pa.binary())}
 
     return map_texts(encoded, {"ids": ids_col}, make, T.StructType([T.StructField("decoded", T.BinaryType())]), encoded.columns if keep is None else keep)

@@ -25,8 +25,8 @@ from gridloom.session import materialize, new_folder
 
 from .batches import BATCH_BYTES, release, strings
 
-#: Bytes of each of a task's two caches (about), and what an entry takes beside its text and ids.
-CACHE_BYTES, ENTRY_BYTES = 32 << 20, 220
+#: Bytes of each of a worker's two caches (about), and what an entry takes beside its text and ids.
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 220
 #: Most tasks that read files.
 READ_TASKS = 20_000
 #: Bytes of ids that a task holds before they go to the file.
@@ -84,30 +84,39 @@ class ChunkEncoder:
         if self.cached_parts > CACHE_BYTES:
             self.parts.clear()
             self.cached_parts = 0
-        parts, tokenize = self.parts, self.tokenizer.model.tokenize
+        parts, learn = self.parts, self._learn
         out: list[bytes] = []
         whole: list[int] = []
         for at, chunk in enumerate(chunks):
+            if chunk.isascii() and chunk.isalpha():
+                part = " " + chunk
+                out.append(parts.get(part) or learn(part))
+                continue
             plain = _PLAIN(chunk)
             if not plain:
                 whole.append(at)
                 out.append(b"")
                 continue
+            first, *rest = plain.groups()
             ids = []
-            for part in (" " + plain[1], *plain.groups()[1:]):
+            for part in (" " + first, *rest):
                 if part:
-                    found = parts.get(part)
-                    if found is None:
-                        # A part is one pre-token, so the model's merges alone give its ids.
-                        spelled = part.encode("utf-8").decode("latin-1").translate(self.alphabet)
-                        found = parts[part] = array(self.kind, [t.id for t in tokenize(spelled)]).tobytes()
-                        self.cached_parts += len(part) + len(found) + ENTRY_BYTES
-                    ids.append(found)
+                    ids.append(parts.get(part) or learn(part))
             out.append(b"".join(ids))
         for at, ids in zip(whole, self._pack([" " + chunks[at] for at in whole]), strict=True):
             out[at] = ids
         return out
 
+    def _learn(self, part: str) -> bytes:
+        """The ids of a part, which is one pre-token, so that the model's merges alone give them."""
+        if part.isascii():  # letters and marks are spelled as they are
+            spelled = part.replace(" ", self.alphabet[32]).replace("\n", self.alphabet[10])
+        else:
+            spelled = part.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        ids = self.parts[part] = array(self.kind, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        self.cached_parts += len(part) + len(ids) + ENTRY_BYTES
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.cached > CACHE_BYTES:
             self.numbers.clear()
@@ -132,17 +141,17 @@ class ChunkEncoder:
         return [head if own is None else head + b"".join(map(look, own.tolist())) for head, own in zip(self._pack(heads), split, strict=True)]
 
 
-_TOKENIZERS: dict[str, object] = {}
+_ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """A new encoder; the tokenizers file is read once per Python worker."""
-    if path not in _TOKENIZERS:
+    """One encoder per Python worker: its file is read once, and its bounded caches last from task to task."""
+    if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return ChunkEncoder(_TOKENIZERS[path])
+        _ENCODERS[path] = ChunkEncoder(Tokenizer.from_file(path))
+    return _ENCODERS[path]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +201,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col:
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]) if lengths else np.zeros(1, np.int64)
         storage.write_bytes(f"{file}.idx", np.concatenate([[len(all_ids), width], offsets, all_ids]).astype("<i8").tobytes())
         if len(all_ids):
-            del own
             release()
             yield pa.RecordBatch.from_pylist([{"file": file, "part": part, "docs": len(all_ids), "tokens": int(offsets[-1])}], pa.schema([("file", pa.string()), ("part", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
