@@ -9,6 +9,7 @@ Spark job whose expected piece counts are summed by language and piece.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,17 +21,18 @@ from pyspark.sql import types as T
 
 from gridloom.session import materialize
 
-from .batches import BATCH_BYTES, map_texts, strings
+from .batches import BATCH_BYTES, map_texts, release, strings
 from .byte_bpe import load_ranks
 from .learning import bounded
 from .text import fold
 
 #: Labelled documents that a model is fitted on, at most about; passes of EM; weight of the background distribution.
 SAMPLE_DOCS, PASSES, BACKGROUND = 6_000, 2, 200.0
-#: Bytes of the longest piece, of the longest word that is scored together with others, and words scored together.
-PIECE_BYTES, SHORT, TOGETHER = 12, 48, 40_000
-#: Factor per byte that keeps forward sums within range, and log-likelihoods that a worker's cache holds.
-LIFT, CACHE_VALUES = 30.0, 2_000_000
+#: Bytes of the longest word that is scored together with others; words times languages scored together.
+SHORT, TOGETHER = 48, 120_000
+#: Factor per byte that keeps forward sums within range, log-likelihoods that a task's cache holds, and words of a text
+#: that are summed at a time.
+LIFT, CACHE_VALUES, SUM_WORDS = 30.0, 1_000_000, 20_000
 
 _LETTERS = regex.compile(r"\p{L}+").findall
 
@@ -39,11 +41,17 @@ def words(text: str) -> list[str]:
     return _LETTERS(text.lower())
 
 
+#: A piece that a spelled word can contain: bytes of small letters, and a space before them.
+_OF_WORDS = re.compile(rb" ?[a-z\x80-\xff]*").fullmatch
+
+
 class Pieces:
-    """The byte pieces of a vocabulary file, all single bytes among them, as a trie over sorted edges."""
+    """The byte pieces of a vocabulary file that words can contain, all single bytes among them, as a trie over sorted
+    edges."""
 
     def __init__(self, path: str):
-        self.number = {p: i for i, p in enumerate(sorted({p for p in load_ranks(path) if 0 < len(p) <= PIECE_BYTES} | {bytes([b]) for b in range(256)}))}
+        self.number = {p: i for i, p in enumerate(sorted({p for p in load_ranks(path) if p and _OF_WORDS(p)} | {bytes([b]) for b in range(256)}))}
+        self.longest = max(map(len, self.number))
         nodes: dict[bytes, int] = {b"": 0}
         edges: list[tuple[int, int]] = []
         for piece in self.number:
@@ -74,7 +82,7 @@ class Pieces:
             alive = np.flatnonzero(sizes > start)
             node = np.zeros(len(alive), np.int32)
             found = []
-            for end in range(start + 1, min(width, start + PIECE_BYTES) + 1):
+            for end in range(start + 1, min(width, start + self.longest) + 1):
                 node = self.step(node, chars[alive, end - 1])
                 on = (node >= 0) & (sizes[alive] >= end)
                 alive, node = alive[on], node[on]
@@ -117,8 +125,9 @@ class Model:
         sizes = np.fromiter(map(len, given), np.int64, len(given))
         short = np.flatnonzero(sizes <= SHORT)
         short = short[np.argsort(sizes[short], kind="stable")]
-        for at in range(0, len(short), TOGETHER):
-            some = short[at : at + TOGETHER]
+        together = max(1, TOGETHER // len(self.languages))
+        for at in range(0, len(short), together):
+            some = short[at : at + together]
             matched = table.matches([given[i] for i in some])
             forward = np.zeros((len(matched) + 1, len(some), len(self.languages)))
             forward[0] = 1
@@ -136,13 +145,13 @@ class Model:
         scale = np.zeros(len(self.languages))
         for end in range(1, len(word) + 1):
             value = np.zeros(len(self.languages))
-            for n in range(1, min(len(recent), PIECE_BYTES) + 1):
+            for n in range(1, min(len(recent), table.longest) + 1):
                 piece = table.number.get(word[end - n : end])
                 if piece is not None:
                     value += recent[-n] * lifted[piece]
             value = np.maximum(value, 1e-300)
             scale += np.log(value)
-            recent = [r / value for r in recent[-PIECE_BYTES + 1 :]] + [np.ones(len(self.languages))]
+            recent = [r / value for r in recent[1 - table.longest :]] + [np.ones(len(self.languages))]
         return scale - len(word) * math.log(LIFT)
 
 
@@ -195,8 +204,8 @@ def _expectation(model):
                 if len(word) > SHORT:
                     _add_long(soft[lang], word, n, lifted[:, lang], table)
             rows = sorted((r for r in rows if len(r[1]) <= SHORT), key=lambda r: len(r[1]))
-            for at in range(0, len(rows), TOGETHER):
-                some = rows[at : at + TOGETHER]
+            for at in range(0, len(rows), TOGETHER // 4):
+                some = rows[at : at + TOGETHER // 4]
                 lang = np.array([r[0] for r in some])
                 sizes = np.array([len(r[1]) for r in some])
                 matched = table.matches([r[1] for r in some])
@@ -216,6 +225,7 @@ def _expectation(model):
                         np.add.at(soft, (lang[word], piece), forward[start, word] * lifted[piece, lang[word]] * backward[end, word] * weight[word])
         lang, piece = np.nonzero(soft > 1e-6)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(soft[lang, piece])], names=["lang", "piece", "n"])
+        release()
 
     return run
 
@@ -227,16 +237,16 @@ def _add_long(soft: np.ndarray, word: bytes, times: float, lifted: np.ndarray, t
     recent = [1.0]
     for end in range(1, len(word) + 1):
         value = 0.0
-        for n in range(1, min(len(recent), PIECE_BYTES) + 1):
+        for n in range(1, min(len(recent), table.longest) + 1):
             piece = table.number.get(word[end - n : end])
             if piece is not None:
                 value += recent[-n] * lifted[piece]
         growth[end] = value = max(value, 1e-300)
-        recent = [r / value for r in recent[-PIECE_BYTES + 1 :]] + [1.0]
+        recent = [r / value for r in recent[1 - table.longest :]] + [1.0]
     visits = [0.0] * len(word) + [float(times)]
     for end in range(len(word), 0, -1):
         share = visits[end]
-        for n in range(1, min(end, PIECE_BYTES) + 1):
+        for n in range(1, min(end, table.longest) + 1):
             share /= growth[end - n + 1]
             piece = table.number.get(word[end - n : end])
             if piece is not None:
@@ -245,52 +255,65 @@ def _add_long(soft: np.ndarray, word: bytes, times: float, lifted: np.ndarray, t
 
 
 class Scorer:
-    """Scores texts; keeps the log-likelihoods of words that it has met."""
+    """Scores texts; keeps the log-likelihoods of words that it has met, up to a bound."""
 
     def __init__(self, model: Model):
         self.model, self.lifted = model, model.lifted()
         self.entries = max(1000, CACHE_VALUES // max(1, len(model.languages)))
-        self.clear()
-
-    def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.known = np.zeros((0, len(self.model.languages)))
+        self.fresh: list[str] = []
+        self.known = np.zeros((1024, len(model.languages)))
 
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        if not self.model.languages:
-            return ["und"] * len(texts), [0.0] * len(texts)
-        if len(self.number) >= self.entries:
-            self.clear()
-        split = []
-        fresh: list[str] = []
-        number = self.number
-        for text in texts:
+        languages = self.model.languages
+        totals = np.zeros((len(texts), len(languages)))
+        lettered = [False] * len(texts)
+        waiting: list[tuple[int, np.ndarray]] = []
+        for i, text in enumerate(texts if languages else []):
             own = words(text)
-            for word in set(own):
-                if word not in number:
-                    number[word] = len(number)
-                    fresh.append(word)
-            split.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
-        if fresh:
-            self.known = np.concatenate([self.known, self.model.score_words([spelled(w) for w in fresh], self.lifted)])
-        predicted, scores = [], []
-        for own in split:
-            if not len(own):
-                predicted.append("und")
-                scores.append(0.0)
-                continue
-            total = self.known[own].sum(axis=0)
-            best = int(total.argmax())
-            predicted.append(self.model.languages[best])
-            scores.append(float(1 / np.exp(total - total[best]).sum()))
+            lettered[i] = bool(own)
+            for at in range(0, len(own), SUM_WORDS):
+                waiting.append((i, self._numbers(own[at : at + SUM_WORDS])))
+                if len(self.fresh) >= self.entries:
+                    self._settle(waiting, totals)
+        self._settle(waiting, totals)
+        predicted, scores = ["und"] * len(texts), [0.0] * len(texts)
+        for i in range(len(texts)):
+            if lettered[i]:
+                best = int(totals[i].argmax())
+                predicted[i] = languages[best]
+                scores[i] = float(1 / np.exp(totals[i] - totals[i, best]).sum())
         return predicted, scores
 
+    def _numbers(self, own: list[str]) -> np.ndarray:
+        number = self.number
+        for word in set(own):
+            if word not in number:
+                number[word] = len(number)
+                self.fresh.append(word)
+        return np.fromiter(map(number.__getitem__, own), np.int64, len(own))
+
+    def _settle(self, waiting: list[tuple[int, np.ndarray]], totals: np.ndarray) -> None:
+        """Score the words that are new, and add what waits to the texts it comes from."""
+        if self.fresh:
+            first = len(self.number) - len(self.fresh)
+            if len(self.number) > len(self.known):
+                self.known = np.concatenate([self.known, np.zeros((max(len(self.known), len(self.number)), totals.shape[1]))])
+            self.known[first : len(self.number)] = self.model.score_words([spelled(w) for w in self.fresh], self.lifted)
+            self.fresh = []
+        for i, own in waiting:
+            totals[i] += self.known[own].sum(axis=0)
+        waiting.clear()
+        if len(self.number) >= self.entries:
+            self.number.clear()
+
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (its posterior among the learnt languages, all equally likely) to ``keep``.
 
     Null texts and texts without a letter get ``und`` and 0, as do all texts where no language was learnt. Ties go to the
-    first language by code point. Rows are independent; an empty table gives an empty result.
+    first language by code point. Whole texts are scored, however long, some words at a time. Rows are independent, so
+    repeated rows and empty tables need no care; ``lang_pred`` and ``score`` take the place of kept columns of those names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

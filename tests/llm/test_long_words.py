@@ -1,5 +1,6 @@
 """Expected piece counts of words too long to be counted together with others."""
 
+import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
@@ -28,3 +29,27 @@ def test_long_words_train(monkeypatch):
     covered = sum(n * table.length[piece] for (_, piece), n in got.items())
     assert abs(covered - 3 * len(language.spelled(words[0])) - 2 * len(language.spelled(words[1]))) < 0.01
     assert len(next(language._expectation(model)(iter([pa.RecordBatch.from_arrays([pa.array(["aa"]), pa.array(["語" * 40000]), pa.array([1])], names=["lang", "word", "n"])])))) > 0
+
+
+def test_many_languages_take_bounded_memory():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    size = len(language.pieces(path).number)
+    scorer = language.Scorer(language.Model(path, [f"l{i:03}" for i in range(300)], np.full((size, 300), 1 / size)))
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(30_000))
+    tracemalloc.start()
+    assert scorer([text, "", "same words"])[0] == ["l000", "und", "l000"]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6
+
+
+def test_pieces_of_any_length_count():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    table = language.pieces(path)
+    longest = max((p for p in table.number if p.isalpha()), key=len)
+    assert len(longest) > 12
+    chance = np.full((len(table.number), 1), 1e-9)
+    chance[table.number[longest]] = 0.5
+    model = language.Model(path, ["a"], chance)
+    for score in (model.score_words([longest], model.lifted())[0, 0], model._long(longest, model.lifted(), table)[0]):
+        assert abs(score - np.log(0.5)) < 0.01
