@@ -7,11 +7,12 @@ stage's documents. All stages but the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
-from gridloom.session import materialize
+from gridloom.session import discard, materialize
 
 #: Score from which a document counts as toxic and goes.
 TOXIC = 0.7
@@ -30,14 +31,25 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest id (null is last); rows are told apart by a key
-    of their own, as ids may repeat or be null."""
-    keyed = materialize(docs.select("doc_id", "text", F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_row_key")), "keyed")
-    placed = simhash.near_duplicates(keyed, id_col="_row_key").select(F.col("doc_id").alias("_row_key"), "component_id")
-    named = placed.join(keyed.select("_row_key", "doc_id").hint("merge"), "_row_key")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row_key"))
-    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first._row_key").alias("_row_key"))
-    return keyed.join(kept.hint("merge"), "_row_key", "left_semi").select("row.*")
+    """One document of each SimHash component, the one with the smallest id (null is last).
+
+    Rows are told apart by their file and place in it, as ids may repeat or be null; documents that are not read from
+    files are written first. What goes is a table of its own, so the documents need no shuffle where that is small.
+    """
+    try:
+        placed = _placed(docs)
+    except AnalysisException:
+        placed = _placed(materialize(docs, "documents"))
+    rows = placed.select(F.struct(F.col("doc.doc_id").isNull().alias("last"), "doc.doc_id", "file", "place").alias("key"), "doc.text")
+    found = simhash.near_duplicates(rows, id_col="key").where("doc_id != component_id")
+    gone = materialize(found.select("doc_id.file", "doc_id.place"), "near-copies")
+    return placed.join(gone, ["file", "place"], "left_anti").select("doc.*")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """Each row as ``doc``, with the file that it is read from and its place there."""
+    read_from = docs.metadataColumn("_metadata")
+    return docs.select(F.struct("*").alias("doc"), read_from["file_path"].alias("file"), read_from["row_index"].alias("place"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return docs
