@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 CELL = ("x", "y", "z")
 
@@ -65,9 +64,11 @@ def append(lists: Sequence[DataFrame], key: str = "port") -> DataFrame:
 def interleave(lists: Sequence[DataFrame], order: str) -> DataFrame:
     """Rows of several lists in turn, cut at the shortest: position, port and the columns of the lists.
 
-    Positions are counted within each list; lists are short (elements of a port), fields are not.
+    Positions are counted within each list by ranges of its order, so lists may be of any length.
     """
-    numbered = append([d.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1) for d in lists])
+    from .graph import compact
+
+    numbered = append([compact(d, order, "_n") for d in lists])
     shortest = numbered.groupBy("port").agg(F.count("*").alias("_size")).agg(F.min("_size").alias("_least"))
     return numbered.crossJoin(F.broadcast(shortest)).where("_n < _least").withColumn("position", F.col("_n") * len(lists) + F.col("port")).drop("_n", "_least")
 

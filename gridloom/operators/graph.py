@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.session import materialize
+from gridloom.session import discard, materialize
 
 from .combine import CELL
 from .components import connected_components
@@ -39,16 +39,19 @@ def remove_end_edges(edges: DataFrame, deletable: Column | None = None) -> DataF
     return marked.where(~(gone & (deletable if deletable is not None else F.lit(True)))).select(edges.columns)
 
 
-def prune(edges: DataFrame, deletable: Column | None = None, rounds: int = 50) -> DataFrame:
-    """Remove end edges again and again, until none goes or the rounds are used up."""
+def prune(edges: DataFrame, deletable: Column | None = None, rounds: int | None = None, most: int = 10_000) -> DataFrame:
+    """Remove end edges again and again until none goes, or as often as ``rounds`` says; raises after ``most`` rounds."""
     edges = materialize(edges, "edges")
     count = edges.count()
-    for _ in range(rounds):
-        edges = materialize(remove_end_edges(edges, deletable), "edges")
+    for _ in range(most if rounds is None else rounds):
+        before, edges = edges, materialize(remove_end_edges(edges, deletable), "edges")
+        discard(before)
         left = edges.count()
         if left == count:
-            break
+            return edges
         count = left
+    if rounds is None:
+        raise RuntimeError(f"end edges were left after {most} rounds")
     return edges
 
 
@@ -110,8 +113,9 @@ def nearest(points: DataFrame, lines: DataFrame, cell: float, point_id: str, lin
 def cell_components(cells: DataFrame, diagonal: bool = False) -> DataFrame:
     """Label connected cells: (x, y, z, label) with the smallest packed coordinate of the component as label.
 
-    Neighbours meet by equi-join on shifted coordinates; coordinates must lie in [0, 2^20).
+    Neighbours meet by equi-join on shifted coordinates. Raises where x lies outside [0, 2^23) or y or z outside [0, 2^20).
     """
+    _within(cells, 23, 20)
     packed = (F.col("x").cast("long") * (1 << 40)) + (F.col("y").cast("long") * (1 << 20)) + F.col("z")
     nodes = cells.select(*CELL, packed.alias("node"))
     steps = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)] if diagonal else [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
@@ -121,6 +125,15 @@ def cell_components(cells: DataFrame, diagonal: bool = False) -> DataFrame:
     return nodes.join(roots, "node", "left").select(*CELL, F.coalesce("root", "node").alias("label"))
 
 
+def _within(cells: DataFrame, x_bits: int, bits: int) -> None:
+    """Raise where coordinates do not fit into their bits of a packed number."""
+    ends = cells.agg(*[f(c).alias(f"{n}{c}") for c in CELL for n, f in (("low", F.min), ("high", F.max))]).first()
+    for c in CELL:
+        low, high = ends[f"low{c}"], ends[f"high{c}"]
+        if low is not None and (low < 0 or high >= 1 << (x_bits if c == "x" else bits)):
+            raise ValueError(f"{c} from {low} to {high} cannot be packed: move the cells to [0, 2^{x_bits if c == 'x' else bits})")
+
+
 def flood_fill(cells: DataFrame, seeds: DataFrame) -> DataFrame:
     """Cells that are connected to a seed: components joined with the seeds they hold, so no frontier loop."""
     labelled = materialize(cell_components(cells), "components")
@@ -134,19 +147,25 @@ def hysteresis(field: DataFrame, value: str, outer: tuple[float, float], inner:
     return flood_fill(band, band.where(F.col(value).between(*inner)))
 
 
-def chase(parents: DataFrame, node: str, parent: str, rounds: int = 40) -> DataFrame:
-    """(node, root, depth) of a forest of parent pointers, by pointer jumping: logarithmic in its height."""
+def chase(parents: DataFrame, node: str, parent: str, rounds: int = 62) -> DataFrame:
+    """(node, root, depth) of a forest of parent pointers, by pointer jumping: logarithmic in its height.
+
+    Raises where pointers still move after ``rounds``, which only a cycle can do. A parent that is no node is a root.
+    """
     state = parents.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"))
     state = materialize(state, "pointers")
     for _ in range(rounds):
         above = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
         new = state.join(above, "up", "left").select("node", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))
         new = materialize(new, "pointers")
-        moved = new.agg(F.sum("depth")).first()[0] != state.agg(F.sum("depth")).first()[0]
-        state = new
-        if not moved:
+        totals = [t.agg(F.sum(F.col("depth").cast("decimal(38, 0)"))).first()[0] for t in (state, new)]
+        before, state = state, new
+        discard(before)
+        if totals[0] == totals[1]:
+            return state.select("node", F.col("up").alias("root"), "depth")
+        if any(t is None or t > 1 << 62 for t in totals):
             break
-    return state.select("node", F.col("up").alias("root"), "depth")
+    raise RuntimeError("the parent pointers have a cycle")
 
 
 def swap_labels(label: Column, a: str, b: str) -> Column:
@@ -248,8 +267,10 @@ def basins(field: DataFrame, value: str) -> DataFrame:
     """Watershed by steepest descent: (x, y, z, basin) with the packed coordinate of the minimum that a cell drains to.
 
     One stencil pass finds each cell's lowest neighbour, pointer jumping follows them in logarithmically many rounds.
-    Ties and plateaus drain to the smallest packed coordinate, so there are no cycles.
+    Ties and plateaus drain to the smallest packed coordinate, so there are no cycles. Raises where x lies outside
+    [0, 2^23) or y or z outside [0, 2^15).
     """
+    _within(field, 23, 15)
     import numpy as np
 
     from .stencil import brick_apply, offsets, shifted

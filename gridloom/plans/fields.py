@@ -190,11 +190,9 @@ _whole("a18_volume_center", "SELECT round(avg(x), 6) AS cx, round(avg(y), 6) AS
 _whole("a19_bounding_box", "SELECT min(x) AS lo_x, min(y) AS lo_y, min(z) AS lo_z, max(x) AS hi_x, max(y) AS hi_y, max(z) AS hi_z FROM grid WHERE v > 200")(lambda g: bounding_box(g.where(F.col("v") > 200)))
 _whole("a20_slice_density", "SELECT z, round(avg(CAST(v > 100 AS INT)), 6) AS density FROM grid GROUP BY z")(lambda g: g.groupBy("z").agg(_r(F.avg((F.col("v") > 100).cast("int"))).alias("density")))
 _whole("a21_point_statistics", "SELECT z, count(*) AS points, round(avg(v), 6) AS average, min(v) AS low, max(v) AS high FROM grid GROUP BY ROLLUP (z)")(lambda g: reductions.point_statistics(g, "z", "v").withColumn("average", _r(F.col("average"))))
-_whole("a23_volume_hash", "SELECT md5(string_agg(x || ':' || y || ':' || z || ':' || CAST(v * 8 AS BIGINT), ',' ORDER BY x, y, z)) AS hash FROM grid WHERE z = 0")(lambda g: g.where("z = 0").agg(F.md5(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "z", (F.col("v") * 8).cast("long").alias("v")))), lambda s: F.concat_ws(":", s["x"], s["y"], s["z"], s["v"])))).alias("hash")))
-_whole(
-    "a23_volume_hash_whole",
-    "SELECT md5(string_agg(h, ',' ORDER BY z)) AS hash FROM (SELECT floor(z / 1024) AS z, md5(string_agg(h, ',' ORDER BY z)) AS h FROM (SELECT z, md5(string_agg(h, ',' ORDER BY y)) AS h FROM (SELECT z, floor(y / 1024) AS y, md5(string_agg(h, ',' ORDER BY y)) AS h FROM (SELECT z, y, md5(string_agg(h, ',' ORDER BY x)) AS h FROM (SELECT z, y, floor(x / 1024) AS x, md5(string_agg(x || ':' || y || ':' || z || ':' || CAST(v * 8 AS BIGINT), ',' ORDER BY x)) AS h FROM grid GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)",
-)(lambda g: reductions.volume_hash(g, F.concat_ws(":", "x", "y", "z", (F.col("v") * 8).cast("long"))))
+VOLUME_HASH_SQL = "SELECT md5(string_agg(h, ',' ORDER BY z)) AS hash FROM (SELECT floor(z / 1024) AS z, md5(string_agg(h, ',' ORDER BY z)) AS h FROM (SELECT z, md5(string_agg(h, ',' ORDER BY y)) AS h FROM (SELECT z, floor(y / 1024) AS y, md5(string_agg(h, ',' ORDER BY y)) AS h FROM (SELECT z, y, md5(string_agg(h, ',' ORDER BY x)) AS h FROM (SELECT z, y, floor(x / 1024) AS x, md5(string_agg(x || ':' || y || ':' || z || ':' || CAST(v * 8 AS BIGINT), ',' ORDER BY x)) AS h FROM grid GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)"
+for _name in ("a23_volume_hash", "a23_volume_hash_whole"):
+    _whole(_name, VOLUME_HASH_SQL)(lambda g: reductions.volume_hash(g, F.concat_ws(":", "x", "y", "z", (F.col("v") * 8).cast("long"))))
 _whole("a25_mean_plot", "SELECT x, round(avg(v), 6) AS mean FROM grid GROUP BY x")(lambda g: g.groupBy("x").agg(_r(F.avg("v")).alias("mean")))
 _whole("a26_field_plot", "SELECT x, CAST(floor(v / 20) AS INT) AS bin, count(*) AS intensity FROM grid WHERE n > 2 GROUP BY 1, 2")(lambda g: g.where(F.col("n") > 2).groupBy("x", F.floor(F.col("v") / 20).cast("int").alias("bin")).agg(F.count("*").alias("intensity")))
 _whole("a27_line_density", "SELECT x, y, count(*) AS density FROM grid WHERE v > 120 GROUP BY x, y")(lambda g: g.where(F.col("v") > 120).groupBy("x", "y").agg(F.count("*").alias("density")))

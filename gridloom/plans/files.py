@@ -31,24 +31,16 @@ register("s06_mhd_round_trip", GRID)(_round_trip("mhd", "grid.mhd"))
 register("s18_k07_k11_image_round_trip", GRID)(_round_trip("pvti", "grid.pvti"))
 
 
-@register("s01_volume_url", f"{GRID} WHERE z = 0")
-def volume_url(spark, d):
-    """A file without an extension, read by the reader that its URL names."""
-    g = fx.grid(spark, d)
-    shape = g.agg(*[(F.max(a) + 1).alias(a) for a in "xyz"]).first()
-    path = f"{new_folder(spark, 'volume')}/grid"
-    volumes.write_volume(g, path, tuple(shape), "f8", "mhd")
-    return volumes.read_url(spark, f"{path}?timeframe=0&preferredReader=MhdVolumeReader").where("z = 0 and v > 0").select("x", "y", "z", "v")
+for _name in ("s01_volume_url", "s01_volume_url_whole"):
 
-
-@register("s01_volume_url_whole", GRID)
-def volume_url_whole(spark, d):
-    """The same with all slices."""
-    g = fx.grid(spark, d)
-    shape = g.agg(*[(F.max(a) + 1).alias(a) for a in "xyz"]).first()
-    path = f"{new_folder(spark, 'volume')}/grid"
-    volumes.write_volume(g, path, tuple(shape), "f8", "mhd")
-    return volumes.read_url(spark, f"{path}?timeframe=0&preferredReader=MhdVolumeReader").where("v > 0").select("x", "y", "z", "v")
+    @register(_name, GRID)
+    def volume_url(spark, d):
+        """A file without an extension, read by the reader that its URL names."""
+        g = fx.grid(spark, d)
+        shape = g.agg(*[(F.max(a) + 1).alias(a) for a in "xyz"]).first()
+        path = f"{new_folder(spark, 'volume')}/grid"
+        volumes.write_volume(g, path, tuple(shape), "f8", "mhd")
+        return volumes.read_url(spark, f"{path}?timeframe=0&preferredReader=MhdVolumeReader").where("v > 0").select("x", "y", "z", "v")
 
 
 @register("s19_multiblock", f"WITH {fx.GRID_SQL}, {fx.GRID2_SQL} SELECT z, sum(v) AS total FROM (SELECT z, v FROM grid UNION ALL SELECT z, v FROM grid2) GROUP BY z")

@@ -14,14 +14,19 @@ DEGREE = "deg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM
 PRUNED = f"WITH {fx.EDGES_SQL}, {DEGREE}"
 
 
-@register("g02_remove_deletable", f"WITH {fx.EDGES_SQL} SELECT src, dst FROM edges WHERE NOT dst LIKE 's1%'")
-def remove_deletable(spark, d):
-    return graph.remove_deletable(fx.edges(spark, d), F.col("dst").startswith("s1"))
+# The names that end in _whole date from when the others read a part of the edges.
+for _name in ("g02_remove_deletable", "g02_remove_deletable_whole"):
 
+    @register(_name, f"WITH {fx.EDGES_SQL} SELECT src, dst FROM edges WHERE NOT dst LIKE 's1%'")
+    def remove_deletable(spark, d):
+        return graph.remove_deletable(fx.edges(spark, d), F.col("dst").startswith("s1"))
 
-@register("g03_remove_end_edges", f"{PRUNED} SELECT src, dst FROM edges e JOIN deg a ON a.node = src JOIN deg b ON b.node = dst WHERE NOT (a.degree = 1 OR b.degree = 1)")
-def remove_end_edges(spark, d):
-    return graph.remove_end_edges(fx.edges(spark, d))
+
+for _name in ("g03_remove_end_edges", "g03_remove_end_edges_whole"):
+
+    @register(_name, f"{PRUNED} SELECT src, dst FROM edges e JOIN deg a ON a.node = src JOIN deg b ON b.node = dst WHERE NOT (a.degree = 1 OR b.degree = 1)")
+    def remove_end_edges(spark, d):
+        return graph.remove_end_edges(fx.edges(spark, d))
 
 
 @register("g01_prune", f"WITH RECURSIVE {fx.EDGES_SQL}, r AS (SELECT 0 AS i, src, dst FROM edges UNION ALL SELECT i + 1, src, dst FROM (SELECT i, src, dst, count(*) OVER (PARTITION BY src) AS ds, count(*) OVER (PARTITION BY dst) AS dd FROM r) q WHERE ds > 1 AND dd > 1 AND i < 4) SELECT src, dst FROM r WHERE i = 4")
@@ -29,29 +34,25 @@ def prune(spark, d):
     return graph.prune(fx.edges(spark, d), rounds=4)
 
 
-@register("g02_remove_deletable_whole", f"WITH {fx.ALL_EDGES_SQL} SELECT src, dst FROM edges WHERE NOT dst LIKE 's1%'")
-def remove_deletable_whole(spark, d):
-    return graph.remove_deletable(fx.all_edges(spark, d), F.col("dst").startswith("s1"))
-
-
-@register("g03_remove_end_edges_whole", f"WITH {fx.ALL_EDGES_SQL}, {DEGREE} SELECT src, dst FROM edges e JOIN deg a ON a.node = src JOIN deg b ON b.node = dst WHERE NOT (a.degree = 1 OR b.degree = 1)")
-def remove_end_edges_whole(spark, d):
-    return graph.remove_end_edges(fx.all_edges(spark, d))
-
-
 @register("g01_prune_whole")
 def prune_whole(spark, d):
-    return graph.prune(fx.all_edges(spark, d))
+    """Until no end edge is left."""
+    return graph.prune(fx.edges(spark, d))
+
+
+#: Twelve rounds of the smallest name among neighbours; the graph's diameter is below that.
+COMPONENTS_SQL = f"WITH RECURSIVE {fx.EDGES_SQL}, near AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges UNION ALL SELECT DISTINCT src, src FROM edges UNION ALL SELECT DISTINCT dst, dst FROM edges), r AS (SELECT 0 AS i, a AS node, a AS root FROM near WHERE a = b UNION ALL SELECT i + 1, near.b, min(root) FROM r JOIN near ON near.a = r.node WHERE i < 12 GROUP BY i, near.b) SELECT node, root FROM r WHERE i = 12"
 
+for _name in ("g08_connected_components", "g08_connected_components_whole"):
 
-@register("g08_connected_components_whole")
-def components_whole(spark, d):
-    return connected_components(fx.all_edges(spark, d))
+    @register(_name, COMPONENTS_SQL)
+    def components(spark, d):
+        return connected_components(fx.edges(spark, d))
 
 
 @register("g04_contract_paths")
 def contract_paths(spark, d):
-    edges = fx.all_edges(spark, d).withColumn("edge_id", F.xxhash64("src", "dst")).withColumn("length", F.lit(1.0))
+    edges = fx.edges(spark, d).withColumn("edge_id", F.xxhash64("src", "dst")).withColumn("length", F.lit(1.0))
     return graph.contract_paths(edges)
 
 
@@ -72,11 +73,6 @@ def isotropic_spacing(spark, d):
     return fx.table(spark, d, "supplier").select("s_suppkey", (F.least("s_acctbal", F.lit(500.0), F.col("s_suppkey") * 1.0) * 2).alias("spacing"))
 
 
-@register("g08_connected_components", f"WITH RECURSIVE {fx.EDGES_SQL}, both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other) SELECT node, min(other) AS root FROM reach GROUP BY node")
-def components(spark, d):
-    return connected_components(fx.edges(spark, d))
-
-
 CELLS = f"WITH RECURSIVE {fx.GRID_SQL}, m AS (SELECT x, y, z, CAST(x AS BIGINT) * 1099511627776 + y * 1048576 + z AS id FROM grid WHERE v > 125), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1), reach AS (SELECT id, id AS other FROM m UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other), lab AS (SELECT id, min(other) AS label FROM reach GROUP BY id)"
 
 

@@ -49,18 +49,13 @@ def temporal_interpolation(spark, d):
     return combine.interpolate_time(fx.grid(spark, d), "z", 2.25, ["x", "y"], "v")
 
 
-@register("j12_plot_merge", "SELECT coalesce(a.k, b.k) AS k, a.n, b.n AS n_2 FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1) a FULL OUTER JOIN (SELECT c_custkey AS k, count(*) AS n FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) b ON a.k = b.k")
-def plot_merge(spark, d):
-    left = fx.table(spark, d, "orders").where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
-    right = fx.table(spark, d, "customer").where("c_custkey % 2 = 0").groupBy(F.col("c_custkey").alias("k")).agg(F.count("*").alias("n"))
-    return tables.merge(left, right, "k")
-
-
-@register("j12_plot_merge_whole", "SELECT coalesce(a.k, b.k) AS k, a.n, b.n AS n_2 FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL OUTER JOIN (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1) b ON a.k = b.k")
-def plot_merge_whole(spark, d):
-    left = fx.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
-    right = fx.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("n"))
-    return tables.merge(left, right, "k")
+for _name in ("j12_plot_merge", "j12_plot_merge_whole"):
+
+    @register(_name, "SELECT coalesce(a.k, b.k) AS k, a.n, b.n AS n_2 FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL OUTER JOIN (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1) b ON a.k = b.k")
+    def plot_merge(spark, d):
+        left = fx.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+        right = fx.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("n"))
+        return tables.merge(left, right, "k")
 
 
 @register("j13_points_to_grid", "SELECT CAST(floor(l_quantity / 5) AS INT) AS x, CAST(floor(l_discount * 100 / 2) AS INT) AS y, count(*) AS particles, sum(l_quantity) AS mass FROM lineitem GROUP BY 1, 2")

@@ -24,6 +24,7 @@ class Volume:
     scale: float = 1.0
     shift: float = 0.0
     start: tuple[int, int, int] = (0, 0, 0)
+    frames: int = 1
     meta: dict[str, str] = field(default_factory=dict)
 
     @property
@@ -69,13 +70,14 @@ def nrrd(path: str, data: bytes) -> Volume:
     if keys.get("encoding", "raw") != "raw":
         raise ValueError(f"{path}: only raw encoding is read")
     sizes = list(map(int, keys["sizes"].split()))
+    frames = sizes.pop() if len(sizes) > 3 and keys.get("kinds", "").lower().split()[-1:] == ["time"] else 1
     channels = sizes.pop(0) if len(sizes) == 4 else 1
     order = ">" if keys.get("endian") == "big" else "<"
     spacing = [float(s) for s in keys.get("spacings", "").split() if s.lower() != "nan"]
     name = keys.get("datafile")
     if not files:
         files = [_beside(path, name)] if name else [path]
-    return Volume(_three(sizes), order + NRRD_TYPES[keys["type"].lower()], files, 0 if name else len(head) + 2, channels, _three(spacing[-3:], 1.0), meta=keys)
+    return Volume(_three(sizes), order + NRRD_TYPES[keys["type"].lower()], files, 0 if name else len(head) + 2, channels, _three(spacing[:3] if frames > 1 else spacing[-3:], 1.0), frames=frames, meta=keys)
 
 
 def mhd(path: str, data: bytes) -> Volume:
@@ -121,7 +123,7 @@ def nifti(path: str, data: bytes) -> Volume:
     spacing = struct.unpack(order + "8f", data[76:108])[1:4]
     start, slope, inter = struct.unpack(order + "3f", data[108:120])
     single = data[344:348] == b"n+1\0"
-    return Volume(_three(dim[1 : dim[0] + 1]), order + NIFTI_TYPES[kind], [path if single else path.rsplit(".", 1)[0] + ".img"], int(start) if single else 0, 1, tuple(map(float, spacing)), scale=slope or 1.0, shift=inter if slope else 0.0)
+    return Volume(_three(dim[1 : dim[0] + 1]), order + NIFTI_TYPES[kind], [path if single else path.rsplit(".", 1)[0] + ".img"], int(start) if single else 0, 1, tuple(map(float, spacing)), scale=slope or 1.0, shift=inter if slope else 0.0, frames=max(1, dim[4]) if dim[0] > 3 else 1)
 
 
 def synth2d(path: str, data: bytes) -> Volume:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from urllib.parse import parse_qs
 
@@ -16,8 +17,25 @@ from gridloom import storage
 from . import headers
 from .headers import Volume, read_header
 
-#: Bytes of a header that are looked at, and bytes of a slab of slices that one task reads.
-HEADER_BYTES, SLAB_BYTES = 1 << 16, 32 << 20
+#: Bytes of a header that are read at a time, bytes from which on a file cannot be all header, and bytes of a slab of
+#: slices that one task reads.
+HEADER_BYTES, HEADER_LIMIT, SLAB_BYTES = 1 << 16, 1 << 30, 32 << 20
+#: Where the header ends in formats whose payload may follow in the same file; others are all header.
+HEADER_ENDS = {"nrrd": re.compile(rb"\n\n"), "nhdr": re.compile(rb"\n\n"), "vti": re.compile(rb"<AppendedData[^>]*>[^_]*_")}
+#: Formats whose header is a struct of fixed size within the first bytes.
+STRUCTS = ("nii", "hdr", "vol")
+
+
+def _head(source, kind: str) -> bytes:
+    """A file's bytes as far as its header goes."""
+    data = b""
+    while chunk := source.read(HEADER_BYTES):
+        data += bytes(chunk)
+        if kind in STRUCTS or (kind in HEADER_ENDS and HEADER_ENDS[kind].search(data, max(0, len(data) - len(chunk) - 4096))):
+            break
+        if len(data) > HEADER_LIMIT:
+            raise ValueError(f"no end of the header within {HEADER_LIMIT} bytes")
+    return data
 
 
 def header(path: str, reader: str | None = None, name: str | None = None) -> Volume:
@@ -25,7 +43,7 @@ def header(path: str, reader: str | None = None, name: str | None = None) -> Vol
         with storage.open_random(path) as source:
             return headers.bruker(path, storage.read_bytes(path.rpartition("/")[0] + "/reco"), source.size())
     with storage.open_random(path) as source:
-        return read_header(path, bytes(source.read(HEADER_BYTES)), reader, name)
+        return read_header(path, _head(source, reader or headers.extension(path)[1].lower()), reader, name)
 
 
 def files_of(path: str) -> list[str]:
@@ -49,6 +67,7 @@ class VolumeReader(DataSourceReader):
         self.first = int(options.get("zmin", 0))
         self.last = int(options["zmax"]) + 1 if "zmax" in options else None
         self.mapped = options.get("realworld", "true").lower() == "true"
+        self.frame = int(options.get("timeframe", 0))
 
     def partitions(self) -> list[Slab]:
         out = []
@@ -56,6 +75,11 @@ class VolumeReader(DataSourceReader):
             volume = header(path, self.format, self.name)
             step = max(1, SLAB_BYTES // max(1, volume.slice_bytes))
             per_file = -(-volume.shape[2] // len(volume.files))
+            if -(-volume.shape[2] // per_file) != len(volume.files):
+                raise ValueError(f"{path}: {volume.shape[2]} slices do not divide into {len(volume.files)} files")
+            if not 0 <= self.frame < volume.frames:
+                raise ValueError(f"{path} has no time frame {self.frame}")
+            volume.offset += self.frame * volume.slice_bytes * volume.shape[2]
             last = min(volume.shape[2], self.last - volume.start[2] if self.last is not None else volume.shape[2])
             z = max(0, self.first - volume.start[2])
             while z < last:
@@ -95,7 +119,8 @@ class VolumeSource(DataSource):
     """``spark.read.format("gridloom_volume")``: NRRD, MHD, VVD, DAT, NIfTI/Analyze, Synth2D, VTI and Bruker.
 
     Options: path (several separated by commas), zmin, zmax (slices that need not be read are not), realworld, reader (a
-    format instead of the extension), name (the array of a file with several).
+    format instead of the extension), name (the array of a file with several), timeframe (the volume of a file with
+    several, from 0).
     """
 
     @classmethod
@@ -122,13 +147,14 @@ def read_volume_list(spark: SparkSession, path: str, **options: str) -> DataFram
 
 
 def read_url(spark: SparkSession, url: str) -> DataFrame:
-    """A volume by URL: ``path?preferredReader=...&channel=...&name=...``.
+    """A volume by URL: ``path?preferredReader=...&timeframe=...&channel=...&name=...``.
 
-    The reader named in the query part decides, else the extension; a channel that is absent or -1 stands for all.
+    The reader named in the query part decides, else the extension; a channel that is absent or -1 stands for all, a time
+    frame that is absent for the first. Asking for a frame that the file lacks raises.
     """
     path, _, query = url.partition("?")
     wanted = {k: v[-1] for k, v in parse_qs(query).items()}
-    options = {"name": wanted["name"]} if "name" in wanted else {}
+    options = {k: wanted[k] for k in ("name", "timeframe") if k in wanted}
     if "preferredReader" in wanted:
         if wanted["preferredReader"] not in headers.READER_NAMES:
             raise ValueError(f"no reader {wanted['preferredReader']}")

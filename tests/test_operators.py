@@ -208,3 +208,23 @@ def test_random_walker_between_two_seeds(spark):
     seeds = spark.createDataFrame([(0, 0, 0, 0), (5, 0, 0, 1)], "x int, y int, z int, label int")
     got = graph.random_walker(_field(spark, line), "v", seeds, rounds=25).orderBy("x").collect()
     np.testing.assert_allclose([r.probability for r in got], np.linspace(0, 1, 6), atol=0.06)
+
+
+def test_limits_are_not_silent(spark):
+    from gridloom.operators import combine, graph
+
+    chain = spark.range(70).selectExpr("id as src", "id + 1 as dst")
+    assert graph.prune(chain).count() == 0
+    assert graph.prune(chain, rounds=3).count() == 64
+    with pytest.raises(RuntimeError):
+        graph.prune(chain, most=5)
+    with pytest.raises(RuntimeError):
+        graph.chase(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, parent long"), "node", "parent")
+    cells = spark.createDataFrame([(-1, 0, 0, 1.0)], "x int, y int, z int, v double")
+    with pytest.raises(ValueError):
+        graph.cell_components(cells)
+    with pytest.raises(ValueError):
+        graph.basins(cells.selectExpr("0 as x", "1 << 15 as y", "z", "v"), "v")
+    lists = [spark.range(n).selectExpr("id * 3 as name") for n in (50, 40, 45)]
+    got = combine.interleave(lists, "name").collect()
+    assert sorted((r.position, r.port, r.name) for r in got) == [(i * 3 + p, p, i * 3) for i in range(40) for p in range(3)]

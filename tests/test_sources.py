@@ -159,3 +159,28 @@ def test_url_bruker_and_ensemble(spark, tmp_path, cube):
     (tmp_path / "none").mkdir()
     with pytest.raises(ValueError):
         volumes.read_ensemble(spark, str(tmp_path / "none"))
+
+
+def test_header_of_any_length(spark, tmp_path):
+    """A list of 3000 slab files, far beyond the first 64 KiB."""
+    for i in range(3000):
+        (tmp_path / f"a-rather-long-name-of-a-slab-file-{i:06}.raw").write_bytes(bytes([i % 251]))
+    names = "\n".join(f"a-rather-long-name-of-a-slab-file-{i:06}.raw" for i in range(3000))
+    (tmp_path / "a.nhdr").write_text(f"NRRD0004\ntype: uchar\ndimension: 3\nsizes: 1 1 3000\nendian: little\nencoding: raw\ndata file: LIST\n{names}\n")
+    (tmp_path / "a.mhd").write_text(f"NDims = 3\nDimSize = 1 1 3000\nElementType = MET_UCHAR\nElementDataFile = LIST\n{names}\n")
+    for name in ("a.nhdr", "a.mhd"):
+        assert len(volumes.header(str(tmp_path / name)).files) == 3000
+    got = volumes.read_volumes(spark, [str(tmp_path / "a.nhdr")], zmin="2900").collect()
+    assert sorted((r.z, r.v) for r in got) == [(z, float(z % 251)) for z in range(2900, 3000)]
+    (tmp_path / "b.mhd").write_text("NDims = 3\nDimSize = 1 1 5\nElementType = MET_UCHAR\nElementDataFile = LIST\na\nb\nc\nd\n")
+    with pytest.raises(Exception, match="do not divide"):
+        volumes.read_volumes(spark, [str(tmp_path / "b.mhd")]).count()
+
+
+def test_time_frames(spark, tmp_path, cube):
+    both = np.stack([cube, cube + 100]).astype("<u2")
+    (tmp_path / "t.nrrd").write_bytes(b"NRRD0004\ntype: ushort\ndimension: 4\nsizes: 4 3 5 2\nkinds: space space space time\nspacings: 1 1 1 0.5\nendian: little\nencoding: raw\n\n" + both.tobytes())
+    _same(volumes.read_url(spark, f"{tmp_path}/t.nrrd?timeframe=1&preferredReader=NrrdVolumeReader"), both[1])
+    _same(volumes.read_url(spark, f"{tmp_path}/t.nrrd"), both[0])
+    with pytest.raises(Exception, match="no time frame"):
+        volumes.read_url(spark, f"{tmp_path}/t.nrrd?timeframe=2").count()
