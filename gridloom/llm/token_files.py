@@ -26,7 +26,9 @@ from gridloom.session import materialize, new_folder
 from .batches import BATCH_BYTES, release, strings
 
 #: Bytes of each of a worker's two caches (about), and what an entry takes beside its text and ids.
-CACHE_BYTES, ENTRY_BYTES = 80 << 20, 220
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 220
+#: Characters that the tokenizer encodes at a time: it holds far more than the ids of a text.
+PACK_CHARS = 1 << 18
 #: Most tasks that read files.
 READ_TASKS = 20_000
 #: Bytes of ids that a task holds before they go to the file.
@@ -77,7 +79,14 @@ class ChunkEncoder:
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(odd)}
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        first = size = 0
+        for last, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= PACK_CHARS or last == len(texts):
+                out += [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[first:last], add_special_tokens=False)]
+                first, size = last, 0
+        return out
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """The ids of chunks."""
