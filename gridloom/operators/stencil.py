@@ -327,19 +327,29 @@ def regional_maxima(field: DataFrame, value: str, out: str = "is_max") -> DataFr
     return brick_apply(field, [value], (1, 1, 1), lambda p: [(shifted(p[0], (1, 1, 1), (0, 0, 0)) >= np.nanmax(neighbours(p[0], (1, 1, 1)), axis=0)).astype(float)], [out])
 
 
-def gradient_vector_flow(field: DataFrame, value: str, steps: int = 3, mu: float = 0.1, dt: float = 0.5) -> DataFrame:
-    """Gradient diffused where it is weak and kept where it is strong, for a few steps on one block: fx, fy, fz."""
+def gradient_vector_flow(field: DataFrame, value: str, steps: int = 3, mu: float = 0.1, dt: float = 0.5, out: Sequence[str] = ("fx", "fy", "fz")) -> DataFrame:
+    """Gradient g diffused where it is weak and kept where it is strong, for a few steps on one block.
+
+    u starts as g and changes by dt * (mu * sum(neighbour - u) - s * (u - g)) with s = |g|^2 / (1 + |g|^2). g is the
+    central difference, 0 along an axis where a neighbour is missing; missing neighbours add nothing to the sum.
+    """
     h = (steps + 1,) * 3
 
     def kernel(p):
-        u = np.nan_to_num(np.stack([np.gradient(np.where(np.isnan(p[0]), np.nanmean(p[0]), p[0]), axis=a) for a in range(3)]))
-        start, strong = u.copy(), (u * u).sum(axis=0)
+        there = ~np.isnan(p[0][1:-1, 1:-1, 1:-1])
+        start = np.stack([_central(p[0], (1, 1, 1), a, (1.0, 1.0, 1.0)) for a in range(3)])
+        size = (start * start).sum(axis=0)
+        keep, u = size / (1 + size), np.where(there, start, np.nan)
         for _ in range(steps):
-            around = sum(np.roll(u, s, axis=a + 1) for a in range(3) for s in (1, -1)) - 6 * u
-            u = u + dt * (mu * around - strong * (u - start) / max(1.0, strong.max()))
-        return [shifted(c, h, (0, 0, 0)) for c in u]
-
-    return brick_apply(field, [value], h, kernel, ["fx", "fy", "fz"])
+            around = np.zeros_like(u)
+            wide = np.pad(u, ((0, 0), (1, 1), (1, 1), (1, 1)), constant_values=np.nan)
+            for o in offsets((1, 1, 1)):
+                if sum(map(abs, o)) == 1:
+                    around += np.nan_to_num(np.stack([shifted(c, (1, 1, 1), o) for c in wide]) - u)
+            u = u + dt * (mu * around - keep * (u - start))
+        return [shifted(c, (steps,) * 3, (0, 0, 0)) for c in u]
+
+    return brick_apply(field, [value], h, kernel, list(out))
 
 
 def advect_diffuse(field: DataFrame, value: str, velocity: Sequence[str], steps: int = 2, dt: float = 0.1, diffusivity: float = 0.1, out: str = "transported") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Every registered field query against its SQL on the smallest tables."""
+"""Every registered field query that has SQL against it, on the smallest tables; test_proofs has the others."""
 
 import math
 import os
@@ -40,9 +40,3 @@ def test_query_equals_sql(spark, duck, name):
     order = [got.columns.index(c) for c in columns]
     have = sorted(tuple(_plain(row[i]) for i in order) for row in got.collect())
     assert have == want
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    df = QUERIES[name](spark, DATA)
-    assert df.columns and df.count() >= 0
