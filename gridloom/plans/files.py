@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import struct
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom import storage
@@ -15,12 +19,12 @@ from . import fixtures as fx
 GRID = f"WITH {fx.GRID_SQL} SELECT x, y, z, v FROM grid"
 
 
-def _round_trip(fmt: str, name: str):
+def _round_trip(fmt: str, name: str, dtype: str = "f8"):
     def query(spark, d):
         g = fx.grid(spark, d)
         shape = g.agg(*[(F.max(a) + 1).alias(a) for a in "xyz"]).first()
         path = f"{new_folder(spark, 'volume')}/{name}"
-        volumes.write_volume(g, path, tuple(shape), "f8", fmt, slab=4)
+        volumes.write_volume(g, path, tuple(shape), dtype, fmt, slab=4)
         return volumes.read_volumes(spark, [path]).where("v > 0").select("x", "y", "z", "v")
 
     return query
@@ -28,6 +32,9 @@ def _round_trip(fmt: str, name: str):
 
 register("s02_nrrd_round_trip", GRID)(_round_trip("nrrd", "grid.nhdr"))
 register("s06_mhd_round_trip", GRID)(_round_trip("mhd", "grid.mhd"))
+register("s05_k06_nifti_round_trip", GRID)(_round_trip("nii", "grid.nii"))
+register("s03_k01_vvd_round_trip", GRID)(_round_trip("vvd", "grid.vvd"))
+register("s11_k03_dat_round_trip", f"WITH {fx.GRID_SQL} SELECT x, y, z, v FROM grid")(_round_trip("dat", "grid.dat", "f4"))
 register("s18_k07_k11_image_round_trip", GRID)(_round_trip("pvti", "grid.pvti"))
 
 
@@ -43,6 +50,41 @@ for _name in ("s01_volume_url", "s01_volume_url_whole"):
         return volumes.read_url(spark, f"{path}?timeframe=0&preferredReader=MhdVolumeReader").where("v > 0").select("x", "y", "z", "v")
 
 
+CELLS_SQL = "SELECT CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS z, CAST((a.i + b.i * {0} + c.i * {1}) * 7 % 251 AS DOUBLE) AS v FROM range({0}) a(i), range({2}) b(i), range({3}) c(i)"
+
+
+def _written(spark, name: str, head: bytes, dtype: str, shape: tuple[int, int, int], beside: dict[str, bytes] | None = None):
+    """A volume file of a known rule behind a header of its format, read back."""
+    folder = new_folder(spark, "volume")
+    cells = (np.arange(math.prod(shape)) * 7 % 251).astype(dtype)
+    for other, content in (beside or {}).items():
+        storage.write_bytes(f"{folder}/{other}", content)
+    storage.write_bytes(f"{folder}/{name}", head + cells.tobytes())
+    return volumes.read_volumes(spark, [f"{folder}/{name}"]).select("x", "y", "z", "v")
+
+
+@register("s09_synth2d", CELLS_SQL.format(6, 36, 6, 6))
+def synth2d(spark, d):
+    return _written(spark, "a.vol", struct.pack("<4si256s?3xiii", b"SYN2", 1, b"a", False, 6, 1, 2), "<u2", (6, 6, 6))
+
+
+@register("s10_tuv", CELLS_SQL.format(5, 20, 4, 3))
+def tuv(spark, d):
+    return _written(spark, "a.tuv", struct.pack("<3H", 5, 4, 3), "<u2", (5, 4, 3))
+
+
+@register("s12_bruker", CELLS_SQL.format(5, 20, 4, 3))
+def bruker(spark, d):
+    return _written(spark, "2dseq", b"", ">i2", (5, 4, 3), {"reco": b"##$RECO_byte_order=bigEndian\n##$RECO_size=( 2 )\n5 4\n##$RECO_wordtype=_16BIT_SGN_INT\n##END=\n"})
+
+
+@register("s26_vortex_lines", "SELECT CAST(l.i AS INT) AS line, CAST(p.i AS INT) AS i, CAST(l.i + p.i AS DOUBLE) AS x, CAST(p.i * 2 AS DOUBLE) AS y, CAST(l.i AS DOUBLE) AS z FROM range(6) l(i), range(6) p(i) WHERE p.i <= l.i")
+def vortex_lines(spark, d):
+    folder = new_folder(spark, "vortices")
+    storage.write_bytes(f"{folder}/a.vc", b"".join(struct.pack(f"<i{3 * (n + 1)}f", n + 1, *[c for i in range(n + 1) for c in (n + i, i * 2, n)]) for n in range(6)))
+    return tables.read_vortices(spark, folder).select("line", "i", "x", "y", "z")
+
+
 @register("s19_multiblock", f"WITH {fx.GRID_SQL}, {fx.GRID2_SQL} SELECT z, sum(v) AS total FROM (SELECT z, v FROM grid UNION ALL SELECT z, v FROM grid2) GROUP BY z")
 def multiblock(spark, d):
     g = fx.grid(spark, d)

@@ -134,6 +134,24 @@ def synth2d(path: str, data: bytes) -> Volume:
     return Volume((size, size, size), {1: "<u1", 2: "<u2", 4: "<f4"}[width], [path], 280, channels)
 
 
+def tuv(path: str, data: bytes) -> Volume:
+    """Three 16-bit sizes, then 16-bit cells."""
+    return Volume(struct.unpack("<3H", data[:6]), "<u2", [path], 6)
+
+
+def nifti_header(shape: tuple[int, int, int], dtype: str, spacing: tuple[float, float, float]) -> bytes:
+    """The header of a NIfTI-1 single file; cells follow at byte 352."""
+    head = bytearray(352)
+    kind = next(k for k, v in NIFTI_TYPES.items() if v == dtype)
+    struct.pack_into("<i", head, 0, 348)
+    struct.pack_into("<8h", head, 40, 3, *shape, 1, 1, 1, 1)
+    struct.pack_into("<2h", head, 70, kind, 8 * np.dtype(dtype).itemsize)
+    struct.pack_into("<8f", head, 76, 1, *spacing, 0, 0, 0, 0)
+    struct.pack_into("<3f", head, 108, 352.0, 1.0, 0.0)
+    head[344:348] = b"n+1\0"
+    return bytes(head)
+
+
 def vti(path: str, data: bytes, name: str | None = None) -> Volume:
     """Image data with raw appended payload: the named array, or the first one; cells keep their place in the whole extent."""
     head, marker, _ = data.partition(b"<AppendedData")
@@ -175,9 +193,9 @@ def bruker(path: str, reco: bytes, size: int) -> Volume:
     return Volume((flat[0], flat[1], size // (flat[0] * flat[1] * np.dtype(kind).itemsize)), kind, [path], meta=keys)
 
 
-READERS = {"nrrd": nrrd, "nhdr": nrrd, "mhd": mhd, "vvd": vvd, "dat": dat, "nii": nifti, "hdr": nifti, "vol": synth2d, "vti": vti}
+READERS = {"nrrd": nrrd, "nhdr": nrrd, "mhd": mhd, "vvd": vvd, "dat": dat, "nii": nifti, "hdr": nifti, "vol": synth2d, "tuv": tuv, "vti": vti}
 #: Reader names of URLs and the formats they stand for.
-READER_NAMES = {"NrrdVolumeReader": "nrrd", "MhdVolumeReader": "mhd", "VvdVolumeReader": "vvd", "DatVolumeReader": "dat", "AnalyzeVolumeReader": "nii", "Synth2dReader": "vol", "VTIVolumeReader": "vti", "BrukerVolumeReader": "2dseq"}
+READER_NAMES = {"NrrdVolumeReader": "nrrd", "MhdVolumeReader": "mhd", "VvdVolumeReader": "vvd", "DatVolumeReader": "dat", "AnalyzeVolumeReader": "nii", "Synth2dReader": "vol", "TUVVolumeReader": "tuv", "VTIVolumeReader": "vti", "BrukerVolumeReader": "2dseq"}
 
 
 def extension(name: str) -> tuple[str, str]:

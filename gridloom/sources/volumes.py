@@ -20,10 +20,12 @@ from .headers import Volume, read_header
 #: Bytes of a header that are read at a time, bytes from which on a file cannot be all header, and bytes of a slab of
 #: slices that one task reads.
 HEADER_BYTES, HEADER_LIMIT, SLAB_BYTES = 1 << 16, 1 << 30, 32 << 20
+#: Bytes of slab files that are joined at a time.
+JOIN_BYTES = 8 << 20
 #: Where the header ends in formats whose payload may follow in the same file; others are all header.
 HEADER_ENDS = {"nrrd": re.compile(rb"\n\n"), "nhdr": re.compile(rb"\n\n"), "vti": re.compile(rb"<AppendedData[^>]*>[^_]*_")}
 #: Formats whose header is a struct of fixed size within the first bytes.
-STRUCTS = ("nii", "hdr", "vol")
+STRUCTS = ("nii", "hdr", "vol", "tuv")
 
 
 def _head(source, kind: str) -> bytes:
@@ -116,7 +118,8 @@ class VolumeReader(DataSourceReader):
 
 
 class VolumeSource(DataSource):
-    """``spark.read.format("gridloom_volume")``: NRRD, MHD, VVD, DAT, NIfTI/Analyze, Synth2D, VTI and Bruker.
+    """``spark.read.format("gridloom_volume")``: NRRD, MHD, VVD, DAT, NIfTI/Analyze, Synth2D, TUV,
+    VTI and Bruker.
 
     Options: path (several separated by commas), zmin, zmax (slices that need not be read are not), realworld, reader (a
     format instead of the extension), name (the array of a file with several), timeframe (the volume of a file with
@@ -191,10 +194,11 @@ def metadata(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def write_volume(cells: DataFrame, path: str, shape: tuple[int, int, int], dtype: str = "f4", fmt: str = "nrrd", spacing=(1.0, 1.0, 1.0), slab: int = 16, value: str = "v") -> list[str]:
-    """Write a field as slab files of raw cells with one header that lists them (nhdr or mhd), or as pieces of an image
-    with their own headers (pvti); cells that lack are 0.
+    """Write a field as slab files of raw cells with one header that lists them (nhdr or mhd), as pieces of an image with
+    their own headers (pvti), or in a format that has all cells in one file (nii, vvd, dat); cells that lack are 0.
 
-    Each slab is one group of bounded size. Returns the slab files in order.
+    Each slab is one group of bounded size. For formats of one file a task joins the slab files, some MB at a time.
+    Returns the slab files in order, or the one file of cells.
     """
     nx, ny, nz = shape
     stem = path.rsplit(".", 1)[0]
@@ -216,6 +220,21 @@ def write_volume(cells: DataFrame, path: str, shape: tuple[int, int, int], dtype
     done = numbered.unionByName(slabs).groupBy("slab").applyInPandas(write, "slab int, file string").orderBy("slab").collect()
     files = [r.file for r in done]
     names = "\n".join(f.rpartition("/")[2] for f in files)
+    if fmt in ("nii", "vvd", "dat"):
+        whole = path if fmt == "nii" else f"{stem}.raw"
+        _join(cells.sparkSession, files, headers.nifti_header(shape, dtype, spacing) if fmt == "nii" else b"", whole)
+        if fmt == "nii":
+            return [whole]
+        raw = whole.rpartition("/")[2]
+        if fmt == "vvd":
+            kind = next(k for k, v in headers.VVD_TYPES.items() if v == dtype)
+            axes = lambda values: " ".join(f'{a}="{v}"' for a, v in zip("xyz", values, strict=True))
+            text = f'<?xml version="1.0"?><VolumeData version="1"><Volumes><Volume><RawData filename="{raw}" format="{kind}"><dimensions {axes(shape)}/></RawData><MetaData><MetaItem name="Spacing"><value {axes(spacing)}/></MetaItem></MetaData></Volume></Volumes></VolumeData>'
+        else:
+            kind = next(k for k, v in headers.DAT_TYPES.items() if v == dtype)
+            text = f"ObjectFileName:\t{raw}\nResolution:\t{nx} {ny} {nz}\nSliceThickness:\t{' '.join(map(str, spacing))}\nFormat:\t{kind}\n"
+        storage.write_bytes(path, text.encode())
+        return [whole]
     if fmt == "mhd":
         kind = {v: k for k, v in (("MET_UCHAR", "u1"), ("MET_SHORT", "i2"), ("MET_USHORT", "u2"), ("MET_INT", "i4"), ("MET_FLOAT", "f4"), ("MET_DOUBLE", "f8"))}[dtype]
         text = f"ObjectType = Image\nNDims = 3\nDimSize = {nx} {ny} {nz}\nElementSpacing = {' '.join(map(str, spacing))}\nElementType = {kind}\nElementDataFile = LIST\n{names}\n"
@@ -230,6 +249,24 @@ def write_volume(cells: DataFrame, path: str, shape: tuple[int, int, int], dtype
     return files
 
 
+def _join(spark: SparkSession, files: list[str], head: bytes, path: str) -> None:
+    """One file of a header and the slab files, written by one task; the slab files go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        list(batches)
+        with storage.atomic_output(path) as sink:
+            sink.write(head)
+            for file in files:
+                with storage.open_random(file) as source:
+                    while block := source.read(JOIN_BYTES):
+                        sink.write(block)
+        yield pa.RecordBatch.from_pylist([{"file": path}])
+
+    spark.range(1).coalesce(1).mapInArrow(run, "file string").collect()
+    for file in files:
+        storage.delete(file)
+
+
 def _vti_piece(data: np.ndarray, first: int, shape: tuple[int, int, int], value: str, spacing) -> bytes:
     """A slab as an image file of its own: header, length of the payload, raw cells."""
     nx, ny, nz = shape

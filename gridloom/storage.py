@@ -49,6 +49,11 @@ def write_bytes(uri: str, data: bytes) -> None:
         sink.write(data)
 
 
+def delete(uri: str) -> None:
+    system, path = resolve(uri)
+    system.delete_file(path)
+
+
 def read_bytes(uri: str) -> bytes:
     system, path = resolve(uri)
     with system.open_input_stream(path, compression=None) as source:
