@@ -27,7 +27,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after each run of white space becomes one space; null counts as empty. The smallest
     id of a group stays (null ids sort last); of rows that repeat id and text exactly one is kept. An empty table gives
-    an empty result. Columns other than the two named are ignored, whatever their names, or travel inside ``row``.
+    an empty result. Texts of any length are compared whole. Columns other than the two named are ignored, whatever their
+    names, or travel inside ``row``.
     """
     norm = spaced(F.col(text_col)).cast("binary")
     base = docs.select(F.col(id_col).alias("doc_id"), norm.alias("bytes"), *([F.struct("*").alias("row")] if carry else []))

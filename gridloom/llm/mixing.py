@@ -68,10 +68,10 @@ def source_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         cut = sums.withColumn("upto", upto).where("upto >= rest and upto - n < rest").select("_source", "rest", (F.col("upto") - F.col("n")).alias("start"), "at")
         cut = materialize(cut, "mix-cuts")
 
-    last = _with_source(rows, cut).where("_bucket = at")
-    in_order, tied = Window.partitionBy("_source").orderBy("_key", "_tie"), Window.partitionBy("_source", "_key", "_tie")
-    together = F.sum("_size").over(tied)
-    last = last.withColumn("together", together).withColumn("before", F.col("start") + F.sum("_size").over(in_order) - F.col("together"))
+    # Rows that share a key are one row from here on, so an id that repeats without end does not fill a task.
+    last = _with_source(rows, cut).where("_bucket = at").groupBy("_source", "_key", "_tie").agg(F.sum("_size").alias("together"), F.first("rest").alias("rest"), F.first("start").alias("start"))
+    in_order = Window.partitionBy("_source").orderBy("_key", "_tie")
+    last = last.withColumn("before", F.col("start") + F.sum("together").over(in_order) - F.col("together"))
     ends = last.where("2 * (rest - before) >= together").groupBy("_source").agg(F.max(F.struct("_key", "_tie")).alias("end"))
     keyed = cut.select(F.col("_source").alias("s"), F.col("at").alias("cut"))
     out = plan.join(keyed, plan["_source"].eqNullSafe(keyed["s"]), "left").drop("s")
@@ -97,7 +97,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Size is the number of words (null text: 0); a null source is a source of its own. Documents are taken whole, 0 to
     EPOCHS times; the document at the cut is taken if that brings the source nearer to its target. Rows that repeat an
-    id in a source share a key and are taken together. An empty table gives an empty result; other columns are ignored.
+    id in a source and weigh the same share a key and are taken together, as do ties of keys by their id. Whole texts are
+    counted, however long. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     rows = materialize(docs.select(docs[id_col].alias("doc_id"), *[c.alias(n) for n, c in sized(docs, id_col, text_col, source_col, seed).items()]), "mix-rows")
     mixed = _with_source(rows, source_plan(rows)).withColumn("copies", _copies())
