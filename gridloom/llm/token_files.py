@@ -213,7 +213,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col:
             release()
             yield pa.RecordBatch.from_pylist([{"file": file, "part": part, "docs": len(all_ids), "tokens": int(offsets[-1])}], pa.schema([("file", pa.string()), ("part", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    manifest = materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    # One row for each file, gathered before they are written: not as many small files again.
+    manifest = materialize(ordered.mapInArrow(write, MANIFEST).repartition(1), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")))
 

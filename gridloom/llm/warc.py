@@ -95,7 +95,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                     written += len(frame)
         yield pa.RecordBatch.from_pylist([{"file": file, "records": count, "bytes": written}], pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return materialize(typed.mapInArrow(write, MANIFEST), "warc-manifest")
+    # One row for each file, gathered before they are written: not as many small files again.
+    return materialize(typed.mapInArrow(write, MANIFEST).repartition(1), "warc-manifest")
 
 
 def _dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
