@@ -25,8 +25,8 @@ from gridloom.session import materialize, new_folder
 
 from .batches import BATCH_BYTES, release, strings
 
-#: Bytes of each of a worker's two caches (about), and what an entry takes beside its text and ids.
-CACHE_BYTES, ENTRY_BYTES = 48 << 20, 220
+#: Bytes of a worker's cache (about), and what an entry takes beside its text and ids.
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 200
 #: Characters that the tokenizer encodes at a time: it holds far more than the ids of a text.
 PACK_CHARS = 1 << 18
 #: Most tasks that read files.
@@ -42,17 +42,41 @@ _LETTERS, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", r"[!-&(-/:
 _PLAIN = re.compile(f"({_LETTERS}+)({_MARKS}*)(\n?)({_LETTERS}*)({_MARKS}*)").fullmatch
 
 
-class Numbers(dict):
-    """Numbers of chunks in order of arrival; ``fresh`` lists those that came since it was last emptied."""
+class Chunks(dict):
+    """The ids of chunks of text, each as it follows a space, and under (part,) those of parts that do not; itself the
+    cache, bounded by its bytes."""
 
-    def __init__(self):
+    def __init__(self, tokenizer, kind: str):
         super().__init__()
-        self.fresh: list[str] = []
+        self.tokenizer, self.tokenize, self.kind, self.held = tokenizer, tokenizer.model.tokenize, kind, 0
+        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(odd)}
+
+    def __missing__(self, chunk: str | tuple[str]) -> bytes:
+        if isinstance(chunk, tuple):
+            ids = self._merged(self._spelled(chunk[0]))
+        elif chunk.isascii() and chunk.isalpha():  # letters are spelled as they are
+            ids = self._merged(self.alphabet[32] + chunk)
+        elif not (plain := _PLAIN(chunk)):
+            ids = array(self.kind, self.tokenizer.encode(" " + chunk, add_special_tokens=False).ids).tobytes()
+        elif plain[1] == chunk:
+            ids = self._merged(self._spelled(" " + chunk))
+        else:
+            ids = self[plain[1]] + b"".join([self[part,] for part in plain.groups()[1:] if part])
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+        self.held += len(chunk) + len(ids) + ENTRY_BYTES
+        self[chunk] = ids
+        return ids
 
-    def __missing__(self, chunk: str) -> int:
-        number = self[chunk] = len(self)
-        self.fresh.append(chunk)
-        return number
+    def _spelled(self, part: str) -> str:
+        return part.encode("utf-8").decode("latin-1").translate(self.alphabet)
+
+    def _merged(self, spelled: str) -> bytes:
+        """The ids of one pre-token, which the model's merges alone give."""
+        return array(self.kind, [t.id for t in self.tokenize(spelled)]).tobytes()
 
 
 class ChunkEncoder:
@@ -70,13 +94,7 @@ class ChunkEncoder:
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = "<u2" if self.kind == "H" else "<u4"
-        self.numbers = Numbers()
-        self.packed: list[bytes] = []
-        self.parts: dict[str, bytes] = {}
-        self.cached = self.cached_parts = 0
-        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
-        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-        self.alphabet = {b: chr(256 + i) for i, b in enumerate(odd)}
+        self.chunks = Chunks(tokenizer, self.kind)
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -88,66 +106,15 @@ class ChunkEncoder:
                 first, size = last, 0
         return out
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks."""
-        if self.cached_parts > CACHE_BYTES:
-            self.parts.clear()
-            self.cached_parts = 0
-        parts, learn = self.parts, self._learn
-        out: list[bytes] = []
-        whole: list[int] = []
-        for at, chunk in enumerate(chunks):
-            if chunk.isascii() and chunk.isalpha():
-                part = " " + chunk
-                out.append(parts.get(part) or learn(part))
-                continue
-            plain = _PLAIN(chunk)
-            if not plain:
-                whole.append(at)
-                out.append(b"")
-                continue
-            first, *rest = plain.groups()
-            ids = []
-            for part in (" " + first, *rest):
-                if part:
-                    ids.append(parts.get(part) or learn(part))
-            out.append(b"".join(ids))
-        for at, ids in zip(whole, self._pack([" " + chunks[at] for at in whole]), strict=True):
-            out[at] = ids
-        return out
-
-    def _learn(self, part: str) -> bytes:
-        """The ids of a part, which is one pre-token, so that the model's merges alone give them."""
-        if part.isascii():  # letters and marks are spelled as they are
-            spelled = part.replace(" ", self.alphabet[32]).replace("\n", self.alphabet[10])
-        else:
-            spelled = part.encode("utf-8").decode("latin-1").translate(self.alphabet)
-        ids = self.parts[part] = array(self.kind, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
-        self.cached_parts += len(part) + len(ids) + ENTRY_BYTES
-        return ids
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.cached > CACHE_BYTES:
-            self.numbers.clear()
-            self.packed.clear()
-            self.cached = 0
-        number = self.numbers.__getitem__
-        split: list[np.ndarray | None] = []
+        look = self.chunks.__getitem__
         heads: list[str] = []
+        tails: list[bytes] = []
         for text in texts:
-            if _TWO_SPACES(text) or self.added(text):
-                split.append(None)
-                heads.append(text)
-            else:
-                head, *rest = text.split(" ")
-                split.append(np.fromiter(map(number, rest), np.int32, len(rest)))
-                heads.append(head)
-        fresh, self.numbers.fresh = self.numbers.fresh, []
-        new = self._chunks(fresh)
-        self.packed += new
-        self.cached += sum(map(len, fresh)) + sum(map(len, new)) + ENTRY_BYTES * len(fresh)
-        look = self.packed.__getitem__
-        return [head if own is None else head + b"".join(map(look, own.tolist())) for head, own in zip(self._pack(heads), split, strict=True)]
+            head, *rest = [text] if _TWO_SPACES(text) or self.added(text) else text.split(" ")
+            heads.append(head)
+            tails.append(b"".join(map(look, rest)))
+        return [head + tail for head, tail in zip(self._pack(heads), tails, strict=True)]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
