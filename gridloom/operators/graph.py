@@ -15,6 +15,10 @@ from .combine import CELL
 from .components import connected_components
 
 
+#: Most classes of a classifier.
+CLASSES = 10_000
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree); a loop counts twice."""
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
@@ -256,7 +260,12 @@ def parallel_vectors(df: DataFrame, a: Sequence[str], b: Sequence[str], epsilon:
 
 
 def classify_gaussian(samples: DataFrame, model: DataFrame, label: str, value: str, out: str = "predicted") -> DataFrame:
-    """Most probable class of each sample under one Gaussian per class; the classes are a small table."""
+    """Most probable class of each sample under one Gaussian per class.
+
+    The classes are a small table that is broadcast: above CLASSES of them it raises.
+    """
+    if model.count() > CLASSES:
+        raise ValueError(f"more than {CLASSES} classes")
     model = model.select(F.col(label).alias("_class"), "mean", "sd", "prior")
     classes = model.agg(F.collect_list(F.struct("_class", "mean", "sd", "prior")).alias("_classes"))
     best = F.array_max(F.transform("_classes", lambda m: F.struct((F.ln(m["prior"]) - F.ln(m["sd"]) - (F.col(value) - m["mean"]) * (F.col(value) - m["mean"]) / (2 * m["sd"] * m["sd"])).alias("s"), m["_class"].alias("c"))))

@@ -25,6 +25,8 @@ class Volume:
     shift: float = 0.0
     start: tuple[int, int, int] = (0, 0, 0)
     frames: int = 1
+    encoding: str = "raw"
+    skip: int = 0
     meta: dict[str, str] = field(default_factory=dict)
 
     @property
@@ -34,6 +36,7 @@ class Volume:
 
 #: Type names of the formats (fixed by them) as numpy types.
 NRRD_TYPES = {"uchar": "u1", "unsigned char": "u1", "uint8": "u1", "signed char": "i1", "int8": "i1", "short": "i2", "int16": "i2", "ushort": "u2", "unsigned short": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "unsigned int": "u4", "uint32": "u4", "float": "f4", "double": "f8"}
+NRRD_ENCODINGS = {"raw": "raw", "gz": "gzip", "gzip": "gzip", "txt": "text", "text": "text", "ascii": "text"}
 MET_TYPES = {"MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_SHORT": "i2", "MET_USHORT": "u2", "MET_INT": "i4", "MET_UINT": "u4", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}
 VVD_TYPES = {"uint8": "u1", "int8": "i1", "uint16": "u2", "int16": "i2", "uint32": "u4", "int32": "i4", "float": "f4", "double": "f8"}
 DAT_TYPES = {"UCHAR": "u1", "USHORT": "u2", "FLOAT": "f4", "UINT8": "u1", "UINT16": "u2"}
@@ -52,7 +55,7 @@ def _three(values, fill=1) -> tuple:
 
 
 def nrrd(path: str, data: bytes) -> Volume:
-    """Attached or detached NRRD with raw encoding; detached lists of slab files are supported."""
+    """Attached or detached NRRD with raw, gzip or text encoding; detached lists of slab files are supported."""
     head, _, _ = data.partition(b"\n\n")
     lines = head.decode("latin-1").splitlines()
     if not lines[0].startswith("NRRD"):
@@ -67,8 +70,9 @@ def nrrd(path: str, data: bytes) -> Volume:
             key, _, value = line.partition(":")
             keys[key.strip().lower().replace(" ", "")] = value.lstrip("= ").strip()
             listed = key.strip().lower().replace(" ", "") == "datafile" and value.strip().startswith("LIST")
-    if keys.get("encoding", "raw") != "raw":
-        raise ValueError(f"{path}: only raw encoding is read")
+    encoding = NRRD_ENCODINGS.get(keys.get("encoding", "raw").lower())
+    if encoding is None:
+        raise ValueError(f"{path}: encoding {keys['encoding']} is not read")
     sizes = list(map(int, keys["sizes"].split()))
     frames = sizes.pop() if len(sizes) > 3 and keys.get("kinds", "").lower().split()[-1:] == ["time"] else 1
     channels = sizes.pop(0) if len(sizes) == 4 else 1
@@ -77,7 +81,7 @@ def nrrd(path: str, data: bytes) -> Volume:
     name = keys.get("datafile")
     if not files:
         files = [_beside(path, name)] if name else [path]
-    return Volume(_three(sizes), order + NRRD_TYPES[keys["type"].lower()], files, 0 if name else len(head) + 2, channels, _three(spacing[:3] if frames > 1 else spacing[-3:], 1.0), frames=frames, meta=keys)
+    return Volume(_three(sizes), order + NRRD_TYPES[keys["type"].lower()], files, 0 if name else len(head) + 2, channels, _three(spacing[:3] if frames > 1 else spacing[-3:], 1.0), frames=frames, encoding=encoding, meta=keys)
 
 
 def mhd(path: str, data: bytes) -> Volume:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import parse_qs
 
@@ -20,8 +21,8 @@ from .headers import Volume, read_header
 #: Bytes of a header that are read at a time, bytes from which on a file cannot be all header, and bytes of a slab of
 #: slices that one task reads.
 HEADER_BYTES, HEADER_LIMIT, SLAB_BYTES = 1 << 16, 1 << 30, 32 << 20
-#: Bytes of slab files that are joined at a time.
-JOIN_BYTES = 8 << 20
+#: Bytes of slab files that are joined at a time, and of a compressed or text payload that are decoded at a time.
+JOIN_BYTES, ENCODED_BYTES = 8 << 20, 1 << 20
 #: Where the header ends in formats whose payload may follow in the same file; others are all header.
 HEADER_ENDS = {"nrrd": re.compile(rb"\n\n"), "nhdr": re.compile(rb"\n\n"), "vti": re.compile(rb"<AppendedData[^>]*>[^_]*_")}
 #: Formats whose header is a struct of fixed size within the first bytes.
@@ -81,7 +82,10 @@ class VolumeReader(DataSourceReader):
                 raise ValueError(f"{path}: {volume.shape[2]} slices do not divide into {len(volume.files)} files")
             if not 0 <= self.frame < volume.frames:
                 raise ValueError(f"{path} has no time frame {self.frame}")
-            volume.offset += self.frame * volume.slice_bytes * volume.shape[2]
+            volume.offset += self.frame * volume.slice_bytes * volume.shape[2] if volume.encoding == "raw" else 0
+            volume.skip = self.frame * volume.shape[2]
+            if volume.encoding != "raw":  # such files are read from their start: one task each
+                step = per_file
             last = min(volume.shape[2], self.last - volume.start[2] if self.last is not None else volume.shape[2])
             z = max(0, self.first - volume.start[2])
             while z < last:
@@ -94,12 +98,8 @@ class VolumeReader(DataSourceReader):
         v = slab.volume
         nx, ny, nz = v.shape
         per_file = -(-nz // len(v.files))
-        file = v.files[slab.first // per_file]
-        with storage.open_random(file) as source:
-            source.seek(v.offset + (slab.first % per_file) * v.slice_bytes)
-            data = np.frombuffer(source.read((slab.last - slab.first) * v.slice_bytes), v.dtype)
-        for i in range(slab.last - slab.first):
-            cells = data[i * nx * ny * v.channels : (i + 1) * nx * ny * v.channels].astype(np.float64)
+        for i, cells in enumerate(_slices(v, v.files[slab.first // per_file], slab.first % per_file, slab.last - slab.first)):
+            cells = cells.astype(np.float64)
             if self.mapped:
                 cells = cells * v.scale + v.shift
             n = nx * ny * v.channels
@@ -117,6 +117,50 @@ class VolumeReader(DataSourceReader):
             )
 
 
+def _slices(v: Volume, file: str, first: int, count: int) -> Iterator[np.ndarray]:
+    """The cells of ``count`` slices of a payload file from slice ``first`` on."""
+    size = v.slice_bytes // np.dtype(v.dtype).itemsize
+    with storage.open_random(file) as source:
+        if v.encoding == "raw":
+            source.seek(v.offset + first * v.slice_bytes)
+            data = np.frombuffer(source.read(count * v.slice_bytes), v.dtype)
+            yield from (data[i * size : (i + 1) * size] for i in range(count))
+            return
+        source.seek(v.offset)
+        first += v.skip
+        held = np.zeros(0, v.dtype)
+        number = 0
+        for block in _decoded(source, v):
+            held = np.concatenate([held, block])
+            while len(held) >= size:
+                if first <= number < first + count:
+                    yield held[:size]
+                held = held[size:]
+                number += 1
+            if number >= first + count:
+                return
+    raise ValueError(f"{file} ends in slice {number}")
+
+
+def _decoded(source, v: Volume) -> Iterator[np.ndarray]:
+    """The cells of a compressed or text payload, some MB at a time."""
+    unpack = zlib.decompressobj(wbits=31) if v.encoding == "gzip" else None
+    rest = b""
+    while chunk := bytes(source.read(ENCODED_BYTES)):
+        if unpack:
+            while chunk:
+                data = rest + unpack.decompress(chunk, 8 * ENCODED_BYTES)
+                chunk = unpack.unconsumed_tail
+                whole = len(data) // np.dtype(v.dtype).itemsize * np.dtype(v.dtype).itemsize
+                yield np.frombuffer(data[:whole], v.dtype)
+                rest = data[whole:]
+        else:
+            *numbers, rest = re.split(rb"[\s,]+", rest + chunk)
+            yield np.array([n for n in numbers if n], float).astype(v.dtype)
+    if rest and not unpack:
+        yield np.array([rest], float).astype(v.dtype)
+
+
 class VolumeSource(DataSource):
     """``spark.read.format("gridloom_volume")``: NRRD, MHD, VVD, DAT, NIfTI/Analyze, Synth2D, TUV,
     VTI and Bruker.
@@ -281,16 +325,18 @@ def _vti_piece(data: np.ndarray, first: int, shape: tuple[int, int, int], value:
     return head.encode() + len(payload).to_bytes(8, "little") + payload + b"</AppendedData></VTKFile>"
 
 
-def raw_values(spark: SparkSession, path: str) -> DataFrame:
-    """Bytes of raw files as (path, i, value)."""
-    files = spark.read.format("binaryFile").load(path)
+def raw_values(spark: SparkSession, path: str, tasks: int = 10_000) -> DataFrame:
+    """Bytes of raw files of any size as (path, i, value), read in ranges by up to ``tasks`` tasks."""
+    step = 1 << 20
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("at"))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = np.frombuffer(content, np.uint8)
-                for at in range(0, len(data), 1 << 20):
-                    part = data[at : at + (1 << 20)].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part)], names=["path", "i", "value"])
+            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with storage.open_random(name) as source:
+                    source.seek(at)
+                    part = np.frombuffer(source.read(step), np.uint8).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part)], names=["path", "i", "value"])
 
-    return files.select("path", "content").mapInArrow(split, "path string, i long, value int")
+    return ranges.repartition(min(tasks, max(1, ranges.count()))).mapInArrow(read, "path string, i long, value int")

@@ -184,3 +184,20 @@ def test_time_frames(spark, tmp_path, cube):
     _same(volumes.read_url(spark, f"{tmp_path}/t.nrrd"), both[0])
     with pytest.raises(Exception, match="no time frame"):
         volumes.read_url(spark, f"{tmp_path}/t.nrrd?timeframe=2").count()
+
+
+@pytest.mark.parametrize("encoding", ["gzip", "text"])
+def test_encoded_nrrd(spark, tmp_path, cube, monkeypatch, encoding):
+    import gzip
+
+    payload = gzip.compress(cube.tobytes()) if encoding == "gzip" else " ".join(map(str, cube.ravel().tolist())).encode()
+    head = f"NRRD0004\ntype: ushort\ndimension: 3\nsizes: 4 3 5\nendian: little\nencoding: {encoding}\n".encode()
+    (tmp_path / "b.nrrd").write_bytes(head + b"\n" + payload)
+    (tmp_path / "c.gz").write_bytes(payload)
+    (tmp_path / "c.nhdr").write_bytes(head + b"data file: c.gz\n")
+    for name in ("b.nrrd", "c.nhdr"):
+        _same(volumes.read_volumes(spark, [str(tmp_path / name)]), cube)
+    assert volumes.read_volumes(spark, [str(tmp_path / "b.nrrd")], zmin="1", zmax="2").select(F.min("z"), F.max("z"), F.min("v")).first() == (1, 2, 12.0)
+    monkeypatch.setattr(volumes, "ENCODED_BYTES", 7)
+    volume = volumes.header(str(tmp_path / "b.nrrd"))
+    assert [s.tolist() for s in volumes._slices(volume, volume.files[0], 3, 2)] == cube[3:].reshape(2, 12).tolist()
