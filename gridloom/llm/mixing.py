@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame operations only.
 
-Every document gets an exponential key, -ln(u) / weight, with u from a hash of its id and weight from the quality of its
-text; the smallest keys of a source are a weighted sample without replacement. A source whose target is above its size
+Every document gets an exponential key, -ln(u) / weight, with u from a hash of its id and text and weight from the quality
+of its text; the smallest keys of a source are a weighted sample without replacement. A source whose target is above its size
 gives complete epochs first; the rest is filled in key order up to the token budget. The cut in key order is found
 without sorting a source in one task: sums over 4096 key buckets, then over 4096 finer ones in the bucket that holds the
 cut, leave only that finer bucket to be sorted.
@@ -28,7 +28,7 @@ SEED = 7
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int = SEED) -> dict[str, Column]:
     """Expressions over ``docs``: words of the text, key of the sample, its bucket, and the tie-break among equal keys."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    name = F.coalesce(docs[id_col].cast("string"), F.lit(""))
+    name = F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary")))
     noise = F.length(text) - F.length(F.translate(text, NOISE, ""))
     weight = 1 / (1 + PENALTY * noise / F.greatest(F.length(text), F.lit(1)))
     uniform = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
@@ -97,8 +97,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Size is the number of words (null text: 0); a null source is a source of its own. Documents are taken whole, 0 to
     EPOCHS times; the document at the cut is taken if that brings the source nearer to its target. Rows that repeat an
-    id in a source and weigh the same share a key and are taken together, as do ties of keys by their id. Whole texts are
-    counted, however long. An empty table gives an empty result; other columns are ignored, whatever their names.
+    id and text in a source share a key and are taken together. Whole texts are counted, however long. An empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
     rows = materialize(docs.select(docs[id_col].alias("doc_id"), *[c.alias(n) for n, c in sized(docs, id_col, text_col, source_col, seed).items()]), "mix-rows")
     mixed = _with_source(rows, source_plan(rows)).withColumn("copies", _copies())

@@ -88,7 +88,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH t AS (
-  SELECT doc_id, source, coalesce(text, '') AS txt, coalesce(CAST(doc_id AS VARCHAR), '') AS tie FROM documents
+  SELECT doc_id, source, coalesce(text, '') AS txt, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) AS tie FROM documents
 ), d AS (
   SELECT doc_id, source, tie, len(regexp_extract_all(txt, '[^\x20\x09-\x0D]+')) AS size,
          -ln((CAST('0x' || substr(md5('7:' || tie), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)

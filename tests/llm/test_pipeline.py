@@ -50,6 +50,17 @@ def test_mixing(spark, seed):
     assert again == {(r.doc_id, r.taken) for r in got}
 
 
+def test_rows_without_ids_reach_their_target(spark):
+    """All ids null, one id repeated: rows are told apart by their texts; copies of one row are taken together."""
+    for own in (None, 7):
+        rows = [(own, f"a b c d e {chr(97 + i % 26)}{chr(97 + i // 26)}", "en", "a" if i % 4 else "b") for i in range(600)] + [(own, "same row again", "en", "c")] * 300
+        got = mixing.mix(make_docs(spark, rows)).collect()
+        for size in (6 * 150, 6 * 450):
+            source = [r for r in got if r.source_size == size and r.size == 6]
+            assert source and abs(sum(r.taken for r in source) - source[0].target) <= 6
+        assert len({r.copies for r in got if r.size == 3}) == 1
+
+
 def test_mixed_rows(spark, docs, no_docs):
     copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
     out = mixing.mixed_rows(docs)
