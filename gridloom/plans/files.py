@@ -156,6 +156,29 @@ def series_save(spark, d):
     return tables.load_series(spark, path, ("member",)).where("time = 1995").groupBy("field").agg(F.count("*").alias("n"))
 
 
+@register("s27_field_plot_source", f"WITH {fx.GRID_SQL} SELECT x, CAST(floor(v / 20) AS INT) AS bin, count(*) AS intensity FROM grid GROUP BY 1, 2")
+def field_plot_source(spark, d):
+    """A stored field plot, checked for intensities when it is loaded."""
+    path = new_folder(spark, "plot")
+    plot = fx.grid(spark, d).groupBy("x", F.floor(F.col("v") / 20).cast("int").alias("bin")).agg(F.count("*").alias("intensity"))
+    tables.save_series(plot, path)
+    return tables.load_series(spark, path, ("intensity",))
+
+
+@register("s32_sample_point_categories", "SELECT n_name AS name, CAST(n_nationkey AS DOUBLE) AS x, CAST(n_regionkey AS DOUBLE) AS y, 0.5::DOUBLE AS z, n_name || '.png' AS texture FROM nation")
+def sample_point_categories(spark, d):
+    path = new_folder(spark, "categories")
+    position = F.struct(F.col("n_nationkey").cast("double").alias("x"), F.col("n_regionkey").cast("double").alias("y"), F.lit(0.5).alias("z"))
+    fx.table(spark, d, "nation").select(F.col("n_name").alias("name"), position.alias("position"), F.concat("n_name", F.lit(".png")).alias("texture")).write.json(path)
+    return tables.read_sample_points(spark, path).select("name", "position.*", "texture")
+
+
+@register("f37_point_info", "SELECT n_nationkey, 'point ' || n_nationkey || ' of group ' || n_regionkey || ' at ' || printf('%.2f', n_nationkey * 0.25::DOUBLE) AS info FROM nation")
+def point_info(spark, d):
+    info = tables.point_info("point %d of group %d at %.2f", F.col("n_nationkey"), F.col("n_regionkey"), F.col("n_nationkey") * 0.25)
+    return fx.table(spark, d, "nation").select("n_nationkey", info.alias("info"))
+
+
 @register("k15_s24_text", "SELECT 'Lorem ipsum dolor sit amet' AS value")
 def text_save(spark, d):
     path = new_folder(spark, "text")

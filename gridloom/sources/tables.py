@@ -52,6 +52,20 @@ def load_series(spark: SparkSession, path: str, least: tuple[str, ...] = ()) ->
     return df
 
 
+#: Categories of sample points: a name, a default position, and the file of its texture.
+SAMPLE_POINTS = "name string, position struct<x: double, y: double, z: double>, texture string"
+
+
+def read_sample_points(spark: SparkSession, path: str) -> DataFrame:
+    """Categories of sample points from JSON lines; a record that does not fit raises."""
+    return spark.read.schema(SAMPLE_POINTS).option("mode", "FAILFAST").json(path)
+
+
+def point_info(template: str, *columns: Column) -> Column:
+    """A line of text about each point: a format string (%s, %d, %.2f, ...) over its columns; null values read "null"."""
+    return F.format_string(template, *columns)
+
+
 def save_text(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).write.text(path)
 
