@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, language, mixing, quality, simhash, token_files, toxicity, warc
+from . import alignment, byte_bpe, html_text, language, mixing, quality, simhash, token_files, toxicity, warc
 from . import exact_dedup as radix
 from .text import fold
 
@@ -133,6 +133,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -151,6 +155,7 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_html_text": op9_html_text,
         "op10_toxicity": op10_toxicity,
+        "op12_alignment": op12_alignment,
         "pipeline": pipeline,
     }
 
