@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, byte_bpe, html_text, language, mixing, quality, simhash, token_files, toxicity, warc
+from . import alignment, byte_bpe, html_text, language, mixing, quality, simhash, token_files, topk, toxicity, warc, whitening
 from . import exact_dedup as radix
 from .text import fold
 
@@ -133,10 +133,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -155,7 +165,9 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_html_text": op9_html_text,
         "op10_toxicity": op10_toxicity,
+        "op11_whitening": op11_whitening,
         "op12_alignment": op12_alignment,
+        "op13_topk": op13_topk,
         "pipeline": pipeline,
     }
 
