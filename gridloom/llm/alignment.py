@@ -30,7 +30,7 @@ from .batches import BATCH_BYTES, release, strings
 
 #: Bytes of a worker's cache of spans (about), characters that a tokenizer encodes at a time, (document, pair) entries of
 #: a block, and links of a group that are expanded one by one; larger groups are expanded by distinct ids.
-CACHE_BYTES, PACK_CHARS, BLOCK_ENTRIES, GROUP_LINKS = 64 << 20, 1 << 16, 2_000_000, 1 << 12
+CACHE_BYTES, PACK_CHARS, BLOCK_ENTRIES, GROUP_LINKS = 64 << 20, 1 << 16, 500_000, 1 << 12
 #: Spans that are written together.
 WRITTEN_SPANS = 1 << 16
 #: A pair of ids is one number: the id of A above the 20 bits of that of B.
@@ -284,7 +284,7 @@ class Aligner:
                 if y < ends[begun + 1]:
                     break
                 begun += 1
-        return [d.hexdigest() if d else "" for d in digests]
+        return [d.digest() if d else b"" for d in digests]
 
     def _written(self, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The groups of spans as ASCII, and where each span begins in it."""
@@ -300,7 +300,7 @@ class Aligner:
         return out, _starts(width + 1)[_starts(sizes)]
 
     def align(self, texts: list[str]) -> dict[str, object]:
-        """Per text: n_a, n_b, n_groups, n_links, sha; and (doc, key, times) of each text's distinct pairs, by text."""
+        """Per text: n_a, n_b, n_groups, n_links, sha (bytes); and (doc, key, times) of each text's distinct pairs, by text."""
         parts = [self.spans.cut(t) if t else [] for t in texts]
         flat = list(chain.from_iterable(parts))
         self.learn(flat)
@@ -338,7 +338,7 @@ _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
-    """One per Python worker: its files are read once, and its bounded cache lasts from task to task."""
+    """One per Python worker, so that its files are read once."""
     if (a_path, b_path) not in _ALIGNERS:
         _ALIGNERS[a_path, b_path] = Aligner(a_path, b_path)
     return _ALIGNERS[a_path, b_path]
@@ -346,7 +346,7 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 _BLOCK = T.StructType(
-    [T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("sha", T.ArrayType(T.StringType()))]
+    [T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("sha", T.ArrayType(T.BinaryType()))]
     + [T.StructField(c, T.ArrayType(T.LongType())) for c in _COUNTS]
     # Little-endian arrays: pairs of each document, their places in the dictionary, occurrences; the dictionary and the documents of each pair.
     + [T.StructField(c, T.BinaryType()) for c in ("sizes", "places", "times", "keys", "holders")]
@@ -361,11 +361,11 @@ def _packed(held: dict[str, list], block: int) -> pa.RecordBatch:
     arrays = {
         "block": pa.array([block], pa.int64()),
         "doc_ids": pa.array([held["doc_ids"]], pa.list_(pa.int64())),
-        "sha": pa.array([held["sha"]], pa.list_(pa.string())),
+        "sha": pa.array([held["sha"]], pa.list_(pa.binary())),
         **{c: pa.array([joined[c]], pa.list_(pa.int64())) for c in _COUNTS},
         "sizes": joined["sizes"].astype("<i8"),
         "places": places.astype("<u4"),
-        "times": joined["times"].astype("<i8"),
+        "times": joined["times"].astype(next(k for k in ("<u1", "<u4", "<i8") if joined["times"].max(initial=0) <= np.iinfo(k).max)),
         "keys": keys.astype("<i8"),
         "holders": np.bincount(places, minlength=len(keys)).astype("<i8"),
     }
@@ -392,6 +392,7 @@ def _blocks(a_path: str, b_path: str, entries: int):
         if held["doc_ids"]:
             yield _packed(held, block)
         held = None
+        own.clear()  # the tokenizers stay with the worker, the spans do not
         release()
 
     return run
@@ -416,14 +417,15 @@ def _summed(blocks: pa.Table, stats: pa.Table) -> pa.Table:
     counts[place], best[place] = stats.column("count").to_numpy(), stats.column("best").to_numpy()
     out = []
     for row in blocks.to_pylist():
-        sizes, times = (np.frombuffer(row[c], "<i8") for c in ("sizes", "times"))
-        places = np.frombuffer(row["places"], "<u4")
+        sizes, places = np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["places"], "<u4")
+        # As wide as the largest number needs.
+        times = np.frombuffer(row["times"], f"<{'ui'[len(row['times']) == 8 * len(places)]}{len(row['times']) // max(1, len(places)) or 1}").astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         totals = []
         for value in (times * best[places], times * counts[places]):
             sums = np.concatenate([[0], np.cumsum(value)])
             totals.append(sums[ends[1:]] - sums[ends[:-1]])
-        arrays = [pa.array(row["doc_ids"], pa.int64()), *[pa.array(row[c], pa.int64()) for c in _COUNTS], *[pa.array(t, pa.int64()) for t in totals], pa.array(row["sha"], pa.string())]
+        arrays = [pa.array(row["doc_ids"], pa.int64()), *[pa.array(row[c], pa.int64()) for c in _COUNTS], *[pa.array(t, pa.int64()) for t in totals], pa.array([x.hex() for x in row["sha"]], pa.string())]
         out.append(pa.table(arrays, names=["doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256"]))
     return pa.concat_tables(out)
 

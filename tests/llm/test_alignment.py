@@ -67,7 +67,7 @@ def texts(seed, count):
 
 def aligned(own, given):
     f = own.align(given)
-    return list(zip(f["n_a"].tolist(), f["n_b"].tolist(), f["n_groups"].tolist(), f["n_links"].tolist(), f["sha"], strict=True))
+    return list(zip(f["n_a"].tolist(), f["n_b"].tolist(), f["n_groups"].tolist(), f["n_links"].tolist(), [x.hex() for x in f["sha"]], strict=True))
 
 
 def wanted(given):
