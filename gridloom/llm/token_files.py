@@ -36,6 +36,9 @@ BUFFER_BYTES = 8 << 20
 
 MANIFEST = T.StructType([T.StructField("file", T.StringType()), T.StructField("part", T.LongType()), T.StructField("docs", T.LongType()), T.StructField("tokens", T.LongType())])
 
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Where a pre-token always ends: before white space behind something else, and between a letter and a mark.
+_END = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])|(?<=[A-Za-z])(?=[!-&(-/:-@[-`{{-~])")
 _TWO_SPACES = re.compile(r"\s\s").search
 _LETTERS, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", r"[!-&(-/:-@\[-`{-~]"
 #: A chunk whose pre-tokens are plain: letters, marks other than the apostrophe, a line feed, letters, marks.
@@ -85,13 +88,18 @@ class ChunkEncoder:
     The byte-level pre-tokenizer never joins a space to the non-space before it, so a text whose white-space characters
     all stand alone may be cut before each space, and a plain chunk further into letters, marks and line feeds; the
     tokenizer sees each distinct part once. Other chunks go to it whole, as do texts that hold the string of a token
-    which the file adds to the vocabulary: such strings become their own ids, as with the library's defaults.
+    which the file adds to the vocabulary: such strings become their own ids, as with the library's defaults. A long text
+    is taken in pieces that end where a pre-token does, so that memory does not grow with what the tokenizer holds of it.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        added = sorted(t.content for t in tokenizer.get_added_tokens_decoder().values())
-        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        added = tokenizer.get_added_tokens_decoder()
+        names = sorted((t.content for t in added.values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, names))) if names else None
+        self.added_ids = {t.content: number for number, t in added.items()}
+        # Strings of tokens that take white space or words around them into account cannot be cut out beforehand.
+        self.apart = not any(t.lstrip or t.rstrip or t.single_word for t in added.values()) and tokenizer.normalizer is None
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = "<u2" if self.kind == "H" else "<u4"
         self.chunks = Chunks(tokenizer, self.kind)
@@ -111,11 +119,41 @@ class ChunkEncoder:
         heads: list[str] = []
         tails: list[bytes] = []
         for text in texts:
-            head, *rest = [text] if _TWO_SPACES(text) or self.added(text) else text.split(" ")
+            if len(text) > PACK_CHARS:
+                heads.append("")
+                tails.append(b"".join(self._pieces(text)))
+                continue
+            head, *rest = [text] if _TWO_SPACES(text) or self._adds(text) else text.split(" ")
             heads.append(head)
             tails.append(b"".join(map(look, rest)))
         return [head + tail for head, tail in zip(self._pack(heads), tails, strict=True)]
 
+    def _adds(self, text: str) -> bool:
+        return self.added is not None and self.added.search(text) is not None
+
+    def _pieces(self, text: str) -> Iterator[bytes]:
+        """The ids of a long text, piece by piece."""
+        if not self.apart:
+            yield from self._pack([text])
+            return
+        at = 0
+        for found in self.added.finditer(text) if self.added else ():
+            yield from self._between(text, at, found.start())
+            yield array(self.kind, [self.added_ids[found[0]]]).tobytes()
+            at = found.end()
+        yield from self._between(text, at, len(text))
+
+    def _between(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """A part without added tokens, in pieces that are cut at the first end of a pre-token after half of PACK_CHARS."""
+        while at < end:
+            cut = _END.search(text, at + PACK_CHARS // 2, end) if end - at > PACK_CHARS // 2 else None
+            to = cut.start() if cut else end
+            if to - at > PACK_CHARS:  # nothing to cut at: one pre-token, or several of signs that are not looked for
+                yield from self._pack([text[at:to]])
+            else:
+                yield from self.encode([text[at:to]])
+            at = to
+
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -137,7 +175,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col:
     ``end_id`` after each document; ``.idx`` holds an int64 header (documents, bytes per id), then docs + 1 offsets and
     docs document ids, all int64. Null texts count as empty (the end id alone); null ids sort first and read back as
     null; rows that repeat an id stand next to each other, in files of bounded size however often it occurs; an empty
-    table gives an empty manifest. Very long texts are encoded whole. Other columns are ignored. The files lie in the
+    table gives an empty manifest. Very long texts are encoded in pieces. Other columns are ignored. The files lie in the
     folder that all executors share.
 
     Texts are encoded as the tokenizers library does by default: the string of a token that the file adds to its

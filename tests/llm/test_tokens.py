@@ -1,6 +1,10 @@
 """BPE and token files against the public libraries, round trip."""
 
+import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -92,3 +96,20 @@ def test_files_are_read_by_a_task_each(spark):
     assert files > 1  # rows that repeat an id are not one file
     assert read.rdd.getNumPartitions() == files
     assert read.count() == 4000
+
+
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    parts = ["word", "don't", "x", "***", "'", "9", "é", "日本", "\n", " ", "  ", "\n\n", "\t", "\xa0", "\u3000 ", "<|endoftext|>", "<|endof", "...", "a.b.c", "\x1c", "🙂"]
+    for size in (40, 12):
+        monkeypatch.setattr(token_files, "PACK_CHARS", size)
+        own = token_files.ChunkEncoder(HF)
+        texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.choice([5, 40, 200]))) for _ in range(150)]
+        assert [ids(p, own.dtype) for p in own.encode(texts)] == [e.ids for e in HF.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_memory_of_a_long_text_with_two_spaces():
+    """A worker of its own: 32 MB of text, of which the tokenizer alone would hold gigabytes."""
+    code = "import resource, public_tokenizers as P; from gridloom.llm import token_files as t; own = t.encoder(P.path('byte_bpe_50k.json')); text = 'some  words here, ' * (32 << 20 >> 4); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; n = len(own.encode([text])[0]); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10, n)"
+    used, size = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(token_files.__file__).parents[2]).stdout.split()[-2:])
+    assert used < 200 and size > 16 << 20
