@@ -7,7 +7,9 @@ article or main element that holds most content, else the lowest element around
 lines, cells) belong to the text too, unless they are paths of links or, beyond the content, lie in containers.
 
 Elements that never are main text (menus, forms, adverts, ...) are left out unseen: by their tag, or by a class, id or
-role that consists of marking words only. Where a marking word is only a part of such a name, the ratios decide.
+role that consists of marking words only. Where a marking word is only a part of such a name, the ratios decide. Reader
+comments go by their names in whatever company, and without a name by their paths: siblings of one path that nearly all
+begin with a line on who wrote when.
 """
 
 from __future__ import annotations
@@ -36,6 +38,16 @@ MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|share|sharing|social|related|recommended|comment|comments|reply|replies|respond|disqus|subscribe|newsletter|signup|login|popup|modal|overlay|pagination|pager|search|toolbar|skip|hidden|complementary|contentinfo)(?=$|[\s_-])"
 ).search
 BESIDE = frozenset("page site main global top bottom left right center inner outer primary secondary the list item items box wrap wrapper container content section block area bar slot row col column unit text panel pane button buttons icon icons link links post posts article articles form thread message group body holder bg js module".split())
+#: Parts of names that mark reader comments, whatever stands beside them but for words of a page's state; ``discussion`` does
+#: not on a section, which may be a part of the article.
+COMMENTS = re.compile(r"comments?(?:list|area|box|form|thread|section|wrap|wrapper|body|text|author)?|commenters?|discussions?|disqus|replies|responses").fullmatch
+STATES = frozenset("has with without no open opened closed enabled disabled allow allowed on off".split())
+#: Words that make a header that of the article, which holds its title.
+TITLED = frozenset("article post entry story content".split())
+#: A line about who wrote when, or what to do about it: short, and with a time, a day or one of these words.
+BYLINE, BYLINE_CHARS = re.compile(r"\b\d{1,2}:\d{2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b|\bago\b|\breply\b|\bantworten\b|\brépondre\b|\bresponder\b", re.I).search, 60
+#: Siblings of one path, at least, and blocks of each, at most, that are reader comments if nearly all have such a line.
+REPLIES, REPLY_BLOCKS, REPLY_SHARE = 3, 5, 0.8
 #: Smoothing weights of a node and its neighbours, threshold in standard deviations, share of link text that makes a path
 #: one of links, and share of unlinked content text that keeps an element whose name has a marking word as a part.
 SMOOTH, SPREAD, LINKS, SHARE = (0.1, 0.2, 0.4, 0.2, 0.1), 0.5, 0.5, 0.5
@@ -82,9 +94,16 @@ def _marked(tag: str, attributes: str, in_article: bool) -> float:
     most = 0.0
     for key in ("class", "id", "role"):
         for name in found.get(key, "").lower().split():
-            if MARKS(name):
-                parts = [p for p in re.split(r"[_\d-]+", name) if p]
-                most = max(most, 1 if all(p in BESIDE or MARKS(p) for p in parts) else 0.5)
+            parts = [p for p in re.split(r"[_\d-]+", name) if p]
+            if any(map(COMMENTS, parts)) and STATES.isdisjoint(parts):
+                if tag != "section" or not parts[-1].startswith("discussion"):
+                    return 1
+            elif MARKS(name):
+                marks = {p for p in parts if MARKS(p)}
+                if marks == {"header"} and (in_article or not TITLED.isdisjoint(parts)):
+                    continue
+                alone = all(p in BESIDE or p in marks for p in parts) and not (in_article and tag == "p" and marks == {"alert"})
+                most = max(most, 1 if alone else 0.5)
     return most
 
 
@@ -240,6 +259,41 @@ def content_paths(found: list[Node]) -> set[int]:
     return {path for path, (n, total) in by_path.items() if total > 0 and total / n >= least}
 
 
+def replies(found: list[Node], elements: list[Element], content: list[bool]) -> set[int]:
+    """The serial numbers of elements that are reader comments: behind content, several siblings of one path, of a few
+    blocks each, nearly all with a byline among the first two."""
+    if not any(BYLINE(n.text) for n in found if len(n.text) <= BYLINE_CHARS):
+        return set()
+    held, before, bylines = [0] * len(elements), [0] * len(elements), [False] * len(elements)
+    first: list[int | None] = [None] * len(elements)
+    for i, node in enumerate(found):
+        e = node.element
+        held[e.serial] += 1
+        if first[e.serial] is None:
+            first[e.serial] = i
+    lines = [len(n.text) <= BYLINE_CHARS and n.element.tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "dt", "td", "th") and bool(BYLINE(n.text)) for n in found]
+    good = [0]
+    for c in content:
+        good.append(good[-1] + c)
+    for e in reversed(elements[1:]):
+        up, own = e.parent.serial, first[e.serial]
+        held[up] += held[e.serial]
+        if own is not None and (first[up] is None or own < first[up]):
+            first[up] = own
+    groups: dict[tuple[int, int], list[Element]] = defaultdict(list)
+    for e in elements[1:]:
+        own = first[e.serial]
+        if own is not None and e.tag in ("li", "div", "article"):
+            groups[e.parent.serial, e.path].append(e)
+            bylines[e.serial] = 2 <= held[e.serial] <= REPLY_BLOCKS and any(lines[own : own + 2])
+            before[e.serial] = good[own]
+    out: set[int] = set()
+    for group in groups.values():
+        if len(group) >= REPLIES and sum(bylines[e.serial] for e in group) >= REPLY_SHARE * len(group) and before[group[0].serial]:
+            out.update(e.serial for e in group)
+    return out
+
+
 def main_text(html: str) -> str:
     """The main text of a page: its blocks, each with single spaces, joined by line feeds; empty if there is none."""
     found, elements = nodes(html)
@@ -251,6 +305,10 @@ def main_text(html: str) -> str:
         content = [True] * len(found)
     first, last = content.index(True), len(found) - 1 - content[::-1].index(True)
     region = _region([n for n, c in zip(found, content, strict=True) if c], elements)
+    comments = replies(found, elements, content)
+    in_comments = [False] * len(elements)
+    for e in elements[1:] if comments else ():
+        in_comments[e.serial] = e.serial in comments or in_comments[e.parent.serial]
 
     # Of each element: the child of the region that it lies in or is, or the region itself; None outside.
     below: list[Element | None] = []
@@ -271,7 +329,7 @@ def main_text(html: str) -> str:
     for i, (node, good) in enumerate(zip(found, content, strict=True)):
         e = node.element
         child = below[e.serial]
-        if child is None:
+        if child is None or in_comments[e.serial]:
             continue
         if e.doubtful and (share := doubtful[e.doubtful.serial])[1] < SHARE * share[0]:
             continue

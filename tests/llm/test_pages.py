@@ -106,6 +106,32 @@ def test_what_ratios_decide(html, text):
     assert html_text.main_text(html) == text
 
 
+REPLY = "<div><div>Ann, 3 hours ago</div><div>I see it in another way, and so do others. Well, well.</div></div>"
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f'<main><p>{LONG}</p><div class="reader-comments"><p>{LONG}</p></div></main>', LONG),
+        (f'<article><p>{LONG}</p><ol class="commentlist"><li><p>{LONG}</p></li><li><p>{LONG}</p></li></ol></article>', LONG),
+        (f'<article><p>{LONG}</p><section id="user-comments"><h3>Comments</h3><p>{LONG}</p></section></article>', LONG),
+        (f'<article><p>{LONG}</p><div class="discussion"><p>{LONG}</p></div></article>', LONG),
+        (f'<article><p>{LONG}</p><section id="discussion"><h2>Discussion</h2><p>{LONG}</p></section></article>', f"{LONG}\nDiscussion\n{LONG}"),
+        (f'<div class="post has-comments comments-open"><p>{LONG}</p></div>', LONG),
+        (f'<article><div class="article-header"><h1>Title</h1></div><p>{LONG}</p></article>', f"Title\n{LONG}"),
+        (f'<article><header class="header"><h1>Title</h1></header><p>{LONG}</p></article>', f"Title\n{LONG}"),
+        (f'<body><div class="header"><p>{LONG}</p></div><article><p>{LONG}</p></article></body>', LONG),
+        (f'<article><p>{LONG}</p><p class="alert">{LONG}</p></article>', f"{LONG}\n{LONG}"),
+        (f"<article><h1>T</h1><p>{LONG}</p>{REPLY * 4}</article>", f"T\n{LONG}"),
+        (f"<article><p>{LONG}</p><ul>{'<li><span>Bob</span> <div>12:30</div><p>No. Not at all, my friend.</p></li>' * 3}</ul></article>", LONG),
+        (f"<article><p>{LONG}</p>{REPLY}</article>", f"{LONG}\nAnn, 3 hours ago\nI see it in another way, and so do others. Well, well."),
+        (f"<article><p>{LONG}</p>{'<div><h3>12:30</h3><p>What came to pass then, at length.</p></div>' * 3}</article>", LONG + "\n12:30\nWhat came to pass then, at length." * 3),
+    ],
+)
+def test_comments_go_and_titles_stay(html, text):
+    assert html_text.main_text(html) == text
+
+
 def brute_force(blocks):
     """Main text of plain pages from (path of (serial, tag), text, characters in links), by the definitions alone."""
     tags = [tuple(t for _, t in path) for path, _, _ in blocks]
