@@ -68,15 +68,18 @@ def source_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         cut = sums.withColumn("upto", upto).where("upto >= rest and upto - n < rest").select("_source", "rest", (F.col("upto") - F.col("n")).alias("start"), "at")
         cut = materialize(cut, "mix-cuts")
 
-    # Rows that share a key are one row from here on, so an id that repeats without end does not fill a task.
-    last = _with_source(rows, cut).where("_bucket = at").groupBy("_source", "_key", "_tie").agg(F.sum("_size").alias("together"), F.first("rest").alias("rest"), F.first("start").alias("start"))
+    # Rows that share a key are one row from here on, so an id that repeats without end does not fill a task. Of the
+    # group at the cut as many are taken as come nearest to the target: the i-th one if 2 (rest - words before it) >= size.
+    last = _with_source(rows, cut).where("_bucket = at").groupBy("_source", "_key", "_tie").agg(F.sum("_size").alias("together"), F.count("*").alias("n"), F.first("rest").alias("rest"), F.first("start").alias("start"))
     in_order = Window.partitionBy("_source").orderBy("_key", "_tie")
-    last = last.withColumn("before", F.col("start") + F.sum("together").over(in_order) - F.col("together"))
-    ends = last.where("2 * (rest - before) >= together").groupBy("_source").agg(F.max(F.struct("_key", "_tie")).alias("end"))
+    last = last.withColumn("left", F.col("rest") - (F.col("start") + F.sum("together").over(in_order) - F.col("together")))
+    size = F.col("together") / F.col("n")
+    last = last.withColumn("take", F.when(F.col("together") == 0, F.when(F.col("left") >= 0, F.col("n")).otherwise(0)).otherwise(F.least("n", F.floor(F.col("left") / size + 0.5).cast("long"))))
+    ends = last.where("take > 0").groupBy("_source").agg(F.max(F.struct("_key", "_tie", "take", "n")).alias("end"))
     keyed = cut.select(F.col("_source").alias("s"), F.col("at").alias("cut"))
     out = plan.join(keyed, plan["_source"].eqNullSafe(keyed["s"]), "left").drop("s")
     ends = ends.withColumnRenamed("_source", "s")
-    out = out.join(ends, out["_source"].eqNullSafe(ends["s"]), "left").select("_source", "source_size", "target", "epochs", "cut", F.col("end._key").alias("end_key"), F.col("end._tie").alias("end_tie"))
+    out = out.join(ends, out["_source"].eqNullSafe(ends["s"]), "left").select("_source", "source_size", "target", "epochs", "cut", F.col("end._key").alias("end_key"), F.col("end._tie").alias("end_tie"), F.col("end.take").alias("end_take"), F.col("end.n").alias("end_rows"))
     return materialize(out, "mix-plan")
 
 
@@ -86,10 +89,32 @@ def _with_source(rows: DataFrame, small: DataFrame) -> DataFrame:
     return rows.join(small, rows["_source"].eqNullSafe(small["_s"])).drop("_s")
 
 
-def _copies() -> Column:
-    inside = (F.col("_key") < F.col("end_key")) | ((F.col("_key") == F.col("end_key")) & (F.col("_tie") <= F.col("end_tie")))
-    sampled = F.coalesce((F.col("_bucket") < F.col("cut")) | ((F.col("_bucket") == F.col("cut")) & F.coalesce(inside, F.lit(False))), F.lit(False))
-    return F.col("epochs") + sampled.cast("long")
+def _counted(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows with the columns of their source's plan and ``copies``.
+
+    Where a part of a group of equal rows is taken, these rows are written, numbered by their place in that table, and cut
+    there: by counts of its parts first, then within one part, so that no task gets the group.
+    """
+    joined = _with_source(rows, plan)
+    at_end = F.coalesce((F.col("_key") == F.col("end_key")) & (F.col("_tie") == F.col("end_tie")), F.lit(False))
+    before = (F.col("_key") < F.col("end_key")) | ((F.col("_key") == F.col("end_key")) & (F.col("_tie") < F.col("end_tie")))
+    sampled = (F.col("_bucket") < F.col("cut")) | ((F.col("_bucket") == F.col("cut")) & F.coalesce(before | at_end, F.lit(False)))
+    copies = (F.col("epochs") + F.coalesce(sampled, F.lit(False)).cast("long")).alias("copies")
+    if plan.where("end_take < end_rows").isEmpty():
+        return joined.select("*", copies)
+    parted = at_end & (F.col("end_take") < F.col("end_rows"))
+    edge = materialize(joined.where(parted).withColumn("_place", F.monotonically_increasing_id()), "mix-edge").withColumn("_part", F.shiftright("_place", 33))
+    sizes = edge.groupBy("_source", "_part").agg(F.count("*").alias("_n"), F.first("end_take").alias("_take"))
+    upto = F.sum("_n").over(Window.partitionBy("_source").orderBy("_part"))
+    parts = materialize(sizes.withColumn("_left", F.col("_take") - upto + F.col("_n")).select("_source", "_part", "_n", "_left"), "mix-parts")
+    cut = parts.where("_left > 0 and _left < _n").withColumnsRenamed({"_source": "s", "_part": "p"})
+    rank = F.row_number().over(Window.partitionBy("_source").orderBy("_place"))
+    inside = edge.join(cut, edge["_source"].eqNullSafe(cut["s"]) & (edge["_part"] == cut["p"])).withColumn("_rank", rank).where(F.col("_rank") == F.col("_left"))
+    ends = inside.select("s", "p", F.col("_place").alias("last"))
+    known = parts.withColumnsRenamed({"_source": "ps", "_part": "pp"}).join(ends, F.col("ps").eqNullSafe(F.col("s")) & (F.col("pp") == F.col("p")), "left").select("ps", "pp", "_n", "_left", "last")
+    taken = (F.col("_left") >= F.col("_n")) | F.coalesce(F.col("_place") <= F.col("last"), F.lit(False))
+    edge = edge.join(known, edge["_source"].eqNullSafe(known["ps"]) & (edge["_part"] == known["pp"]))
+    return joined.where(~parted).select("*", copies).unionByName(edge.select(*joined.columns, (F.col("epochs") + taken.cast("long")).alias("copies")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
@@ -97,17 +122,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Size is the number of words (null text: 0); a null source is a source of its own. Documents are taken whole, 0 to
     EPOCHS times; the document at the cut is taken if that brings the source nearer to its target. Rows that repeat an
-    id and text in a source share a key and are taken together. Whole texts are counted, however long. An empty table
+    id and text in a source share a key; at the cut as many of them are taken as come nearest, whichever. Whole texts are counted, however long. An empty table
     gives an empty result; other columns are ignored, whatever their names.
     """
     rows = materialize(docs.select(docs[id_col].alias("doc_id"), *[c.alias(n) for n, c in sized(docs, id_col, text_col, source_col, seed).items()]), "mix-rows")
-    mixed = _with_source(rows, source_plan(rows)).withColumn("copies", _copies())
-    return mixed.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies")
+    return _counted(rows, source_plan(rows)).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The mix itself: each row of ``docs``, all its columns, as often as the mix takes it."""
     rows = materialize(docs.select(*[c.alias(n) for n, c in sized(docs, id_col, text_col, source_col, seed).items()]), "mix-rows")
     whole = docs.select(F.struct("*").alias("_row"), *[c.alias(n) for n, c in sized(docs, id_col, text_col, source_col, seed).items()])
-    taken = _with_source(whole, source_plan(rows)).withColumn("copies", _copies()).where("copies > 0")
+    taken = _counted(whole, source_plan(rows)).where("copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -108,10 +108,10 @@ WITH t AS (
 ), k AS (
   SELECT d.*, p.source_size, p.target, CASE WHEN p.source_size > 0 THEN floor(p.target / p.source_size) ELSE 0 END AS epochs,
          sum(size) OVER (PARTITION BY d.source ORDER BY key, tie) - sum(size) OVER (PARTITION BY d.source, key, tie) AS before,
-         sum(size) OVER (PARTITION BY d.source, key, tie) AS together
+         row_number() OVER (PARTITION BY d.source, key, tie) - 1 AS place
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 ), c AS (
-  SELECT *, epochs + CASE WHEN target - epochs * source_size > 0 AND 2 * (target - epochs * source_size - before) >= together THEN 1 ELSE 0 END AS copies FROM k
+  SELECT *, epochs + CASE WHEN target - epochs * source_size > 0 AND 2 * (target - epochs * source_size - before - place * size) >= size THEN 1 ELSE 0 END AS copies FROM k
 )
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM c
 """
