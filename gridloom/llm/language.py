@@ -19,17 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.session import materialize
+from gridloom.session import discard, materialize
 
 from .batches import BATCH_BYTES, map_texts, release, strings
 from .byte_bpe import load_ranks
-from .learning import bounded
 from .text import fold
 
 #: Labelled documents that a model is fitted on, at most about; passes of EM; weight of the background distribution.
 SAMPLE_DOCS, PASSES, BACKGROUND = 6_000, 2, 200.0
-#: Bytes of the longest word that is scored together with others; words times languages scored together.
-SHORT, TOGETHER = 48, 120_000
+#: Documents of a language at least, if it has them.
+LEAST_DOCS = 20
+#: Bytes of the longest word that is not cut into parts; words times languages, and bytes, that are scored together; bytes
+#: after which forward sums are brought back into range.
+SHORT, TOGETHER, TOGETHER_BYTES, RESCALE = 48, 120_000, 4 << 20, 16
 #: Factor per byte that keeps forward sums within range, log-likelihoods that a task's cache holds, and words of a text
 #: that are summed at a time.
 LIFT, CACHE_VALUES, SUM_WORDS = 30.0, 1_000_000, 20_000
@@ -72,12 +74,11 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
         return np.where(self.edges[at] == key, self.targets[at], -1)
 
-    def matches(self, words: list[bytes]) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+    def matches(self, words: list[bytes]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For each start, the (end, words, pieces) of all pieces that occur in the words there."""
         sizes = np.fromiter(map(len, words), np.int32, len(words))
         width = int(sizes.max())
         chars = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
-        out = []
         for start in range(width):
             alive = np.flatnonzero(sizes > start)
             node = np.zeros(len(alive), np.int32)
@@ -91,7 +92,36 @@ class Pieces:
                 piece = self.piece[node]
                 here = piece >= 0
                 found.append((end, alive[here], piece[here]))
-            out.append(found)
+            yield found
+
+    def parts(self, words: list[bytes]) -> list[list[bytes]]:
+        """Each word cut wherever no piece that occurs in it lies across, so that its segmentations are those of its parts.
+
+        All starts are looked up together, some bytes of text at a time. A byte that no longer piece holds stands between
+        words.
+        """
+        text = b"\0".join(words)
+        crossed = np.zeros(len(text) + 2, np.int32)
+        chars = np.frombuffer(text, np.uint8)
+        for first in range(0, len(text), TOGETHER_BYTES):
+            at = np.arange(first, min(first + TOGETHER_BYTES, len(text)))
+            node = np.zeros(len(at), np.int32)
+            for n in range(self.longest):
+                inside = at + n < len(text)
+                at, node = at[inside], self.step(node[inside], chars[at[inside] + n])
+                at, node = at[node >= 0], node[node >= 0]
+                if not len(at):
+                    break
+                whole = at[self.piece[node] >= 0] if n else at[:0]
+                np.add.at(crossed, whole + 1, 1)
+                np.add.at(crossed, whole + n + 1, -1)
+        cuts = np.flatnonzero(np.cumsum(crossed[: len(text)]) == 0).tolist()
+        out: list[list[bytes]] = [[]]
+        for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
+            if text[a] == 0:
+                out.append([])
+            else:
+                out[-1].append(text[a:b])
         return out
 
 
@@ -119,51 +149,75 @@ class Model:
         return self.probability * LIFT ** pieces(self.path).length[:, None].astype(float)
 
     def score_words(self, given: list[bytes], lifted: np.ndarray) -> np.ndarray:
-        """Log-likelihoods (words x languages): the forward algorithm over all segmentations."""
+        """Log-likelihoods (words x languages): the forward algorithm over all segmentations. Long words are the sums of
+        their parts, each distinct one scored once."""
+        sizes = np.fromiter(map(len, given), np.int64, len(given))
+        long = np.flatnonzero(sizes > SHORT)
+        if not len(long):
+            return self._forward(given, lifted)
         out = np.empty((len(given), len(self.languages)))
+        cut = pieces(self.path).parts([given[i] for i in long])
+        number: dict[bytes, int] = {}
+        for word in cut:
+            for part in word:
+                number.setdefault(part, len(number))
+        short = np.flatnonzero(sizes <= SHORT)
+        scored = self._forward([given[i] for i in short] + list(number), lifted)
+        out[short] = scored[: len(short)]
+        for i, word in zip(long, cut, strict=True):
+            own = np.fromiter(map(number.__getitem__, word), np.int64, len(word))
+            out[i] = sum(scored[len(short) + own[at : at + SUM_WORDS]].sum(axis=0) for at in range(0, len(own), SUM_WORDS))
+        return out
+
+    def _forward(self, given: list[bytes], lifted: np.ndarray) -> np.ndarray:
+        """Words of like length together. Only as many sums are held as the longest piece reaches, and every RESCALE bytes
+        those of a word are divided by the largest."""
         table = pieces(self.path)
         sizes = np.fromiter(map(len, given), np.int64, len(given))
-        short = np.flatnonzero(sizes <= SHORT)
-        short = short[np.argsort(sizes[short], kind="stable")]
-        together = max(1, TOGETHER // len(self.languages))
-        for at in range(0, len(short), together):
-            some = short[at : at + together]
-            matched = table.matches([given[i] for i in some])
-            forward = np.zeros((len(matched) + 1, len(some), len(self.languages)))
+        order = np.argsort(sizes, kind="stable")
+        out = np.empty((len(given), len(self.languages)))
+        ring = table.longest + 1
+        at = 0
+        while at < len(order):
+            # As many as fit by number and, padded to the longest of them, by bytes.
+            most = order[at : at + max(1, TOGETHER // len(self.languages))]
+            some = most[: max(1, int(np.searchsorted(np.arange(1, len(most) + 1) * sizes[most], TOGETHER_BYTES, "right")))]
+            at += len(some)
+            size = sizes[some]
+            forward = np.zeros((min(ring, int(size[-1]) + 1), len(some), len(self.languages)))
+            scale = np.zeros((len(some), len(self.languages)))
             forward[0] = 1
-            for start, found in enumerate(matched):
+            n = len(forward)
+            for start, found in enumerate(table.matches([given[i] for i in some])):
+                if start and start % RESCALE == 0:
+                    alive = size >= start
+                    top = np.maximum(forward[:, alive].max(axis=0), 1e-300)
+                    forward[:, alive] /= top
+                    scale[alive] += np.log(top)
+                here = forward[start % n]
                 for end, word, piece in found:
-                    forward[end, word] += forward[start, word] * lifted[piece]
-            out[some] = np.log(np.maximum(forward[sizes[some], np.arange(len(some))], 1e-300)) - (sizes[some] * math.log(LIFT))[:, None]
-        for i in np.flatnonzero(sizes > SHORT):
-            out[i] = self._long(given[i], lifted, table)
+                    forward[end % n, word] += here[word] * lifted[piece]
+                ended = np.flatnonzero(size == start + 1)
+                here[...] = 0
+                if len(ended):
+                    out[some[ended]] = np.log(np.maximum(forward[(start + 1) % n, ended], 1e-300)) + scale[ended]
+        out -= sizes[:, None] * math.log(LIFT)
         return out
 
-    def _long(self, word: bytes, lifted: np.ndarray, table: Pieces) -> np.ndarray:
-        """The same for one word of any length, rescaled at each byte."""
-        recent: list[np.ndarray] = [np.ones(len(self.languages))]
-        scale = np.zeros(len(self.languages))
-        for end in range(1, len(word) + 1):
-            value = np.zeros(len(self.languages))
-            for n in range(1, min(len(recent), table.longest) + 1):
-                piece = table.number.get(word[end - n : end])
-                if piece is not None:
-                    value += recent[-n] * lifted[piece]
-            value = np.maximum(value, 1e-300)
-            scale += np.log(value)
-            recent = [r / value for r in recent[1 - table.longest :]] + [np.ones(len(self.languages))]
-        return scale - len(word) * math.log(LIFT)
-
 
 def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on about SAMPLE_DOCS labelled documents outside the held-out fold.
+    """Fit on about SAMPLE_DOCS labelled documents outside the held-out fold, an equal number of each language or all that
+    there are; LEAST_DOCS of each where languages are many.
 
     The driver gets one number per language and piece: the vocabulary's size times the number of languages.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    ids = bounded(rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1)).select("doc_id", "lang", "text"), "doc_id", SAMPLE_DOCS)
+    known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1))
+    counts = materialize(known.groupBy("lang").agg(F.count("*").alias("docs")), "language-counts")
+    quota = max(SAMPLE_DOCS // max(1, counts.count()), LEAST_DOCS)
+    ids = known.join(counts, "lang").where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 40)) < F.lit(quota * float(1 << 40)) / F.col("docs"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,6 +229,7 @@ def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
 
     counted = ids.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "word-counts")
+    discard(counts)
     languages = [r.lang for r in counted.select("lang").distinct().orderBy("lang").collect()]
     table = pieces(path)
     probability = np.full((len(table.number), max(1, len(languages))), 1.0) / len(table.number)
@@ -187,6 +242,7 @@ def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
         background = soft.sum(axis=1) + 0.01
         background /= background.sum()
         probability = (soft + BACKGROUND * background[:, None]) / (soft.sum(axis=0) + BACKGROUND)
+    discard(counted)
     return Model(path, languages, probability)
 
 
@@ -200,6 +256,12 @@ def _expectation(model):
         soft = np.zeros((len(own.languages), len(table.number)))
         for batch in batches:
             rows = [(place[lang], spelled(w), n) for lang, w, n in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            long = [r for r in rows if len(r[1]) > SHORT]
+            parts: dict[tuple[int, bytes], float] = {}
+            for (lang, _, n), cut in zip(long, table.parts([r[1] for r in long]) if long else [], strict=True):
+                for part in cut:
+                    parts[lang, part] = parts.get((lang, part), 0) + n
+            rows = [r for r in rows if len(r[1]) <= SHORT] + [(lang, part, n) for (lang, part), n in parts.items()]
             for lang, word, n in rows:
                 if len(word) > SHORT:
                     _add_long(soft[lang], word, n, lifted[:, lang], table)
@@ -208,7 +270,7 @@ def _expectation(model):
                 some = rows[at : at + TOGETHER // 4]
                 lang = np.array([r[0] for r in some])
                 sizes = np.array([len(r[1]) for r in some])
-                matched = table.matches([r[1] for r in some])
+                matched = list(table.matches([r[1] for r in some]))
                 forward = np.zeros((len(matched) + 1, len(some)))
                 backward = np.zeros_like(forward)
                 forward[0] = 1
@@ -231,7 +293,7 @@ def _expectation(model):
 
 
 def _add_long(soft: np.ndarray, word: bytes, times: float, lifted: np.ndarray, table: Pieces) -> None:
-    """Add the expected piece counts of one word of any length: forward sums rescaled at each byte, then the share of
+    """Add the expected piece counts of a part that cannot be cut, of any length: forward sums rescaled at each byte, then the share of
     each piece in the sum at its end, carried back from the word's end."""
     growth = [1.0] * (len(word) + 1)
     recent = [1.0]

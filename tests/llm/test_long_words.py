@@ -10,6 +10,21 @@ import pyarrow as pa
 from gridloom.llm import language
 
 
+def byte_by_byte(model, word):
+    """The forward algorithm on one word, rescaled at each byte."""
+    table, lifted = language.pieces(model.path), model.lifted()
+    recent, scale = [np.ones(len(model.languages))], np.zeros(len(model.languages))
+    for end in range(1, len(word) + 1):
+        value = np.zeros(len(model.languages))
+        for n in range(1, min(len(recent), table.longest) + 1):
+            piece = table.number.get(word[end - n : end])
+            if piece is not None:
+                value += recent[-n] * lifted[piece]
+        scale += np.log(value)
+        recent = [r / value for r in recent[1 - table.longest :]] + [np.ones(len(model.languages))]
+    return scale - len(word) * np.log(language.LIFT)
+
+
 def test_long_words_train(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     table = language.pieces(path)
@@ -51,5 +66,29 @@ def test_pieces_of_any_length_count():
     chance = np.full((len(table.number), 1), 1e-9)
     chance[table.number[longest]] = 0.5
     model = language.Model(path, ["a"], chance)
-    for score in (model.score_words([longest], model.lifted())[0, 0], model._long(longest, model.lifted(), table)[0]):
+    for score in (model.score_words([longest], model.lifted())[0, 0], byte_by_byte(model, longest)[0]):
         assert abs(score - np.log(0.5)) < 0.01
+
+
+def test_words_of_any_length_score_as_byte_by_byte(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rng, size = np.random.default_rng(1), len(language.pieces(path).number)
+    chance = rng.random((size, 3))
+    model = language.Model(path, ["a", "b", "c"], chance / chance.sum(axis=0))
+    han = [chr(c) for c in rng.integers(0x4E00, 0x9000, 300)] + list("的一是不了人我在有他这中大来上国") * 20
+    texts = ["".join(rng.choice(han, n)) for n in (1, 5, 20, 60, 400)] + ["a" * 300, "wort" * 40, "x", "schiff" * 12 + "ß" * 9, "ไทยภาษาคนที่นี่" * 9]
+    words = [language.spelled(t) for t in texts]
+    want = np.array([byte_by_byte(model, w) for w in words])
+    np.testing.assert_allclose(model.score_words(words, model.lifted()), want, rtol=1e-9)
+    assert [b"".join(p) for p in language.pieces(path).parts(words)] == words
+    for name, value in (("SHORT", 4), ("TOGETHER", 6), ("TOGETHER_BYTES", 100)):
+        monkeypatch.setattr(language, name, value)
+        np.testing.assert_allclose(model.score_words(words, model.lifted()), want, rtol=1e-9)
+
+
+def test_a_rare_language_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_DOCS", 60)
+    rows = [(i, f"the common words of one language number {i}", "en") for i in range(3000)] + [(5000 + i, "die seltene sprache ist auch hier", "xx") for i in range(12)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert model.languages == ["en", "xx"]
+    assert language.Scorer(model)(["die sprache ist hier", "the words of a language"])[0] == ["xx", "en"]
