@@ -114,22 +114,23 @@ def nearest(points: DataFrame, lines: DataFrame, cell: float, point_id: str, lin
     return pairs.groupBy(point_id).agg(F.min_by(line_id, F.struct("distance", line_id)).alias(line_id), F.min("distance").alias("distance"))
 
 
-def cell_components(cells: DataFrame, diagonal: bool = False) -> DataFrame:
+def cell_components(cells: DataFrame, diagonal: bool = False, same: str | None = None) -> DataFrame:
     """Label connected cells: (x, y, z, label) with the smallest packed coordinate of the component as label.
 
-    Neighbours meet by equi-join on shifted coordinates. Raises where x lies outside [0, 2^23) or y or z outside [0, 2^20).
+    Neighbours meet by equi-join on shifted coordinates, with ``same`` only where that column is equal too. Raises where x lies outside [0, 2^23) or y or z outside [0, 2^20).
     """
-    _within(cells, 23, 20)
+    check_packed(cells, 23, 20)
     packed = (F.col("x").cast("long") * (1 << 40)) + (F.col("y").cast("long") * (1 << 20)) + F.col("z")
-    nodes = cells.select(*CELL, packed.alias("node"))
+    alike = [same] if same else []
+    nodes = cells.select(*CELL, *alike, packed.alias("node"))
     steps = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)] if diagonal else [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
-    ahead = nodes.select(F.col("node").alias("src"), F.explode(F.array(*[F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y"), (F.col("z") + c).alias("z")) for a, b, c in steps])).alias("_to")).select("src", "_to.*")
-    edges = ahead.join(nodes, list(CELL)).select("src", F.col("node").alias("dst"))
+    ahead = nodes.select(F.col("node").alias("src"), F.explode(F.array(*[F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y"), (F.col("z") + c).alias("z")) for a, b, c in steps])).alias("_to"), *alike).select("src", "_to.*", *alike)
+    edges = ahead.join(nodes, [*CELL, *alike]).select("src", F.col("node").alias("dst"))
     roots = connected_components(edges)
     return nodes.join(roots, "node", "left").select(*CELL, F.coalesce("root", "node").alias("label"))
 
 
-def _within(cells: DataFrame, x_bits: int, bits: int) -> None:
+def check_packed(cells: DataFrame, x_bits: int, bits: int) -> None:
     """Raise where coordinates do not fit into their bits of a packed number."""
     ends = cells.agg(*[f(c).alias(f"{n}{c}") for c in CELL for n, f in (("low", F.min), ("high", F.max))]).first()
     for c in CELL:
@@ -279,7 +280,7 @@ def basins(field: DataFrame, value: str) -> DataFrame:
     Ties and plateaus drain to the smallest packed coordinate, so there are no cycles. Raises where x lies outside
     [0, 2^23) or y or z outside [0, 2^15).
     """
-    _within(field, 23, 15)
+    check_packed(field, 23, 15)
     import numpy as np
 
     from .stencil import brick_apply, offsets, shifted
@@ -302,9 +303,53 @@ def basins(field: DataFrame, value: str) -> DataFrame:
     return down.select("x", "y", "z", F.col("node").cast("long").alias("node")).join(roots, "node").select("x", "y", "z", F.col("root").alias("basin"))
 
 
-def _absorbed(value, known, fixed, beta: float):
+def passes(labelled: DataFrame, value: str, basin: str = "basin") -> DataFrame:
+    """(u, v, height): the lowest pass between neighbouring basins u < v, the higher of two cells of the
+    27-neighbourhood on either side. Each brick hands on one row for each pair that meets in it."""
+    import numpy as np
+    import pandas as pd
+
+    from .stencil import BRICK, brick_blocks, offsets, shifted
+
+    h = (1, 1, 1)
+
+    def run(origin, place, padded):
+        own, here = (shifted(p, h, (0, 0, 0)) for p in padded)
+        found = []
+        for o in offsets(h):
+            other, there = (shifted(p, h, o) for p in padded)
+            meet = own < other  # false where either is missing
+            found.append(np.stack([own[meet], other[meet], np.maximum(here, there)[meet]], axis=1))
+        rows = pd.DataFrame(np.concatenate(found), columns=["u", "v", "height"])
+        return rows.groupby(["u", "v"], as_index=False)["height"].min().astype({"u": "int64", "v": "int64"})
+
+    met = brick_blocks(labelled.select(*CELL, basin, value), [basin, value], h, run, "u long, v long, height double", BRICK)
+    return met.groupBy("u", "v").agg(F.min("height").alias("height"))
+
+
+def watershed(field: DataFrame, value: str, level: float = 0.0, threshold: float = 0.0) -> DataFrame:
+    """(x, y, z, basin): basins by steepest descent, merged up to a flood level.
+
+    ``threshold`` and ``level`` are shares of the range of values. Values below the threshold are raised to it. As water
+    rises, two basins that meet are merged if the shallower one is at most ``level`` deep there (``spanning.merge_tree``);
+    merged basins take the smallest of their labels, which are packed coordinates of minima as in ``basins``.
+    """
+    from .spanning import merge_tree
+
+    ends = field.agg(F.min(F.col(value).cast("double")).alias("low"), F.max(F.col(value).cast("double")).alias("high")).first()
+    low, span = ends["low"] or 0.0, (ends["high"] or 0.0) - (ends["low"] or 0.0)
+    raised = field.select(*CELL, F.greatest(F.col(value).cast("double"), F.lit(low + threshold * span)).alias("_v"))
+    labelled = materialize(raised.join(basins(raised, "_v"), list(CELL)), "basins")
+    lows = labelled.groupBy(F.col("basin").alias("node")).agg(F.min("_v").alias("low"))
+    merged = merge_tree(passes(labelled, "_v"), lows).where(F.col("saliency") <= level * span)
+    roots = connected_components(merged, "a", "b").withColumnsRenamed({"node": "basin"})
+    return labelled.join(roots, "basin", "left").select(*CELL, F.coalesce("root", "basin").alias("basin"))
+
+
+def _absorbed(value, known, fixed, weigh):
     """Probabilities of the cells of a block, given those of its seeds and of its outermost layer.
 
+    ``weigh(axis, step)`` is the weight of each cell's edge to the next cell along an axis, not a number where there is none.
     Cells are eliminated one by one in band order, each handing its weights to its neighbours (star-mesh). No step
     subtracts, so weights of any magnitude keep their digits. Cells without a path to a given cell keep what they had.
     """
@@ -328,10 +373,10 @@ def _absorbed(value, known, fixed, beta: float):
     def taken(array):
         return array[box].transpose(order).ravel()
 
-    own, here = taken(free), taken(value)
+    own = taken(free)
     for axis in range(3):
         for step in (1, -1):
-            w = np.exp(-beta * (taken(np.roll(value, -step, order[axis])) - here) ** 2)
+            w = taken(weigh(order[axis], step))
             w = np.where(own & ~np.isnan(w), w, 0.0)
             inner = taken(np.roll(free, -step, order[axis]))
             links[at[inner], band + step * strides[axis]] += w[inner]
@@ -362,13 +407,42 @@ def _absorbed(value, known, fixed, beta: float):
     return out
 
 
-def _walk(field: DataFrame, value: str, seeds: DataFrame, targets: dict[str, Column], beta: float, rounds: int, tolerance: float, brick: int) -> DataFrame:
-    """(x, y, z, *targets): harmonic functions that equal ``targets`` (columns of ``seeds``) on the seeds.
+def _contrast(value, beta: float):
+    """Edge weights exp(-beta * difference^2) of a block."""
+    import numpy as np
+
+    return lambda axis, step: np.exp(-beta * (np.roll(value, -step, axis) - value) ** 2)
+
+
+def _stored(value, forward):
+    """Edge weights of a block from those of the edges to the next cell along each axis."""
+    import numpy as np
+
+    return lambda axis, step: np.where(np.isnan(np.roll(value, -step, axis)), np.nan, forward[axis] if step == 1 else np.roll(forward[axis], 1, axis))
+
+
+def _walk(field: DataFrame, value: str, seeds: DataFrame, targets: dict[str, Column], beta: float, rounds: int, tolerance: float, brick: int, weights: DataFrame | None = None) -> DataFrame:
+    """(x, y, z, *targets): harmonic functions that equal ``targets`` (columns of ``seeds``) on the seeds."""
+    names = list(targets)
+    marks = seeds.select(*CELL, *[c.cast("double").alias(f"_{name}") for name, c in targets.items()], F.lit(1).alias("_seed"))
+    state = field.select(*CELL, F.col(value).alias("_v")).join(marks, list(CELL), "left")
+    state = state.select(*CELL, "_v", *[F.coalesce(f"_{name}", F.lit(0.5)).alias(name) for name in names], F.col("_seed").isNotNull().cast("int").alias("_fixed"))
+    if weights is not None:
+        state = state.join(weights.select(*CELL, *EDGES), list(CELL), "left")
+    return _settle(state, names, beta, rounds, tolerance, brick, weights is not None).select(*CELL, *names)
+
+
+#: Columns of an edge-weight table: the weights of a cell's edges to the next cell along x, y and z.
+EDGES = ("w0", "w1", "w2")
+
+
+def _settle(state: DataFrame, names: Sequence[str], beta: float, rounds: int, tolerance: float, brick: int, stored: bool) -> DataFrame:
+    """Harmonic values ``names`` of the cells (x, y, z, _v, *names, _fixed) that are not fixed, from those that are.
 
     Each round solves every brick and two layers around it exactly, given the last values beyond, and is written to the
     shared folder. From the largest change and the rate at which changes shrink follows the error that is left; rounds go
     on until it is below the tolerance. It is an estimate: a region across bricks whose links to the rest are weaker than
-    about 1e-9 of those inside it can escape it.
+    about 1e-9 of those inside it can escape it. Bricks of fixed cells only are handed on as they are.
     """
     import numpy as np
 
@@ -376,21 +450,25 @@ def _walk(field: DataFrame, value: str, seeds: DataFrame, targets: dict[str, Col
 
     h = (2, 2, 2)
     inside = tuple(slice(n, -n) for n in h)
-    names = list(targets)
+    held = [*EDGES] if stored else []
+    n = len(names)
 
     def kernel(p):
-        known = np.stack(p[1:-1])
+        known, fixed = np.stack(p[1 : n + 1]), p[n + 1]
         old = known[(slice(None), *inside)]
+        weight = _stored(p[0], p[n + 2 :]) if stored else _contrast(p[0], beta)
         # Bricks of nothing but neighbours' cells return no row.
-        new = old if np.isnan(old[0]).all() else _absorbed(p[0], known, p[-1], beta)[(slice(None), *inside)]
-        return [p[0][inside], *new, p[-1][inside], np.abs(new - old).max(axis=0)]
+        new = old if np.isnan(old[0]).all() else _absorbed(p[0], known, fixed, weight)[(slice(None), *inside)]
+        return [p[0][inside], *new, fixed[inside], *[w[inside] for w in p[n + 2 :]], np.abs(new - old).max(axis=0)]
 
-    marks = seeds.select(*CELL, *[c.cast("double").alias(f"_{name}") for name, c in targets.items()], F.lit(1).alias("_seed"))
-    state = field.select(*CELL, F.col(value).alias("_v")).join(marks, list(CELL), "left")
-    state = state.select(*CELL, "_v", *[F.coalesce(f"_{name}", F.lit(0.5)).alias(name) for name in names], F.col("_seed").isNotNull().cast("int").alias("_fixed"))
+    columns = ["_v", *names, "_fixed", *held]
     changes: list[float] = []
+    before = None
     for _ in range(rounds):
-        state = materialize(brick_apply(state, ["_v", *names, "_fixed"], h, kernel, ["_v", *names, "_fixed", "_change"], brick), "walker")
+        state = materialize(brick_apply(state, columns, h, kernel, [*columns, "_change"], brick), "walker")
+        if before is not None:
+            discard(before)
+        before = state
         changes.append(state.agg(F.max("_change")).first()[0] or 0.0)
         rate = max((b / a for a, b in zip(changes[-4:], changes[-3:], strict=False) if a > 0), default=1.0)
         if changes[-1] == 0 or (rate < 1 and changes[-1] * rate / (1 - rate) <= tolerance):
@@ -398,13 +476,64 @@ def _walk(field: DataFrame, value: str, seeds: DataFrame, targets: dict[str, Col
     raise RuntimeError(f"random walker: changes of {changes[-1]:.3g} after {rounds} rounds")
 
 
-def random_walker(field: DataFrame, value: str, seeds: DataFrame, beta: float = 0.01, rounds: int = 1000, tolerance: float = 1e-6, brick: int = 16) -> DataFrame:
+def random_walker(field: DataFrame, value: str, seeds: DataFrame, beta: float = 0.01, rounds: int = 1000, tolerance: float = 1e-6, brick: int = 16, weights: DataFrame | None = None) -> DataFrame:
     """(x, y, z, probability) that a walker from a cell meets a seed of label 1 before one of label 0.
 
-    ``seeds`` has (x, y, z, label). Edge weights are exp(-beta * difference^2). Seeds keep their label, cells without a
-    path to a seed get 0.5. Raises if the tolerance is not met within ``rounds``.
+    ``seeds`` has (x, y, z, label). Edge weights are exp(-beta * difference^2), or those of a table (x, y, z, w0, w1, w2) as
+    ``walker_weights.edge_weights`` makes it. Seeds keep their label, cells without a path to a seed get 0.5. Raises if the
+    tolerance is not met within ``rounds``.
+    """
+    return _walk(field, value, seeds, {"probability": F.col("label")}, beta, rounds, tolerance, brick, weights)
+
+
+def pyramid_walker(field: DataFrame, value: str, seeds: DataFrame, beta: float = 0.01, levels: int = 2, sure: float = 0.02, rounds: int = 1000, tolerance: float = 1e-6, brick: int = 8) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """The random walker from coarse to fine: (x, y, z, probability), and per level the bricks solved and all bricks.
+
+    Level n holds means of 2^n cells along each axis. The coarsest level is walked as a whole; on each finer one only
+    bricks are solved that are not settled: a brick is settled if the coarse probabilities of it and of one coarse cell
+    around it lie all within ``sure`` of 0 or all within ``sure`` of 1, and none of its seeds says otherwise. Cells of
+    settled bricks take the coarse probability and bound the others. A coarse cell is a seed if it holds seeds, with the
+    label of most of them; ties give none.
     """
-    return _walk(field, value, seeds, {"probability": F.col("label")}, beta, rounds, tolerance, brick)
+    from .stencil import half_sample
+
+    fields, marks = [field.select(*CELL, F.col(value).cast("double").alias("_v"))], [seeds.select(*CELL, F.col("label").cast("double").alias("label"))]
+    half = [F.floor(F.col(c) / 2).cast("int").alias(c) for c in CELL]
+    for _ in range(levels):
+        fields.append(materialize(half_sample(fields[-1], "_v", "_v"), "pyramid"))
+        marks.append(materialize(marks[-1].groupBy(*half).agg(F.avg("label").alias("label")).where("label != 0.5").select(*CELL, F.round("label").alias("label")), "pyramid-seeds"))
+    walked = materialize(_walk(fields[levels], "_v", marks[levels], {"probability": F.col("label")}, beta, rounds, tolerance, brick), "pyramid-walk")
+    corner = [F.floor(F.col(c) / brick).cast("int").alias(f"b{c}") for c in CELL]
+    solved: dict[int, tuple[int, int]] = {}
+    every = walked.select(*corner).distinct().count()
+    solved[levels] = (every, every)
+    for level in range(levels - 1, -1, -1):
+        own = fields[level].select(*CELL, "_v", *corner)
+        # The coarse cells that a brick's cells and those next to them lie in say whether it is settled.
+        spread = walked.select("probability", *[F.explode(F.sequence(F.floor((2 * F.col(c) - 2) / brick).cast("int"), F.floor((2 * F.col(c) + 3) / brick).cast("int"))).alias(f"b{c}") if i == 0 else F.col(c) for i, c in enumerate(CELL)])
+        for c in CELL[1:]:
+            spread = spread.withColumn(f"b{c}", F.explode(F.sequence(F.floor((2 * F.col(c) - 2) / brick).cast("int"), F.floor((2 * F.col(c) + 3) / brick).cast("int"))))
+        asked = marks[level].select(*corner, F.col("label").alias("probability"))
+        bounds = spread.select("bx", "by", "bz", "probability").unionByName(asked).groupBy("bx", "by", "bz").agg(F.min("probability").alias("low"), F.max("probability").alias("high"))
+        open_bricks = materialize(bounds.where((F.col("low") < 1 - sure) & (F.col("high") > sure)).select("bx", "by", "bz").join(own.select("bx", "by", "bz").distinct(), ["bx", "by", "bz"]), "pyramid-open")
+        total = own.select("bx", "by", "bz").distinct().count()
+        solved[level] = (open_bricks.count(), total)
+        coarse = walked.select(*[F.col(c).alias(f"_{c}") for c in CELL], "probability")
+        cells = own.withColumns({f"_{c}": F.floor(F.col(c) / 2).cast("int") for c in CELL}).join(coarse, [f"_{c}" for c in CELL])
+        cells = cells.join(marks[level], list(CELL), "left").join(open_bricks.withColumn("_open", F.lit(1)), ["bx", "by", "bz"], "left")
+        fixed = F.col("label").isNotNull() | F.col("_open").isNull()
+        state = materialize(cells.select(*CELL, "_v", F.coalesce("label", "probability").alias("probability"), fixed.cast("int").alias("_fixed"), "_open", "bx", "by", "bz"), "pyramid-state")
+        # Only open bricks and the cells next to them take part in the rounds.
+        reach = open_bricks
+        for c in CELL:
+            reach = reach.withColumn(f"b{c}", F.explode(F.array(F.col(f"b{c}") - 1, F.col(f"b{c}"), F.col(f"b{c}") + 1)))
+        part = state.join(reach.distinct(), ["bx", "by", "bz"], "left_semi").select(*CELL, "_v", "probability", "_fixed")
+        rest = state.join(reach.distinct(), ["bx", "by", "bz"], "left_anti").select(*CELL, "probability")
+        new = _settle(part, ["probability"], beta, rounds, tolerance, brick, False) if solved[level][0] else part
+        done, walked = walked, materialize(new.select(*CELL, "probability").unionByName(rest), "pyramid-walk")
+        discard(done)
+        discard(state)
+    return walked, solved
 
 
 def multilabel_walker(field: DataFrame, value: str, seeds: DataFrame, labels: Sequence[int], beta: float = 0.01, rounds: int = 1000, tolerance: float = 1e-6, brick: int = 16) -> DataFrame:

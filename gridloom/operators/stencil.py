@@ -16,14 +16,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.session import materialize
+
 #: Cells of a brick along each axis.
 BRICK = 32
 
 Kernel = Callable[[Sequence[np.ndarray]], Sequence[np.ndarray]]
 
 
-def brick_apply(field: DataFrame, values: Sequence[str], halo: tuple[int, int, int], kernel: Kernel, out: Sequence[str], brick: int = BRICK) -> DataFrame:
-    """(x, y, z, *out): the kernel gets padded arrays indexed [x, y, z] and returns arrays of the unpadded shape."""
+def brick_blocks(field: DataFrame, values: Sequence[str], halo: tuple[int, int, int], run: Callable[[list[int], tuple, list[np.ndarray]], pd.DataFrame], schema: str, brick: int = BRICK) -> DataFrame:
+    """What ``run`` makes of each brick: it gets the coordinates of the padded block's first cell, the places of the cells
+    that exist in it, and one padded array per value, indexed [x, y, z]."""
     axes = ("x", "y", "z")
     cells = field.select(*axes, *[F.col(v).cast("double").alias(v) for v in values])
     for axis, reach in zip(axes, halo, strict=True):
@@ -31,25 +34,34 @@ def brick_apply(field: DataFrame, values: Sequence[str], halo: tuple[int, int, i
         low, high = F.floor((F.col(axis) - reach) / brick).cast("int"), F.floor((F.col(axis) + reach) / brick).cast("int")
         cells = cells.withColumn(f"b{axis}", F.explode(F.sequence(low, high)) if reach else own)
 
-    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+    def padded(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         origin = [int(k) * brick - h for k, h in zip(key, halo, strict=True)]
         shape = [brick + 2 * h for h in halo]
         place = tuple(block[a].to_numpy() - o for a, o in zip(axes, origin, strict=True))
-        padded = []
+        arrays = []
         for name in values:
             array = np.full(shape, np.nan)
             array[place] = block[name].to_numpy()
-            padded.append(array)
+            arrays.append(array)
         with warnings.catch_warnings(), np.errstate(all="ignore"):
             warnings.simplefilter("ignore")
-            results = kernel(padded)
+            return run(origin, place, arrays)
+
+    return cells.groupBy("bx", "by", "bz").applyInPandas(padded, schema)
+
+
+def brick_apply(field: DataFrame, values: Sequence[str], halo: tuple[int, int, int], kernel: Kernel, out: Sequence[str], brick: int = BRICK) -> DataFrame:
+    """(x, y, z, *out): the kernel gets padded arrays indexed [x, y, z] and returns arrays of the unpadded shape."""
+
+    def run(origin: list[int], place: tuple, padded: list[np.ndarray]) -> pd.DataFrame:
+        results = kernel(padded)
         inner = np.logical_and.reduce([(p >= h) & (p < brick + h) for p, h in zip(place, halo, strict=True)])
         at = tuple(p[inner] - h for p, h in zip(place, halo, strict=True))
-        data = {a: block[a].to_numpy()[inner] for a in axes}
+        data = {a: p[inner] + o for a, p, o in zip(("x", "y", "z"), place, origin, strict=True)}
         return pd.DataFrame(data | {name: r[at] for name, r in zip(out, results, strict=True)})
 
     schema = "x int, y int, z int, " + ", ".join(f"{name} double" for name in out)
-    return cells.groupBy("bx", "by", "bz").applyInPandas(run, schema)
+    return brick_blocks(field, values, halo, run, schema, brick)
 
 
 def shifted(padded: np.ndarray, halo: tuple[int, int, int], offset: tuple[int, int, int]) -> np.ndarray:
@@ -323,8 +335,25 @@ def diffuse(field: DataFrame, value: str, steps: int = 2, dt: float = 0.1, condu
 
 
 def regional_maxima(field: DataFrame, value: str, out: str = "is_max") -> DataFrame:
-    """1 where no cell of the 27-neighbourhood is higher (a plateau counts where all its cells do)."""
-    return brick_apply(field, [value], (1, 1, 1), lambda p: [(shifted(p[0], (1, 1, 1), (0, 0, 0)) >= np.nanmax(neighbours(p[0], (1, 1, 1)), axis=0)).astype(float)], [out])
+    """1 for cells of a plateau (connected cells of one value, of the 27-neighbourhood) that no neighbour is higher than.
+
+    A cell without an equal neighbour is decided in its brick; the others are linked to plateaus, whose cells are
+    maxima if none of them has a higher neighbour.
+    """
+    from .graph import cell_components
+
+    h = (1, 1, 1)
+
+    def kernel(p):
+        here, near = shifted(p[0], h, (0, 0, 0)), neighbours(p[0], h, any)
+        return [here, (near > here).any(axis=0).astype(float), (near == here).any(axis=0).astype(float)]
+
+    cells = materialize(brick_apply(field, [value], h, kernel, ["_value", "_below", "_flat"]), "maxima")
+    flat = cells.where("_flat = 1")
+    plateaus = flat.join(cell_components(flat, diagonal=True, same="_value"), ["x", "y", "z"])
+    below = plateaus.groupBy("label").agg(F.max("_below").alias("_any"))
+    decided = plateaus.join(below, "label").select("x", "y", "z", (1 - F.col("_any")).alias(out))
+    return cells.where("_flat = 0").select("x", "y", "z", (1 - F.col("_below")).alias(out)).unionByName(decided)
 
 
 def gradient_vector_flow(field: DataFrame, value: str, steps: int = 3, mu: float = 0.1, dt: float = 0.5, out: Sequence[str] = ("fx", "fy", "fz")) -> DataFrame:

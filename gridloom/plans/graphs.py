@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog import register
-from gridloom.operators import graph, trajectories
+from gridloom.operators import graph, thinning, trajectories, walker_weights
 from gridloom.operators.components import connected_components
 
 from . import fixtures as fx
@@ -170,6 +170,12 @@ def watershed(spark, d):
     return graph.basins(fx.grid(spark, d), "v")
 
 
+@register("g12_watershed_level")
+def watershed_level(spark, d):
+    """Basins merged up to a fifth of the range, above a tenth of it."""
+    return graph.watershed(fx.grid(spark, d), "v", level=0.2, threshold=0.1)
+
+
 @register("g14_random_walker")
 def random_walker(spark, d):
     g = fx.grid(spark, d)
@@ -177,6 +183,27 @@ def random_walker(spark, d):
     return graph.random_walker(g, "v", seeds)
 
 
+def _noise_walker(method: str, value: str):
+    @register(f"g14_walker_{method}")
+    def walker(spark, d):
+        """The walker with edge weights of a noise model."""
+        g = fx.grid(spark, d)
+        seeds = g.where("v > 140 or v < 80").select("x", "y", "z", (F.col("v") > 100).cast("int").alias("label"))
+        return graph.random_walker(g, value, seeds, weights=walker_weights.edge_weights(g, value, method))
+
+
+for _method, _value in (("gaussian", "v"), ("gaussian_local", "v"), ("poisson", "n"), ("ttest", "v")):
+    _noise_walker(_method, _value)
+
+
+@register("g14_pyramid_walker")
+def pyramid_walker(spark, d):
+    """From a grid of half the resolution; only the bricks that it leaves open are solved."""
+    g = fx.grid(spark, d)
+    seeds = g.where("v > 140 or v < 80").select("x", "y", "z", (F.col("v") > 100).cast("int").alias("label"))
+    return graph.pyramid_walker(g, "v", seeds, levels=1)[0]
+
+
 @register("g15_seeds", f"WITH {fx.GRID_SQL} SELECT DISTINCT CAST(round_even(x * 1.5::DOUBLE, 0) AS INT) AS x, y, z FROM grid WHERE round_even(x * 1.5::DOUBLE, 0) <= 15 AND n % 5 <> 0")
 def seeds(spark, d):
     points = fx.grid(spark, d).select(F.when(F.col("n") % 5 != 0, F.col("x") * 1.5).alias("x"), "y", "z")
@@ -213,6 +240,17 @@ def medial_surface(spark, d):
     return regional_maxima(distance.where("distance > 0"), "distance").where("is_max = 1").select("x", "y", "z")
 
 
+@register("n21_medial_line")
+def medial_line(spark, d):
+    return thinning.thin(fx.grid(spark, d).where("v >= 104"))
+
+
+@register("n21_medial_point")
+def medial_point(spark, d):
+    """What thinning leaves where ends may go: a cell for each part without holes, loops for the others."""
+    return thinning.thin(fx.grid(spark, d).where("v >= 104"), ends=False)
+
+
 @register("g14_t10_multilabel_walker")
 def multilabel_walker(spark, d):
     """One walk per label against the others; a cell takes the label that is most probable."""

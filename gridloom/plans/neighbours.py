@@ -66,11 +66,18 @@ _field("n22_local_average", "SELECT x, y, z, round(CASE WHEN c > 100 THEN avg(CA
 _field("n24_one_sided", "SELECT a.x, a.y, a.z, (-3 * a.v + 4 * b.v - c.v) / 2 AS d FROM grid a LEFT JOIN grid b ON b.x = a.x + 1 AND b.y = a.y AND b.z = a.z LEFT JOIN grid c ON c.x = a.x + 2 AND c.y = a.y AND c.z = a.z", "one AS (SELECT 1)")(lambda g: stencil.one_sided(g, "v"))
 _field("n25_laplacian", "SELECT x, y, z, CASE WHEN count(*) < 7 THEN 0 ELSE sum(CASE WHEN dx = 0 AND dy = 0 AND dz = 0 THEN -6 * v ELSE v END) END AS laplacian FROM near WHERE abs(dx) + abs(dy) + abs(dz) <= 1 GROUP BY x, y, z")(lambda g: stencil.laplacian(g, "v"))
 _field("n26_mean", "SELECT x, y, z, round(avg(v), 6) AS mean FROM near GROUP BY x, y, z")(lambda g: _round(stencil.mean(g, "v"), "mean"))
-_field("n31_regional_maxima", "SELECT x, y, z, CASE WHEN c >= max(v) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_max FROM near GROUP BY x, y, z, c")(lambda g: stencil.regional_maxima(g, "v"))
 _field("n32_unsharp_mask", "SELECT x, y, z, round(CASE WHEN abs(c - avg(v)) < 5 THEN c ELSE 1.5::DOUBLE * c - 0.5::DOUBLE * avg(v) END, 5) AS sharp FROM near GROUP BY x, y, z, c")(
     lambda g: _blurred(g).select(*AXES, F.round(cw.unsharp(F.col("v"), F.col("mean"), 1.5, 5.0), 5).alias("sharp"))
 )
 
+PLATEAUS = f"WITH RECURSIVE {fx.GRID_SQL}, {NEAR}, p AS (SELECT x, y, z, c, x * 10000 + y * 100 + z AS id, max(v) > c AS below FROM near GROUP BY x, y, z, c), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 AND a.c = b.c AND a.id <> b.id), reach AS (SELECT id, id AS other FROM p UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other)"
+
+
+@register("n31_regional_maxima", f"{PLATEAUS} SELECT any_value(p.x) AS x, any_value(p.y) AS y, any_value(p.z) AS z, CASE WHEN bool_or(q.below) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS is_max FROM p JOIN reach ON reach.id = p.id JOIN p q ON q.id = reach.other GROUP BY p.id")
+def regional_maxima(spark, d):
+    return stencil.regional_maxima(fx.grid(spark, d), "v")
+
+
 U = ("u0", "u1", "u2")
 VNEAR = "vn AS (SELECT a.x, a.y, a.z, a.u0 AS c0, a.u1 AS c1, a.u2 AS c2, b.u0, b.u1, b.u2, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM vec a JOIN vec b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) <= 1)"
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.catalog import register
-from gridloom.operators import assignment, combine, tables
+from gridloom.operators import assignment, combine, tables, unwrapping
 from gridloom.operators import cellwise as cw
 
 from . import fixtures as fx
@@ -80,7 +80,7 @@ def optimal_assignment(spark, d):
 @register("p42_phase_unwrapping")
 def phase_unwrapping(spark, d):
     g = fx.grid(spark, d).select("x", "y", "z", F.pmod(F.col("v") / 20, F.lit(6.283185307179586)).alias("phase"), F.lit(1).alias("valid"))
-    return assignment.unwrap_lines(g, "phase", "valid")
+    return unwrapping.unwrap(g, "phase", "valid")
 
 
 @register("p33_prefix_filter", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'STANDARD%' AND p_size IN (1, 2, 3, 5, 8)")

@@ -7,9 +7,11 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from test_spanning import flooded, unwrapped
+from test_thinning import topology
 
 from gridloom import catalog
-from gridloom.operators import stencil
+from gridloom.operators import graph, stencil, thinning, walker_weights
 from gridloom.plans import fixtures as fx
 
 DATA = "/root/testdata/sf0.001"
@@ -140,7 +142,19 @@ def n21_medial_surface(spark, grid):
     outside = np.array([c for c, v in grid.items() if v < 96])
     distance = {c: math.sqrt(((outside - np.array(c)) ** 2).sum(axis=1).min()) for c in grid}
     inside = {c: d for c, d in distance.items() if d > 0}
-    want = {c for c, d in inside.items() if all(inside.get(at(c, o), 0) <= d + 1e-9 for o in NEAR)}
+    want, seen = set(), set()
+    for c, d in inside.items():
+        plateau = {c} if c not in seen else set()
+        front = list(plateau)
+        while front:
+            near = {at(front[-1], o) for o in NEAR} & inside.keys()
+            front.pop()
+            new = {n for n in near if inside[n] == d} - plateau
+            plateau |= new
+            front.extend(new)
+        seen |= plateau
+        if all(inside.get(at(p, o), 0) <= d for p in plateau for o in NEAR):
+            want |= plateau
     assert {(r.x, r.y, r.z) for r in collect(spark, "n21_medial_surface")} == want
 
 
@@ -165,12 +179,82 @@ def g29_vector_quantisation(spark, grid):
     assert spread < ((whole - whole.mean(axis=0)) ** 2).sum()
 
 
-def _dense(grid, seeds):
+def _thinned(spark, grid, name, ends):
+    there = np.zeros((16, 16, 7), bool)
+    for c, v in grid.items():
+        there[c] = v >= 104
+    want = there
+    while not (np.array_equal(new := thinning.thin_once(want, [0, 0, 0], ends), want)):
+        want = new
+    assert {(r.x, r.y, r.z) for r in collect(spark, name)} == set(map(tuple, np.argwhere(want).tolist()))
+    assert topology(want) == topology(there)
+
+
+def n21_medial_line(spark, grid):
+    _thinned(spark, grid, "n21_medial_line", True)
+
+
+def n21_medial_point(spark, grid):
+    _thinned(spark, grid, "n21_medial_point", False)
+
+
+def g12_watershed_level(spark, grid):
+    values = np.full((16, 16, 7), np.inf)
+    for c, v in grid.items():
+        values[c] = v
+    span = max(grid.values()) - min(grid.values())
+    raised = np.maximum(values, min(grid.values()) + 0.1 * span)
+    field = spark.createDataFrame([(*c, float(raised[c])) for c in grid], "x int, y int, z int, v double")
+    basin = {(r.x, r.y, r.z): r.basin for r in graph.basins(field, "v").collect()}
+    want = flooded(raised, basin, 0.2 * span)
+    assert {(r.x, r.y, r.z): r.basin for r in collect(spark, "g12_watershed_level")} == want
+
+
+def _moments(grid):
+    near = {c: np.array([grid[n] for o in [(0, 0, 0), *NEAR] if (n := at(c, o)) in grid]) for c in grid}
+    return {c: (len(v), v.mean(), v.var(ddof=1) if len(v) > 1 else 0.0) for c, v in near.items()}
+
+
+def _noise_walker(method):
+    def proof(spark, grid):
+        counts = {(x, y, z): float(n) for x, y, z, _, n in rows(f"WITH {fx.GRID_SQL} SELECT x, y, z, v, n FROM grid")}
+        of = _moments(counts if method == "poisson" else grid)
+        noise = np.mean([s for _, _, s in of.values()])
+
+        def weight(c, d):
+            (n, a, s), (m, b, t) = of[c], of[d]
+            if method == "poisson":
+                k, j = n * a + 1, m * b + 1
+                h = (k + j) / 2
+                return math.exp(math.lgamma(h) - (math.lgamma(k) + math.lgamma(j)) / 2 + (k * math.log(n) + j * math.log(m)) / 2 - h * math.log((n + m) / 2))
+            s, t = (noise / n, noise / m) if method == "gaussian" else (s / n, t / m)
+            if s + t == 0:
+                return float(a == b)
+            if method == "ttest":
+                freedom = (s + t) ** 2 / (s * s / (n - 1) + t * t / (m - 1))
+                return float(walker_weights.incomplete_beta(np.array(freedom / 2), 0.5, np.array(freedom / (freedom + (a - b) ** 2 / (s + t)))))
+            return math.sqrt(2 * math.sqrt(s * t) / (s + t)) * math.exp(-((a - b) ** 2) / (4 * (s + t)))
+
+        want = _dense(grid, {c: float(v > 100) for c, v in grid.items() if v > 140 or v < 80}, lambda c, d: max(weight(c, d), walker_weights.LEAST))
+        assert max(abs(r.probability - want[r.x, r.y, r.z]) for r in collect(spark, f"g14_walker_{method}")) < 1e-4
+
+    proof.__name__ = f"g14_walker_{method}"
+    return proof
+
+
+def g14_pyramid_walker(spark, grid):
+    """Near the full walk: it differs only where the coarse one was sure."""
+    want = _dense(grid, {c: float(v > 100) for c, v in grid.items() if v > 140 or v < 80})
+    assert max(abs(r.probability - want[r.x, r.y, r.z]) for r in collect(spark, "g14_pyramid_walker")) < 0.05
+
+
+def _dense(grid, seeds, weight=None):
     """Harmonic values by one dense solve; cells that reach no seed keep one half."""
+    weight = weight or (lambda c, d: math.exp(-0.01 * (grid[c] - grid[d]) ** 2))
     number = {c: i for i, c in enumerate(grid)}
     a, b = np.zeros((len(grid), len(grid))), np.zeros(len(grid))
     for c, i in number.items():
-        near = [] if c in seeds else [(number[at(c, o)], math.exp(-0.01 * (grid[c] - grid[at(c, o)]) ** 2)) for o in SIX if at(c, o) in grid]
+        near = [] if c in seeds else [(number[at(c, o)], weight(c, at(c, o))) for o in SIX if at(c, o) in grid]
         a[i, i], b[i] = sum(w for _, w in near) or 1.0, seeds.get(c, 0.0 if near else 0.5)
         for j, w in near:
             a[i, j] = -w
@@ -206,12 +290,12 @@ def w05_resample_curve(spark, grid):
 
 
 def p42_phase_unwrapping(spark, grid):
-    got = {(r.x, r.y, r.z): r for r in collect(spark, "p42_phase_unwrapping")}
-    assert got.keys() == grid.keys()
-    name = next(c for c in next(iter(got.values())).asDict() if c not in ("x", "y", "z", "phase", "valid"))
-    for c, r in got.items():
-        turns = (r[name] - (grid[c] / 20) % (2 * math.pi)) / (2 * math.pi)
-        assert abs(turns - round(turns)) < 1e-6
+    phase, mask = np.zeros((16, 16, 7)), np.zeros((16, 16, 7), bool)
+    for c, v in grid.items():
+        phase[c], mask[c] = (v / 20) % 6.283185307179586, True
+    want = unwrapped(phase, mask, 2 * math.pi)
+    got = {(r.x, r.y, r.z): r.unwrapped for r in collect(spark, "p42_phase_unwrapping")}
+    assert got.keys() == grid.keys() and max(abs(got[c] - want[c]) for c in got) < 1e-6
 
 
 def p60_lattice_stress(spark, grid):
@@ -275,7 +359,7 @@ def g04_contract_paths(spark, grid):
     assert sum(r.edges - 1 for r in got if r.src is not None) + sum(r.edges for r in got if r.src is None) == sum(d == 2 for d in degree.values())
 
 
-PROOFS = {f.__name__: f for f in (n17_curvature, n28_anisotropic_diffusion, n29_gradient_vector_flow, n34_advection_diffusion, n30_vesselness, n21_medial_surface, g13_bayesian_classifier, g29_vector_quantisation, g14_random_walker, g14_t10_multilabel_walker, f32_polynomial_fit, w05_resample_curve, p42_phase_unwrapping, p60_lattice_stress, s37_particles, j16_assignment, g16_streamlines, g01_prune_whole, g04_contract_paths)}
+PROOFS = {f.__name__: f for f in (n17_curvature, n28_anisotropic_diffusion, n29_gradient_vector_flow, n34_advection_diffusion, n30_vesselness, n21_medial_surface, g13_bayesian_classifier, g29_vector_quantisation, g14_random_walker, g14_t10_multilabel_walker, f32_polynomial_fit, w05_resample_curve, p42_phase_unwrapping, p60_lattice_stress, s37_particles, j16_assignment, g16_streamlines, g01_prune_whole, g04_contract_paths, n21_medial_line, n21_medial_point, g12_watershed_level, g14_pyramid_walker, *map(_noise_walker, walker_weights.METHODS))}
 
 
 def test_every_query_without_sql_has_a_proof():
