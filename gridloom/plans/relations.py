@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.catalog import register
-from gridloom.operators import assignment, combine, tables, unwrapping
+from gridloom.operators import assignment, combine, fits, particles, tables, unwrapping
 from gridloom.operators import cellwise as cw
 
 from . import fixtures as fx
@@ -64,6 +64,26 @@ def points_to_grid(spark, d):
     return fx.table(spark, d, "lineitem").groupBy(*key).agg(F.count("*").alias("particles"), F.sum("l_quantity").alias("mass"))
 
 
+PARTICLES_SQL = "particles AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_quantity / 5 AS x, l_discount * 50 AS y, CAST(l_linenumber AS DOUBLE) AS z, CASE l_linenumber % 3 WHEN 0 THEN 0.1::DOUBLE WHEN 1 THEN 0.6::DOUBLE ELSE 0.9::DOUBLE END AS h, mass FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_discount) AS l_discount, sum(l_extendedprice) AS mass FROM lineitem GROUP BY 1, 2)), near AS (SELECT id, mass, CAST(floor(x) + i.n AS INT) AS cx, CAST(floor(y) + j.n AS INT) AS cy, CAST(floor(z) + k.n AS INT) AS cz, sqrt((x - floor(x) - i.n) ** 2 + (y - floor(y) - j.n) ** 2 + (z - floor(z) - k.n) ** 2) / h AS q, x, y, z FROM particles, range(-2, 4) i(n), range(-2, 4) j(n), range(-2, 4) k(n)), kernel AS (SELECT id, mass, cx, cy, cz, CASE WHEN q <= 1 THEN 1 - 1.5::DOUBLE * q * q + 0.75::DOUBLE * q * q * q WHEN q < 2 THEN 0.25::DOUBLE * (2 - q) ** 3 ELSE 0 END AS w, cx = floor(x + 0.5::DOUBLE) AND cy = floor(y + 0.5::DOUBLE) AND cz = floor(z + 0.5::DOUBLE) AS nearest FROM near WHERE q < 2 OR (cx = floor(x + 0.5::DOUBLE) AND cy = floor(y + 0.5::DOUBLE) AND cz = floor(z + 0.5::DOUBLE))), spread AS (SELECT id, mass, cx AS x, cy AS y, cz AS z, CASE WHEN sum(w) OVER p > 0 THEN w / sum(w) OVER p WHEN nearest THEN 1 ELSE 0 END AS w FROM kernel WINDOW p AS (PARTITION BY id))"
+
+
+def _particles(spark, d):
+    """Line items as particles, some of so small a radius that they reach no cell."""
+    rows = fx.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_discount").alias("l_discount"), F.sum("l_extendedprice").alias("mass"))
+    n = F.col("l_linenumber")
+    return rows.select((F.col("l_orderkey") * 8 + n).alias("id"), (F.col("l_quantity") / 5).alias("x"), (F.col("l_discount") * 50).alias("y"), n.cast("double").alias("z"), F.when(n % 3 == 0, 0.1).when(n % 3 == 1, 0.6).otherwise(0.9).alias("h"), "mass")
+
+
+@register("j13_kernel_to_cells", f"WITH {PARTICLES_SQL} SELECT x, y, z, count(*) AS particles, round(sum(mass * w), 2) AS mass FROM spread WHERE w > 0 GROUP BY x, y, z")
+def kernel_to_cells(spark, d):
+    return particles.to_cells(_particles(spark, d), ["mass"], "h").withColumn("mass", F.round("mass", 2))
+
+
+@register("j13_kernel_from_cells", f"WITH {fx.GRID_SQL}, {PARTICLES_SQL} SELECT id, round(sum(v * w) / sum(w), 5) AS v FROM spread JOIN grid USING (x, y, z) WHERE w > 0 GROUP BY id")
+def kernel_from_cells(spark, d):
+    return particles.from_cells(_particles(spark, d), fx.grid(spark, d), ["v"], "id", "h").withColumn("v", F.round("v", 5))
+
+
 @register("j15_overlap_tracking", f"WITH {fx.GRID_SQL}, o AS (SELECT CAST(floor(v / 10) AS INT) AS lab, x, y, z FROM grid), p AS (SELECT a.lab AS from_label, b.lab AS to_label, count(*) AS shared FROM o a JOIN o b ON a.x = b.x AND a.y = b.y AND a.z = 2 AND b.z = 3 GROUP BY 1, 2), s AS (SELECT lab, count(*) AS size FROM o WHERE z = 2 GROUP BY 1) SELECT from_label, to_label, shared, round(shared / size, 6) AS fraction FROM p JOIN s ON lab = from_label WHERE shared / size >= 0.2")
 def overlap_tracking(spark, d):
     g = fx.grid(spark, d).withColumn("lab", F.floor(F.col("v") / 10).cast("int"))
@@ -211,6 +231,28 @@ def polynomial_fit(spark, d):
     return tables.polynomial_fit(fx.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 2, ["l_returnflag"])
 
 
+@register("f32_spline_fit")
+def spline_fit(spark, d):
+    """Coefficients of a cubic spline of eight pieces for each flag."""
+    return fits.spline_fit(fx.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 8, ["l_returnflag"])
+
+
+@register("f32_spline_values")
+def spline_values(spark, d):
+    rows = fx.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.dayofyear("o_orderdate").cast("double").alias("day"), "o_totalprice")
+    fit = fits.spline_fit(rows, "day", "o_totalprice", 12, ["o_orderpriority"])
+    return fits.spline_values(rows, "day", fit, ["o_orderpriority"]).select("o_orderkey", "fitted")
+
+
+_REGRESSION = "WITH s AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my, var_pop(l_quantity) AS s11, var_pop(l_discount) AS s22, covar_pop(l_quantity, l_discount) AS s12, covar_pop(l_quantity, l_extendedprice) AS s1, covar_pop(l_discount, l_extendedprice) AS s2, var_pop(l_extendedprice) AS sy FROM lineitem GROUP BY 1), b AS (SELECT *, (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) AS b1, (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM s)"
+
+
+@register("f32_multiple_regression", f"{_REGRESSION} SELECT l_returnflag, n, round(my - b1 * m1 - b2 * m2, 2) AS intercept, round(b1, 4) AS by_quantity, round(b2, 2) AS by_discount, round((b1 * s1 + b2 * s2) / sy, 6) AS r2 FROM b")
+def multiple_regression(spark, d):
+    fit = fits.multiple_regression(fx.table(spark, d, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice", ["l_returnflag"])
+    return fit.select("l_returnflag", "n", F.round("intercept", 2).alias("intercept"), F.round(F.col("slopes")[0], 4).alias("by_quantity"), F.round(F.col("slopes")[1], 2).alias("by_discount"), F.round("r2", 6).alias("r2"))
+
+
 @register("f35_line_profile", f"WITH {fx.GRID_SQL}, m AS (SELECT y, z, x, x - row_number() OVER (PARTITION BY y, z ORDER BY x) AS island FROM grid WHERE v > 105) SELECT y, z, min(x) AS first, max(x) AS last, max(x) - min(x) AS length FROM m GROUP BY y, z, island")
 def line_profile(spark, d):
     w = Window.partitionBy("y", "z").orderBy("x")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from test_fits import basis
 from test_spanning import flooded, unwrapped
 from test_thinning import topology
 
@@ -284,6 +285,31 @@ def f32_polynomial_fit(spark, grid):
         np.testing.assert_allclose(np.array(found[:3], float), np.polyfit(x, y, 2)[::-1], rtol=1e-4)
 
 
+def _splines(data, pieces):
+    """Per group: its points, and the dense least-squares coefficients."""
+    by = defaultdict(list)
+    for group, *row in data:
+        by[group].append([float(c) for c in row])
+    for group, values in by.items():
+        values = np.array(values)
+        design = basis(values[:, 0], values[:, 0].min(), values[:, 0].max(), pieces)
+        yield group, values, design, np.linalg.lstsq(design, values[:, 1], rcond=None)[0]
+
+
+def f32_spline_fit(spark, grid):
+    got = {r.l_returnflag: r for r in collect(spark, "f32_spline_fit")}
+    for flag, values, _, want in _splines(rows("SELECT l_returnflag, l_quantity, l_extendedprice FROM lineitem"), 8):
+        np.testing.assert_allclose(got.pop(flag).coefficients, want, rtol=1e-6, atol=1e-6 * abs(values[:, 1]).max())
+    assert not got
+
+
+def f32_spline_values(spark, grid):
+    got = {r.o_orderkey: r.fitted for r in collect(spark, "f32_spline_values")}
+    for _, values, design, want in _splines(rows("SELECT o_orderpriority, dayofyear(o_orderdate), o_totalprice, o_orderkey FROM orders"), 12):
+        np.testing.assert_allclose([got.pop(int(key)) for key in values[:, 2]], design @ want, rtol=1e-6)
+    assert not got
+
+
 def w05_resample_curve(spark, grid):
     lines = Counter(r.line for r in collect(spark, "w05_resample_curve"))
     assert lines.keys() == {y * 100 + z for _, y, z in grid} and set(lines.values()) == {20}
@@ -359,7 +385,7 @@ def g04_contract_paths(spark, grid):
     assert sum(r.edges - 1 for r in got if r.src is not None) + sum(r.edges for r in got if r.src is None) == sum(d == 2 for d in degree.values())
 
 
-PROOFS = {f.__name__: f for f in (n17_curvature, n28_anisotropic_diffusion, n29_gradient_vector_flow, n34_advection_diffusion, n30_vesselness, n21_medial_surface, g13_bayesian_classifier, g29_vector_quantisation, g14_random_walker, g14_t10_multilabel_walker, f32_polynomial_fit, w05_resample_curve, p42_phase_unwrapping, p60_lattice_stress, s37_particles, j16_assignment, g16_streamlines, g01_prune_whole, g04_contract_paths, n21_medial_line, n21_medial_point, g12_watershed_level, g14_pyramid_walker, *map(_noise_walker, walker_weights.METHODS))}
+PROOFS = {f.__name__: f for f in (n17_curvature, n28_anisotropic_diffusion, n29_gradient_vector_flow, n34_advection_diffusion, n30_vesselness, n21_medial_surface, g13_bayesian_classifier, g29_vector_quantisation, g14_random_walker, g14_t10_multilabel_walker, f32_polynomial_fit, w05_resample_curve, p42_phase_unwrapping, p60_lattice_stress, s37_particles, j16_assignment, g16_streamlines, g01_prune_whole, g04_contract_paths, f32_spline_fit, f32_spline_values, n21_medial_line, n21_medial_point, g12_watershed_level, g14_pyramid_walker, *map(_noise_walker, walker_weights.METHODS))}
 
 
 def test_every_query_without_sql_has_a_proof():
