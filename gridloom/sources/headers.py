@@ -54,9 +54,14 @@ def _three(values, fill=1) -> tuple:
     return tuple(values + [fill] * (3 - len(values)))
 
 
+#: The empty line that ends a header, and the line after which the payload follows in the same file.
+NRRD_END, MHD_LOCAL = re.compile(rb"\n\r?\n"), re.compile(rb"^ElementDataFile[ \t]*=[ \t]*LOCAL[ \t]*\r?\n", re.M | re.I)
+
+
 def nrrd(path: str, data: bytes) -> Volume:
     """Attached or detached NRRD with raw, gzip or text encoding; detached lists of slab files are supported."""
-    head, _, _ = data.partition(b"\n\n")
+    end = NRRD_END.search(data)
+    head, payload = (data[: end.start()], end.end()) if end else (data, len(data))
     lines = head.decode("latin-1").splitlines()
     if not lines[0].startswith("NRRD"):
         raise ValueError(f"{path} is no NRRD file")
@@ -81,11 +86,13 @@ def nrrd(path: str, data: bytes) -> Volume:
     name = keys.get("datafile")
     if not files:
         files = [_beside(path, name)] if name else [path]
-    return Volume(_three(sizes), order + NRRD_TYPES[keys["type"].lower()], files, 0 if name else len(head) + 2, channels, _three(spacing[:3] if frames > 1 else spacing[-3:], 1.0), frames=frames, encoding=encoding, meta=keys)
+    return Volume(_three(sizes), order + NRRD_TYPES[keys["type"].lower()], files, 0 if name else payload, channels, _three(spacing[:3] if frames > 1 else spacing[-3:], 1.0), frames=frames, encoding=encoding, meta=keys)
 
 
 def mhd(path: str, data: bytes) -> Volume:
-    """MetaIO header with a payload file of its own, or a list of slab files."""
+    """MetaIO header with a payload file of its own, a list of slab files, or the payload behind it."""
+    local = MHD_LOCAL.search(data)
+    data = data[: local.end()] if local else data
     keys: dict[str, str] = {}
     files: list[str] = []
     for line in data.decode("latin-1").splitlines():
@@ -96,8 +103,8 @@ def mhd(path: str, data: bytes) -> Volume:
             files.append(_beside(path, line.strip()))
     order = ">" if keys.get("ElementByteOrderMSB", keys.get("BinaryDataByteOrderMSB", "False")).lower() == "true" else "<"
     if not files:
-        files = [_beside(path, keys["ElementDataFile"])]
-    return Volume(_three(map(int, keys["DimSize"].split())), order + MET_TYPES[keys["ElementType"]], files, int(keys.get("HeaderSize", 0)), int(keys.get("ElementNumberOfChannels", 1)), _three(map(float, keys.get("ElementSpacing", "").split()), 1.0), _three(map(float, keys.get("Offset", "").split()), 0.0), meta=keys)
+        files = [path if local else _beside(path, keys["ElementDataFile"])]
+    return Volume(_three(map(int, keys["DimSize"].split())), order + MET_TYPES[keys["ElementType"]], files, local.end() if local else int(keys.get("HeaderSize", 0)), int(keys.get("ElementNumberOfChannels", 1)), _three(map(float, keys.get("ElementSpacing", "").split()), 1.0), _three(map(float, keys.get("Offset", "").split()), 0.0), meta=keys)
 
 
 def vvd(path: str, data: bytes) -> Volume:

@@ -24,21 +24,21 @@ HEADER_BYTES, HEADER_LIMIT, SLAB_BYTES = 1 << 16, 1 << 30, 32 << 20
 #: Bytes of slab files that are joined at a time, and of a compressed or text payload that are decoded at a time.
 JOIN_BYTES, ENCODED_BYTES = 8 << 20, 1 << 20
 #: Where the header ends in formats whose payload may follow in the same file; others are all header.
-HEADER_ENDS = {"nrrd": re.compile(rb"\n\n"), "nhdr": re.compile(rb"\n\n"), "vti": re.compile(rb"<AppendedData[^>]*>[^_]*_")}
+HEADER_ENDS = {"nrrd": headers.NRRD_END, "nhdr": headers.NRRD_END, "mhd": headers.MHD_LOCAL, "vti": re.compile(rb"<AppendedData[^>]*>[^_]*_")}
 #: Formats whose header is a struct of fixed size within the first bytes.
 STRUCTS = ("nii", "hdr", "vol", "tuv")
 
 
 def _head(source, kind: str) -> bytes:
     """A file's bytes as far as its header goes."""
-    data = b""
+    data = bytearray()
     while chunk := source.read(HEADER_BYTES):
-        data += bytes(chunk)
+        data += chunk
         if kind in STRUCTS or (kind in HEADER_ENDS and HEADER_ENDS[kind].search(data, max(0, len(data) - len(chunk) - 4096))):
             break
         if len(data) > HEADER_LIMIT:
             raise ValueError(f"no end of the header within {HEADER_LIMIT} bytes")
-    return data
+    return bytes(data)
 
 
 def header(path: str, reader: str | None = None, name: str | None = None) -> Volume:

@@ -201,3 +201,14 @@ def test_encoded_nrrd(spark, tmp_path, cube, monkeypatch, encoding):
     monkeypatch.setattr(volumes, "ENCODED_BYTES", 7)
     volume = volumes.header(str(tmp_path / "b.nrrd"))
     assert [s.tolist() for s in volumes._slices(volume, volume.files[0], 3, 2)] == cube[3:].reshape(2, 12).tolist()
+
+
+def test_headers_with_carriage_returns_and_local_payloads(spark, tmp_path, cube):
+    head = "NRRD0004\r\ntype: ushort\r\ndimension: 3\r\nsizes: 4 3 5\r\nendian: little\r\nencoding: raw\r\n"
+    (tmp_path / "a.nrrd").write_bytes(head.encode() + b"\r\n" + cube.tobytes())
+    (tmp_path / "a.nhdr").write_bytes(head.encode() + b"datafile: ./a.raw\r\n")
+    for i, end in enumerate(("\n", "\r\n")):
+        head = end.join(["ObjectType = Image", "NDims = 3", "DimSize = 4 3 5", "ElementType = MET_USHORT", "ElementDataFile = LOCAL", ""])
+        (tmp_path / f"{i}.mhd").write_bytes(head.encode() + cube.tobytes())
+    for name in ("a.nrrd", "a.nhdr", "0.mhd", "1.mhd"):
+        _same(volumes.read_volumes(spark, [str(tmp_path / name)]), cube)
