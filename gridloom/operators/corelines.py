@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.session import discard, materialize
 
@@ -42,17 +43,24 @@ def _steps() -> tuple[list[tuple], list[list[int]]]:
 
 
 TRIANGLES, SOLIDS = _steps()
-#: Number of a triangle's kind, the same in every cube that it belongs to: from its first corner to the others.
-_KINDS = {k: i for i, k in enumerate(sorted({tuple(tuple(b - a for a, b in zip(t[0], c, strict=True)) for c in t[1:]) for t in TRIANGLES}))}
-KIND = [_KINDS[tuple(tuple(b - a for a, b in zip(t[0], c, strict=True)) for c in t[1:])] for t in TRIANGLES]
-#: Bits of a coordinate in a point's number; four more tell the triangle's kind and two its solutions apart.
-BITS = 19
+def _beyond(corners: Sequence[tuple]) -> tuple:
+    """The corners after the first as steps from it: the same for a triangle or an edge in every cube that it is part of."""
+    return tuple(tuple(b - a for a, b in zip(corners[0], c, strict=True)) for c in corners[1:])
+
+
+#: Numbers of the kinds of triangles, edges and single cells.
+KINDS = {k: i for i, k in enumerate(sorted({_beyond([c for c, used in zip(t, use, strict=True) if used]) for t in TRIANGLES for use in itertools.product((0, 1), repeat=3) if any(use)}))}
+#: Bits of a coordinate in a point's number; five more tell the kind and two its solutions apart.
+BITS = 18
+#: Barycentric coordinates up to this count as 0: the point lies on an edge or a cell, and has the same number in every
+#: triangle that shares it.
+EDGE = 1e-9
 
 
 def parallel_points(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Solutions on triangles whose corners have the vectors v and w (rows x 3 corners x 3): numbers of rows, places among
-    a row's solutions in the order of barycentric coordinates, and these coordinates. Where both matrices are singular
-    there is none."""
+    """Solutions on triangles whose corners have the vectors v and w (rows x 3 corners x 3): numbers of rows, places among a
+    row's solutions on the same corners (by the weight of the first), and barycentric coordinates. Where both matrices are
+    singular there is none."""
     v, w = v.transpose(0, 2, 1), w.transpose(0, 2, 1)  # columns are corners
     size_v, size_w = np.abs(np.linalg.det(v)), np.abs(np.linalg.det(w))
     use_w = size_w >= size_v
@@ -64,12 +72,15 @@ def parallel_points(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarra
     total = b.sum(axis=2, keepdims=True)
     with np.errstate(all="ignore"):
         b = b / total
-    good = real & np.isfinite(b).all(axis=2) & (b >= 0).all(axis=2)
+    good = real & np.isfinite(b).all(axis=2) & (b >= -EDGE).all(axis=2)
     row, which = np.nonzero(good)
     b = b[row, which]
-    order = np.lexsort((b[:, 1], b[:, 0], row))
-    row, b = row[order], b[order]
-    return fine[row], np.arange(len(row)) - np.searchsorted(row, row), b
+    b = np.where(b <= EDGE, 0.0, b)
+    b /= b.sum(axis=1, keepdims=True)
+    use = (b > 0) @ np.array([1, 2, 4])
+    order = np.lexsort((b[:, 1], b[:, 0], use, row))
+    row, b, group = row[order], b[order], (row * 8 + use)[order]
+    return fine[row], np.arange(len(row)) - np.searchsorted(group, group), b
 
 
 def parallel_vectors(field: DataFrame, u: Sequence[str], w: Sequence[str], brick: int = BRICK) -> tuple[DataFrame, DataFrame]:
@@ -77,29 +88,33 @@ def parallel_vectors(field: DataFrame, u: Sequence[str], w: Sequence[str], brick
 
     Fields are given on cells, linear between them; triangles with a missing cell have no points. Where a tetrahedron has
     more than two points, the nearest ones are linked first; a point without partner stays alone. Raises where a
-    coordinate lies outside [0, 2^19).
+    coordinate lies outside [0, 2^18).
     """
     check_packed(field, BITS, BITS)
     halo = (1, 1, 1)
 
     def run(origin: list[int], place: tuple, padded: list[np.ndarray]) -> pd.DataFrame:
-        parts = [np.stack([p[tuple(slice(1 + i, 1 + i + brick) for i in c)] for p in padded], axis=-1) for c in _CORNERS]
-        whole = np.logical_and.reduce([~np.isnan(p).any(axis=-1) for p in parts])
-        at = np.argwhere(whole)
-        corner = {tuple(map(int, c)): p[whole] for c, p in zip(_CORNERS, parts, strict=True)}
-        first = at + np.array(origin) + 1
+        corner = {tuple(map(int, c)): np.stack([p[tuple(slice(1 + i, 1 + i + brick) for i in c)].ravel() for p in padded], axis=-1) for c in _CORNERS}
+        there = {c: ~np.isnan(p).any(axis=-1) for c, p in corner.items()}
+        first = np.argwhere(np.ones((brick,) * 3, bool)) + np.array(origin) + 1
         found = []
         for n, triangle in enumerate(TRIANGLES):
-            values = np.stack([corner[c] for c in triangle], axis=1)
-            cube, nth, b = parallel_points(values[..., :3], values[..., 3:])
-            base = first[cube] + np.array(triangle[0])
-            number = (((base[:, 0] << 2 * BITS) + (base[:, 1] << BITS) + base[:, 2]) * 16 + KIND[n]) * 4 + nth
+            known = np.flatnonzero(np.logical_and.reduce([there[c] for c in triangle]))
+            values = np.stack([corner[c][known] for c in triangle], axis=1)
+            own, nth, b = parallel_points(values[..., :3], values[..., 3:])
+            cube = known[own]
+            number = np.empty(len(cube), np.int64)
+            use = (b > 0) @ np.array([1, 2, 4])
+            for code in np.unique(use).tolist():
+                corners, here = [c for i, c in enumerate(triangle) if code >> i & 1], use == code
+                base = first[cube[here]] + np.array(corners[0])
+                number[here] = (((base[:, 0] << 2 * BITS) + (base[:, 1] << BITS) + base[:, 2]) * 32 + KINDS[_beyond(corners)]) * 4 + nth[here]
             where = first[cube] + b @ np.array(triangle, float)
             found.append(pd.DataFrame({"cube": cube, "triangle": n, "src": number, "x": where[:, 0], "y": where[:, 1], "z": where[:, 2]}))
         points = pd.concat(found)
         rows = [points.drop_duplicates("src")[["src", "x", "y", "z"]].assign(dst=-1)]
         for solid in SOLIDS:
-            own = points[points["triangle"].isin(solid)].sort_values(["cube", "src"])
+            own = points[points["triangle"].isin(solid)].drop_duplicates(["cube", "src"]).sort_values(["cube", "src"])
             size = own.groupby("cube")["src"].transform("size")
             two = own[size == 2]
             pairs = [two.iloc[::2]["src"].to_numpy(), two.iloc[1::2]["src"].to_numpy()]
@@ -164,13 +179,26 @@ def polylines(links: DataFrame) -> DataFrame:
     return placed.join(named, "point").select("line", "i", "point", "closed")
 
 
+def two_links(points: DataFrame, links: DataFrame) -> DataFrame:
+    """The links that are among the two shortest of both their points: a line passes a junction along these. Only points
+    on edges or cells, where a field vanishes or is degenerate, have more than two."""
+    where = points.select("point", F.struct("x", "y", "z").alias("p"))
+    placed = links.join(where.withColumnsRenamed({"point": "src", "p": "_a"}), "src").join(where.withColumnsRenamed({"point": "dst", "p": "_b"}), "dst")
+    long = sum(((F.col(f"_a.{c}") - F.col(f"_b.{c}")) * (F.col(f"_a.{c}") - F.col(f"_b.{c}")) for c in ("x", "y", "z")), F.lit(0.0))
+    sides = placed.select("src", "dst", long.alias("_long"), F.explode(F.array("src", "dst")).alias("_p"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_long", "src", "dst"))
+    kept = sides.withColumn("_rank", rank).where("_rank <= 2").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return kept.where("n = 2").select("src", "dst")
+
+
 def corelines(field: DataFrame, u: Sequence[str], w: Sequence[str], least: float = 0.0, brick: int = BRICK) -> DataFrame:
     """(line, i, x, y, z, length, closed): the lines along which two vector fields are parallel, with the distance along
     the line up to each point; lines shorter than ``least`` are left out."""
     from .tables import arc_length
 
     points, links = parallel_vectors(field, u, w, brick)
-    links = materialize(links, "coreline-links")
+    points = materialize(points, "coreline-points")
+    links = materialize(two_links(points, links), "coreline-links")
     placed = polylines(links).join(points, "point").select("line", "i", "x", "y", "z", "closed")
     along = materialize(arc_length(placed, "line", "i", ("x", "y", "z")), "corelines")
     discard(links)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog import register
-from gridloom.operators import graph, thinning, trajectories, walker_weights
+from gridloom.operators import corelines as lines_of
+from gridloom.operators import graph, stencil, thinning, trajectories, walker_weights
 from gridloom.operators.components import connected_components
 
 from . import fixtures as fx
@@ -127,6 +128,24 @@ def parallel_vectors(spark, d):
     return graph.parallel_vectors(f, ["u0", "u1", "u2"], ["b0", "b1", "b2"], 8000.0).select("x", "y", "z", F.round("cross", 5).alias("cross"))
 
 
+def _flow(spark, d):
+    """The vector field and its acceleration."""
+    f = fx.vecfield(spark, d)
+    return f.join(stencil.acceleration(f, ["u0", "u1", "u2"]), ["x", "y", "z"])
+
+
+@register("g18_parallel_points")
+def parallel_points(spark, d):
+    """Where the flow is parallel to its acceleration: points on triangles between cells."""
+    return lines_of.parallel_vectors(_flow(spark, d), ["u0", "u1", "u2"], ["a0", "a1", "a2"])[0]
+
+
+@register("g19_coreline_lines")
+def coreline_lines(spark, d):
+    """Those points in order, as lines of at least three cells' length."""
+    return lines_of.corelines(_flow(spark, d), ["u0", "u1", "u2"], ["a0", "a1", "a2"], least=3.0)
+
+
 @register("g20_rotation_direction", f"WITH {fx.VEC_SQL} SELECT x, y, z, CAST(sign(u0 - 8 * u1) AS INT) AS direction FROM vec")
 def rotation_direction(spark, d):
     return fx.vecfield(spark, d).select("x", "y", "z", F.signum(F.col("u0") - F.col("u1") * 8).cast("int").alias("direction"))

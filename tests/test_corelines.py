@@ -48,20 +48,22 @@ def test_a_ring_closes(spark):
     assert corelines.corelines(frame(spark, (11, 11, 6), u, lambda p: np.array([0.0, 0.0, 1.0])), *NAMES, least=99.0).count() == 0
 
 
-def searched(values):
+def searched(values, digits=4, exact=lambda corners, b: True):
     """Barycentric solutions of every triangle by the roots of det(V - l W)."""
     out = []
     for c in np.ndindex(*[n - 1 for n in values.shape[:3]]):
         for triangle in corelines.TRIANGLES:
             corners = [tuple(np.add(c, t)) for t in triangle]
+            if not np.isfinite([values[k] for k in corners]).all():
+                continue
             v, w = (np.array([values[k][s] for k in corners]).T for s in (slice(0, 3), slice(3, 6)))
             at = np.array([0.0, 1.0, -1.0, 2.0])
             for root in np.roots(np.polyfit(at, [np.linalg.det(v - t * w) for t in at], 3)):
                 if abs(root.imag) < 1e-9:
                     b = np.linalg.svd(v - root.real * w)[2][-1]
                     b = b / b.sum()
-                    if (b >= 0).all():
-                        out.append(tuple(np.round(b @ np.array(corners, float), 4)))
+                    if (b >= 0).all() and exact(corners, b):
+                        out.append(tuple(np.round(b @ np.array(corners, float), digits)))
     return set(out)
 
 

@@ -7,12 +7,13 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from test_corelines import searched
 from test_fits import basis
 from test_spanning import flooded, unwrapped
 from test_thinning import topology
 
 from gridloom import catalog
-from gridloom.operators import graph, stencil, thinning, walker_weights
+from gridloom.operators import corelines, graph, stencil, thinning, walker_weights
 from gridloom.plans import fixtures as fx
 
 DATA = "/root/testdata/sf0.001"
@@ -361,6 +362,58 @@ def g16_streamlines(spark, grid):
         assert all(abs(np.linalg.norm(points[i + 1] - points[i]) - 0.25) < 1e-6 for i in range(len(points) - 1))
 
 
+def _flow(spark):
+    u, values = {}, np.full((16, 16, 7, 6), np.nan)
+    for x, y, z, *v in rows(f"WITH {fx.VEC_SQL} SELECT x, y, z, u0, u1, u2 FROM vec"):
+        u[x, y, z] = np.array(v, float)
+    for c, v in u.items():
+        slopes = np.array([[central({k: w[i] for k, w in u.items() if sum(abs(a - b) for a, b in zip(k, c, strict=True)) == 1}, c, a) for a in range(3)] for i in range(3)])
+        values[c] = [*v, *(slopes @ v)]
+    return values
+
+
+def _parted(values, corners, b):
+    """How far from parallel both fields are at barycentric coordinates of a triangle, by their sizes at its corners."""
+    sides = [np.array([values[tuple(k)][s] for k in corners]) for s in (slice(0, 3), slice(3, 6))]
+    size = np.prod([np.linalg.norm(s, axis=1).max() for s in sides])
+    return np.linalg.norm(np.cross(b @ sides[0], b @ sides[1])) / size if size else 0.0
+
+
+def g18_parallel_points(spark, grid):
+    """Both fields are parallel at every point, and no point is missing of those that a search finds as exactly."""
+    values, got = _flow(spark), []
+    kinds = {n: k for k, n in corelines.KINDS.items()}
+    for r in collect(spark, "g18_parallel_points"):
+        place, low = r.point >> 7, (1 << corelines.BITS) - 1
+        base = np.array([place >> 2 * corelines.BITS, place >> corelines.BITS & low, place & low])
+        corners = np.array([base, *[base + np.array(k) for k in kinds[r.point >> 2 & 31]]])
+        b = np.linalg.lstsq(np.vstack([corners.T, np.ones(len(corners))]), np.array([r.x, r.y, r.z, 1.0]), rcond=None)[0]
+        assert np.abs(b @ corners - [r.x, r.y, r.z]).max() < 1e-9 and b.min() > -1e-9 and _parted(values, corners, b) < 1e-5
+        got.append((r.x, r.y, r.z))
+
+    def exact(corners, b):
+        """A triangle whose solutions are isolated, and one of them: where a field vanishes on an edge they are not."""
+        return all(np.linalg.cond([values[tuple(k)][s] for k in corners]) < 1e7 for s in (slice(0, 3), slice(3, 6))) and _parted(values, corners, b) < 1e-9
+
+    want = searched(values, 9, exact)
+    near = ((np.array(got)[:, None] - np.array(sorted(want))[None]) ** 2).sum(axis=2)
+    assert len(want) > 100 and near.min(axis=0).max() < 1e-8
+
+
+def g19_coreline_lines(spark, grid):
+    points = {(round(r.x, 6), round(r.y, 6), round(r.z, 6)) for r in collect(spark, "g18_parallel_points")}
+    lines = defaultdict(dict)
+    for r in collect(spark, "g19_coreline_lines"):
+        lines[r.line][r.i] = r
+    assert lines
+    for line in lines.values():
+        assert sorted(line) == list(range(len(line)))
+        where = np.array([(line[i].x, line[i].y, line[i].z) for i in range(len(line))])
+        steps = np.linalg.norm(np.diff(where, axis=0), axis=1)
+        np.testing.assert_allclose([line[i].length for i in range(len(line))], np.concatenate([[0], np.cumsum(steps)]), atol=1e-9)
+        assert steps.max() < 1.8 and steps.sum() >= 3 and {tuple(np.round(p, 6)) for p in where.tolist()} <= points
+
+
 def _pairs():
     return {(f"c{c}", f"s{s}") for c, s in rows("SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey")}
 
@@ -385,7 +438,7 @@ def g04_contract_paths(spark, grid):
     assert sum(r.edges - 1 for r in got if r.src is not None) + sum(r.edges for r in got if r.src is None) == sum(d == 2 for d in degree.values())
 
 
-PROOFS = {f.__name__: f for f in (n17_curvature, n28_anisotropic_diffusion, n29_gradient_vector_flow, n34_advection_diffusion, n30_vesselness, n21_medial_surface, g13_bayesian_classifier, g29_vector_quantisation, g14_random_walker, g14_t10_multilabel_walker, f32_polynomial_fit, w05_resample_curve, p42_phase_unwrapping, p60_lattice_stress, s37_particles, j16_assignment, g16_streamlines, g01_prune_whole, g04_contract_paths, f32_spline_fit, f32_spline_values, n21_medial_line, n21_medial_point, g12_watershed_level, g14_pyramid_walker, *map(_noise_walker, walker_weights.METHODS))}
+PROOFS = {f.__name__: f for f in (n17_curvature, n28_anisotropic_diffusion, n29_gradient_vector_flow, n34_advection_diffusion, n30_vesselness, n21_medial_surface, g13_bayesian_classifier, g29_vector_quantisation, g14_random_walker, g14_t10_multilabel_walker, f32_polynomial_fit, w05_resample_curve, p42_phase_unwrapping, p60_lattice_stress, s37_particles, j16_assignment, g16_streamlines, g01_prune_whole, g04_contract_paths, f32_spline_fit, f32_spline_values, g18_parallel_points, g19_coreline_lines, n21_medial_line, n21_medial_point, g12_watershed_level, g14_pyramid_walker, *map(_noise_walker, walker_weights.METHODS))}
 
 
 def test_every_query_without_sql_has_a_proof():
