@@ -65,7 +65,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = rows.select("*", F.length("payload").alias("size"), F.sha1("payload").alias("digest"))
     copies = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = materialize(copies, "page-copies")
-    typed = rows.join(copies.hint("merge"), ["digest", "size"], "left")
+    typed = rows.join(copies, ["digest", "size"], "left")
     revisits = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     typed = typed.select("page_id", "url", "digest", F.when(~revisits, F.col("payload")).alias("payload"), F.col("size").cast("long").alias("size"), F.when(revisits, F.col("original")).alias("refers_to"))
 
