@@ -236,7 +236,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first rule's loosest is taken. Rows that repeat an id are judged each by its text; an empty table gives an empty
     result; other columns are ignored, whatever their names.
     """
-    rows = docs.select(named(id_col).alias("doc_id"), F.coalesce(named(stratum_col).cast("string"), F.lit("")).alias("stratum"), named(text_col).alias("text"))
+    rows = docs.select(named(id_col).alias("doc_id"), named(stratum_col).cast("string").alias("stratum"), named(text_col).alias("text"))
     counted = counts(rows, keep=["doc_id", "stratum"])
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     counted = materialize(counted.withColumn("base_failed", base), "text-counts")
@@ -244,6 +244,6 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")), F.lit(2)).cast("int")
     holdout = counted.where(~F.col("base_failed")).join(known, "doc_id").select("stratum", "good", half.alias("half"), *[c.alias(n) for n, c in measures().items()])
     cutoffs = choose_cutoffs(holdout).select(F.col("stratum").alias("of"), *[F.col(r).alias(f"{r}_cutoff") for r, _ in RULES])
-    judged = counted.join(cutoffs, counted["stratum"] == cutoffs["of"], "left")
+    judged = counted.join(cutoffs, counted["stratum"].eqNullSafe(cutoffs["of"]), "left")
     fails = [F.coalesce(measures()[r] > F.col(f"{r}_cutoff"), F.lit(False)) for r, _ in RULES]
     return judged.select(*counted.columns, (~F.col("base_failed") & ~reduce(Column.__or__, fails)).alias("kept"))
