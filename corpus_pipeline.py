@@ -38,7 +38,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     try:
         placed = _placed(docs)
-    except AnalysisException:
+    except AnalysisException as error:
+        if "_metadata" not in str(error):  # any other fault is not about where the rows come from
+            raise
         placed = _placed(materialize(docs, "documents"))
     rows = placed.select(F.struct(F.col("doc.doc_id").isNull().alias("last"), "doc.doc_id", "file", "place").alias("key"), "doc.text")
     found = simhash.near_duplicates(rows, id_col="key").where("doc_id != component_id")
