@@ -6,7 +6,7 @@ import pytest
 from conftest_llm import sample_rows
 from pyspark.sql import functions as F
 
-from gridloom.llm import byte_bpe, exact_dedup, html_text, language, mixing, quality, simhash, token_files, toxicity, warc
+from gridloom.llm import alignment, byte_bpe, exact_dedup, html_text, language, mixing, quality, simhash, token_files, toxicity, warc
 
 OTHERS = "score ids decoded lang_pred main_text segments row fp kept keep_id component_id taken size source_size target copies stratum good half root first least digit rest uid group n label form aside bucket k0 t0 of tie place _file _row _metadata record_type payload file base_failed n_words Score".split()
 RANKS, MULTI, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -23,6 +23,7 @@ OPERATORS = {
     "byte_bpe": lambda docs: byte_bpe.encode(docs, RANKS, P.PATTERN, with_decoded=True).select("doc_id", "ids", "decoded"),
     "byte_bpe_decode": lambda docs: byte_bpe.decode(byte_bpe.encode(docs, RANKS, P.PATTERN), RANKS).select("doc_id", "ids", "decoded"),
     "token_files": lambda docs: token_files.read_token_files(docs.sparkSession, token_files.write_token_files(docs, JSON)).select("doc_id", "ids"),
+    "alignment": lambda docs: alignment.align(docs, JSON, P.path("piece_bpe_32k.model")),
     "simhash": lambda docs: simhash.near_duplicates(docs).select("doc_id", "fp", "component_id"),
     "mixing": lambda docs: mixing.mix(docs),
     "mixed_rows": lambda docs: mixing.mixed_rows(docs).select("doc_id", "text"),

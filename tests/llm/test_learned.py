@@ -323,3 +323,18 @@ def test_sample_rows_survive(docs):
     assert quality.judge(docs, labels).count() == count
     assert toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"]).count() == count
     assert language.predict(docs, language.fit(docs, VOCABULARY), keep=["doc_id"]).count() == count
+
+
+def test_a_null_stratum_is_apart_from_an_empty_one(spark):
+    """The empty stratum has marks in good documents, the null one only in bad ones: cutoffs differ."""
+    text = "plain words of a text that goes on for a while with no mark at all {}"
+    rows, marks = [], []
+    for i in range(6000):
+        stratum, good = (None, "")[i % 2], i % 4 < 2
+        noisy = i % 8 in (0, 1, 2, 3) if stratum == "" else not good
+        rows.append((i, text.format(i) + (" " + "#" * 40 if noisy else ""), stratum))
+        marks.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = quality.judge(docs, spark.createDataFrame(marks, "doc_id long, quality int")).collect()
+    kept = {s: [r.kept for r in judged if r.stratum == s and "#" in rows[r.doc_id][1]] for s in (None, "")}
+    assert {r.stratum for r in judged} == {None, ""} and not any(kept[None]) and all(kept[""])
