@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog import register
 from gridloom.operators import corelines as lines_of
-from gridloom.operators import graph, stencil, thinning, trajectories, walker_weights
+from gridloom.operators import bundling, graph, stencil, thinning, trajectories, walker_weights
 from gridloom.operators.components import connected_components
 
 from . import fixtures as fx
@@ -235,6 +235,17 @@ def bundle_centroid(spark, d):
     return graph.bundle_centroid(lines, "bundle", "i")
 
 
+def row_curves(spark, d):
+    """The grid's rows along x as curves whose height is the value."""
+    return fx.grid(spark, d).select((F.col("y") * 100 + F.col("z")).alias("line"), F.col("x").alias("i"), F.col("x").cast("double").alias("x"), (F.col("v") / 20).alias("y"), (F.col("z") * 3.0).alias("z"))
+
+
+@register("g17_line_bundles")
+def line_bundles(spark, d):
+    """Rows of like values bundled by the mean distance of their points."""
+    return bundling.bundles(row_curves(spark, d), "line", "i", 1.0)[0]
+
+
 @register("g24_label_from_graph", f"WITH {fx.GRID_SQL}, m AS (SELECT x, y, z FROM grid WHERE v > 120), e AS (SELECT y * 100 + z AS lab, x, y, z FROM grid WHERE n > 42), d AS (SELECT m.x, m.y, m.z, lab, sqrt((m.x - e.x) ** 2 + (m.y - e.y) ** 2 + (m.z - e.z) ** 2) AS distance FROM m, e) SELECT CAST(x * 10000 + y * 100 + z AS INT) AS cell, CAST(arg_min(lab, (distance, lab)) AS INT) AS lab, round(min(distance), 6) AS distance FROM d WHERE distance <= 3 GROUP BY x, y, z")
 def label_from_graph(spark, d):
     g = fx.grid(spark, d)

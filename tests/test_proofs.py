@@ -13,8 +13,9 @@ from test_spanning import flooded, unwrapped
 from test_thinning import topology
 
 from gridloom import catalog
-from gridloom.operators import corelines, graph, stencil, thinning, walker_weights
+from gridloom.operators import bundling, corelines, graph, stencil, tables, thinning, walker_weights
 from gridloom.plans import fixtures as fx
+from gridloom.plans.graphs import row_curves
 
 DATA = "/root/testdata/sf0.001"
 SIX = [o for o in itertools.product((-1, 0, 1), repeat=3) if sum(map(abs, o)) == 1]
@@ -414,6 +415,31 @@ def g19_coreline_lines(spark, grid):
         assert steps.max() < 1.8 and steps.sum() >= 3 and {tuple(np.round(p, 6)) for p in where.tolist()} <= points
 
 
+def g17_line_bundles(spark, grid):
+    """Cells of the threshold's size bundled on their own, prototypes within it joined, by all pairs."""
+    points = defaultdict(dict)
+    for r in tables.resample_curve(row_curves(spark, DATA), "line", "i", ["x", "y", "z"], 12).collect():
+        points[r.line][r.sample] = (r.x, r.y, r.z)
+    lines = {n: np.array([p[i] for i in range(12)]) for n, p in sorted(points.items())}
+    cells = defaultdict(list)
+    for n, line in lines.items():
+        cells[tuple(np.floor(line.mean(axis=0) / 1.0))].append(n)
+    owner, mean = {}, {}
+    for own in cells.values():
+        which, _, sums, counts = bundling.bundle(np.array([lines[n] for n in own]), 1.0)
+        heads = {p: own[which.index(p)] for p in set(which)}
+        owner.update({n: heads[p] for n, p in zip(own, which, strict=True)})
+        mean.update({heads[p]: sums[p] / counts[p] for p in heads})
+    part = {h: h for h in mean}
+    find = lambda h: h if part[h] == h else find(part[h])
+    for a, b in itertools.combinations(sorted(mean), 2):
+        if bundling.distances(mean[a], mean[b][None])[0][0] <= 1.0:
+            a, b = sorted((find(a), find(b)))
+            part[b] = a
+    got = {r.line: r.bundle for r in collect(spark, "g17_line_bundles")}
+    assert got == {n: find(h) for n, h in owner.items()} and 1 < len(set(got.values())) < len(got)
+
+
 def _pairs():
     return {(f"c{c}", f"s{s}") for c, s in rows("SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey")}
 
@@ -438,7 +464,7 @@ def g04_contract_paths(spark, grid):
     assert sum(r.edges - 1 for r in got if r.src is not None) + sum(r.edges for r in got if r.src is None) == sum(d == 2 for d in degree.values())
 
 
-PROOFS = {f.__name__: f for f in (n17_curvature, n28_anisotropic_diffusion, n29_gradient_vector_flow, n34_advection_diffusion, n30_vesselness, n21_medial_surface, g13_bayesian_classifier, g29_vector_quantisation, g14_random_walker, g14_t10_multilabel_walker, f32_polynomial_fit, w05_resample_curve, p42_phase_unwrapping, p60_lattice_stress, s37_particles, j16_assignment, g16_streamlines, g01_prune_whole, g04_contract_paths, f32_spline_fit, f32_spline_values, g18_parallel_points, g19_coreline_lines, n21_medial_line, n21_medial_point, g12_watershed_level, g14_pyramid_walker, *map(_noise_walker, walker_weights.METHODS))}
+PROOFS = {f.__name__: f for f in (n17_curvature, n28_anisotropic_diffusion, n29_gradient_vector_flow, n34_advection_diffusion, n30_vesselness, n21_medial_surface, g13_bayesian_classifier, g29_vector_quantisation, g14_random_walker, g14_t10_multilabel_walker, f32_polynomial_fit, w05_resample_curve, p42_phase_unwrapping, p60_lattice_stress, s37_particles, j16_assignment, g16_streamlines, g01_prune_whole, g04_contract_paths, f32_spline_fit, f32_spline_values, g17_line_bundles, g18_parallel_points, g19_coreline_lines, n21_medial_line, n21_medial_point, g12_watershed_level, g14_pyramid_walker, *map(_noise_walker, walker_weights.METHODS))}
 
 
 def test_every_query_without_sql_has_a_proof():
