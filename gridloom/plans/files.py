@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom import storage
 from gridloom.catalog import register
 from gridloom.session import new_folder
-from gridloom.sources import synthetic, tables, volumes
+from gridloom.sources import derived, synthetic, tables, volumes
 from gridloom.streaming import live
 
 from . import fixtures as fx
@@ -254,3 +254,11 @@ def event_windows(spark, d):
     windows = live.running_windows(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", "event_type", "1 day")
     live.continuous_save(windows, f"{folder}/out", f"{folder}/check", once=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("start", "event_type", "n", "low", "high")
+
+
+@register("x10_derived_statistics", f"WITH {fx.GRID_SQL} SELECT min(v) AS low, max(v) AS high, round(avg(v), 6) AS mean, count(*) AS cells FROM grid")
+def derived_statistics(spark, d):
+    """Statistics of the field, kept under the hash of the files that it is made of."""
+    volume = derived.files_hash(spark, [f"{d}/lineitem.parquet"])
+    statistics = lambda: fx.grid(spark, d).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.round(F.avg("v"), 6).alias("mean"), F.count("*").alias("cells"))
+    return derived.derived(spark, volume, "statistics of v in the grid of 16 x 16 x 7", statistics)
