@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,8 @@ from .batches import BATCH_BYTES, release, strings
 CACHE_BYTES, ENTRY_BYTES = 80 << 20, 200
 #: Characters that the tokenizer encodes at a time: it holds far more than the ids of a text.
 PACK_CHARS = 1 << 18
+#: Chunks that go to a worker's cache at a time.
+KEPT = 4096
 #: Most tasks that read files.
 READ_TASKS = 20_000
 #: Bytes of ids that a task holds before they go to the file.
@@ -40,55 +43,79 @@ _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where a pre-token always ends: before white space behind something else, and between a letter and a mark.
 _END = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])|(?<=[A-Za-z])(?=[!-&(-/:-@[-`{{-~])")
 _TWO_SPACES = re.compile(r"\s\s").search
-_LETTERS, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", r"[!-&(-/:-@\[-`{-~]"
-#: A chunk whose pre-tokens are plain: letters, marks other than the apostrophe, a line feed, letters, marks.
-_PLAIN = re.compile(f"({_LETTERS}+)({_MARKS}*)(\n?)({_LETTERS}*)({_MARKS}*)").fullmatch
-
-
-class Chunks(dict):
-    """The ids of chunks of text, each as it follows a space, and under (part,) those of parts that do not; itself the
-    cache, bounded by its bytes."""
-
-    def __init__(self, tokenizer, kind: str):
-        super().__init__()
-        self.tokenizer, self.tokenize, self.kind, self.held = tokenizer, tokenizer.model.tokenize, kind, 0
-        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
-        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-        self.alphabet = {b: chr(256 + i) for i, b in enumerate(odd)}
-
-    def __missing__(self, chunk: str | tuple[str]) -> bytes:
-        if isinstance(chunk, tuple):
-            ids = self._merged(self._spelled(chunk[0]))
-        elif chunk.isascii() and chunk.isalpha():  # letters are spelled as they are
-            ids = self._merged(self.alphabet[32] + chunk)
-        elif not (plain := _PLAIN(chunk)):
-            ids = array(self.kind, self.tokenizer.encode(" " + chunk, add_special_tokens=False).ids).tobytes()
-        elif plain[1] == chunk:
-            ids = self._merged(self._spelled(" " + chunk))
-        else:
-            ids = self[plain[1]] + b"".join([self[part,] for part in plain.groups()[1:] if part])
-        if self.held > CACHE_BYTES:
-            self.clear()
-            self.held = 0
-        self.held += len(chunk) + len(ids) + ENTRY_BYTES
-        self[chunk] = ids
-        return ids
-
-    def _spelled(self, part: str) -> str:
-        return part.encode("utf-8").decode("latin-1").translate(self.alphabet)
-
-    def _merged(self, spelled: str) -> bytes:
-        """The ids of one pre-token, which the model's merges alone give."""
-        return array(self.kind, [t.id for t in self.tokenize(spelled)]).tobytes()
+
+class Chunks:
+    """The ids of chunks of text, each as it follows a space; a cache of two generations, bounded by their bytes.
+
+    When the younger one has taken half of CACHE_BYTES it becomes the older one, whose chunks are carried over as they
+    are met again: common words stay, whatever number of rare ones passes.
+    """
+
+    def __init__(self, tokenizer, kind: str, added: re.Pattern | None):
+        self.tokenizer, self.kind, self.added = tokenizer, kind, added
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+        # Whether an id's token begins with a space, which the byte-level alphabet spells as its own letter.
+        self.begins = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.begins[[number for token, number in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
+
+    def look(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks without spaces."""
+        found = list(map(self.young.get, chunks))
+        unmet = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(unmet, map(self.old.get, [chunks[i] for i in unmet]), strict=True):
+            found[i] = ids
+        new = [i for i in unmet if found[i] is None]
+        for i, ids in zip(new, self._encoded([chunks[i] for i in new]), strict=True):
+            found[i] = ids
+        for first in range(0, len(unmet), KEPT):
+            part = unmet[first : first + KEPT]
+            self._keep([chunks[i] for i in part], [found[i] for i in part])
+        return found
+
+    def _keep(self, chunks: list[str], ids: list[bytes]) -> None:
+        size = sum(map(len, chunks)) + sum(map(len, ids)) + ENTRY_BYTES * len(chunks)
+        if self.held + size > CACHE_BYTES // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.held += size
+        self.young.update(zip(chunks, ids, strict=True))
+
+    def _encoded(self, chunks: list[str]) -> Iterator[bytes]:
+        """The ids of chunks, many to a text where each begins with the only tokens that begin with a space."""
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
+        first = 0
+        while first < len(chunks):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PACK_CHARS, "right")))
+            group = chunks[first:last]
+            yield from self._together(group) or (array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([" " + c for c in group], add_special_tokens=False))
+            first = last
+
+    def _together(self, group: list[str]) -> list[bytes] | None:
+        """The ids of chunks that are encoded as one text, if that can be told apart."""
+        text = " " + " ".join(group)
+        if _TWO_SPACES(text) or text[-1].isspace() or (self.added and self.added.search(text)):
+            return None
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(found.ids, np.int64)
+        cuts = np.flatnonzero(self.begins[ids])
+        if len(cuts) != len(group):
+            return None
+        packed, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        bounds = [*(cuts * width).tolist(), len(packed)]
+        return [packed[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
 
 
 class ChunkEncoder:
     """Encodes whole texts with a tokenizers file, each distinct chunk between spaces once while it stays cached.
 
     The byte-level pre-tokenizer never joins a space to the non-space before it, so a text whose white-space characters
-    all stand alone may be cut before each space, and a plain chunk further into letters, marks and line feeds; the
-    tokenizer sees each distinct part once. Other chunks go to it whole, as do texts that hold the string of a token
-    which the file adds to the vocabulary: such strings become their own ids, as with the library's defaults. A long text
+    all stand alone may be cut before each space. Arrow numbers the distinct chunks of a batch, each of which is looked up
+    once, and numpy lays their ids out by these numbers. Texts that hold the string of a token which the file adds to the
+    vocabulary go to the tokenizer whole: such strings become their own ids, as with the library's defaults. A long text
     is taken in pieces that end where a pre-token does, so that memory does not grow with what the tokenizer holds of it.
     """
 
@@ -102,7 +129,7 @@ class ChunkEncoder:
         self.apart = not any(t.lstrip or t.rstrip or t.single_word for t in added.values()) and tokenizer.normalizer is None
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = "<u2" if self.kind == "H" else "<u4"
-        self.chunks = Chunks(tokenizer, self.kind)
+        self.chunks = Chunks(tokenizer, self.kind, self.added)
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -115,18 +142,37 @@ class ChunkEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        look = self.chunks.__getitem__
         heads: list[str] = []
-        tails: list[bytes] = []
-        for text in texts:
+        rests: list[str | None] = []
+        long: dict[int, bytes] = {}
+        for i, text in enumerate(texts):
             if len(text) > PACK_CHARS:
-                heads.append("")
-                tails.append(b"".join(self._pieces(text)))
-                continue
-            head, *rest = [text] if _TWO_SPACES(text) or self._adds(text) else text.split(" ")
+                long[i] = b"".join(self._pieces(text))
+                head, space, rest = "", "", ""
+            elif _TWO_SPACES(text) or self._adds(text):
+                head, space, rest = text, "", ""
+            else:
+                head, space, rest = text.partition(" ")
             heads.append(head)
-            tails.append(b"".join(map(look, rest)))
-        return [head + tail for head, tail in zip(self._pack(heads), tails, strict=True)]
+            rests.append(rest if space else None)
+        packed = zip(self._pack(heads), self._laid_out(rests), strict=True)
+        return [long[i] if i in long else head + tail for i, (head, tail) in enumerate(packed)]
+
+    def _laid_out(self, rests: list[str | None]) -> Iterator[bytes]:
+        """The ids of what follows the first space of each text; nothing where it has none."""
+        lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        numbered = lists.values.dictionary_encode()
+        found = self.chunks.look(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        width = np.dtype(self.kind).itemsize
+        pool = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+        starts = np.cumsum(sizes) - sizes
+        chunks, bounds = numbered.indices.to_numpy(), lists.offsets.to_numpy()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            own = chunks[a:b]
+            size = sizes[own]
+            ends = np.cumsum(size)
+            yield pool[np.repeat(starts[own] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
     def _adds(self, text: str) -> bool:
         return self.added is not None and self.added.search(text) is not None
