@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.session import materialize
+
 from .combine import CELL
 
 #: Weights that a task holds at a time (one particle's at least).
@@ -85,8 +87,12 @@ def to_cells(particles: DataFrame, values: Sequence[str], radius: str, shape: Se
 
 def from_cells(particles: DataFrame, field: DataFrame, values: Sequence[str], key: str, radius: str) -> DataFrame:
     """(key, *values): the field around each particle, averaged with its kernel over the cells that exist; particles
-    without such a cell are left out. ``key`` is unique. Particles meet cells by equal coordinates."""
+    without such a cell are left out. ``key`` is unique. Particles meet cells by equal coordinates.
+
+    The field is written first, so that Spark knows its size, not that of its source: where it is small, the cells that
+    particles reach (dozens each) meet it without a shuffle and are summed where they are, a row for each particle."""
+    field = materialize(field.select(*CELL, *values), "field")
     known = particles.dropna(subset=[*CELL, radius]).select(F.col(key).alias("_key"), *CELL, F.col(radius).alias("_radius"))
-    met = _spread(known, "_radius", None, ["_key"]).join(field.select(*CELL, *values), list(CELL))
+    met = _spread(known, "_radius", None, ["_key"]).join(field, list(CELL))
     total = F.sum("_w")
     return met.groupBy("_key").agg(*[(F.sum(F.col(v) * F.col("_w")) / total).alias(v) for v in values]).withColumnRenamed("_key", key)
