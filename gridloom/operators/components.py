@@ -7,32 +7,53 @@ from pyspark.sql import functions as F
 
 from gridloom.session import discard, materialize
 
+#: Seeds that are tried; with ten million nodes two share a hash in one of some 400,000 tries.
+SEEDS = 8
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that has an edge to another node; root is the smallest node of its component.
 
-    Rounds alternate two joins of the edges with each node's smallest neighbour: the large star hangs greater neighbours
-    on the smallest one, the small star does so with the smaller ones. The edge count never grows, the number of rounds
-    is logarithmic in practice, and the minima are partial aggregates, so a hub costs one row per map task. They are
-    written before they are joined: both sides of that join are then plain tables, whose skewed side Spark splits, or of
-    which it broadcasts one that it knows to be small. Each round is written to the shared folder, which cuts the lineage,
-    and deleted when the next one is there. Null ends and loops are ignored.
+    Nodes become 64-bit hashes, told apart exactly (another seed is taken if two nodes share one), so that rounds handle
+    short rows whose minima are hash aggregates, and in an order without regard to the names. Rounds alternate two joins
+    of the edges with each node's smallest neighbour: the large star hangs greater neighbours on the smallest one, the
+    small star does so with the smaller ones. The edge count never grows, the number of rounds is logarithmic in
+    practice, and the minima are partial aggregates, so a hub costs one row per map task. They are written before they
+    are joined: both sides of that join are then plain tables, whose skewed side Spark splits, or of which it broadcasts
+    one that it knows to be small. Each round is written to the shared folder, which cuts the lineage, and deleted when
+    the next one is there. Null ends and loops are ignored.
     """
-    a, b = F.greatest(src, dst), F.least(src, dst)
-    stars = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(a.alias("u"), b.alias("v")).distinct()
-    stars = materialize(stars, "stars")
+    pairs = materialize(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(F.col(src).alias("a"), F.col(dst).alias("b")), "pairs")
+    nodes, seed = _hashed(pairs)
+    u, v = F.xxhash64("a", F.lit(seed)), F.xxhash64("b", F.lit(seed))
+    stars = pairs.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
     for _ in range(max_rounds):
-        if _settled(stars):
-            break
         for star in (_large_star, _small_star):
             hung, least = star(stars)
             done, stars = stars, materialize(hung, "stars")
             discard(done)
             discard(least)
+        if _settled(stars):
+            break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = stars.select("v").distinct()
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    discard(pairs)
+    # A centre hangs on nothing: its own hash stands for its component. Of the component's nodes the smallest is the root.
+    found = nodes.join(stars, F.col("id") == F.col("u"), "left").select("node", F.coalesce("v", "id").alias("part"))
+    found = materialize(found, "parts")
+    discard(stars)
+    roots = materialize(found.groupBy("part").agg(F.min("node").alias("root")), "roots")
+    return found.join(roots, "part").select("node", "root")
+
+
+def _hashed(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(node, id) of every end, and the seed with which no two nodes share a hash."""
+    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    for seed in range(SEEDS):
+        hashed = nodes.withColumn("id", F.xxhash64("node", F.lit(seed)))
+        if hashed.groupBy("id").count().where("count > 1").isEmpty():
+            return hashed, seed
+    raise RuntimeError(f"nodes share hashes with each of {SEEDS} seeds")
 
 
 def _settled(edges: DataFrame) -> bool:
