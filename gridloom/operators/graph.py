@@ -69,15 +69,20 @@ def contract_paths(edges: DataFrame, key: str = "edge_id", length: str = "length
     Edges that share such a node are linked, the components of those links are the chains, and a chain's ends are the
     nodes that occur once in it. Closed chains have no end and keep null ends.
     """
-    through = degrees(edges).where("degree = 2").select("node")
+    edges = materialize(edges.select(key, "src", "dst", length), "edges")
+    # A node of degree 2 and its edges come from one aggregate, without a join of all ends.
     sides = edges.select(key, F.explode(F.array("src", "dst")).alias("node"))
-    links = sides.join(through, "node").groupBy("node").agg(F.min(key).alias("src"), F.max(key).alias("dst"))
-    chains = connected_components(links).withColumnRenamed("node", key).withColumnRenamed("root", "chain")
-    chained = edges.join(chains, key, "left").withColumn("chain", F.coalesce("chain", key))
+    links = sides.groupBy("node").agg(F.count("*").alias("degree"), F.min(key).alias("src"), F.max(key).alias("dst")).where("degree = 2 and node is not null")
+    chains = materialize(connected_components(links).withColumnRenamed("node", key).withColumnRenamed("root", "chain"), "chains")
+    marked = edges.join(chains, key, "left")
+    # An edge without a neighbour to join is a chain of its own: nothing is grouped for it. A loop has no end.
+    src, dst = (F.when(~F.col("src").eqNullSafe(F.col("dst")), f("src", "dst")) for f in (F.least, F.greatest))
+    alone = marked.where("chain is null").select(src.alias("src"), dst.alias("dst"), F.col(length), F.lit(1).cast("long").alias("edges"))
+    chained = materialize(edges.join(chains, key), "chained")
     inner = chained.select("chain", F.explode(F.array("src", "dst")).alias("node")).groupBy("chain", "node").agg(F.count("*").alias("n"))
     ends = inner.where("n = 1").groupBy("chain").agg(F.min("node").alias("src"), F.max("node").alias("dst"))
     totals = chained.groupBy("chain").agg(F.sum(length).alias("length"), F.count("*").alias("edges"))
-    return totals.join(ends, "chain", "left").select("src", "dst", "length", "edges")
+    return alone.select("src", "dst", F.col(length).alias("length"), "edges").unionByName(totals.join(ends, "chain", "left").select("src", "dst", "length", "edges"))
 
 
 def centerlines(points: DataFrame, edge: str = "edge_id", order: str = "i") -> DataFrame:
