@@ -43,22 +43,36 @@ _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where a pre-token always ends: before white space behind something else, and between a letter and a mark.
 _END = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])|(?<=[A-Za-z])(?=[!-&(-/:-@[-`{{-~])")
 _TWO_SPACES = re.compile(r"\s\s").search
+#: How the byte-level alphabet spells what pieces follow.
+_SPELT = {" ": "\u0120", "\n": "\u010a"}
+
+# What a byte of UTF-8 belongs to. Of letters beyond ASCII, those whose first byte stands for letters only.
+_OTHER, _LETTER, _DIGIT, _SIGN, _LINE = range(5)
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[0x21:0x7F] = _SIGN
+_KINDS[ord("'")] = _OTHER
+_KINDS[0x30:0x3A] = _DIGIT
+_KINDS[0x41:0x5B] = _KINDS[0x61:0x7B] = _KINDS[0x80:0xC0] = _KINDS[0xC3:0xCA] = _KINDS[[0xD0, 0xD1, 0xD3]] = _LETTER
+_KINDS[ord("\n")] = _LINE
+
 
 class Chunks:
-    """The ids of chunks of text, each as it follows a space; a cache of two generations, bounded by their bytes.
+    """The ids of pieces of text, each as it follows a space, or a line end that its own ids leave out (``lead``); a cache
+    of two generations, bounded by their bytes (``share`` of CACHE_BYTES).
 
-    When the younger one has taken half of CACHE_BYTES it becomes the older one, whose chunks are carried over as they
-    are met again: common words stay, whatever number of rare ones passes.
+    When the younger one has taken half of them it becomes the older one, whose pieces are carried over as they are met
+    again: common words stay, whatever number of rare ones passes.
     """
 
-    def __init__(self, tokenizer, kind: str, added: re.Pattern | None):
+    def __init__(self, tokenizer, kind: str, added: re.Pattern | None, lead: str = " ", share: float = 1):
         self.tokenizer, self.kind, self.added = tokenizer, kind, added
+        self.lead, self.share = lead, share
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
-        # Whether an id's token begins with a space, which the byte-level alphabet spells as its own letter.
+        # Whether an id's token begins with the lead, which the byte-level alphabet spells as its own letter.
         self.begins = np.zeros(tokenizer.get_vocab_size(), bool)
-        self.begins[[number for token, number in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        self.begins[[number for token, number in tokenizer.get_vocab().items() if token.startswith(_SPELT[lead])]] = True
 
     def __len__(self) -> int:
         return len(self.young) + len(self.old)
@@ -79,24 +93,30 @@ class Chunks:
 
     def _keep(self, chunks: list[str], ids: list[bytes]) -> None:
         size = sum(map(len, chunks)) + sum(map(len, ids)) + ENTRY_BYTES * len(chunks)
-        if self.held + size > CACHE_BYTES // 2:
+        if self.held + size > CACHE_BYTES * self.share // 2:
             self.old, self.young, self.held = self.young, {}, 0
         self.held += size
         self.young.update(zip(chunks, ids, strict=True))
 
     def _encoded(self, chunks: list[str]) -> Iterator[bytes]:
-        """The ids of chunks, many to a text where each begins with the only tokens that begin with a space."""
+        """The ids of chunks, many to a text where each begins with the only tokens that begin with the lead."""
         ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
         first = 0
         while first < len(chunks):
             last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PACK_CHARS, "right")))
             group = chunks[first:last]
-            yield from self._together(group) or (array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([" " + c for c in group], add_special_tokens=False))
+            yield from self._together(group) or self._apart(group)
             first = last
 
+    def _apart(self, group: list[str]) -> Iterator[bytes]:
+        """The ids of chunks that are encoded one by one."""
+        texts = [" " + c for c in group] if self.lead == " " else group
+        return (array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
     def _together(self, group: list[str]) -> list[bytes] | None:
         """The ids of chunks that are encoded as one text, if that can be told apart."""
-        text = " " + " ".join(group)
+        lent = [not c.startswith(self.lead) for c in group]
+        text = "".join(self.lead + c if own else c for own, c in zip(lent, group, strict=True))
         if _TWO_SPACES(text) or text[-1].isspace() or (self.added and self.added.search(text)):
             return None
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -105,18 +125,50 @@ class Chunks:
         if len(cuts) != len(group):
             return None
         packed, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
-        bounds = [*(cuts * width).tolist(), len(packed)]
-        return [packed[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+        begins = cuts if self.lead == " " else cuts + lent
+        return [packed[x:y] for x, y in zip((begins * width).tolist(), [*(cuts[1:] * width).tolist(), len(packed)], strict=True)]
+
+
+def _runs(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin within chunks of UTF-8 text, each from a bound to the next, besides where these begin.
+
+    Chunks of Latin and Cyrillic letters, digits, signs other than the apostrophe, and single line ends between them:
+    there, runs of one kind are pre-tokens, a line end goes with what follows it. Other chunks stay whole.
+    """
+    kinds = _KINDS[data]
+    other = kinds == _OTHER
+    if len(data) > 1:  # multiplication and division signs among letters
+        other[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    line = kinds == _LINE
+    full = np.flatnonzero(bounds[1:] > bounds[:-1])
+    other[bounds[full]] |= line[bounds[full]]
+    other[bounds[full + 1] - 1] |= line[bounds[full + 1] - 1]
+    before = np.concatenate([[0], np.cumsum(other)])
+    whole = before[bounds[1:]] > before[bounds[:-1]]
+    changes = kinds[1:] != kinds[:-1]
+    changes &= ~line[:-1]
+    starts = bounds[(bounds > 0) & (bounds < len(data))]
+    changes[starts - 1] = False
+    cuts = np.flatnonzero(changes) + 1
+    return cuts[~whole[np.searchsorted(bounds, cuts, "right") - 1]]
+
+
+def _bytes_of(column: pa.LargeStringArray | pa.LargeBinaryArray) -> tuple[bytes, np.ndarray]:
+    """The bytes of a column's values, and where each begins in them and the last one ends."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return (data[ends[0] : ends[-1]].to_pybytes() if data else b""), ends - ends[0]
 
 
 class ChunkEncoder:
     """Encodes whole texts with a tokenizers file, each distinct chunk between spaces once while it stays cached.
 
     The byte-level pre-tokenizer never joins a space to the non-space before it, so a text whose white-space characters
-    all stand alone may be cut before each space. Arrow numbers the distinct chunks of a batch, each of which is looked up
-    once, and numpy lays their ids out by these numbers. Texts that hold the string of a token which the file adds to the
-    vocabulary go to the tokenizer whole: such strings become their own ids, as with the library's defaults. A long text
-    is taken in pieces that end where a pre-token does, so that memory does not grow with what the tokenizer holds of it.
+    all stand alone may be cut before each space. Arrow numbers the distinct chunks of a batch and, where runs of letters,
+    digits or signs in them are pre-tokens, the distinct runs, each of which is looked up once; by these numbers it lays
+    their ids out. Texts that hold the string of a token which the file adds to the vocabulary go to the tokenizer whole:
+    such strings become their own ids, as with the library's defaults. A long text is taken in pieces that end where a
+    pre-token does, so that memory does not grow with what the tokenizer holds of it.
     """
 
     def __init__(self, tokenizer):
@@ -130,6 +182,7 @@ class ChunkEncoder:
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = "<u2" if self.kind == "H" else "<u4"
         self.chunks = Chunks(tokenizer, self.kind, self.added)
+        self.parts = Chunks(tokenizer, self.kind, self.added, "\n", 0.25)
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -162,17 +215,28 @@ class ChunkEncoder:
         """The ids of what follows the first space of each text; nothing where it has none."""
         lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
         numbered = lists.values.dictionary_encode()
-        found = self.chunks.look(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
-        width = np.dtype(self.kind).itemsize
-        pool = np.frombuffer(b"".join(found), self.kind)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
-        starts = np.cumsum(sizes) - sizes
-        chunks, bounds = numbered.indices.to_numpy(), lists.offsets.to_numpy()
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            own = chunks[a:b]
-            size = sizes[own]
-            ends = np.cumsum(size)
-            yield pool[np.repeat(starts[own] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        packed, ends = _bytes_of(self._of_chunks(numbered.dictionary).take(numbered.indices))
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        return (packed[x:y] for x, y in zip(bounds, bounds[1:], strict=False))
+
+    def _of_chunks(self, chunks: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of distinct chunks, by way of the distinct pre-tokens in them where these are easily told."""
+        data, bounds = _bytes_of(chunks)
+        cuts = _runs(np.frombuffer(data, np.uint8), bounds)
+        counts = 1 + np.bincount(np.searchsorted(bounds, cuts, "right") - 1, minlength=len(chunks))
+        firsts = np.cumsum(counts) - counts
+        later = np.ones(len(chunks) + len(cuts), bool)
+        later[firsts] = False
+        starts = np.empty(len(later) + 1, np.int64)
+        starts[:-1][firsts], starts[:-1][later], starts[-1] = bounds[:-1], cuts, len(data)
+        pieces = pa.LargeStringArray.from_buffers(len(later), pa.py_buffer(starts), pa.py_buffer(data))
+        head, tail = pieces.take(pa.array(firsts)).dictionary_encode(), pieces.filter(pa.array(later)).dictionary_encode()
+        ids = self.chunks.look(head.dictionary.to_numpy(zero_copy_only=False).tolist())
+        numbers = np.empty(len(later), np.int64)
+        numbers[firsts], numbers[later] = head.indices.to_numpy(), tail.indices.to_numpy() + len(ids)
+        ids = pa.array(ids + self.parts.look(tail.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        packed, ends = _bytes_of(ids.take(pa.array(numbers)))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunks), [None, pa.py_buffer(ends[np.append(firsts, len(later))]), pa.py_buffer(packed)])
 
     def _adds(self, text: str) -> bool:
         return self.added is not None and self.added.search(text) is not None

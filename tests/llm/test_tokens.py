@@ -113,3 +113,48 @@ def test_memory_of_a_long_text_with_two_spaces():
     code = "import resource, public_tokenizers as P; from gridloom.llm import token_files as t; own = t.encoder(P.path('byte_bpe_50k.json')); text = 'some  words here, ' * (32 << 20 >> 4); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; n = len(own.encode([text])[0]); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10, n)"
     used, size = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(token_files.__file__).parents[2]).stdout.split()[-2:])
     assert used < 200 and size > 16 << 20
+
+
+class Counted:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.chars = tokenizer, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.chars += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_are_encoded_once_whatever_signs_stand_beside_them():
+    words = [f"{a}{b}lïñ{c}o" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuv"]
+    signs = ["", ",", ".", "...", ")", "?!", ":", ";", "/", "-", ".\nThen", "%%%", "12"]
+    texts = [" ".join(["first", *(w + s for w in words)]) for s in signs]
+    counted = Counted(HF)
+    own = token_files.ChunkEncoder(counted)
+    assert [ids(p, own.dtype) for p in own.encode(texts)] == [e.ids for e in HF.encode_batch(texts, add_special_tokens=False)]
+    assert counted.chars < 2 * sum(len(w) + 1 for w in words)
+
+
+def test_runs_of_letters_digits_and_signs_as_the_library_has_them():
+    rng = random.Random(5)
+    parts = [*"aZéßÿĀɏɿЖяѿӿ", *"0129", *".,-/*_%|~", *"'ªºµ×÷²½\u0301҂ʰΩ日\u0120\u010a\x1c\t\x7f\xad", "\n", "\n", "\n", "don't", "'s", "word", "12"]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 3, 8]))) for _ in range(rng.choice([1, 2, 6, 40]))) for _ in range(3000)]
+    own = token_files.ChunkEncoder(HF)
+    for some in (texts, texts[:1], [""], [" "], ["a "], [" a"], ["a \n"], ["a b\n"], []):
+        assert [ids(p, own.dtype) for p in own.encode(some)] == [e.ids for e in HF.encode_batch(some, add_special_tokens=False)]
+
+
+def test_letters_that_may_be_cut_at_are_letters_to_the_library():
+    split = HF.pre_tokenizer.pre_tokenize_str
+    for number in (*range(33, 0x280), *range(0x400, 0x530)):
+        char = chr(number)
+        data = np.frombuffer(f"a{char}a.{char}.1{char}1".encode(), np.uint8)
+        cuts = token_files._runs(data, np.array([0, len(data)]))
+        pieces = [p for p, _ in split(f"a{char}a.{char}.1{char}1")]
+        if len(cuts):
+            ends = np.cumsum([len(p) for p in pieces])  # a letter of the byte-level alphabet is a byte
+            assert cuts.tolist() == ends[:-1].tolist(), char
