@@ -32,6 +32,8 @@ CACHE_BYTES, ENTRY_BYTES = 80 << 20, 200
 PACK_CHARS = 1 << 18
 #: Chunks that go to a worker's cache at a time.
 KEPT = 4096
+#: Bytes of distinct chunks that are searched for runs at a time: each byte may be one.
+RUN_BYTES = 1 << 20
 #: Most tasks that read files.
 READ_TASKS = 20_000
 #: Bytes of ids that a task holds before they go to the file.
@@ -153,10 +155,14 @@ def _runs(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return cuts[~whole[np.searchsorted(bounds, cuts, "right") - 1]]
 
 
+def _bounds(column: pa.LargeStringArray | pa.LargeBinaryArray) -> np.ndarray:
+    """Where each of a column's values begins in its buffer, and where the last one ends."""
+    return np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+
+
 def _bytes_of(column: pa.LargeStringArray | pa.LargeBinaryArray) -> tuple[bytes, np.ndarray]:
     """The bytes of a column's values, and where each begins in them and the last one ends."""
-    _, ends, data = column.buffers()
-    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    ends, data = _bounds(column), column.buffers()[2]
     return (data[ends[0] : ends[-1]].to_pybytes() if data else b""), ends - ends[0]
 
 
@@ -215,7 +221,13 @@ class ChunkEncoder:
         """The ids of what follows the first space of each text; nothing where it has none."""
         lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
         numbered = lists.values.dictionary_encode()
-        packed, ends = _bytes_of(self._of_chunks(numbered.dictionary).take(numbered.indices))
+        chunks = numbered.dictionary
+        ends, first, found = _bounds(chunks), 0, []
+        while first < len(chunks):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + RUN_BYTES, "right")) - 1)
+            found.append(self._of_chunks(chunks[first:last]))
+            first = last
+        packed, ends = _bytes_of(pa.chunked_array(found, pa.large_binary()).combine_chunks().take(numbered.indices))
         bounds = ends[lists.offsets.to_numpy()].tolist()
         return (packed[x:y] for x, y in zip(bounds, bounds[1:], strict=False))
 

@@ -139,10 +139,11 @@ def test_words_are_encoded_once_whatever_signs_stand_beside_them():
     assert counted.chars < 2 * sum(len(w) + 1 for w in words)
 
 
-def test_runs_of_letters_digits_and_signs_as_the_library_has_them():
+def test_runs_of_letters_digits_and_signs_as_the_library_has_them(monkeypatch):
     rng = random.Random(5)
     parts = [*"aZéßÿĀɏɿЖяѿӿ", *"0129", *".,-/*_%|~", *"'ªºµ×÷²½\u0301҂ʰΩ日\u0120\u010a\x1c\t\x7f\xad", "\n", "\n", "\n", "don't", "'s", "word", "12"]
     texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 3, 8]))) for _ in range(rng.choice([1, 2, 6, 40]))) for _ in range(3000)]
+    monkeypatch.setattr(token_files, "RUN_BYTES", 5000)
     own = token_files.ChunkEncoder(HF)
     for some in (texts, texts[:1], [""], [" "], ["a "], [" a"], ["a \n"], ["a b\n"], []):
         assert [ids(p, own.dtype) for p in own.encode(some)] == [e.ids for e in HF.encode_batch(some, add_special_tokens=False)]
@@ -158,3 +159,10 @@ def test_letters_that_may_be_cut_at_are_letters_to_the_library():
         if len(cuts):
             ends = np.cumsum([len(p) for p in pieces])  # a letter of the byte-level alphabet is a byte
             assert cuts.tolist() == ends[:-1].tolist(), char
+
+
+def test_memory_of_texts_that_are_all_runs():
+    """A worker of its own: 4 MB without spaces, where each byte is a pre-token."""
+    code = "import random, resource, public_tokenizers as P; from gridloom.llm import token_files as t; own = t.encoder(P.path('byte_bpe_50k.json')); r = random.Random(1); texts = ['x ' + ''.join(r.choice('abc') + r.choice('.,-') for _ in range(130_000)) for _ in range(16)]; before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; n = sum(map(len, own.encode(texts))); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10, n)"
+    used, size = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(token_files.__file__).parents[2]).stdout.split()[-2:])
+    assert used < 125 and size > 8 << 20 >> 1
